@@ -1,12 +1,66 @@
-"""Corpus pipeline: quality, near copies, benchmark leaks, personal data, packing."""
+"""Corpus pipeline over ``documents``: quality, near copies, benchmark leaks, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dispatchlake.llm import common as C
+from dispatchlake.llm import decontam, dedup, packing, pii, quality
+from dispatchlake.llm.queries import THRESHOLD
+
+_begin: dict[str, int] = {}
+
+
+def _free_earlier(spark: SparkSession) -> None:
+    """Deletes what earlier stages of this run left in the shared folder; their results have been written by now."""
+    if "at" in _begin:
+        C.release(spark, min(_begin["at"], C.mark()))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the classifier doesn't reject."""
+    _begin["at"] = C.mark()
+    trees = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, trees, out="__score").filter(F.col("__score") >= THRESHOLD).drop("__score")
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    _free_earlier(spark)
+    return dedup.keep_first(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    _free_earlier(spark)
+    return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data; n_chars follows the new text."""
+    _free_earlier(spark)
+    out = pii.replace_entities(docs, count_col=None)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into windows; one row for each piece."""
+    _free_earlier(spark)
+    return packing.pack(packing.pieces(docs))
+
 
-STAGES: list = []
+STAGES = [("quality", quality_stage), ("near_dedup", dedup_stage), ("decontamination", decontamination_stage), ("pii", pii_stage), ("packing", packing_stage)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The rows of the last stage for the table ``documents``."""
+    docs = C.prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = C.store(stage(spark, docs, sf_dir), f"stage-{name}")
+        _begin["at"] = C.mark()  # the stage's own result stays
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,16 +8,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import dedup
+from . import decontam, dedup, langid, licenses, mpegts, packing, pii, quality, sharding, warc
+
+THRESHOLD = 0.3  # of the quality score
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return C.prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(_read(spark, sf_dir, "documents")))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_near_duplicates,)}
-ORACLES: dict[str, str] = {}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, back = warc.revisit_archives(_read(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = quality.held_out(F.col("doc_id"))
+    profiles = langid.learn(docs.filter(~held))
+    out = langid.identify(docs.select("doc_id", "text"), profiles)
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(_read(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.learn(docs, _read(spark, sf_dir, "labels"))
+    scored = quality.score(docs, trees).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def op9_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = C.store(mpegts.texts_to_media(_read(spark, sf_dir, "documents")), "media")
+    return mpegts.media_features(media).drop("pts", "pes_offset", "random_access")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, _ = sharding.shard(_read(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_pii, op4_warc, op5_decontamination, op6_language_id, op7_licenses, op8_quality, op9_transport_streams, op10_sharding)}
+#: SQL for the rows of those operators that DuckDB can compute on whole tables.
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS original FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+          CASE WHEN payload_bytes >= 1000 AND page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN payload_bytes >= 1000 AND page_id < original THEN original END AS refers_to
+        FROM m""",
+}
