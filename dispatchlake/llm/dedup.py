@@ -9,7 +9,8 @@ Plan (``near_duplicates``):
 3. Prefix: two classes with ``min_matches`` common coordinates must meet in the ``coordinates - min_matches + 1``
    rarest of either one, so only these are joined; the long lists are skipped, and the collisions of a met pair are
    counted on the two signatures.
-4. Each list is joined as a star (its smallest class with all others), never as all pairs. Pairs above the match
+4. Each list is joined as a star (its smallest class with all others), never as all pairs, and a class goes on with
+   the smallest of these pivots and the one it met most often. Pairs above the match
    threshold are confirmed on the full sets, and components are formed. Classes in lists that still hold several
    components get an exact second pass over the full sets (``_across``), in which only members of *different*
    components can meet, so no link between different texts is lost.
@@ -157,7 +158,10 @@ def _link(texts: DataFrame, sketches: DataFrame, classes: DataFrame, min_percent
     mine = mine.filter(F.size("own") >= min_matches)
     lists = C.store(mine.select("cid", F.explode(F.expr(f"slice(own, 1, size(own) - {min_matches} + 1)")).alias("p")).select("cid", F.col("p.key").alias("key")), "prefixes")
     stars = lists.groupBy("key").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = lists.join(stars, "key").filter("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
+    met = lists.join(stars, "key").filter("cid <> pivot").groupBy("cid", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    # Of its pivots a class tries the smallest and the one it met most often; the second pass finds what that leaves.
+    own = met.groupBy("cid").agg(F.min("pivot").alias("p"), F.max(F.struct("n", "pivot")).alias("q"))
+    pairs = own.select(F.explode(F.array_distinct(F.array("p", "q.pivot"))).alias("a"), F.col("cid").alias("b"))
     active = lists.select("cid").distinct()
     sigs = C.store(classes.join(active, "cid", "left_semi").select("cid", "low", "sig", "fp"), "active")
     # One text of each active class: the row whose id is the class's smallest and whose set is the class's.
