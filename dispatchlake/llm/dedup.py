@@ -9,8 +9,7 @@ Plan (``near_duplicates``):
 3. Prefix: two classes with ``min_matches`` common coordinates must meet in the ``coordinates - min_matches + 1``
    rarest of either one, so only these are joined; the long lists are skipped, and the collisions of a met pair are
    counted on the two signatures.
-4. Each list is joined as a star (its smallest class with all others), never as all pairs, and a class goes on with
-   the smallest of these pivots and the one it met most often. Pairs above the match
+4. Each list is joined as a star (its most central class with all others), never as all pairs. Pairs above the match
    threshold are confirmed on the full sets, and components are formed. Classes in lists that still hold several
    components get an exact second pass over the full sets (``_across``), in which only members of *different*
    components can meet, so no link between different texts is lost.
@@ -19,6 +18,7 @@ Plan (``near_duplicates``):
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ COORDINATES = 64
 #: P(fewer common coordinates) for a pair of similarity 0.8 is below 1e-6.
 MIN_MATCHES = 34
 SHINGLE = 4
+BITS = 1024  # of the bitmaps that prune the second pass
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = np.random.default_rng(8).integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 
@@ -156,12 +157,11 @@ def _link(texts: DataFrame, sketches: DataFrame, classes: DataFrame, min_percent
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     mine = posts.join(shared, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))  # at most one entry per coordinate
     mine = mine.filter(F.size("own") >= min_matches)
-    lists = C.store(mine.select("cid", F.explode(F.expr(f"slice(own, 1, size(own) - {min_matches} + 1)")).alias("p")).select("cid", F.col("p.key").alias("key")), "prefixes")
-    stars = lists.groupBy("key").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = lists.join(stars, "key").filter("cid <> pivot").groupBy("cid", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    # Of its pivots a class tries the smallest and the one it met most often; the second pass finds what that leaves.
-    own = met.groupBy("cid").agg(F.min("pivot").alias("p"), F.max(F.struct("n", "pivot")).alias("q"))
-    pairs = own.select(F.explode(F.array_distinct(F.array("p", "q.pivot"))).alias("a"), F.col("cid").alias("b"))
+    mine = mine.withColumn("weight", F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + x["df"]))
+    lists = C.store(mine.select("cid", "weight", F.explode(F.expr(f"slice(own, 1, size(own) - {min_matches} + 1)")).alias("p")).select("cid", "weight", F.col("p.key").alias("key")), "prefixes")
+    # The pivot is the class whose coordinates are the most common ones: in a group of near copies that is its centre.
+    stars = lists.groupBy("key").agg(F.max(F.struct("weight", (-F.col("cid")).alias("no"))).alias("p"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", (-F.col("p.no")).alias("pivot"))
+    pairs = lists.join(stars, "key").filter("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
     active = lists.select("cid").distinct()
     sigs = C.store(classes.join(active, "cid", "left_semi").select("cid", "low", "sig", "fp"), "active")
     # One text of each active class: the row whose id is the class's smallest and whose set is the class's.
@@ -188,19 +188,23 @@ def _across(live: DataFrame, min_percent: int) -> DataFrame:
 
     Exact prefix filter on the sets: shingles stand in order of rarity; two sets that reach the threshold share one
     within the first fifth (at 80 %) of the larger set and the first ninth of the smaller, and enough shingles must
-    be left behind that place in both. Shingles of one set only need no posting.
+    be left behind that place in both. Shingles of one set only need no posting. A bitmap of each set travels with its
+    postings: where the bitmaps differ the sets do, which bounds the overlap from above, so pairs that can't reach the
+    threshold are left out inside the join.
     """
-    sets = C.store(live.select("cid", "root", "text").mapInArrow(_shingles, "cid long, root long, n long, shingles array<long>"), "sets")
+    sets = C.store(live.select("cid", "root", "text").mapInArrow(_shingles, "cid long, root long, n long, shingles array<long>, bits array<long>"), "sets")
     posts = sets.select("cid", F.explode("shingles").alias("h"))
     shared = posts.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    own = posts.join(shared, "h").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own")).join(sets.select("cid", "root", "n"), "cid")
+    own = posts.join(shared, "h").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own")).join(sets.select("cid", "root", "n", "bits"), "cid")
     probe = f"cast(floor(n * {100 - min_percent} / 100) as int)"  # last place that can still lead to the threshold
     near = f"cast(floor(n * {100 - min_percent} / {100 + min_percent}) as int)"  # the same for the smaller of two sets
     own = own.withColumn("alone", (F.col("n") - F.size("own")).cast("int")).withColumn("own", F.expr(f"slice(own, 1, greatest({probe} - alone + 1, 0))"))
-    prefix = C.store(own.select("cid", "root", "n", "alone", F.expr(f"{near}").alias("near"), F.posexplode("own").alias("i", "e")).select("cid", "root", "n", "near", (F.col("alone") + F.col("i")).alias("place"), F.col("e.h").alias("h")), "prefix")
-    small = prefix.filter("place <= near").select("h", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    prefix = C.store(own.select("cid", "root", "n", "bits", "alone", F.expr(f"{near}").alias("near"), F.posexplode("own").alias("i", "e")).select("cid", "root", "n", "bits", "near", (F.col("alone") + F.col("i")).alias("place"), F.col("e.h").alias("h")), "prefix")
+    small = prefix.filter("place <= near").select("h", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("place").alias("pb"))
     fits = (F.col("root") != F.col("rb")) & ((F.col("n") > F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("cid") > F.col("b")))) & (F.col("nb") * 100 >= F.col("n") * min_percent)
     fits &= F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb")) * (100 + min_percent) >= (F.col("n") + F.col("nb")) * min_percent
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bb")[k])) for k in range(BITS // 64)])
+    fits &= (F.col("n") + F.col("nb") - differ) * (100 + min_percent) >= (F.col("n") + F.col("nb")) * (2 * min_percent)
     large = prefix.withColumnRenamed("h", "h2")
     met = large.join(small, (F.col("h2") == F.col("h")) & fits)
     return met.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
@@ -211,8 +215,12 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, raw, offsets in C.text_chunks(batch, "text"):
             sets = distinct_by_row(*shingle_hashes(raw, offsets))
             n = np.array([len(x) for x in sets], np.int64)
-            arr = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), arr], names=["cid", "root", "n", "shingles"])
+            marks = np.zeros((hi - lo, BITS), np.uint8)
+            marks[np.repeat(np.arange(hi - lo), n), (np.concatenate(sets) % np.uint64(BITS)).astype(np.int64)] = 1
+            bits = np.packbits(marks, axis=1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * (BITS // 64), pa.int32()), pa.array(bits.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), lists, maps], names=["cid", "root", "n", "shingles", "bits"])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
