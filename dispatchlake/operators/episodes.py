@@ -35,7 +35,7 @@ def episodes(inc: DataFrame, window_min: int = 15) -> DataFrame:
     order = Window.partitionBy("location_key", "no").orderBy(first.desc(), "incident_number")
     rows = rows.withColumn("rank", F.row_number().over(order))
     own = [c for c in inc.columns if c != "severity"]
-    packed = F.struct("reported_ts", "incident_number", "cause", "reported", "severity")
+    packed = F.struct(*[c for c in ("reported_ts", "incident_number", "cause", "reported", "severity") if c in rows.columns])
     out = rows.groupBy("location_key", "no").agg(
         F.max(F.when(F.col("rank") == 1, F.struct(*own, "severity"))).alias("p"),
         F.sort_array(F.collect_list(F.when(F.col("rank") > 1, packed))).alias("extras"),
