@@ -9,6 +9,7 @@ grouping is well below a tenth of a percent; groups grow in number, not in size,
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -35,7 +36,8 @@ class WordPieces:
     The words of a whole chunk are found with array operations, and only words not seen before go to the tokenizer.
     """
 
-    def __init__(self, path: str, capacity: int = 800_000):
+    def __init__(self, path: str, capacity: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -93,7 +95,7 @@ class WordPieces:
         if len(new):
             data = raw.tobytes()
             words = [data[starts[i] : ends[i]].decode() for i in where[new]]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            found = [x.ids for k in range(0, len(words), 4096) for x in self.tokenizer.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)]
             first, n = len(self.slots), np.array([len(x) for x in found], np.int64)
             while self.used + n.sum() > len(self.flat):
                 self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
@@ -139,6 +141,16 @@ class WordPieces:
         return out
 
 
+_loaded: dict[str, WordPieces] = {}
+
+
+def word_pieces(path: str) -> WordPieces:
+    """The worker's encoder of a tokenizer file; tasks that follow on the same worker find its words."""
+    if path not in _loaded:
+        _loaded[path] = WordPieces(path)
+    return _loaded[path]
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -147,11 +159,11 @@ def default_tokenizer() -> str:
 
 def _cut(path: str | None, window: int, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordPieces(path or default_tokenizer())
+        words = word_pieces(path or default_tokenizer())
         end = np.array([END_ID], np.uint32)
         for batch in batches:
             doc_ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            for lo, _, raw, offsets in C.text_chunks(batch, "text"):
+            for lo, _, raw, offsets in C.text_chunks(batch, "text", 1 << 19):
                 out: dict = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
                 for i, found in enumerate(words.rows(raw, offsets)):
                     ids = np.concatenate((found, end)).astype("<u4")
