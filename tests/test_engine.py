@@ -6,9 +6,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from dispatchlake.functions import causes, roads, times, weather
+from dispatchlake.functions import causes, roads, sql, times, weather
 from dispatchlake.operators import episodes as ep
-from dispatchlake.operators import hourly, ingest, roadstats
+from dispatchlake.operators import hourly, ingest, roadstats, routes
 from dispatchlake.sources import feed, sinks
 from dispatchlake.streaming import jobs
 
@@ -150,3 +150,42 @@ def test_every_query_without_the_corpus_part_is_registered():
     from dispatchlake import registry
 
     assert len(registry.QUERIES) > 100 and set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def _route_rows(spark):
+    kind = "incident_number string, location string, reported_ts timestamp_ntz, in_feed boolean, corridors array<string>, severity int, latitude double, longitude double"
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    rows = [
+        ("A", "x", at(9, 30), True, ["OAK ST"], 70, 30.17, -92.05), ("B", "x", at(9, 40), False, ["ELM ST"], 50, 30.18, -92.0502), ("C", "x", at(9, 50), True, ["OAK ST"], 50, 30.18, -92.0525),
+        ("D", "x", at(9, 55), True, ["OAK ST"], 50, None, None), ("E", "x", at(7, 0), True, ["OAK ST"], 50, 30.16, -92.05), ("F", "x", at(7, 0), False, ["OAK ST"], 50, 30.16, -92.05), ("G", "x", at(9, 50), True, ["ELM ST"], 50, 30.18, -92.0535),
+    ]
+    return spark.createDataFrame(rows, kind)
+
+
+def test_route_incidents(spark):
+    routes_df = spark.sql("SELECT 1 AS route_id, array(named_struct('lat', 30.16D, 'lng', -92.05D), named_struct('lat', 30.22D, 'lng', -92.05D)) AS path, array('OAK ST') AS corridors")
+    found = routes.route_incidents(_route_rows(spark), routes_df, "2024-01-01 09:58:00", "2024-01-01 10:00:00")
+    got = {r.incident_number: (r.status, r.match) for r in found.collect()}
+    assert got == {"A": ("active", "path"), "B": ("cleared", "path"), "C": ("active", "path"), "D": ("active", "approximate"), "E": ("active", "path"), "G": ("active", None)}
+    state = routes.route_state(found).first()
+    assert (state.state, state.active, state.cleared, state.approximate) == ("alert", 4, 1, 1)
+    assert [r.incident_number for r in routes.near_misses(found).collect()] == ["G"]
+    late = routes.route_incidents(_route_rows(spark), routes_df, "2024-01-01 09:00:00", "2024-01-01 10:00:00")
+    assert {r.status for r in late.collect()} == {"unknown"}
+
+
+def test_route_schedule_and_overrides(spark):
+    df = spark.createDataFrame([(1, "mon-fri", "7:30"), (2, "fri-mon", "25:00"), (3, "daily", None), (4, "Sat, wed", "0:05"), (5, "weekends", "x")], "route_id int, days string, depart string")
+    got = {r.route_id: (r.day_numbers, r.depart_minutes) for r in routes.with_route_schedule(df).collect()}
+    assert got == {1: ([0, 1, 2, 3, 4], 450), 2: ([0, 4, 5, 6], None), 3: (list(range(7)), None), 4: ([2, 5], 5), 5: ([5, 6], None)}
+    base = spark.sql("SELECT 1 AS route_id, 'a' AS name, array(named_struct('lat', 1D, 'lng', 2D), named_struct('lat', 1D, 'lng', 3D)) AS path, cast(null AS array<string>) AS corridors UNION ALL SELECT 2, 'gone', null, null")
+    over = spark.sql("SELECT 1 AS route_id, 'b' AS name, cast(null AS array<struct<lat:double,lng:double>>) AS path, cast(null AS array<string>) AS corridors")
+    out = routes.effective_routes(base, over).collect()
+    assert [(r.route_id, r.name, len(r.path)) for r in out] == [(1, "b", 2)]
+
+
+def test_sql_functions(spark):
+    sql.register(spark)
+    df = spark.sql("SELECT content_key('a  b', 'c', null) AS k, condition_code(0.5D, null, '') AS c, cause_severity('hit & run') AS s, location_key(' x ') AS l")
+    assert tuple(df.first()) == ("A B|C|", "h", 80, "X")
+    assert "Python" not in df._jdf.queryExecution().toString()
