@@ -464,3 +464,71 @@ def _routes(s: SparkSession) -> DataFrame:
 _ALONG = ", p AS (SELECT incident_number, round(abs(longitude + 92.05) * cos(radians(latitude)) * 111320.0, 3) AS metres, round((least(greatest(latitude, 30.16), 30.22) - 30.16) * 111320.0, 3) AS along, latitude, corridors FROM inc WHERE latitude BETWEEN 30.16 AND 30.22)"
 _add("jn_13_near_path", lambda s, d: roadstats.near_path(b.incidents(s, d).filter("latitude BETWEEN 30.16 AND 30.22"), _routes(s)).select("route_id", "incident_number", "metres", F.round("along", 1).alias("along")), W + _ALONG + " SELECT 1 AS route_id, incident_number, metres, round(along, 1) AS along FROM p WHERE metres <= 150")
 _add("agg_48_route_roads", lambda s, d: roadstats.route_roads(_roads(s, d).filter("latitude BETWEEN 30.16 AND 30.22"), _routes(s)), W + _ALONG + ", u AS (SELECT unnest(corridors) AS road, along FROM p WHERE metres <= 150) SELECT 1 AS route_id, road, count(*) AS n, round(max(along) - min(along), 1) AS spread FROM u GROUP BY road HAVING max(along) - min(along) >= 400")
+
+
+# ---- state, time joins, snapshots, streams in batch form
+def _state(s: SparkSession, d: str) -> DataFrame:
+    seen = ingest.track_sightings(b.listings(s, d)).filter("observation_count > 1").withColumn("geocode_attempts", F.lit(7))
+    return ingest.attach_state(b.incidents(s, d), seen).select("incident_number", "geocode_attempts", "observation_count", _ts("last_seen_at"))
+
+
+_add("jn_19_attach_state", _state, "WITH " + b.LISTINGS + f", n AS (SELECT incident_number, count(DISTINCT sweep_ts) AS c, max(sweep_ts) AS l FROM listings GROUP BY 1 HAVING count(DISTINCT sweep_ts) > 1) SELECT concat('INC', event_id) AS incident_number, CASE WHEN c IS NULL THEN 0 ELSE 7 END AS geocode_attempts, coalesce(c, 1) AS observation_count, {_dts('l', 'last_seen_at')} FROM events LEFT JOIN n ON n.incident_number = concat('INC', event_id)")
+
+
+def _forecast(s: SparkSession, d: str) -> DataFrame:
+    grid = b._view(s, d, "events").select(F.date_trunc("HOUR", F.col("ts").cast("timestamp_ntz")).alias("start")).filter("hour(start) % 3 = 0").groupBy("start").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    grid = grid.select(F.lit("events").alias("variable"), "start", F.expr("start + INTERVAL 2 HOURS").alias("end"), "value")
+    return hourly.forecast_asof(_inc(s, d).filter("reported_ts IS NOT NULL"), grid)
+
+
+_add("jn_08_forecast_asof", _forecast, W + ", g AS (SELECT date_trunc('hour', ts) AS start, CAST(count(*) AS DOUBLE) AS value FROM events WHERE hour(ts) % 3 = 0 GROUP BY 1) SELECT incident_number, 'events' AS variable, coalesce(g.value, (SELECT arg_min(value, start) FROM g)) AS value FROM inc LEFT JOIN g ON reported_ts >= start AND reported_ts < start + INTERVAL 2 HOUR WHERE reported_ts IS NOT NULL")
+
+
+def _last_state(s: SparkSession, d: str) -> DataFrame:
+    states = b._view(s, d, "events").filter("event_type = 'signup'").groupBy(F.date_trunc("MINUTE", F.col("ts").cast("timestamp_ntz")).alias("at")).agg(F.max("event_id").alias("state"))
+    return hourly.attach_last(_inc(s, d), states, "state")
+
+
+_add("jn_09_attach_last", _last_state, W + ", st AS (SELECT date_trunc('minute', ts) AS at, max(event_id) AS state FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT incident_number, state FROM (SELECT * FROM inc WHERE reported_ts IS NOT NULL) i ASOF LEFT JOIN st ON i.reported_ts >= st.at")
+
+
+def _snapshots(s: SparkSession, d: str) -> DataFrame:
+    from dispatchlake.sources.feed import parse_snapshots
+
+    inc = b.incidents(s, d)
+    cell = lambda c: F.concat(F.lit("<td>"), F.col(c), F.lit("</td>"))
+    rows = inc.groupBy(F.date_trunc("MINUTE", "created_at").alias("sweep_ts")).agg(F.array_join(F.collect_list(F.concat(F.lit("<tr>"), *[cell(c) for c in ("location", "cause", "reported", "assisting")], F.lit("</tr>"))), "").alias("data"))
+    payload = F.to_json(F.struct((F.minute("sweep_ts") % 10 != 0).alias("success"), F.concat(F.lit("<table><tr><th>Location</th></tr>"), F.col("data"), F.lit("</table>")).alias("data")))
+    return parse_snapshots(rows.select("sweep_ts", payload.alias("payload"))).select(_ts("sweep_ts"), "location", "cause", "reported", "assisting")
+
+
+_add("src_01_parse_snapshots", _snapshots, W + "SELECT strftime(date_trunc('minute', created_at), '%Y-%m-%d %H:%M:%S') AS sweep_ts, trim(location) AS location, cause, reported, assisting FROM inc WHERE minute(created_at) % 10 <> 0")
+
+
+def _health(s: SparkSession, d: str) -> DataFrame:
+    from dispatchlake.streaming.jobs import feed_health
+
+    return feed_health(b.listings(s, d), NOW).select(_ts("last_sweep"), "status")
+
+
+_add("str_11_feed_health", _health, "WITH " + b.LISTINGS + f" SELECT {_dts('max(sweep_ts)', 'last_sweep')}, CASE WHEN date_diff('second', max(sweep_ts), TIMESTAMP '{NOW}') >= 1260 THEN 'unverified' ELSE 'verified' END AS status FROM listings")
+
+
+def _status_at(s: SparkSession, d: str) -> DataFrame:
+    from dispatchlake.streaming.jobs import status_at
+
+    return status_at(b.incidents(s, d), "2024-01-20 12:00:00").select("incident_number")
+
+
+_add("str_12_status_at", _status_at, W + "SELECT incident_number FROM inc WHERE first_seen_at <= TIMESTAMP '2024-01-20 12:05:00' AND last_seen_at >= TIMESTAMP '2024-01-20 11:54:00'")
+
+
+def _on_routes(s: SparkSession, d: str) -> DataFrame:
+    from dispatchlake.operators.routes import route_incidents
+
+    inc = _in_feed(s, d).join(causes.with_severity(_roads(s, d)), "incident_number")
+    routes = _routes(s).withColumn("corridors", F.array(F.lit("KALISTE SALOOM RD")))
+    return route_incidents(inc, routes, "2024-01-20 11:55:00", "2024-01-20 12:00:00").select("route_id", "incident_number", "status", "match", "reason")
+
+
+_add("agg_49_route_incidents", _on_routes)
