@@ -532,3 +532,27 @@ def _on_routes(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("agg_49_route_incidents", _on_routes)
+
+
+def _export(s: SparkSession, d: str) -> DataFrame:
+    from dispatchlake.operators.export import export_incidents
+
+    rows = b.listings(s, d)
+    last = rows.join(F.broadcast(rows.agg(F.max("sweep_ts").alias("last"))), F.col("sweep_ts") == F.col("last"))  # one row
+    out = export_incidents(_inc(s, d), last)
+    return out.select("incident_number", "category", "n_calls", _ts("reported_ts"), F.coalesce(F.array_join("corridors", "|"), F.lit("")).alias("corridors"), F.coalesce(F.size("folded"), F.lit(0)).alias("n_folded"), F.coalesce("in_feed", F.lit(False)).alias("in_feed"))
+
+
+_add("snk_03_export", _export, W + "," + _EP.replace("TS", "reported_ts") + f""", {b.LISTINGS}, fold AS (SELECT incident_number FROM ranked WHERE rk > 1), prim AS (SELECT incident_number, n_listings - 1 AS n_folded FROM ranked WHERE rk = 1), act AS (SELECT incident_number FROM listings WHERE sweep_ts = (SELECT max(sweep_ts) FROM listings))
+ SELECT incident_number, category, CAST(1 AS BIGINT) AS n_calls, {_dts('reported_ts')}, array_to_string(corridors, '|') AS corridors, coalesce(n_folded, 0) AS n_folded, incident_number IN (SELECT incident_number FROM act) AS in_feed FROM inc LEFT JOIN prim USING (incident_number) WHERE latitude IS NOT NULL AND cause <> 'TRAFFIC CONTROL' AND incident_number NOT IN (SELECT incident_number FROM fold)
+ UNION ALL SELECT min(incident_number), 'control', count(*), {_dts('max(reported_ts)', 'reported_ts')}, '', 0, false FROM inc WHERE cause = 'TRAFFIC CONTROL' AND latitude IS NOT NULL GROUP BY location_key""")
+
+
+def _resolved(s: SparkSession, d: str) -> DataFrame:
+    from dispatchlake.operators.export import resolve_road
+
+    known = _roads(s, d).select(F.explode("corridors").alias("road"))
+    return resolve_road(known.select(F.substring("road", 1, 5).alias("typed")), known)
+
+
+_add("jn_21_resolve_road", _resolved, W + ", k AS (SELECT DISTINCT road FROM (SELECT unnest(corridors) AS road FROM inc)), t AS (SELECT DISTINCT substr(road, 1, 5) AS typed FROM k) SELECT typed, arg_min(road, (length(road), road)) AS road FROM t JOIN k ON starts_with(road, trim(typed)) GROUP BY 1")

@@ -189,3 +189,15 @@ def test_sql_functions(spark):
     df = spark.sql("SELECT content_key('a  b', 'c', null) AS k, condition_code(0.5D, null, '') AS c, cause_severity('hit & run') AS s, location_key(' x ') AS l")
     assert tuple(df.first()) == ("A B|C|", "h", 80, "X")
     assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def test_simplified_paths_and_typed_roads(spark):
+    from dispatchlake.operators.export import resolve_road, simplify_paths
+
+    path = [(30.0, -92.0), (30.001, -92.00001), (30.002, -92.0), (30.002, -91.99)]
+    df = spark.createDataFrame([(1, [{"lat": a, "lng": o} for a, o in path]), (2, None)], "path_id int, path array<struct<lat:double,lng:double>>")
+    got = {r.path_id: r.path for r in simplify_paths(df).collect()}
+    assert [(p.lat, p.lng) for p in got[1]] == [path[0], path[2], path[3]] and got[2] is None
+    known = spark.createDataFrame([("JOHNSTON ST",), ("JOHNSON RD",), ("KALISTE SALOOM RD",)], "road string")
+    typed = spark.createDataFrame([("john",), ("Johnston Street",), ("nowhere",)], "typed string")
+    assert {r.typed: r.road for r in resolve_road(typed, known).collect()} == {"john": "JOHNSON RD", "Johnston Street": "JOHNSTON ST", "nowhere": None}
