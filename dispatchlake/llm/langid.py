@@ -20,6 +20,7 @@ from . import common as C
 DIMENSIONS = 1024
 GRAM = 3
 SYMBOLS = 128  # 0 is any run of other characters; letters share the rest
+BLOCK = 32_768  # n-grams whose vectors are in memory at once
 SAMPLE = 20_000  # labelled texts that the profiles are learned from, at most
 
 
@@ -56,6 +57,43 @@ class Letters:
         return self.rotated[2][a] * self.rotated[1][b] * self.rotated[0][c]
 
 
+def _groups(grams: Iterator) -> Iterator[list]:
+    """Texts' n-grams in runs of at most about BLOCK, so that their vectors fit in memory."""
+    held, n = [], 0
+    for g in grams:
+        if g and len(g[0]) > BLOCK:  # alone
+            if held:
+                yield held
+            yield [g]
+            held, n = [], 0
+            continue
+        held.append(g)
+        n += len(g[0]) if g else 0
+        if n >= BLOCK:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _vectors(space: Letters, found: list) -> Iterator[np.ndarray | None]:
+    """Vector of each text of a run; n-grams that texts share are bound once, those of one huge text block by block."""
+    full = [x for x in found if x]
+    if len(full) > 1 or full and len(full[0][0]) <= BLOCK:
+        codes, where = np.unique(np.concatenate([x[0] for x in full]), return_inverse=True)
+        bound = space.bind(codes).astype(np.float32)
+    at = 0
+    for x in found:
+        if x is None:
+            yield None
+        elif len(full) == 1 and len(x[0]) > BLOCK:
+            yield sum(x[1][k : k + BLOCK].astype(np.float32) @ space.bind(x[0][k : k + BLOCK]).astype(np.float32) for k in range(0, len(x[0]), BLOCK))
+        else:
+            n = len(x[0])
+            yield x[1].astype(np.float32) @ bound[where[at : at + n]]
+            at += n
+
+
 _letters: dict[int, Letters] = {}
 
 
@@ -105,28 +143,12 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "do
         for batch in batches:
             lang, score = [], []
             texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                found = [space.grams(t) if t else None for t in texts[lo : lo + 256]]
-                full = [x for x in found if x]
-                if not full or not names:
-                    lang += ["und"] * len(found)
-                    score += [0.0] * len(found)
-                    continue
-                codes, where = np.unique(np.concatenate([x[0] for x in full]), return_inverse=True)
-                bound = space.bind(codes).astype(np.float32)
-                at = 0
-                for x in found:
-                    if x is None:
-                        lang.append("und")
-                        score.append(0.0)
-                        continue
-                    n = len(x[0])
-                    v = x[1].astype(np.float32) @ bound[where[at : at + n]]
-                    at += n
-                    cos = v @ matrix / max(1e-9, float(np.linalg.norm(v)))
-                    best = int(np.argmax(cos))
-                    lang.append(names[best])
-                    score.append(float(min(1.0, max(0.0, cos[best]))))
+            for found in _groups(space.grams(t) if t else None for t in texts):
+                for v in _vectors(space, found):
+                    cos = v @ matrix / max(1e-9, float(np.linalg.norm(v))) if v is not None and names else None
+                    best = int(np.argmax(cos)) if cos is not None else -1
+                    lang.append("und" if cos is None else names[best])
+                    score.append(0.0 if cos is None else float(min(1.0, max(0.0, cos[best]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
