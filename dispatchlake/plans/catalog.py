@@ -109,7 +109,7 @@ _add("prj_15_agencies", lambda s, d: causes.with_agencies(b.incidents(s, d)).sel
 _add("prj_16_normalize_road", lambda s, d: b.incidents(s, d).select("location").distinct().select("location", roads.normalize_road(F.substring_index("location", "/", 1)).alias("road")), W + "SELECT DISTINCT location, CASE user_id % 10 WHEN 8 THEN 'AMBASSADOR CAFFERY PKWY AT KALISTE SALOOM RD' ELSE coalesce(corridors[1], '') END AS road FROM inc")
 _add("prj_17_corridors", lambda s, d: roads.with_corridors(b.incidents(s, d)).select("incident_number", F.array_join("corridors", "|").alias("corridors")), W + "SELECT incident_number, CASE user_id % 10 WHEN 0 THEN 'AMBASSADOR CAFFERY PKWY|CURRAN LN' WHEN 1 THEN 'JOHNSTON ST|W CONGRESS ST' WHEN 2 THEN 'PINHOOK RD|W BENDEL RD' WHEN 7 THEN 'E BROUSSARD RD|DUHON RD' ELSE array_to_string(corridors, '|') END AS corridors FROM inc")
 _add("prj_18_incident_corridors", lambda s, d: roads.with_incident_corridors(b.incidents(s, d)).select("incident_number", F.array_join("corridors", "|").alias("corridors")), W + "SELECT incident_number, array_to_string(corridors, '|') AS corridors FROM inc")
-_add("prj_19_place_parts", lambda s, d: text.with_place_parts(b.incidents(s, d).filter("event_id % 7 <> 0")).select("incident_number", "town", "block", "cross_street"), W + "SELECT incident_number, CASE WHEN user_id % 10 = 9 AND user_id % 3 < 2 THEN '' ELSE CASE user_id % 3 WHEN 0 THEN 'Lafayette' WHEN 1 THEN 'Broussard' ELSE 'Parish' END END AS town, CASE WHEN user_id % 10 = 9 THEN CASE WHEN user_id % 3 = 2 THEN 'LAF' ELSE location END ELSE split_part(regexp_replace(location, ' (LAFAYETTE|BROUSSARD|LAF PARISH), LA$', ''), '/', 1) END AS block, CASE WHEN user_id % 10 = 9 THEN '' ELSE split_part(regexp_replace(location, ' (LAFAYETTE|BROUSSARD|LAF PARISH), LA$', ''), '/', 2) END AS cross_street FROM inc WHERE event_id % 7 <> 0")
+_add("prj_19_place_parts", lambda s, d: text.with_place_parts(b.incidents(s, d)).select("incident_number", "town", "block", "cross_street"), W + "SELECT incident_number, CASE WHEN user_id % 10 = 9 AND user_id % 3 < 2 THEN '' ELSE CASE user_id % 3 WHEN 0 THEN 'Lafayette' WHEN 1 THEN 'Broussard' ELSE 'Parish' END END AS town, CASE WHEN user_id % 10 = 9 THEN CASE WHEN user_id % 3 = 2 THEN 'LAF' ELSE location END ELSE split_part(regexp_replace(location, ' (LAFAYETTE|BROUSSARD|LAF PARISH), LA$', ''), '/', 1) END AS block, CASE WHEN user_id % 10 = 9 THEN '' ELSE split_part(regexp_replace(location, ' (LAFAYETTE|BROUSSARD|LAF PARISH), LA$', ''), '/', 2) END AS cross_street FROM inc WHERE event_id % 7 <> 0")
 _add("prj_20_title_case", lambda s, d: _roads(s, d).select(F.explode("corridors").alias("road")).distinct().select("road", text.title_case_road(F.col("road")).alias("title")), W + "SELECT DISTINCT road, CASE road WHEN 'AMBASSADOR CAFFERY PKWY' THEN 'Ambassador Caffery Pkwy' WHEN 'JOHNSTON ST' THEN 'Johnston St' WHEN 'PINHOOK RD' THEN 'Pinhook Rd' WHEN 'KALISTE SALOOM RD' THEN 'Kaliste Saloom Rd' WHEN 'EVANGELINE THRUWAY' THEN 'Evangeline Thruway' WHEN 'E BROUSSARD RD' THEN 'E Broussard Rd' ELSE road END AS title FROM (SELECT unnest(corridors) AS road FROM inc)")
 _add("prj_21_time_block", lambda s, d: times.with_time_block(_inc(s, d)).select("incident_number", "day_type", "time_block"), W + "SELECT incident_number, CASE WHEN isodow(reported_ts) >= 6 THEN 'weekend' WHEN reported_ts IS NOT NULL THEN 'weekday' END AS day_type, CASE WHEN reported_ts IS NULL THEN 'unknown' WHEN hour(reported_ts) < 6 THEN 'latenight' WHEN hour(reported_ts) < 10 THEN 'morning' WHEN hour(reported_ts) < 15 THEN 'midday' WHEN hour(reported_ts) < 19 THEN 'evening' ELSE 'night' END AS time_block FROM inc")
 _add("prj_22_daylight", lambda s, d: times.with_daylight(b.crashes_long(s, d)).select("incident_number", "is_daylight"), WC + "sun(m, rise, fall) AS (VALUES " + ", ".join(f"({m}, {a}, {z})" for m, (a, z) in enumerate(times.SUN, 1)) + ") SELECT incident_number, hour(reported_ts) * 60 + minute(reported_ts) >= rise AND hour(reported_ts) * 60 + minute(reported_ts) < fall AS is_daylight FROM crashes JOIN sun ON m = month(reported_ts)")
@@ -230,7 +230,7 @@ def _merged(kind: str) -> Callable:
     def run(s: SparkSession, d: str) -> DataFrame:
         rows = text.with_location_key(b.incidents(s, d)).filter("location_key <> ''")
         half = lambda e: rows.filter(e).groupBy("location_key").agg(F.count(F.lit(1)).alias("n"))
-        cur, new = half("event_id % 3 = 0"), half("event_id % 3 = 1")
+        cur, new = half("event_id % 3 = 0"), half("event_id % 3 <> 0")
         if kind == "add":
             return ingest.merge_add(cur, new, ["location_key"], ["n"])
         return (ingest.merge_ignore if kind == "ignore" else ingest.merge_replace)(cur, new, ["location_key"])
