@@ -462,8 +462,8 @@ def _routes(s: SparkSession) -> DataFrame:
 
 
 _ALONG = ", p AS (SELECT incident_number, round(abs(longitude + 92.05) * cos(radians(latitude)) * 111320.0, 3) AS metres, round((least(greatest(latitude, 30.16), 30.22) - 30.16) * 111320.0, 3) AS along, latitude, corridors FROM inc WHERE latitude BETWEEN 30.16 AND 30.22)"
-_add("jn_13_near_path", lambda s, d: roadstats.near_path(b.incidents(s, d).filter("latitude BETWEEN 30.16 AND 30.22"), _routes(s)).select("route_id", "incident_number", "metres", F.round("along", 1).alias("along")), W + _ALONG + " SELECT 1 AS route_id, incident_number, metres, round(along, 1) AS along FROM p WHERE metres <= 150")
-_add("agg_48_route_roads", lambda s, d: roadstats.route_roads(_roads(s, d).filter("latitude BETWEEN 30.16 AND 30.22"), _routes(s)), W + _ALONG + ", u AS (SELECT unnest(corridors) AS road, along FROM p WHERE metres <= 150) SELECT 1 AS route_id, road, count(*) AS n, round(max(along) - min(along), 1) AS spread FROM u GROUP BY road HAVING max(along) - min(along) >= 400")
+_add("jn_13_near_path", lambda s, d: roadstats.near_path(b.incidents(s, d), _routes(s)).select("route_id", "incident_number", "metres", F.round("along", 1).alias("along")), W + _ALONG + " SELECT 1 AS route_id, incident_number, metres, round(along, 1) AS along FROM p WHERE metres <= 150")
+_add("agg_48_route_roads", lambda s, d: roadstats.route_roads(_roads(s, d), _routes(s)), W + _ALONG + ", u AS (SELECT unnest(corridors) AS road, along FROM p WHERE metres <= 150) SELECT 1 AS route_id, road, count(*) AS n, round(max(along) - min(along), 1) AS spread FROM u GROUP BY road HAVING max(along) - min(along) >= 400")
 
 
 # ---- state, time joins, snapshots, streams in batch form
