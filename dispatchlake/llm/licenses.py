@@ -2,8 +2,9 @@
 
 Templates are cut into words; hashes of word k-grams are winnowed (the smallest of each window) into an inverted index
 of fingerprint -> (template, place), which is small and goes to every task. A text's fingerprints that meet the index
-name a template and a diagonal; around it the words of both are aligned within a band, which allows for inserted, lost
-and replaced words, and the matched part of the template and the span in the text are reported.
+name a template and a diagonal; around each the words of both are aligned within a band, which allows for inserted,
+lost and replaced words, until nothing more is found there, so copies close together are each reported with the matched
+part of the template and the span in the text.
 """
 
 from __future__ import annotations
@@ -65,16 +66,18 @@ def fingerprints(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(keep), g[keep]
 
 
-def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
+def align(text: list[int], template: list[int], shift: int, taken: bytearray, band: int = BAND) -> tuple[int, int, int]:
     """(matched words, first, end) of the best alignment of a template with a text near the diagonal ``shift``.
 
-    Cells further than ``band`` from the diagonal are not visited; a match scores 2, any edit -1, and the alignment
-    may begin and end anywhere.
+    Cells further than ``band`` from the diagonal and words that are ``taken`` are not visited; a match scores 2, any
+    edit -1, and the alignment may begin and end anywhere.
     """
     best, above = (0, 0, 0, 0), {}
     for i in range(len(template)):
         here: dict[int, tuple[int, int, int]] = {}
         for j in range(max(0, shift + i - band), min(len(text), shift + i + band + 1)):
+            if taken[j]:
+                continue
             s, m, a = above.get(j - 1, (0, 0, j))
             cell = (s + 2, m + 1, a) if text[j] == template[i] else (s - 1, m, a)
             cell = max([cell, *((x[0] - 1, x[1], x[2]) for x in (above.get(j), here.get(j - 1)) if x)], key=lambda x: x[0])
@@ -86,6 +89,31 @@ def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND)
     return best[1], best[2], best[3]
 
 
+def extend(text: list[int], template: list[int], band: int = BAND) -> tuple[int, int]:
+    """(matched words, text words) of the best alignment that begins with the first words of both."""
+    best, above = (0, 0, 0), {j: (-j, 0) for j in range(min(len(text), band) + 1)}
+    for i in range(1, len(template) + 1):
+        here: dict[int, tuple[int, int]] = {}
+        for j in range(max(0, i - band), min(len(text), i + band) + 1):
+            ways = [(x[0] - 1, x[1]) for x in (above.get(j), here.get(j - 1)) if x]
+            if j and j - 1 in above:
+                s, m = above[j - 1]
+                ways.append((s + 2, m + 1) if text[j - 1] == template[i - 1] else (s - 1, m))
+            here[j] = max(ways, key=lambda x: x[0])
+            if here[j][0] > best[0]:
+                best = (*here[j], j)
+        above = here
+    return best[1], best[2]
+
+
+def through(text: list[int], template: list[int], p: int, q: int) -> tuple[int, int, int]:
+    """As align, for the best alignment that lays the text's k-gram at ``p`` on the template's at ``q``."""
+    far = len(template) + BAND
+    left = extend(text[max(0, p - far) : p][::-1], template[:q][::-1])
+    right = extend(text[p + GRAM : p + GRAM + far], template[q + GRAM :])
+    return left[0] + GRAM + right[0], p - left[1], p + GRAM + right[1]
+
+
 class Index:
     """Fingerprints of the templates -> (template, place)."""
 
@@ -94,7 +122,7 @@ class Index:
         for t, text in enumerate(templates.values()):
             raw = np.frombuffer(text.encode(), np.uint8)
             h = words(raw, np.array([0, len(raw)]))[3]
-            self.words.append(h)
+            self.words.append(h.tolist())
             for p, g in zip(*fingerprints(h, np.array([0, len(h)])), strict=True):
                 at.setdefault(int(g), []).append((t, int(p)))
         self.at = at
@@ -102,19 +130,30 @@ class Index:
 
     def scan(self, h: np.ndarray, places: np.ndarray, prints: np.ndarray, coverage: float) -> list[tuple[str, int, int, int, int]]:
         """(template, matched, template words, first word, end word) of a text's best, non-overlapping matches."""
-        near: dict[tuple[int, int], int] = {}
+        text = h.tolist()
+        lays: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for p, g in zip(places.tolist(), prints.tolist(), strict=True):
             for t, q in self.at[g]:
-                near.setdefault((t, (p - q) // BAND), p - q)
-        found = set()
-        for (t, _), shift in near.items():
-            m, a, b = align(h, self.words[t], shift)
-            if m >= coverage * len(self.words[t]):
-                found.add((m, t, a, b))
-        out: list[tuple[int, int, int, int]] = []
+                lays.setdefault((t, p - q), []).append((p, q))
+        found, met = set(), {t: bytearray(len(text)) for t, _ in lays}
+        for t, shift in lays:  # every diagonal; what was found near it is taken, and the rest aligned again
+            need, taken = coverage * len(self.words[t]), bytearray(len(text))
+            while (x := align(text, self.words[t], shift, taken))[0] >= need:
+                found.add((x[0], t, *x[1:]))
+                for seen in (taken, met[t]):
+                    seen[x[1] : x[2]] = b"\1" * (x[2] - x[1])
+        for (t, _), hits in lays.items():  # a damaged copy may stand beside a better one or a long fragment
+            for p, q in hits:
+                if not all(met[t][p : p + GRAM]):
+                    m, a, b = through(text, self.words[t], p, q)
+                    if m >= coverage * len(self.words[t]):
+                        found.add((m, t, a, b))
+                        met[t][a:b] = b"\1" * (b - a)
+        out, used = [], bytearray(len(text))
         for m, t, a, b in sorted(found, key=lambda x: (-x[0], -x[0] / len(self.words[x[1]]), x[1], x[2])):
-            if all(b <= x[2] or a >= x[3] for x in out):
+            if not any(used[a:b]):
                 out.append((m, t, a, b))
+                used[a:b] = b"\1" * (b - a)
         return [(self.names[t], m, len(self.words[t]), a, b) for m, t, a, b in sorted(out, key=lambda x: x[2])]
 
 
