@@ -62,12 +62,12 @@ def distinct_by_row(h: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
 
 
-def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketch(batches: Iterator[pa.RecordBatch], width: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_shingles, set fingerprint, signature) of each text."""
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("doc_id"))
         for lo, hi, raw, offsets in C.text_chunks(batch, "text"):
-            h, begin = shingle_hashes(raw, offsets)
+            h, begin = shingle_hashes(raw, offsets, width)
             sets = distinct_by_row(h, begin)
             n = np.array([len(s) for s in sets])
             full = np.flatnonzero(n)
@@ -83,7 +83,7 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp", "sig"])
 
 
-def _jaccard(min_percent: int):
+def _jaccard(min_percent: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of texts -> pairs whose full shingle sets reach the threshold. The pivot's set is kept while it repeats."""
         last, kept = None, None
@@ -92,8 +92,8 @@ def _jaccard(min_percent: int):
             u, v = [], []
             for a, b, ta, tb in zip(cols["a"], cols["b"], cols["text_a"], cols["text_b"], strict=True):
                 if a != last:
-                    last, kept = a, _set_of(ta)
-                other = _set_of(tb)
+                    last, kept = a, _set_of(ta, width)
+                other = _set_of(tb, width)
                 common = len(np.intersect1d(kept, other, assume_unique=True))
                 if 100 * common >= min_percent * (len(kept) + len(other) - common):
                     u.append(a)
@@ -103,9 +103,9 @@ def _jaccard(min_percent: int):
     return run
 
 
-def _set_of(text: str | None) -> np.ndarray:
+def _set_of(text: str | None, width: int) -> np.ndarray:
     raw = np.frombuffer((text or "").encode(), np.uint8)
-    return np.unique(shingle_hashes(raw, np.array([0, len(raw)]))[0])
+    return np.unique(shingle_hashes(raw, np.array([0, len(raw)]), width)[0])
 
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -131,19 +131,19 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, min_percent: int = 80, min_matches: int = MIN_MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, min_percent: int = 80, min_matches: int = MIN_MATCHES, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
     Null and empty texts (or only white space) have 0 shingles and link with nothing. Repeated rows link with each
     other as equal sets do. An id that occurs with several texts gives one row per occurrence. Other columns of docs
-    are ignored, whatever their names. An empty table gives an empty result.
+    are ignored, whatever their names. An empty table gives an empty result. Shingles have ``width`` words.
     """
     C.prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = C.store(texts.mapInArrow(sketch, "doc_id long, n_shingles long, fp binary, sig array<long>"), "sketches")
+    sketches = C.store(texts.mapInArrow(lambda x: sketch(x, width), "doc_id long, n_shingles long, fp binary, sig array<long>"), "sketches")
     classes = sketches.filter("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("sig").alias("sig"))
     classes = C.store(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    comp = _link(texts, sketches, classes, min_percent, min_matches)
+    comp = _link(texts, sketches, classes, min_percent, min_matches, width)
     # The smallest document of each component, by way of its classes.
     named = classes.select("cid", "fp", "low").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     names = named.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, min_percent: int = 80, min_matches: int = M
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def _link(texts: DataFrame, sketches: DataFrame, classes: DataFrame, min_percent: int, min_matches: int) -> DataFrame:
+def _link(texts: DataFrame, sketches: DataFrame, classes: DataFrame, min_percent: int, min_matches: int, width: int) -> DataFrame:
     posts = classes.select("cid", F.explode("sig").alias("key"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     mine = posts.join(shared, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))  # at most one entry per coordinate
@@ -168,22 +168,22 @@ def _link(texts: DataFrame, sketches: DataFrame, classes: DataFrame, min_percent
     wanted = sigs.select("cid", F.col("low").alias("doc_id"))
     bodies = C.store(texts.join(wanted, "doc_id").select("cid", "text"), "bodies")
     if not bodies.groupBy("cid").count().filter("count > 1").isEmpty():  # an id occurs more than once: keep the text with the class's own set
-        checked = bodies.select(F.col("cid").alias("doc_id"), "text").mapInArrow(_fingerprints, "cid long, fp binary, text string")
+        checked = bodies.select(F.col("cid").alias("doc_id"), "text").mapInArrow(_fingerprints(width), "cid long, fp binary, text string")
         bodies = C.store(checked.join(sigs.select("cid", "fp"), ["cid", "fp"], "left_semi").dropDuplicates(["cid"]).select("cid", "text"), "bodies")
-    edges = _confirm(pairs, sigs, bodies, min_percent, min_matches)
+    edges = _confirm(pairs, sigs, bodies, min_percent, min_matches, width)
     comp = connected_components(edges)
     labelled = lists.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     split = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("key")
     live = C.store(labelled.join(split, "key", "left_semi").select("cid", "root").distinct(), "live")
     if live.isEmpty():
         return comp
-    more = _confirm(_across(bodies.join(live, "cid"), min_percent), None, bodies, min_percent, min_matches)
+    more = _confirm(_across(bodies.join(live, "cid"), min_percent, width), None, bodies, min_percent, min_matches, width)
     if more.isEmpty():
         return comp
     return connected_components(edges.union(more))
 
 
-def _across(live: DataFrame, min_percent: int) -> DataFrame:
+def _across(live: DataFrame, min_percent: int, width: int) -> DataFrame:
     """Candidate pairs (a, b) of different components among (cid, text, root), without loss.
 
     Exact prefix filter on the sets: shingles stand in order of rarity; two sets that reach the threshold share one
@@ -192,7 +192,7 @@ def _across(live: DataFrame, min_percent: int) -> DataFrame:
     postings: where the bitmaps differ the sets do, which bounds the overlap from above, so pairs that can't reach the
     threshold are left out inside the join.
     """
-    sets = C.store(live.select("cid", "root", "text").mapInArrow(_shingles, "cid long, root long, n long, shingles array<long>, bits array<long>"), "sets")
+    sets = C.store(live.select("cid", "root", "text").mapInArrow(lambda x: _shingles(x, width), "cid long, root long, n long, shingles array<long>, bits array<long>"), "sets")
     posts = sets.select("cid", F.explode("shingles").alias("h"))
     shared = posts.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = posts.join(shared, "h").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own")).join(sets.select("cid", "root", "n", "bits"), "cid")
@@ -210,10 +210,10 @@ def _across(live: DataFrame, min_percent: int) -> DataFrame:
     return met.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, raw, offsets in C.text_chunks(batch, "text"):
-            sets = distinct_by_row(*shingle_hashes(raw, offsets))
+            sets = distinct_by_row(*shingle_hashes(raw, offsets, width))
             n = np.array([len(x) for x in sets], np.int64)
             marks = np.zeros((hi - lo, BITS), np.uint8)
             marks[np.repeat(np.arange(hi - lo), n), (np.concatenate(sets) % np.uint64(BITS)).astype(np.int64)] = 1
@@ -223,16 +223,16 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), lists, maps], names=["cid", "root", "n", "shingles", "bits"])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def both():
+def _fingerprints(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = pa.Table.from_batches(list(sketch(iter([batch])))).combine_chunks()
+            done = pa.Table.from_batches(list(sketch(iter([batch]), width))).combine_chunks()
             yield pa.RecordBatch.from_arrays([done["doc_id"].combine_chunks(), done["fp"].combine_chunks(), batch.column(1)], names=["cid", "fp", "text"])
 
-    return both()
+    return run
 
 
-def _confirm(pairs: DataFrame, sigs: DataFrame | None, bodies: DataFrame, min_percent: int, min_matches: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sigs: DataFrame | None, bodies: DataFrame, min_percent: int, min_matches: int, width: int) -> DataFrame:
     """Pairs with enough common coordinates whose full sets reach the threshold."""
     met = pairs
     if sigs is not None:
@@ -240,7 +240,7 @@ def _confirm(pairs: DataFrame, sigs: DataFrame | None, bodies: DataFrame, min_pe
         both = pairs.join(own.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a").join(own.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
         met = both.filter(F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x)) >= min_matches).select("a", "b")
     texts = met.join(bodies.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").join(bodies.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-    return C.store(texts.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard(min_percent), "a long, b long"), "links")
+    return C.store(texts.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard(min_percent, width), "a long, b long"), "links")
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
