@@ -2,7 +2,8 @@
 
 A seed hashes the tokens that a fixed mask selects in a window, so a replaced token that falls on an ignored place
 does not change it. Seeds of all windows of all documents are joined with those of the benchmark; around each hit the
-document and the item are laid side by side, and the best stretch (+1 for an equal token, -3 for another) decides.
+document and the item are laid side by side, and the best stretch (+1 for an equal token, -3 for another) decides, or
+the share of the item's tokens that are equal there.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 4, 7))
 SPAN = 8
 SHORTEST = 4  # items of fewer tokens are too common to tell anything and never match
 MIN_SCORE = 10
+SHARE = 75  # percent of an item's tokens on one diagonal that count whatever the stretch's score
 SEED_BOUND = 2_000_000  # benchmark seeds that are broadcast at most; beyond it the join shuffles
 
 
@@ -45,7 +47,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: int = MIN_SCORE
     """(doc_id, item_id, doc_start, doc_end, matched, score, item_tokens): the best stretch of each item in each document.
 
     A stretch counts with a score of at least ``min_score``, or two thirds of the item's tokens if that is less; items
-    below SPAN tokens must occur whole, and those below SHORTEST never match. doc_start and doc_end are token numbers.
+    below SPAN tokens must occur whole, and those below SHORTEST never match. A hit whose stretch is too weak counts
+    if SHARE percent of the whole item's tokens are equal; then the places are those of the first and last equal token
+    and ``matched`` is the number of equal ones. doc_start and doc_end are token numbers.
     Null and empty texts and items match nothing; repeated rows give one result; ids that occur with several texts are
     reported with the best of them. Long texts are used whole.
     """
@@ -66,7 +70,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: int = MIN_SCORE
     both = near.join(F.broadcast(own) if small else own, "no")
     n = "least(item_tokens - (lo - shift), size(words) - lo)"
     equal = f"zip_with(slice(words, lo + 1, {n}), slice(item, lo - shift + 1, {n}), (a, b) -> a = b)"
-    best = f"""aggregate({equal}, named_struct('at', 0, 'cur', 0, 'from', 0, 'eq', 0, 'score', 0, 'lo', 0, 'hi', 0, 'matched', 0), (s, e) -> named_struct(
+    best = f"""aggregate({equal}, named_struct('at', 0, 'cur', 0, 'from', 0, 'eq', 0, 'score', 0, 'lo', 0, 'hi', 0, 'matched', 0, 'all', 0, 'first', 0, 'last', 0), (s, e) -> named_struct(
         'at', s.at + 1,
         'cur', greatest(0, s.cur + if(e, 1, -3)),
         'from', if(s.cur + if(e, 1, -3) <= 0, s.at + 1, s.from),
@@ -74,11 +78,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: int = MIN_SCORE
         'score', greatest(s.score, s.cur + if(e, 1, -3)),
         'lo', if(s.cur + if(e, 1, -3) > s.score, s.from, s.lo),
         'hi', if(s.cur + if(e, 1, -3) > s.score, s.at + 1, s.hi),
-        'matched', if(s.cur + if(e, 1, -3) > s.score, s.eq + 1, s.matched)))"""
+        'matched', if(s.cur + if(e, 1, -3) > s.score, s.eq + 1, s.matched),
+        'all', s.all + if(e, 1, 0),
+        'first', if(e and s.all = 0, s.at, s.first),
+        'last', if(e, s.at + 1, s.last)))"""
     out = both.select("doc_id", "item_id", "item_tokens", "lo", F.expr(best).alias("b"))
     need = F.when(F.col("item_tokens") < SPAN, F.col("item_tokens")).otherwise(F.least(F.lit(min_score), F.ceil(F.col("item_tokens") * 2 / 3)))
-    out = out.filter(F.col("b.score") >= need)
-    out = out.select("doc_id", "item_id", F.struct(F.col("b.score").alias("score"), (-(F.col("lo") + F.col("b.lo"))).alias("neg"), (F.col("lo") + F.col("b.hi")).alias("doc_end"), F.col("b.matched").alias("matched"), "item_tokens").alias("r"))
+    strong = F.col("b.score") >= need
+    out = out.filter(strong | (F.col("b.all") * 100 >= F.col("item_tokens") * SHARE))
+    pick = lambda stretch, whole: F.when(strong, F.col(stretch)).otherwise(F.col(whole))
+    out = out.select("doc_id", "item_id", F.struct(F.col("b.score").alias("score"), (-(F.col("lo") + pick("b.lo", "b.first"))).alias("neg"), (F.col("lo") + pick("b.hi", "b.last")).alias("doc_end"), pick("b.matched", "b.all").alias("matched"), "item_tokens").alias("r"))
     out = out.groupBy("doc_id", "item_id").agg(F.max("r").alias("r"))
     return out.select("doc_id", "item_id", (-F.col("r.neg")).cast("long").alias("doc_start"), F.col("r.doc_end").cast("long").alias("doc_end"), F.col("r.matched").cast("long").alias("matched"), F.col("r.score").cast("long").alias("score"), F.col("r.item_tokens").cast("long").alias("item_tokens"))
 
