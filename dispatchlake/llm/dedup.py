@@ -244,10 +244,19 @@ def _confirm(pairs: DataFrame, sigs: DataFrame | None, bodies: DataFrame, min_pe
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """docs without near copies: of each component the document with the smallest id stays, once."""
-    kept = near_duplicates(docs, **how).filter("kept").select(F.col("doc_id").alias("__kept"))
-    out = docs.join(kept.distinct(), F.col(how.get("id_col", "doc_id")) == F.col("__kept"), "left_semi")
+    """docs without near copies: of each component the document with the smallest id stays, once.
+
+    Rows with a null id each count as a document of their own with an id above all others: they stay unless they are
+    near copies of a row that does. An id that occurs with several texts gives one row.
+    """
     ids = how.get("id_col", "doc_id")
+    given = F.col(ids).cast("long")
+    if not docs.filter(given.isNull()).isEmpty():
+        top = docs.agg(F.max(given)).first()[0]
+        keyed = C.store(docs.withColumn("__id", F.coalesce(given, F.lit(-1 if top is None else top) + 1 + F.monotonically_increasing_id())), "keyed")
+        return keep_first(keyed, **how | {"id_col": "__id"}).drop("__id")
+    kept = near_duplicates(docs, **how).filter("kept").select(F.col("doc_id").alias("__kept"))
+    out = docs.join(kept.distinct(), F.col(ids) == F.col("__kept"), "left_semi")
     if docs.groupBy(ids).count().filter("count > 1").isEmpty():
         return out
     return out.dropDuplicates([ids])
