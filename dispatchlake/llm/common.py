@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,38 +26,76 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: spark.checkpoint.dir, or a new local folder where that is unset (tests)."""
+    """Folder for intermediate tables: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (tests, a notebook) gets a new folder of its own; a cluster gets an error,
+    because its executors share no local folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
-_written: list[str] = []
+class Scope:
+    """Intermediate tables of one piece of work; ``release`` deletes them once its result has been written.
+
+    >>> with Scope(spark) as tables:
+    ...     near_duplicates(docs).write.parquet(path)
+
+    Scopes nest, and each thread has its own, so jobs side by side never delete each other's tables.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scope:
+        self._outer = _scope.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _scope.reset(self._outer)
+        self.release()
+
+    def release(self) -> None:
+        for path in self.paths:
+            _file(self.spark, path).delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        self.paths = []
 
 
-def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+def _file(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def new_path(spark: SparkSession, name: str, scoped: bool = True) -> str:
+    """A fresh path in the shared folder. It goes with the innermost scope (if ``scoped``), or with the application."""
+    path = f"{scratch_root(spark)}/corpus/{name}-{uuid.uuid4().hex}"
+    _file(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    if scoped and (scope := _scope.get()):
+        scope.paths.append(path)
+    return path
+
+
+def store(df: DataFrame, name: str, codec: str = "zstd", scoped: bool = True) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/corpus/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name, scoped)
     df.write.option("compression", codec).parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Deletes the intermediate tables written since position ``keep`` of this session's list."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _written[keep:]:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-    del _written[keep:]
-
-
-def mark() -> int:
-    """Position in the list of intermediate tables, for ``release``."""
-    return len(_written)
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that none of ``taken`` has (Spark doesn't tell cases apart)."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def rows_of(df: DataFrame) -> int:
@@ -68,6 +108,31 @@ def fits(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
+HOT_KEYS = 4096  # keys that may be treated as hot, at most
+HOT_ROWS = 256  # rows that a hot key has, at least
+
+
+def hot_rows(total: int) -> int:
+    """Rows above which a key is hot; at most HOT_KEYS keys of ``total`` rows can be."""
+    return max(HOT_ROWS, total // HOT_KEYS)
+
+
+def join_keyed(left: DataFrame, right: DataFrame, on: list[str], total: int, count: str = "n", how: str = "inner") -> DataFrame:
+    """left joined (inner, left or left_semi) with ``right``, which has one row for each key and, in ``count``, the
+    key's rows in left.
+
+    Rows of a hot key stay where they are and meet its row by broadcast, so no task gets all rows of one key. There are
+    at most HOT_KEYS such rows, because their counts add up to no more than ``total``. ``count`` isn't in the result.
+    """
+    hot = right.filter(F.col(count) > hot_rows(total)).select(*on, F.struct(*[c for c in right.columns if c not in (*on, count)], F.lit(True).alias("hot")).alias("__row"))
+    cold = right.filter(F.col(count) <= hot_rows(total)).drop(count)
+    met = left.join(F.broadcast(hot), on, "left")
+    more = [c for c in right.columns if c not in (*on, count)] if how != "left_semi" else []
+    now = met.filter(F.col("__row").isNotNull()).select(*left.columns, *[F.col("__row")[c].alias(c) for c in more])
+    rest = met.filter(F.col("__row").isNull()).drop("__row").join(cold, on, how)
+    return now.unionByName(rest.select(*left.columns, *more))
+
+
 # ---------------------------------------------------------------- Arrow text chunks
 
 def text_chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -103,9 +168,6 @@ PLACES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint
 BYTE_CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 FOLDED_CODES = BYTE_CODES.copy()
 FOLDED_CODES[65:91] = BYTE_CODES[97:123]  # A-Z hash as a-z
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (a bijection)."""
     x = x ^ (x >> np.uint64(30))
@@ -116,21 +178,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        step = np.full(max(n, 1 << 20), BASE if kind == "up" else BASE_INV, np.uint64)
-        step[0] = 1
-        _powers[kind] = np.cumprod(step)
-    return _powers[kind][:n]
+HASH_BLOCK = 1 << 21  # bytes hashed at once; the power tables have as many entries
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
-    """64-bit hash of each byte span, equal for equal bytes wherever they stand (prefix sums of a polynomial)."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, up to HASH_BLOCK."""
+    out = []
+    for step in (BASE, BASE_INV):
+        x = np.full(HASH_BLOCK + 1, step, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x))
+    return out[0], out[1]
+
+
+def _polynomials(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Sum of code * BASE^place of each span, wherever it stands (differences of prefix sums)."""
+    up, down = _powers()
     prefix = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(codes[raw] * _power("up", len(raw)), out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * _power("down", len(raw) + 1)[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(codes[raw] * up[: len(raw)], out=prefix[1:])
+    return (prefix[ends] - prefix[starts]) * down[starts]
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
+    """64-bit hash of each byte span, equal for equal bytes wherever they stand. Spans are in order, without overlaps."""
+    n = len(starts)
+    out = np.zeros(n, np.uint64)
+    i = 0
+    while i < n:
+        a = starts[i]
+        j = int(np.searchsorted(ends, a + HASH_BLOCK, "right"))
+        if j > i:  # the spans that end within one block
+            out[i:j] = _polynomials(raw[a : ends[j - 1]], starts[i:j] - a, ends[i:j] - a, codes)
+        else:  # a span longer than a block, part by part
+            j = i + 1
+            for at in range(a, ends[i], HASH_BLOCK):
+                part = raw[at : min(at + HASH_BLOCK, ends[i])]
+                scale = np.uint64(pow(int(BASE), int(at - a), 1 << 64))
+                out[i : i + 1] += _polynomials(part, np.array([0]), np.array([len(part)]), codes) * scale
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 _SPACE = np.zeros(256, bool)

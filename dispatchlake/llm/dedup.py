@@ -32,6 +32,7 @@ COORDINATES = 64
 MIN_MATCHES = 34
 SHINGLE = 4
 BITS = 1024  # of the bitmaps that prune the second pass
+SALTS = 64  # tasks that share the pairs of a hot pivot
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = np.random.default_rng(8).integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 
@@ -108,29 +109,30 @@ def _set_of(text: str | None, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(raw, np.array([0, len(raw)]), width)[0])
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) with root the smallest node of the component, for edges (a, b) of longs.
 
-    Alternating large-star and small-star steps; neighbours are reduced by min() and joined back, so a hub with very
-    many neighbours is never gathered in one place. Every round is written to the shared folder.
+    Alternating large-star and small-star steps until a round changes nothing, which happens after some log^2 rounds.
+    Neighbours are reduced by min() and joined back apart for hubs, so the edges of one hub are never gathered in one
+    task. Every round is written to the shared folder.
     """
     now = C.store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
+    state, seen = _state(now), None
+    while state != seen:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        now = C.store(small, "edges")
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        seen = state
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = C.join_keyed(both, low, ["a"], 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = C.join_keyed(large, low, ["a"], 2 * state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        now, seen = C.store(small, "edges"), state
+        state = _state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def near_duplicates(docs: DataFrame, min_percent: int = 80, min_matches: int = MIN_MATCHES, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
@@ -141,27 +143,28 @@ def near_duplicates(docs: DataFrame, min_percent: int = 80, min_matches: int = M
     C.prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = C.store(texts.mapInArrow(lambda x: sketch(x, width), "doc_id long, n_shingles long, fp binary, sig array<long>"), "sketches")
-    classes = sketches.filter("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("sig").alias("sig"))
+    classes = sketches.filter("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.any_value("sig").alias("sig"))
     classes = C.store(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     comp = _link(texts, sketches, classes, min_percent, min_matches, width)
     # The smallest document of each component, by way of its classes.
-    named = classes.select("cid", "fp", "low").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    names = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(names, "root").select("fp", "component_id")
-    out = sketches.select("doc_id", "n_shingles", "fp").join(named, "fp", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    named = classes.select("cid", "fp", "low", "copies").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    names = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = C.join_keyed(named, names, ["root"], C.rows_of(classes)).select("fp", "component_id", "copies")
+    out = C.join_keyed(sketches.select("doc_id", "n_shingles", "fp"), named, ["fp"], C.rows_of(sketches), "copies", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def _link(texts: DataFrame, sketches: DataFrame, classes: DataFrame, min_percent: int, min_matches: int, width: int) -> DataFrame:
+    total = COORDINATES * C.rows_of(classes)
     posts = classes.select("cid", F.explode("sig").alias("key"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    mine = posts.join(shared, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))  # at most one entry per coordinate
+    mine = C.join_keyed(posts, shared.withColumn("n", F.col("df")), ["key"], total).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))  # at most one entry per coordinate
     mine = mine.filter(F.size("own") >= min_matches)
     mine = mine.withColumn("weight", F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + x["df"]))
     lists = C.store(mine.select("cid", "weight", F.explode(F.expr(f"slice(own, 1, size(own) - {min_matches} + 1)")).alias("p")).select("cid", "weight", F.col("p.key").alias("key")), "prefixes")
     # The pivot is the class whose coordinates are the most common ones: in a group of near copies that is its centre.
-    stars = lists.groupBy("key").agg(F.max(F.struct("weight", (-F.col("cid")).alias("no"))).alias("p"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", (-F.col("p.no")).alias("pivot"))
-    pairs = lists.join(stars, "key").filter("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
+    stars = lists.groupBy("key").agg(F.max(F.struct("weight", (-F.col("cid")).alias("no"))).alias("p"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "n", (-F.col("p.no")).alias("pivot"))
+    pairs = C.join_keyed(lists, stars, ["key"], total).filter("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
     active = lists.select("cid").distinct()
     sigs = C.store(classes.join(active, "cid", "left_semi").select("cid", "low", "sig", "fp"), "active")
     # One text of each active class: the row whose id is the class's smallest and whose set is the class's.
@@ -173,8 +176,8 @@ def _link(texts: DataFrame, sketches: DataFrame, classes: DataFrame, min_percent
     edges = _confirm(pairs, sigs, bodies, min_percent, min_matches, width)
     comp = connected_components(edges)
     labelled = lists.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    split = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("key")
-    live = C.store(labelled.join(split, "key", "left_semi").select("cid", "root").distinct(), "live")
+    split = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 < r1").select("key", "n")
+    live = C.store(C.join_keyed(labelled, split, ["key"], total, how="left_semi").select("cid", "root").distinct(), "live")
     if live.isEmpty():
         return comp
     more = _confirm(_across(bodies.join(live, "cid"), min_percent, width), None, bodies, min_percent, min_matches, width)
@@ -239,24 +242,30 @@ def _confirm(pairs: DataFrame, sigs: DataFrame | None, bodies: DataFrame, min_pe
         own = sigs.select("cid", "sig")
         both = pairs.join(own.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a").join(own.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
         met = both.filter(F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x)) >= min_matches).select("a", "b")
-    texts = met.join(bodies.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").join(bodies.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
+    met = C.store(met, "met")
+    # The pairs of a hot pivot are dealt over SALTS tasks, each with a copy of the pivot's text.
+    hot = met.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > C.hot_rows(C.rows_of(met))).select("a", F.lit(SALTS).alias("salts"))
+    met = met.join(F.broadcast(hot), "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    pivots = bodies.select(F.col("cid").alias("a"), F.col("text").alias("text_a")).join(F.broadcast(hot), "a", "left")
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1))).drop("salts")
+    texts = met.join(bodies.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").join(pivots, ["a", "salt"])
     return C.store(texts.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard(min_percent, width), "a long, b long"), "links")
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """docs without near copies: of each component the document with the smallest id stays, once.
+    """docs without near copies: of each component one row stays, that with the smallest id.
 
-    Rows with a null id each count as a document of their own with an id above all others: they stay unless they are
-    near copies of a row that does. An id that occurs with several texts gives one row.
+    Rows are judged by their own texts: where an id occurs several times, only its copies go, and a row with a null id
+    (which counts as above all others) goes only if it is a near copy of another row. Repeated rows leave one.
     """
     ids = how.get("id_col", "doc_id")
     given = F.col(ids).cast("long")
-    if not docs.filter(given.isNull()).isEmpty():
-        top = docs.agg(F.max(given)).first()[0]
-        keyed = C.store(docs.withColumn("__id", F.coalesce(given, F.lit(-1 if top is None else top) + 1 + F.monotonically_increasing_id())), "keyed")
-        return keep_first(keyed, **how | {"id_col": "__id"}).drop("__id")
-    kept = near_duplicates(docs, **how).filter("kept").select(F.col("doc_id").alias("__kept"))
-    out = docs.join(kept.distinct(), F.col(ids) == F.col("__kept"), "left_semi")
-    if docs.groupBy(ids).count().filter("count > 1").isEmpty():
-        return out
-    return out.dropDuplicates([ids])
+    row = C.fresh("row", docs.columns)
+    if docs.groupBy(given.alias("id")).count().filter("count > 1 OR id IS NULL").isEmpty():
+        kept = near_duplicates(docs, **how).filter("kept").select(F.col("doc_id").alias(row))
+        return docs.join(kept, given == F.col(row), "left_semi")
+    keyed = C.store(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed, **how | {"id_col": row}).select(F.col("doc_id").alias(row), "component_id")
+    ranked = keyed.select(row, given.alias("given")).join(found, row)
+    kept = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("given").isNull().alias("none"), "given", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+    return keyed.join(kept, row, "left_semi").drop(row)

@@ -103,16 +103,21 @@ def letters(dimensions: int) -> Letters:
     return _letters[dimensions]
 
 
-def learn(docs: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Unit profiles of the languages named in docs, from at most about ``sample`` of its labelled texts.
+def learn(docs: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+    """Unit profiles of the languages named in docs, from about ``sample`` of its labelled texts at most.
 
-    The texts are chosen by a hash of the text, so the choice is stable. Each task sums its texts' n-grams by
-    language; only these sums (one vector for a task and language) are moved, and the driver gets one for a language.
+    Each language gets an equal part of the sample, so a rare one is learned from all its texts. The texts are chosen by
+    a hash of id and text: the choice is stable, and copies under different ids don't enter together. Each task sums its
+    texts' n-grams by language; only these sums (one vector for a task and language) are moved, and the driver gets one
+    for a language. Rows without text or language teach nothing.
     """
     C.prepare(docs.sparkSession)
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    share = min(1.0, sample / max(1, docs.filter(F.col(lang_col).isNotNull()).select(F.count(F.lit(1))).first()[0]))
-    labelled = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
+    labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    if not sizes:
+        return {}
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / len(sizes) / n))])
+    labelled = labelled.filter(F.pmod(F.col("h"), F.lit(1_000_003)) < shares[F.col("lang")] * 1_000_003).select("text", "lang")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = letters(dimensions), {}
@@ -131,8 +136,12 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE, t
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score): the nearest profile and the cosine, 0 to 1. ``und`` and 0 for texts that are null
-    or have no letter, and for all texts if there is no profile. Ties go to the first language by name."""
+    """(doc_id, lang_pred, score): the nearest profile and the cosine, 0 to 1.
+
+    ``und`` and 0 for texts that are null or have no letter, and for all texts if there is no profile. Ties go to the
+    first language by name. Texts are read whole, those with very many n-grams block by block. Repeated rows are each
+    predicted, an empty table gives no rows. Only the two columns are read, so the names of others don't matter.
+    """
     C.prepare(docs.sparkSession)
     names = list(profiles)
     matrix = np.stack([profiles[k] for k in names], 1).astype(np.float32) if names else np.zeros((DIMENSIONS, 0), np.float32)

@@ -10,6 +10,7 @@ grouping is well below a tenth of a percent; groups grow in number, not in size,
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,6 +25,8 @@ from . import common as C
 WINDOW = 2048
 END_ID = 1
 GROUP = 4000  # pieces packed together
+LONG = 8 << 20  # bytes of a text beyond which it is encoded in blocks
+_ASCII_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
 _FAST_BELOW = 0x3000  # texts with later code points go to the tokenizer whole
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -41,8 +44,13 @@ class WordPieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.capacity = capacity
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        #: Added tokens are cut out before words are. Those that also take blanks beside them, want a free-standing
+        #: place or are looked for in normalised text are left to the tokenizer.
+        plain = [t for t in added if not (t.lstrip or t.rstrip or t.single_word or t.normalized and self.tokenizer.normalizer)]
+        self.literals = _any_of([t.content for t in plain])
+        self.others = _any_of([t.content for t in added if t not in plain])
         self._clear()
         self.classes = np.zeros(_FAST_BELOW + 1, np.uint8)
         for cp in range(_FAST_BELOW):
@@ -109,6 +117,27 @@ class WordPieces:
             self.slots.update(zip(keys[new].tolist(), slot[new].tolist(), strict=True))
         return slot[back]
 
+    def long(self, raw: np.ndarray, size: int | None = None) -> np.ndarray:
+        """Ids of one long text, block by block: it is cut before a blank between two ASCII letters, where a word begins
+        whatever follows. Without such a place for ``size`` bytes, the block goes on to the next one."""
+        size = size or LONG // 2
+        letter = _ASCII_LETTER[raw]
+        safe = np.flatnonzero((raw[1:-1] == 32) & letter[:-2] & letter[2:]) + 1
+        taken = [m.span() for m in (self.literals.finditer(raw.tobytes()) if self.literals else ())]
+        if taken:  # not within an added token
+            taken = np.array(taken)
+            k = np.searchsorted(taken[:, 0], safe, "left") - 1
+            safe = safe[(k < 0) | (safe >= taken[np.maximum(k, 0), 1])]
+        if self.others and self.others.search(raw.tobytes()):
+            safe = safe[:0]
+        out, a = [], 0
+        while a < len(raw):
+            k = int(np.searchsorted(safe, a + size))
+            b = int(safe[k]) if k < len(safe) else len(raw)
+            out += self.rows(raw[a:b], np.array([0, b - a]))
+            a = b
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
     def rows(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each row of a chunk of UTF-8."""
         n = len(offsets) - 1
@@ -121,7 +150,15 @@ class WordPieces:
         if len(cp) and cp.max() >= _FAST_BELOW:
             odd = np.concatenate(([0], np.cumsum(cp >= _FAST_BELOW)))[chars]
             slow = np.diff(odd) > 0
-        starts = self._word_starts(cp, chars[:-1][chars[:-1] < len(cp)]) if len(cp) else np.zeros(0, np.int64)
+        for m in self.others.finditer(data) if self.others else ():
+            slow[np.searchsorted(offsets, m.start(), "right") - 1] = True
+        spans = [m.span() for m in self.literals.finditer(data)] if self.literals else []
+        spans = np.searchsorted(at, np.array([x for x in spans if offsets[np.searchsorted(offsets, x[0], "right")] >= x[1]], np.int64).reshape(-1, 2))
+        edges = np.union1d(chars[:-1], spans)
+        starts = self._word_starts(cp, edges[edges < len(cp)]) if len(cp) else np.zeros(0, np.int64)
+        if len(spans):  # an added token is one word
+            inside = np.searchsorted(spans[:, 0], starts, "left") - 1
+            starts = starts[(inside < 0) | (starts >= spans[np.maximum(inside, 0), 1])]
         ends = np.append(starts[1:], len(cp)) if len(starts) else starts
         row = np.searchsorted(chars, starts, "right") - 1
         fast = ~slow[row] if len(row) else np.zeros(0, bool)
@@ -141,6 +178,10 @@ class WordPieces:
         return out
 
 
+def _any_of(contents: list[str]) -> re.Pattern | None:
+    return re.compile(b"|".join(re.escape(x.encode()) for x in sorted(contents, key=len, reverse=True))) if contents else None
+
+
 _loaded: dict[str, WordPieces] = {}
 
 
@@ -165,8 +206,9 @@ def _cut(path: str | None, window: int, with_ids: bool) -> Callable:
             doc_ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             for lo, _, raw, offsets in C.text_chunks(batch, "text", 1 << 19):
                 out: dict = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-                for i, found in enumerate(words.rows(raw, offsets)):
-                    ids = np.concatenate((found, end)).astype("<u4")
+                found = words.rows(raw, offsets) if len(offsets) > 2 or len(raw) <= LONG else [words.long(raw)]
+                for i, own in enumerate(found):
+                    ids = np.concatenate((own, end)).astype("<u4")
                     for a in range(0, len(ids), window):
                         piece = ids[a : a + window]
                         for k, v in (("doc_id", doc_ids[lo + i]), ("start", a), ("length", len(piece)), ("ids_crc32", zlib.crc32(piece.tobytes())), ("doc_tokens", len(ids)), ("ids", piece.astype(np.int32) if with_ids else None)):
@@ -182,7 +224,13 @@ def _cut(path: str | None, window: int, with_ids: bool) -> Callable:
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces (doc_id, start, length, ids_crc32, doc_tokens[, ids]) of at most ``window`` ids; a null or empty text has its end id only."""
+    """Pieces (doc_id, start, length, ids_crc32, doc_tokens[, ids]) of at most ``window`` ids.
+
+    A null or empty text has its end id only. Ids are those that the tokenizer's file gives, added tokens included.
+    Very long texts are encoded in blocks; a task holds some 4 bytes an id of its longest text and the arrays of one
+    block. Repeated rows and null ids give their own pieces, an empty table none. Only the two columns are read, so
+    the names of others don't matter.
+    """
     C.prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids

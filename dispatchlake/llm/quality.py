@@ -164,7 +164,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, raw, offsets in C.text_chunks(batch, "text"):
             x = statistics(raw, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(x.tolist(), pa.list_(pa.float32()))], names=["y", "x"])
+            own = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.int64()), own.column(1), pa.array(x.tolist(), pa.list_(pa.float32()))], names=["id", "y", "x"])
 
 
 def held_out(ids: Column) -> Column:
@@ -173,17 +174,18 @@ def held_out(ids: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Trees:
-    """Trees from at most ``sample`` labelled documents outside the held-out fifth, chosen by a hash of the id.
+    """Trees from at most ``sample`` labelled documents outside the held-out fifth: those whose ids have the smallest hashes.
 
-    The chosen ids are at most ``sample`` rows and are broadcast; their statistics (some 20 numbers a document) come to
-    the driver. Without labels every score is near 1.
+    The choice depends on the ids alone. The chosen ids are at most ``sample`` rows and are broadcast; their statistics
+    (some 20 numbers a document) come to the driver. An id with several labels has the larger one; of an id with several
+    texts one is taken, by its statistics. Without labels or documents every score is near 1.
     """
     C.prepare(docs.sparkSession)
-    known = labels.filter(F.col(target).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col(target).cast("int").alias("y"))
-    share = min(1.0, sample / max(1, C.rows_of(known)))
-    known = known.filter(F.pmod(F.xxhash64("__id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).limit(sample)
-    found = docs.join(F.broadcast(known), F.col(id_col) == F.col("__id")).select("y", F.col(text_col).alias("text"))
-    rows = found.mapInArrow(_features, "y int, x array<float>").limit(2 * sample).toArrow()
+    known = labels.select(F.col(id_col).alias("id"), F.col(target).cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL").filter(~held_out(F.col("id")))
+    known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = texts.join(F.broadcast(known), "id").select("id", "y", "text").mapInArrow(_features, "id long, y int, x array<float>")
+    rows = found.groupBy("id", "y").agg(F.min("x").alias("x")).select("y", "x").toArrow()
     x = np.array(rows["x"].to_pylist(), np.float32).reshape(-1, len(FEATURES))
     y = rows["y"].to_numpy().astype(np.float64)
     order = np.lexsort((*x.T, y))  # the same trees whatever order the rows come in
@@ -191,16 +193,21 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
 
 
 def score(docs: DataFrame, trees: Trees, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with the column ``out``: probability of label 1. Null texts count as empty. A column of that name is replaced."""
+    """docs with the column ``out``: probability of label 1.
+
+    Null texts count as empty, and texts of any length are read whole. Every row is scored by its own text, so repeated
+    rows get the same score; an empty table gives no rows. A column named ``out`` is replaced, all others pass through.
+    """
     C.prepare(docs.sparkSession)
-    kept = [c for c in docs.columns if c != out]
-    body = docs.select(*kept, F.col(text_col).alias("__text"))
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    body_col = C.fresh("body", docs.columns)
+    body = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias(body_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [trees.score(statistics(raw, offsets)) for _, _, raw, offsets in C.text_chunks(batch, "__text")]
+            parts = [trees.score(statistics(raw, offsets)) for _, _, raw, offsets in C.text_chunks(batch, body_col)]
             found = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*kept, out])
 
-    kind = body.drop("__text").withColumn(out, F.lit(0.0)).schema
+    kind = body.drop(body_col).withColumn(out, F.lit(0.0)).schema
     return body.mapInArrow(run, kind)

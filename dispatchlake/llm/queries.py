@@ -59,7 +59,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = C.store(mpegts.texts_to_media(_read(spark, sf_dir, "documents")), "media")
-    return mpegts.media_features(media).drop("pts", "pes_offset", "random_access")
+    return mpegts.media_features(media)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,10 +76,22 @@ def rebalance(current: list[int], weight: dict[int, int], shards: int) -> list[i
     return out
 
 
-def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
-    """The stored slot map: one row for each version and slot; the last version is in force."""
-    rows = [(n, v, s) for n, m in enumerate(versions, 1) for v, s in enumerate(m)]
-    return C.store(spark.createDataFrame(rows, _MAP).coalesce(1), "slot-map")
+def map_table(spark: SparkSession, versions: dict[int, list[int]]) -> DataFrame:
+    """Rows (version, vslot, shard) of slot maps."""
+    text = lambda m: F.split(F.lit(",".join(map(str, m))), ",")
+    all_of = F.array(*[F.struct(F.lit(n).alias("version"), text(m).alias("shards")) for n, m in versions.items()])
+    rows = spark.range(1, numPartitions=1).select(F.explode(all_of).alias("m")).select("m.version", F.posexplode("m.shards").alias("vslot", "shard"))
+    return rows.select("version", "vslot", F.col("shard").cast("int").alias("shard"))
+
+
+def read_map(slot_map: DataFrame) -> tuple[int, list[int]]:
+    """(version, shard of each slot) of the last version of a stored map; a map has ``slots`` rows a version."""
+    last = slot_map.agg(F.max("version")).first()[0]
+    rows = slot_map.filter(F.col("version") == last).select("vslot", "shard").distinct().collect()
+    out = dict(map(tuple, rows))
+    if sorted(out) != list(range(len(rows))):
+        raise ValueError("the slot map doesn't name one shard for each slot")
+    return last, [out[v] for v in range(len(out))]
 
 
 def place(rows: DataFrame, slot_map: DataFrame, version: int) -> DataFrame:
@@ -96,13 +108,33 @@ def place(rows: DataFrame, slot_map: DataFrame, version: int) -> DataFrame:
     return rows.withColumn("at", at).join(F.broadcast(begins), ["vslot", "part"]).withColumn("slot", (F.col("begin") + F.col("at")).cast("long")).drop("at", "begin", "part")
 
 
-def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(placed rows, stored slot map). Version 1 of the map deals slots in turn, version 2 is balanced by bytes.
+def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", previous: DataFrame | None = None, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(placed rows, slot map with all versions).
+
+    ``previous`` is a map kept from an earlier run: its last version is edited, so that only the slots which must move
+    for balance (or for added shards) do, and the edit is appended as the next version. Without it, version 1 deals the
+    slots in turn and version 2 is balanced by bytes. ``path`` is where the map with its history is written to be kept,
+    a new folder of this version; without it the map is an intermediate table.
 
     Equal texts under different ids go to different slots, so a large group of copies is spread. Repeated rows keep
-    one slot and get a number each. Other columns are ignored, an empty table gives no rows.
+    one slot and get a number each. Null texts have no bytes, null ids hash as one id. Texts are only measured, so long
+    ones cost nothing. Other columns are ignored, an empty table gives no rows.
     """
+    spark = docs.sparkSession
+    if previous is None:
+        version, current, history = 1, first_map(shards, slots), None
+    else:
+        version, current = read_map(previous)
+        history, slots = previous.select("version", "vslot", "shard"), len(current)
+        if max(current) >= shards:
+            raise ValueError("slots can't be taken from shards that are gone; give at least as many shards as the map has")
     rows = C.store(records(docs, id_col, text_col, slots), "records")
-    one = first_map(shards, slots)
-    slot_map = map_table(docs.sparkSession, [one, rebalance(one, slot_bytes(rows), shards)])
-    return place(rows, slot_map, 2), slot_map
+    now = rebalance(current, slot_bytes(rows), shards)
+    new = map_table(spark, {version: current, version + 1: now} if history is None else {version + 1: now})
+    whole = new if history is None else history.unionByName(new)
+    if path is None:
+        slot_map = C.store(whole.coalesce(1), "slot-map")
+    else:
+        whole.coalesce(1).write.parquet(path)
+        slot_map = spark.read.schema(_MAP).parquet(path)
+    return place(rows, slot_map, version + 1), slot_map

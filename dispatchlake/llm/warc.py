@@ -7,7 +7,6 @@ decompressed and parsed as a stream.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -138,8 +137,7 @@ def deduplicate(spark: SparkSession, source: str, target: str, least: int = MIN_
 def revisit_archives(pages: DataFrame, least: int = MIN_REVISIT, **columns) -> tuple[str, DataFrame]:
     """(folder of the deduplicated archives, records read back from them). Empty tables give no records."""
     spark = pages.sparkSession
-    root = f"{C.scratch_root(spark)}/corpus/warc-{uuid.uuid4().hex}"
+    root = C.new_path(spark, "warc")
     write_pages(pages, f"{root}/raw", **columns)
     deduplicate(spark, f"{root}/raw", f"{root}/deduplicated", least)
-    C._written.append(root)
     return f"{root}/deduplicated", read_archive(spark, f"{root}/deduplicated")
