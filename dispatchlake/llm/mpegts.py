@@ -72,102 +72,186 @@ def _stamp(pts: int) -> bytes:
     return bytes([0x21 | pts >> 29 & 0x0E, pts >> 22 & 0xFF, 0x01 | pts >> 14 & 0xFE, pts >> 7 & 0xFF, 0x01 | pts << 1 & 0xFE])
 
 
+def _clock(ticks: int) -> bytes:
+    """Program clock reference: 33 bits of 90 kHz, 6 reserved ones, 9 of 27 MHz."""
+    return ((ticks & (1 << 33) - 1) << 15 | 0x3F << 9).to_bytes(6, "big")
+
+
 def mux(payload: bytes) -> bytes:
-    """A transport stream whose one elementary stream is the payload."""
+    """A transport stream whose one elementary stream is the payload.
+
+    The first packet of each PES packet carries the clock; every KEY_EVERYth is a random-access point.
+    """
     out, cc = [TABLES], 0
     for n, a in enumerate(range(0, len(payload), PES_PAYLOAD)):
         data = payload[a : a + PES_PAYLOAD]
-        pes = b"\x00\x00\x01" + bytes([PRIVATE_STREAM]) + (len(data) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + _stamp(n * TICKS & (1 << 33) - 1) + data
-        at, size = 0, len(pes)
-        while at < size:
-            pid_hi = DATA_PID >> 8 | (0x40 if at == 0 else 0)
-            field_ = b"\x01\x40" if at == 0 and n % KEY_EVERY == 0 else b""
-            room = PACKET - 4 - len(field_)
-            if size - at < room:  # stuffing goes into the adaptation field
-                spare = room - (size - at)
-                if field_:
-                    field_ = bytes([1 + spare, 0x40]) + b"\xff" * spare
-                elif spare == 1:
-                    field_ = b"\x00"
-                else:
-                    field_ = bytes([spare - 1, 0]) + b"\xff" * (spare - 2)
-                room = size - at
-            if at and not field_:
+        ticks = n * TICKS & (1 << 33) - 1
+        pes = b"\x00\x00\x01" + bytes([PRIVATE_STREAM]) + (len(data) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + _stamp(ticks) + data
+        spare = max(0, PACKET - 12 - len(pes))  # of the first packet, whose adaptation field has 8 bytes at least
+        out.append(bytes([0x47, 0x40 | DATA_PID >> 8, DATA_PID & 0xFF, 0x30 | cc, 7 + spare, 0x10 | 0x40 * (n % KEY_EVERY == 0)]) + _clock(ticks) + b"\xff" * spare)
+        at = PACKET - 12 - spare
+        out.append(pes[:at])
+        cc = cc + 1 & 15
+        while at < len(pes):
+            spare = PACKET - 4 - (len(pes) - at)
+            if spare <= 0:
                 out.append(_HEADS[cc])
-            else:
-                out.append(bytes([0x47, pid_hi, DATA_PID & 0xFF, (0x30 if field_ else 0x10) | cc]))
-                out.append(field_)
-            out.append(pes[at : at + room])
-            at += room
+            else:  # stuffing goes into the adaptation field
+                stuffing = b"\x00" if spare == 1 else bytes([spare - 1, 0]) + b"\xff" * (spare - 2)
+                out.append(bytes([0x47, DATA_PID >> 8, DATA_PID & 0xFF, 0x30 | cc]) + stuffing)
+            out.append(pes[at : at + PACKET - 4])
+            at += PACKET - 4
             cc = cc + 1 & 15
     return b"".join(out)
 
 
 @dataclass
 class Stream:
-    """What demux finds: the payload, one entry for each PES packet, and how many packets were lost or odd."""
+    """What demux finds: the payload, one entry for each PES packet, and what was lost or odd."""
 
     payload: bytes = b""
-    stamps: list[int] = field(default_factory=list)  # 90 kHz
+    stamps: list[int] = field(default_factory=list)  # 90 kHz, -1 without one
     offsets: list[int] = field(default_factory=list)  # of each PES packet's data in the payload
     random_access: list[bool] = field(default_factory=list)
-    gaps: int = 0  # continuity counter errors
-    errors: int = 0  # packets without sync, tables with a wrong checksum
+    clocks: int = 0  # program clock references
+    gaps: int = 0  # places where packets are missing by their counters
+    errors: int = 0  # bytes without sync, damaged packets and tables, PES packets that aren't as long as they say
+    repeats: int = 0  # packets sent twice
     packets: int = 0
 
 
+class _Sections:
+    """Puts the sections of a table together from the packets of its PID."""
+
+    def __init__(self) -> None:
+        self.held: bytes | None = None
+
+    def feed(self, body: bytes, start: bool) -> Iterator[bytes | None]:
+        """Sections that are complete now; None for one that is damaged."""
+        if start:
+            skip = 1 + body[0] if body else 1
+            if skip > len(body):
+                self.held = None
+                yield None
+                return
+            if self.held:
+                self.held += body[1:skip]
+                yield from self._take()
+            self.held = body[skip:]
+        elif self.held is None:
+            return
+        else:
+            self.held += body
+        yield from self._take()
+
+    def _take(self) -> Iterator[bytes | None]:
+        while self.held and len(self.held) >= 3 and self.held[0] != 0xFF:
+            size = 3 + ((self.held[1] & 0x0F) << 8 | self.held[2])
+            if len(self.held) < size:
+                return
+            section, self.held = self.held[:size], self.held[size:]
+            yield section if size >= 12 and not section_crc(section) else None
+
+
+def _first_program(pat: bytes) -> int | None:
+    """PID of the first program's table; program 0 is the network's."""
+    for k in range(8, len(pat) - 7, 4):
+        if pat[k] or pat[k + 1]:
+            return (pat[k + 2] & 0x1F) << 8 | pat[k + 3]
+    return None
+
+
+def _first_stream(pmt: bytes) -> int | None:
+    k = 12 + ((pmt[10] & 0x0F) << 8 | pmt[11])
+    return (pmt[k + 1] & 0x1F) << 8 | pmt[k + 2] if k + 9 <= len(pmt) else None
+
+
 def demux(media: bytes) -> Stream:
-    """Reads the first program's first elementary stream of a transport stream."""
-    s, pmt_pid, data_pid, last, open_, parts, total = Stream(), None, None, None, False, [], 0
-    seen_at = -1
-    for a in range(0, len(media), PACKET):
+    """Reads the first program's first elementary stream of a transport stream.
+
+    Damaged input never raises: what can't be read is left out and counted. A packet is a repeat only if all its bytes
+    are those of the one before; any other break of the counters is a gap, and a PES packet that has lost bytes without
+    one shows by its length.
+    """
+    s = Stream()
+    pmt_pid = data_pid = None
+    tables: dict[int, _Sections] = {PAT_PID: _Sections()}
+    before: dict[int, bytes] = {}
+    parts: list[bytes] = []
+    total, due, is_open = 0, None, False  # bytes so far, bytes the open PES packet still has to bring (None: unknown)
+    a = 0
+    while a < len(media):
+        packet = media[a : a + PACKET]
         s.packets += 1
-        if media[a] != 0x47 or a + PACKET > len(media):
+        if len(packet) < PACKET or packet[0] != 0x47:
             s.errors += 1
+            a += 1  # to the next place where two packets could begin
+            while (a := media.find(b"\x47", a)) >= 0 and a + PACKET < len(media) and media[a + PACKET] != 0x47:
+                a += 1
+            if a < 0:
+                break
             continue
-        b1, b3 = media[a + 1], media[a + 3]
-        pid, at, key = (b1 & 0x1F) << 8 | media[a + 2], a + 4, False
-        if b3 & 0x20:
-            n = media[at]
-            key = n > 0 and bool(media[at + 1] & 0x40)
-            at += 1 + n
-        if not b3 & 0x10:
+        a += PACKET
+        pid, control, cc = (packet[1] & 0x1F) << 8 | packet[2], packet[3] >> 4 & 3, packet[3] & 15
+        if pid != data_pid and pid not in tables:
             continue
-        if pid == data_pid:
-            cc = b3 & 15
-            if last is not None and cc != last + 1 & 15:
-                if cc == last and a != seen_at:
-                    continue  # a repeated packet
+        at, flags = 4, 0
+        if control & 2:
+            n = packet[4]
+            flags = packet[5] if n else 0
+            at = 5 + n
+        if packet[1] & 0x80 or at > PACKET:
+            s.errors += 1
+            continue
+        if pid == data_pid and flags & 0x10 and at >= 12:
+            s.clocks += 1
+        if not control & 1:
+            continue
+        if (last := before.get(pid)) is not None:
+            if packet == last:
+                s.repeats += 1
+                continue
+            if cc != last[3] + 1 & 15 and not flags & 0x80:
                 s.gaps += 1
-            last, seen_at = cc, a
-            if b1 & 0x40:
-                if media[at : at + 3] != b"\x00\x00\x01":
+                if pid in tables:
+                    tables[pid].held = None
+        before[pid] = packet
+        start, body = bool(packet[1] & 0x40), packet[at:]
+        if pid in tables:
+            for section in tables[pid].feed(body, start):
+                if section is None:
                     s.errors += 1
-                    open_ = False
-                    continue
-                head = media[at + 8]
-                p = media[at + 9 : at + 14]
-                pts = (p[0] & 0x0E) << 29 | p[1] << 22 | (p[2] & 0xFE) << 14 | p[3] << 7 | p[4] >> 1 if media[at + 7] & 0x80 else -1
-                s.stamps.append(pts)
-                s.offsets.append(total)
-                s.random_access.append(key)
-                at += 9 + head
-                open_ = True
-            if open_:
-                part = media[at : a + PACKET]
-                parts.append(part)
-                total += len(part)
-        elif b1 & 0x40 and (pid == PAT_PID or pid == pmt_pid):
-            at += 1 + media[at]
-            size = 3 + ((media[at + 1] & 0x0F) << 8 | media[at + 2])
-            section = media[at : at + size]
-            if len(section) < size or section_crc(section):
+                elif pid == PAT_PID and section[0] == 0 and pmt_pid is None:
+                    if (pmt_pid := _first_program(section)) is not None:
+                        tables[pmt_pid] = _Sections()
+                elif pid == pmt_pid and section[0] == 2 and data_pid is None:
+                    data_pid = _first_stream(section)
+            continue
+        if start:
+            s.errors += bool(due)
+            head = 9 + body[8] if len(body) > 8 else PACKET
+            is_open = body[:3] == b"\x00\x00\x01" and head <= len(body)
+            if not is_open:
                 s.errors += 1
-            elif pid == PAT_PID and pmt_pid is None:
-                pmt_pid = (section[10] & 0x1F) << 8 | section[11]
-            elif pid == pmt_pid and data_pid is None:
-                skip = 12 + ((section[10] & 0x0F) << 8 | section[11])
-                data_pid = (section[skip + 1] & 0x1F) << 8 | section[skip + 2]
+                due = None
+                continue
+            p = body[9:14]
+            stamped = body[7] & 0x80 and head >= 14
+            s.stamps.append((p[0] & 0x0E) << 29 | p[1] << 22 | (p[2] & 0xFE) << 14 | p[3] << 7 | p[4] >> 1 if stamped else -1)
+            s.offsets.append(total)
+            s.random_access.append(bool(flags & 0x40))
+            size = body[4] << 8 | body[5]
+            due = size + 6 - head if size else None
+            body = body[head:]
+        if is_open:
+            if due is not None:
+                if len(body) > due:
+                    s.errors += 1
+                    body = body[: max(0, due)]
+                due -= len(body)
+            parts.append(body)
+            total += len(body)
+    s.errors += bool(due)
     s.payload = b"".join(parts)
     return s
 
@@ -185,13 +269,18 @@ def _mux(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def texts_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each text's UTF-8 bytes (null: none), zero-padded to a positive multiple of 64, as a stream."""
+    """(doc_id, n_bytes, media): each text's UTF-8 bytes (null: none), zero-padded to a positive multiple of 64, as a stream.
+
+    Equal texts give equal streams, repeated rows one each, an empty table none. A text is held whole while it is
+    muxed, some 3 bytes a byte. Only the two columns are read, so the names of others don't matter.
+    """
     C.prepare(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_mux, "doc_id long, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Reads stored streams back: payload digest, the stored form's size and digest, time stamps and random-access points."""
+    """Reads stored streams back: payload digest, the stored form's size and digest, and, for each PES packet, its time
+    stamp, the place of its data in the payload and whether it is a random-access point."""
     C.prepare(media.sparkSession)
     kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, pes_offset array<long>, random_access array<boolean>"
 
@@ -203,7 +292,7 @@ def media_features(media: DataFrame) -> DataFrame:
                 for m in part.column(2):
                     raw = m.as_py()
                     s = demux(raw)
-                    feature = f"packets={s.packets};pes={len(s.stamps)};random_access={sum(s.random_access)};last_pts={max(s.stamps, default=-1)};gaps={s.gaps};errors={s.errors}"
+                    feature = f"packets={s.packets};pes={len(s.stamps)};random_access={sum(s.random_access)};last_pts={max(s.stamps, default=-1)};clocks={s.clocks};gaps={s.gaps};repeats={s.repeats};errors={s.errors}"
                     rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-ALIGN:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, s.stamps, s.offsets, s.random_access))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]

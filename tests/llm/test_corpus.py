@@ -338,6 +338,99 @@ def test_transport_streams(spark):
     assert rows[4].feature == rows[5].feature and rows[1].media_sha256 == rows[2].media_sha256
 
 
+def hand_packet(pid, cc, body, start=False, field=None):
+    """A packet put together byte by byte, apart from the operator's own writer."""
+    head = bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255])
+    if field is None and len(body) < 184:
+        spare = 184 - len(body)
+        field = b"" if spare == 1 else b"\x00" + b"\xff" * (spare - 2)
+    if field is None:
+        return head + bytes([0x10 | cc]) + body
+    assert len(field) + 1 + len(body) == 184
+    return head + bytes([0x30 | cc, len(field)]) + field + body
+
+
+def hand_section(table, ident, body):
+    head = bytes([table]) + (0xB000 | len(body) + 9).to_bytes(2, "big") + ident.to_bytes(2, "big") + b"\xc1\x00\x00" + body
+    c = 0xFFFFFFFF
+    for byte in head:
+        for bit in range(7, -1, -1):
+            c = (c << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if (c >> 31) ^ (byte >> bit & 1) else 0)
+    return head + c.to_bytes(4, "big")
+
+
+def hand_stream():
+    """Network entry first, a program table over two packets, other PIDs between, PES of unknown length, a repeat."""
+    pat = hand_section(0, 7, bytes([0, 0, 0xE0, 0x10, 0, 5, 0xE0, 0x42]))
+    long_info = b"\x05\xc8" + b"i" * 200
+    pmt = hand_section(2, 5, bytes([0xE0, 0x77]) + (0xF000 | len(long_info)).to_bytes(2, "big") + long_info + bytes([0x06, 0xE0, 0x55, 0xF0, 0]))
+    one = b"\x00\x00\x01\xbd\x00\x00\x80\x00\x00" + b"A" * 300  # no length, no stamp
+    two = b"\x00\x00\x01\xbd" + (8 + 50).to_bytes(2, "big") + b"\x80\x80\x05" + bytes([0x21, 0, 1, 0x0B, 0xB9]) + b"B" * 50
+    null = hand_packet(0x1FFF, 0, b"\xff" * 184)
+    return [
+        hand_packet(0, 0, b"\x00" + pat + b"\xff" * (183 - len(pat)), True), null, hand_packet(0x42, 3, b"\x00" + pmt[:183], True), null,
+        hand_packet(0x42, 4, (pmt[183:]).ljust(184, b"\xff")), hand_packet(0x55, 9, one[:184], True), hand_packet(0x55, 10, one[184:]),
+        hand_packet(0x55, 10, one[184:]), null, hand_packet(0x55, 11, two, True, b"\x40" + b"\xff" * (182 - len(two))),
+    ]
+
+
+def test_transport_streams_from_elsewhere():
+    s = mpegts.demux(b"".join(hand_stream()))
+    assert s.payload == b"A" * 300 + b"B" * 50 and s.offsets == [0, 300] and s.random_access == [False, True]
+    assert s.stamps == [-1, 1500] and (s.gaps, s.errors, s.repeats, s.packets) == (0, 0, 1, 10)
+    packets = hand_stream()
+    shifted = mpegts.demux(b"".join(packets[:6]) + b"noise" + b"".join(packets[6:]))
+    assert shifted.payload == s.payload and shifted.errors == 1
+    assert mpegts.demux(b"".join(packets[:6] + packets[9:])).gaps == 1
+    assert mpegts.demux(b"".join([packets[0]] + packets[2:4] + packets[5:])).payload == b""  # half of the program table
+
+
+@pytest.mark.parametrize("n", [1, 2, 15, 16, 17, 32])
+def test_lost_packets_show(n):
+    stream = mpegts.mux(random.Random(n).randbytes(12_000))
+    for first in (3, 10, 30):
+        s = mpegts.demux(stream[: 188 * first] + stream[188 * (first + n) :])
+        assert s.gaps + s.errors > 0 and len(s.payload) < 12_000
+
+
+def test_damaged_streams_never_raise():
+    r = random.Random(12)
+    streams = [mpegts.mux(r.randbytes(n)) for n in (64, 500, 5000)] + [b"".join(hand_stream())]
+    for _ in range(10_000):
+        x = bytearray(r.choice(streams))
+        for _ in range(r.randrange(1, 6)):
+            x[r.randrange(len(x))] = r.choice((0, 0x47, 0xFF, r.randrange(256)))
+        if r.random() < 0.5:
+            a = r.randrange(len(x))
+            del x[a : a + r.randrange(400)]
+        mpegts.demux(bytes(x))
+
+
+def test_sharding_keeps_and_edits_its_map(spark, tmp_path):
+    rows = [(k, prose(k, k % 60)) for k in range(2000)]
+    path = f"file://{tmp_path}/map-v2"
+    _, first = sharding.shard(docs_of(spark, rows), shards=24, slots=512, path=path)
+    kept = spark.read.parquet(path)
+    assert sorted(kept.collect()) == sorted(first.collect())
+    placed, grown = sharding.shard(docs_of(spark, rows), shards=25, previous=kept)
+    got = placed.collect()
+    old, new = sharding.read_map(first), sharding.read_map(grown)
+    assert (old[0], new[0]) == (2, 3) and grown.filter("version < 3").count() == 1024
+    moved = [v for v in range(512) if old[1][v] != new[1][v]]
+    assert 0 < len(moved) < 0.1 * 512 and sum(new[1][v] == 24 for v in moved) >= 0.7 * len(moved)
+    assert {r.shard for r in got} == set(range(25)) and all(new[1][r.vslot] == r.shard for r in got)
+    size = {}
+    for r in got:
+        text = dict(rows)[r.doc_id].encode()
+        assert (r.size, r.text_crc32) == (len(text) + 8, zlib.crc32(text))
+        size[r.shard] = size.get(r.shard, 0) + r.size
+    assert max(size.values()) - min(size.values()) <= 0.02 * max(size.values())
+    again, same = sharding.shard(docs_of(spark, rows), shards=25, previous=grown)
+    assert sharding.read_map(same)[1] == new[1] and sorted((r.doc_id, r.shard) for r in again.collect()) == sorted((r.doc_id, r.shard) for r in got)
+    with pytest.raises(ValueError):
+        sharding.shard(docs_of(spark, rows), shards=20, previous=grown)
+
+
 def test_sharding(spark):
     rows = [(k, prose(k, k % 60)) for k in range(3000)] + [(1, None), (5000, "same"), (5000, "same")]
     placed, slot_map = sharding.shard(docs_of(spark, rows), shards=7, slots=512)
