@@ -1,12 +1,14 @@
 """WARC archives: writing, reading, and revisit records for repeated payloads.
 
-Archives are written by Spark's text writer with the record separator as line separator, one compressed file for each
-task and some thousand records, so any shared file system will do; they are read back as binary files, each
-decompressed and parsed as a stream.
+Archives are written by Spark's text writer with the record separator as line separator, so any shared file system will
+do. Each file begins with a warcinfo record and is cut by bytes: records of like size share files of about FILE_BYTES.
+They are read back as binary files, each decompressed and parsed as a stream.
 """
 
 from __future__ import annotations
 
+import datetime
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -16,36 +18,74 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-RECORDS_PER_FILE = 4000
+FILE_BYTES = 256 << 20  # of records in a file, before compression, unless one record is larger
+#: Records above each of these sizes have files of their own, with fewer records in each.
+SIZES = (0, 1 << 16, 1 << 20, 1 << 24)
 MIN_REVISIT = 1000  # payloads below this size are always stored
-DATE = "2024-01-01T00:00:00Z"
+REVISIT_BOUND = 1_000_000  # revisits that are broadcast at most; beyond it they are joined file by file
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SEPARATOR = "\r\n\r\n"
 
 
-def _record(kind: Column, url: Column, page: Column, digest: Column, size: Column, payload: Column, refers: Column | None = None, date: str = DATE) -> Column:
-    """One record as text, without the separator that ends it. payload is left out of revisit records."""
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    revisit = kind == "revisit"
-    body = F.when(revisit, F.lit("")).otherwise(payload)
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n"))
-    length = F.octet_length(http) + F.octet_length(body)
-    uri = F.regexp_replace(F.coalesce(url, F.concat(F.lit("urn:page:"), page.cast("string"))), r"[\x00-\x20\x7f]", "%20")
-    head = [F.lit("WARC/1.1\r\n"), line("WARC-Type", kind), line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(">"))), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", uri), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest))]
-    if refers is not None:
-        head.append(F.when(revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), refers.cast("string"), F.lit(">"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""))
-    head += [line("X-Payload-Bytes", size.cast("string")), line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", length.cast("string")), F.lit("\r\n")]
-    return F.concat(*head, http, body)
+def _now() -> str:
+    return datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def _write(records: DataFrame, path: str) -> None:
-    records.write.option("lineSep", _SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def _lines(*fields: tuple[str, Column | str]) -> Column:
+    """WARC fields; one whose value is null is left out."""
+    return F.concat(*[F.coalesce(F.concat(F.lit(f"{k}: "), F.lit(v) if isinstance(v, str) else v, F.lit("\r\n")), F.lit("")) for k, v in fields])
 
 
-def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def _ident(*of: Column) -> Column:
+    """A record id made of the given values: the same if a task is repeated."""
+    h = F.md5(F.concat_ws("\x1f", *of))
+    return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
+
+
+def _record(date: str) -> Column:
+    """The record of a row (record_id, record_type, page_id, url, payload_digest, payload_bytes, html, o_*) as text,
+    without the separator that ends it. The o_ columns describe the original of a revisit and are null for others."""
+    size = F.col("payload_bytes").cast("string")
+    body = F.when(F.col("record_type") == "revisit", F.lit("")).otherwise(F.col("html"))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit("\r\n\r\n"))
+    angle = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
+    head = _lines(
+        ("WARC-Type", F.col("record_type")), ("WARC-Record-ID", angle(F.col("record_id"))), ("WARC-Date", date), ("WARC-Target-URI", F.col("url")),
+        ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), ("WARC-Refers-To", angle(F.col("o_record_id"))), ("WARC-Refers-To-Target-URI", F.col("o_url")),
+        ("WARC-Refers-To-Date", F.col("o_date")), ("WARC-Profile", F.when(F.col("record_type") == "revisit", PROFILE)), ("X-Page-ID", F.col("page_id").cast("string")), ("X-Refers-To-Page-ID", F.col("o_page_id").cast("string")),
+        ("X-Payload-Bytes", size), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", (F.octet_length(http) + F.octet_length(body)).cast("string")),
+    )
+    return F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n"), http, body)
+
+
+def _write(rows: DataFrame, path: str, size: Column, date: str) -> None:
+    """Writes the records of rows; ``size`` is about a record's bytes. Every file starts with a warcinfo record."""
+    above = [x for x in SIZES if x]
+    found = {r[0] for r in rows.select(sum([(size > x).cast("int") for x in above], F.lit(0)).alias("k")).distinct().collect()}  # at most len(SIZES) numbers
+    about = b"software: dispatchlake\r\nformat: WARC File Format 1.1\r\n"
+    info = F.concat(F.lit("WARC/1.1\r\n"), _lines(("WARC-Type", "warcinfo"), ("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))), ("WARC-Date", date), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(about)))), F.lit("\r\n" + about.decode() + _SEPARATOR))
+    for k in sorted(found) or [0]:
+        lo, hi = SIZES[k], SIZES[k + 1] if k + 1 < len(SIZES) else None
+        own = rows.filter((size > lo) | F.lit(k == 0)) if hi is None else rows.filter(((size > lo) | F.lit(k == 0)) & (size <= hi))
+        count = max(1, FILE_BYTES // hi) if hi else 1  # records in a file
+        place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # in the task's output
+        value = F.concat(F.when(place % count == 0, info).otherwise(F.lit("")), F.col("record"))
+        own.select(_record(date).alias("record")).select(value.alias("value")).write.mode("append").option("lineSep", _SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", count).text(path)
+
+
+_ORIGINAL = ("o_record_id", "o_url", "o_date")
+
+
+def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str | None = None) -> None:
     """A response record for each row (null html: an empty payload, null url: an urn made of the id)."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    _write(pages.select(_record(F.lit("response"), F.col(url_col), F.col(id_col), F.sha1(html.cast("binary")), F.octet_length(html), html).alias("value")), path)
+    page = F.col(id_col).cast("long")
+    url = F.regexp_replace(F.coalesce(F.col(url_col), F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("")))), r"[\x00-\x20\x7f]", "%20")
+    rows = pages.select(page.alias("page_id"), url.alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("payload_digest"), F.octet_length(html).alias("payload_bytes"))
+    rows = rows.withColumn("record_type", F.lit("response")).withColumn("record_id", F.concat(F.lit("urn:uuid:"), F.uuid())).withColumn("o_page_id", F.lit(None).cast("long"))
+    for c in _ORIGINAL:
+        rows = rows.withColumn(c, F.lit(None).cast("string"))
+    _write(rows, path, F.octet_length("html"), date or _now())
 
 
 def _stream(data: bytes) -> Iterator[tuple[dict, bytes]]:
@@ -78,64 +118,102 @@ def _stream(data: bytes) -> Iterator[tuple[dict, bytes]]:
         del held[: need + 4]
 
 
-_FIELDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, block_bytes long, html string"
+_FIELDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, block_bytes long, html string, record_id string, date string, refers_to_id string, path string"
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Records of archives: (page_id, url, record_type, refers_to, payload_digest, payload_bytes, block_bytes, html).
+_REVISIT = "o_page_id long, o_record_id string, o_url string"
 
-    Size and digest of a response are computed from the payload that was read; those of a revisit come from its fields.
+
+def _read(files: DataFrame) -> DataFrame:
+    """Records of (path, content) rows, in the order of each file.
+
+    If a third column lists the file's revisits (r, o_page_id, o_record_id, o_url), these go to the records named r.
     """
     import hashlib
 
-    C.prepare(spark)
+    listed = len(files.columns) > 2
+    fields = _FIELDS + f", {_REVISIT}" * listed
+    names = [x.split()[0] for x in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda x: int(x.rsplit(":", 1)[1].rstrip(">")) if x else None
+        number = lambda x: int(x) if x else None
         for batch in batches:
-            for content in batch.column(0):
+            for k, (path, content) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 rows, held = [], 0
+                own_revisits = {x["r"]: (x["o_page_id"], x["o_record_id"], x["o_url"]) for x in batch.column(2)[k].as_py() or ()} if listed else {}
                 for f, block in _stream(content.as_py()):
+                    if f["WARC-Type"] == "warcinfo":
+                        continue
                     payload = block[block.find(b"\r\n\r\n") + 4 :]
                     if f["WARC-Type"] == "revisit":
                         own = (f["WARC-Payload-Digest"].removeprefix("sha1:"), int(f["X-Payload-Bytes"]), len(block), None)
                     else:
                         own = (hashlib.sha1(payload).hexdigest(), len(payload), len(block), payload.decode())
-                    rows.append((number(f["WARC-Record-ID"]), f["WARC-Target-URI"], f["WARC-Type"], number(f.get("WARC-Refers-To")), *own))
+                    ids = (f["WARC-Record-ID"].strip("<>"), f["WARC-Date"], f.get("WARC-Refers-To", "").strip("<>") or None, path)
+                    rows.append((number(f.get("X-Page-ID")), f["WARC-Target-URI"], f["WARC-Type"], number(f.get("X-Refers-To-Page-ID")), *own, *ids, *(own_revisits.get(ids[0], (None,) * 3) if listed else ())))
                     held += len(block)
                     if held > 4 << 20:
-                        yield C.record_batch(dict(zip([x.split()[0] for x in _FIELDS.split(", ")], map(list, zip(*rows, strict=True)), strict=True)), _FIELDS)
+                        yield C.record_batch(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), fields)
                         rows, held = [], 0
                 if rows:
-                    yield C.record_batch(dict(zip([x.split()[0] for x in _FIELDS.split(", ")], map(list, zip(*rows, strict=True)), strict=True)), _FIELDS)
+                    yield C.record_batch(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), fields)
+
+    return files.mapInArrow(run, fields)
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Records of archives: (page_id, url, record_type, refers_to, payload_digest, payload_bytes, block_bytes, html,
+    record_id, date, refers_to_id, path).
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _FIELDS)
+    Size and digest of a response are computed from the payload that was read; those of a revisit come from its fields.
+    """
+    return _read(C.prepare(spark).read.format("binaryFile").load(path).select("path", "content"))
 
 
 def originals(headers: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
-    """(payload_digest, payload_bytes, original) of payloads that several records have: the largest page_id is the original.
+    """(payload_digest, payload_bytes, original, n) of payloads that several records have: the largest page_id is the original.
 
     Only headers are shuffled, and they are reduced before, so a digest with very many records is one row of each task.
+    ``original`` holds page_id, record_id, url and date; n is the number of records.
     """
-    same = headers.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
-    return same.filter("n > 1").drop("n")
+    same = headers.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes")
+    return same.agg(F.max(F.struct("page_id", "record_id", "url", "date")).alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def deduplicate(spark: SparkSession, source: str, target: str, least: int = MIN_REVISIT) -> None:
+def deduplicate(spark: SparkSession, source: str, target: str, least: int = MIN_REVISIT, date: str | None = None) -> None:
     """Writes archives with the records of ``source`` in which repeated payloads are revisit records.
 
-    Rows that share both page_id and payload are all responses if that id is the largest of its payload.
+    All records get headers of their own: new ids, the date of this writing, and, for revisits, id, address and date of
+    the original's new record. Rows that share both page_id and payload are all responses if that id is the largest of
+    its payload. A null page_id counts as the smallest. Payloads stay in their tasks: the table of revisits (ids only)
+    goes to them by broadcast within REVISIT_BOUND, and beyond it is gathered by file and joined to the files.
     """
-    records = read_archive(spark, source)
-    headers = C.store(records.select("page_id", "payload_digest", "payload_bytes"), "warc-headers")
-    revisits = headers.join(originals(headers, least), ["payload_digest", "payload_bytes"]).filter("page_id < original").select("page_id", "payload_digest", "original").distinct()
-    out = records.join(revisits, ["page_id", "payload_digest"], "left")
-    kind = F.when(F.col("original").isNull(), "response").otherwise("revisit")
-    _write(out.select(_record(kind, F.col("url"), F.col("page_id"), F.col("payload_digest"), F.col("payload_bytes"), F.col("html"), F.col("original")).alias("value")), target)
+    date = date or _now()
+    run = F.lit(uuid.uuid4().hex)
+    files = C.prepare(spark).read.format("binaryFile").load(source).select("path", "content")
+    records = _read(files)
+    headers = C.store(records.select("page_id", "payload_digest", "payload_bytes", "record_id", F.substring("url", 1, 4096).alias("url"), "date", "path"), "warc-headers")
+    total = C.rows_of(headers)
+    met = C.join_keyed(headers.filter(F.col("payload_bytes") >= least), originals(headers, least), ["payload_digest", "payload_bytes"], total)
+    revisits = met.filter(F.coalesce("page_id", F.lit(-(1 << 63))) < F.col("original.page_id")).select(F.col("record_id").alias("r"), F.col("original.page_id").alias("o_page_id"), _ident(run, F.col("original.record_id")).alias("o_record_id"), F.col("original.url").alias("o_url"), "path")
+    revisits = C.store(revisits, "warc-revisits")
+    names = ("o_page_id", "o_record_id", "o_url")
+    if C.fits(revisits, REVISIT_BOUND):
+        out = records.join(F.broadcast(revisits.drop("path")), F.col("record_id") == F.col("r"), "left")
+    else:
+        lists = revisits.groupBy("path").agg(F.collect_list(F.struct("r", *names)).alias("own"))  # at most the records of one file
+        out = _read(files.join(lists, "path", "left"))
+    kind = F.when(F.col("o_record_id").isNull(), "response").otherwise("revisit")
+    out = out.select("page_id", "url", "html", "payload_digest", "payload_bytes", kind.alias("record_type"), _ident(run, F.col("record_id")).alias("record_id"), *names, F.when(F.col("o_record_id").isNotNull(), date).alias("o_date"))
+    _write(out, target, F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes")), date)
 
 
 def revisit_archives(pages: DataFrame, least: int = MIN_REVISIT, **columns) -> tuple[str, DataFrame]:
-    """(folder of the deduplicated archives, records read back from them). Empty tables give no records."""
+    """(folder of the deduplicated archives, records read back from them).
+
+    Each row gives one record, repeated rows too; null html is an empty payload; very long payloads have files of their
+    own. An empty table gives no records. Only the three named columns are read, so the names of others don't matter.
+    """
     spark = pages.sparkSession
     root = C.new_path(spark, "warc")
     write_pages(pages, f"{root}/raw", **columns)

@@ -210,6 +210,41 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.revisit_archives(pages.limit(0))[1].count() == 0
 
 
+def test_warc_headers_are_fresh_and_files_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 18)
+    monkeypatch.setattr(warc, "SIZES", (0, 1 << 13, 1 << 17))
+    body = {k: prose(k % 5 if k < 40 else k, 200) for k in range(90)}
+    body |= {200: "L" * 300_000, 201: "L" * 300_000, 202: prose(7, 4000)}
+    pages = spark.createDataFrame([(k, f"http://a/{k}", t) for k, t in body.items()] + [(None, "http://none", body[1])], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "_now", lambda: "2026-01-02T03:04:05Z")
+    warc.write_pages(pages, f"file://{tmp_path}/raw", date="2020-01-01T00:00:00Z")
+    warc.deduplicate(spark, f"file://{tmp_path}/raw", f"file://{tmp_path}/few")
+    monkeypatch.setattr(warc, "REVISIT_BOUND", 5)
+    warc.deduplicate(spark, f"file://{tmp_path}/raw", f"file://{tmp_path}/many")
+    raw, few, many = (warc.read_archive(spark, f"file://{tmp_path}/{x}").collect() for x in ("raw", "few", "many"))
+    shape = lambda rows: sorted(str((r.page_id, r.record_type, r.refers_to, r.payload_digest, r.url)) for r in rows)
+    assert shape(few) == shape(many) and len(few) == len(raw) == 94
+    for rows in (few, many):
+        by_id = {r.record_id: r for r in rows}
+        assert len(by_id) == 94 and not set(by_id) & {r.record_id for r in raw} and {r.date for r in rows} == {"2026-01-02T03:04:05Z"}
+        for r in rows:
+            if r.record_type == "revisit":
+                o = by_id[r.refers_to_id]
+                assert o.record_type == "response" and o.payload_digest == r.payload_digest and o.page_id == r.refers_to and r.html is None
+        assert sum(r.record_type == "revisit" for r in rows) == 35 + 2
+    import gzip
+
+    for path in (tmp_path / "few").glob("*.gz"):
+        text = gzip.decompress(path.read_bytes())
+        if not text:  # of a task without rows
+            continue
+        assert text.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and text.count(b"WARC-Type: warcinfo") == 1
+        assert len(text) < 2 * warc.FILE_BYTES + 300_000
+        for part in text.split(b"WARC/1.1\r\n")[1:]:
+            if b"WARC-Type: revisit" in part:
+                assert b"WARC-Refers-To-Target-URI: http://a/" in part and b"WARC-Refers-To-Date: 2026" in part and b"WARC-Profile" in part
+
+
 def test_decontamination(spark):
     bench = spark.createDataFrame([(1, prose(1, 30)), (2, prose(2, 18)), (3, "tiny item of five tokens"), (4, None), (5, "two words")], "item_id long, text string")
     one = prose(1, 30).split()
