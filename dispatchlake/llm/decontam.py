@@ -22,24 +22,24 @@ SHARE = 75  # percent of an item's tokens on one diagonal that count whatever th
 SEED_BOUND = 2_000_000  # benchmark seeds that are broadcast at most; beyond it the join shuffles
 LAY_BOUND = 500_000  # texts with hits whose places are broadcast at most; beyond it their texts are shuffled
 SALTS = 16  # parts of a frequent seed in the shuffled join
-#: Scripts written without blanks between words: each character, with its marks, is a token.
-UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")
-_ALONE = "".join(rf"\p{{Is{x}}}" for x in UNSPACED)
-_TOKEN = rf"[\p{{L}}\p{{N}}&&[{_ALONE}]]\p{{M}}*|[\p{{L}}\p{{M}}\p{{N}}&&[^{_ALONE}]]+"
+#: Blocks of scripts written without blanks (Thai and Lao, Tibetan and Myanmar, Khmer, Chinese and Japanese): each character, with its marks, is a token.
+_ALONE = r"\u0E00-\u0EFF\u0F00-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3005-\u3007\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters, marks and digits; single characters in the scripts that set no blanks."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), F.lit(0))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    apart = F.when((F.octet_length(low) > F.length(low)) & low.rlike(f"[{_ALONE}]"), F.regexp_replace(low, rf"([{_ALONE}]\p{{M}}*)", " $1 ")).otherwise(low)
+    return F.array_remove(F.split(apart, r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
 def _windows(df: DataFrame, keep: list[str]) -> DataFrame:
     """One row for each token: its place and the hashes of it and of the following ones (null past the end)."""
-    h = df.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    h = df.select(*keep, F.size("words").alias("tokens"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     rest = [F.col("h")] + [F.when(F.size("h") > k, F.slice("h", k + 1, F.greatest(F.size("h") - k, F.lit(0)))) for k in range(1, SPAN)]
     rest = rest[:1] + [F.coalesce(x, F.array().cast("array<bigint>")) for x in rest[1:]]
     zipped = F.arrays_zip(*[x.alias(f"h{k}") for k, x in enumerate(rest)])
-    return h.select(*keep, F.size("h").alias("tokens"), F.posexplode(zipped).alias("at", "w"))
+    return h.select(*keep, "tokens", F.posexplode(zipped).alias("at", "w"))
 
 
 def _seeds(windows: DataFrame, keep: list[str], short: list[int], whole_only: bool) -> DataFrame:
