@@ -1,9 +1,12 @@
 """Personal data: every detected entity gets a keyed surrogate of its own type and format.
 
-A surrogate is derived from a secret key and the entity's canonical form, so all mentions of one entity, in whatever
-spelling and document, get the same one. Before texts are rewritten, the distinct entities of the whole corpus are
-checked: no two share a surrogate and no surrogate is an entity that occurs. Losers of a clash are derived again with
-the next attempt number until none is left; only these exceptions travel with the rewriting pass.
+An entity is made of parts: an address of a mailbox and a domain, a name of given and family names, a number of itself.
+A part's surrogate is derived from a secret key and the part's canonical form, so all mentions, in whatever spelling,
+company and document, get the same one. Before texts are rewritten, the distinct parts of the whole corpus are checked:
+no two share a surrogate and no surrogate is a part that occurs. Losers of a clash are derived again with the next
+attempt number, which also widens what can be drawn; only these exceptions travel with the rewriting pass.
+
+Names are found behind a title, or where a capitalised word follows a common given name; this is a rule, not a model.
 """
 
 from __future__ import annotations
@@ -11,7 +14,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,11 +26,15 @@ from . import common as C
 
 KEY = b"surrogates"  # default secret; give your own
 EXCEPTIONS = 200_000  # clashes that are sent to every task at most; beyond it they are joined
-_TITLES = {"m": ("Mr", "Herr", "Señor", "Sr", "Don", "Monsieur"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme"), "x": ("Dr", "Prof")}
-_GENDER = {t: g for g, ts in _TITLES.items() for t in ts}
-_CYRILLIC = {"m": ("Г-н", "Господин"), "f": ("Г-жа", "Госпожа")}
-_GENDER |= {t: g for g, ts in _CYRILLIC.items() for t in ts}
-#: Given names by script and gender; fixed values.
+ATTEMPTS = 64  # derivations of one surrogate before the job fails: its type has no room left
+#: Titles by gender; fixed values.
+TITLES = {
+    "m": ["Mr", "Herr", "Señor", "Sr", "Don", "Monsieur", "Г-н", "Господин", "Κύριος", "Κος", "श्री"],
+    "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Г-жа", "Госпожа", "Κυρία", "Κα", "श्रीमती"],
+    "x": ["Dr", "Prof", "Δρ"],
+}
+_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+#: Given names by script and gender, drawn for surrogates and known as names; fixed values.
 GIVEN = {
     ("latin", "m"): ["Adrian", "Bruno", "Conrad", "Dorian", "Emil", "Felix", "Gregor", "Hugo", "Ivan", "Julian", "Konrad", "Leo", "Martin", "Nico", "Oscar", "Paul"],
     ("latin", "f"): ["Alma", "Bella", "Clara", "Dora", "Elsa", "Flora", "Greta", "Helena", "Irma", "Julia", "Karla", "Lena", "Mara", "Nora", "Olga", "Paula"],
@@ -33,63 +42,125 @@ GIVEN = {
     ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Иван", "Кирилл", "Лев"],
     ("cyrillic", "f"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Клара", "Лидия"],
     ("cyrillic", "x"): ["Саша", "Женя", "Валя", "Слава"],
+    ("greek", "m"): ["Άρης", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος", "Σταύρος", "Φώτης"],
+    ("greek", "f"): ["Άννα", "Γεωργία", "Δήμητρα", "Ελένη", "Κατερίνα", "Μαρία", "Σοφία", "Χριστίνα"],
+}
+#: Further common given names that mark a name without a title; fixed values.
+COMMON = {
+    "m": ["James", "John", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Matthew", "Peter", "Andrew", "George", "Hans", "Jürgen", "Klaus", "Wolfgang", "Pierre", "Jean", "Louis", "José", "Juan", "Carlos", "Luis", "Miguel", "Antonio"],
+    "f": ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Anna", "Emma", "Laura", "Maria", "Ursula", "Monika", "Sabine", "Marie", "Sophie", "Camille", "Carmen", "Isabel", "Lucía", "Ana", "Elena", "Rosa"],
 }
-_SYLLABLES = {"latin": [c + v for c in "bdfgklmnprstv" for v in "aeio"], "cyrillic": [c + v for c in "бвгдклмнпрст" for v in "аеио"]}
+_KNOWN = {n.casefold(): g for (_, g), names in GIVEN.items() for n in names} | {n.casefold(): g for g, names in COMMON.items() for n in names}
+#: Consonants and vowels of made-up names by script, and endings by gender; other scripts draw from the name's own block.
+LETTERS = {"latin": ("bdfgklmnprstv", "aeio"), "cyrillic": ("бвгдклмнпрст", "аеио"), "greek": ("βγδθκλμνπρστφ", "αεηιο"), "devanagari": ("कगचजतदनपबमरलवस", "ाीेो"), "georgian": ("ბგდვზთკლმნრს", "აეიო"), "armenian": ("բգդզթլկմնպռս", "աեիո")}
+ENDINGS = {"latin": {"m": ["us", "an", "or"], "f": ["a", "ina", "elle"], "x": ["en", "is"]}, "cyrillic": {"m": ["ан", "ор"], "f": ["а", "ина"], "x": ["ен"]}, "greek": {"m": ["ος", "ης"], "f": ["α", "η"], "x": ["ις"]}}
+#: Country codes of two digits; 1 and 7 have one, all others three. Fixed values.
+COUNTRY_CODES = {20, 27, *range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98}
+
+_L = r"(?:[^\W\d_]|[\u0300-\u036F\u0900-\u0DFF])"  # a letter, with the marks of scripts that need them
+_WORD = rf"{_L}+(?:['’\-]{_L}+)*"
 _TITLE = "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True))
+_TITLED = re.compile(rf"(?<!\w)(?:{_TITLE})\.? {_WORD}(?: {_WORD})?")
+_PAIR = re.compile(rf"(?<![^\W\d_])[A-ZÀ-ÞΆ-ΫА-Я]{_L}+ (?=[A-ZÀ-ÞΆ-ΫА-Я])({_WORD})")
+_CUE = re.compile(r"(?i)(?:phone|tel|call|mobile|cell|fax|tél|тел|telefon)\w{0,6}\W{0,3}$")
+_GROUPED = re.compile(r"\d{1,3}(?:[ .]\d{3})+")
 _PATTERNS: list[tuple[str, re.Pattern, str]] = [  # (type, pattern, characters of which a text must have one), in order of precedence
     ("email", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24}"), "@"),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), "0123456789"),
-    ("secret", re.compile(r"\b(?=[0-9A-Fa-f]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b"), "0123456789"),
+    ("secret", re.compile(r"\b((?=[0-9A-Fa-f]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}))\b"), "0123456789"),
+    ("secret", re.compile(r"\b(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_\-]{20,128}|xox[abpr]-[A-Za-z0-9\-]{10,128})\b"), "-_A"),
+    ("secret", re.compile(r"(?i)\b(?:api|secret|access|auth)?[_\- ]?(?:key|secret|token|passw(?:or)?d)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?((?=[A-Za-z]*\d)(?=\d*[A-Za-z])[A-Za-z0-9+/_\-]{12,128})(?![A-Za-z0-9+/_\-])"), ":="),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"), "."),
     ("ssn", re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"), "-"),
-    ("card", re.compile(r"(?<![\d\-])\d{4}([ \-]?)\d{4}\1\d{4}\1\d{1,7}(?![\d\-])"), "0123456789"),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?![\w])"), "0123456789"),
+    ("card", re.compile(r"(?<![\d\-])(?:\d{4}([ \-]?)\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5})(?![\d\-])"), "0123456789"),
+    ("phone", re.compile(r"(?<![\w+])(?<!\d[ .\-])(?:\+\d{1,3}[ .\-]?|1[ .\-])?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?![\w])(?![ .\-]\d)"), "0123456789"),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?![\w])"), "+"),
-    ("name", re.compile(rf"\b(?:{_TITLE})\.? [^\W\d_]+(?: [^\W\d_]+)?"), ""),
 ]
-_HAS_TITLE = re.compile(rf"\b(?:{_TITLE})\.? [^\W\d_a-z]")
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
-    """Entities (start, end, type, canonical form) of a text, in order, without overlaps."""
-    digits = any(c in text for c in "0123456789")
+    """Entities (start, end, type, canonical form) of a text, in order, without overlaps.
+
+    Card numbers must have a right check digit and IBANs a right checksum; digits in groups of three are an amount
+    unless a word for a telephone stands before them.
+    """
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+
+    def take(a: int, b: int, kind: str, value: str) -> None:
+        if all(b <= x[0] or a >= x[1] for x in found):
+            found.append((a, b, kind, value))
+
+    digits = any(c in text for c in "0123456789")
     for kind, pattern, signs in _PATTERNS:
-        if kind == "name":
-            if not _HAS_TITLE.search(text):
-                continue
-        elif kind != "email" and not digits or signs and not any(c in text for c in signs):
+        if kind != "email" and not digits or not any(c in text for c in signs):
             continue
         for m in pattern.finditer(text):
-            a, b = m.span()
-            if kind == "name":
-                words = m.group().split(" ")
-                while len(words) > 1 and not words[-1][0].isupper():
-                    b -= len(words.pop()) + 1
-                if len(words) < 2:
-                    continue
-            if all(b <= x or a >= y for x, y in taken):
-                found.append((a, b, kind, canonical(kind, text[a:b])))
-                taken.append((a, b))
+            a, b = m.span(1) if kind == "secret" else m.span()
+            if kind == "iban":
+                while b > a + 4 and not _iban_fits(text[a:b]):
+                    b = max(text.rfind(" ", a, b), a)
+            if kind == "iban" and b <= a + 4 or kind == "card" and not _luhn_fits(text[a:b]):
+                continue
+            if kind == "phone" and _GROUPED.fullmatch(text, a, b) and not _CUE.search(text, max(0, a - 24), a):
+                continue
+            take(a, b, kind, canonical(kind, text[a:b]))
+    for m in _TITLED.finditer(text):
+        title, *words = m.group().split(" ")
+        while words and not (words[-1][0].isupper() or words[-1][0].lower() == words[-1][0].upper()):
+            words.pop()
+        if words:
+            take(m.start(), m.start() + len(" ".join([title, *words])), "name", _name(_GENDER[title.rstrip(".")], words))
+    for m in _PAIR.finditer(text):
+        words = m.group().split(" ")
+        if words[0].casefold() in _KNOWN:
+            take(*m.span(), "name", _name("x", words))
     return sorted(found)
 
 
+def _name(gender: str, words: list[str]) -> str:
+    """Canonical form: gender of the given name (by the name itself if it is a known one), given name, family name."""
+    given = words[0].casefold() if len(words) > 1 else ""
+    return "\x1f".join([_KNOWN.get(given, gender), given, words[-1].casefold()])
+
+
 def canonical(kind: str, value: str) -> str:
-    """One form for all spellings of an entity: no case in addresses, no separators in numbers."""
-    if kind in ("email", "secret"):
+    """One form for all spellings of an entity: no case in addresses, no separators in numbers, no country code 1."""
+    if kind == "email" or kind == "secret" and re.fullmatch("[0-9A-Fa-f]+", value):
         return value.lower()
-    if kind == "ip":
+    if kind in ("secret", "ip"):
         return value
+    number = re.sub(r"[^0-9A-Z]", "", value)
+    if kind == "phone":
+        if len(number) == 11 and number[0] == "1":
+            return number[1:]
+        return "+" * value.startswith("+") + number
+    return number
+
+
+def parts(kind: str, value: str) -> list[tuple[str, str]]:
+    """(type, value) of the parts of an entity in canonical form. Equal parts of different entities are one part."""
+    if kind == "email":
+        local, domain = value.split("@")
+        return [("mailbox", local), ("domain", domain)]
     if kind == "name":
-        title, *names = value.split(" ")
-        return _GENDER.get(title.rstrip("."), "x") + " " + " ".join(names).casefold()
-    plus = "+" if kind == "phone" and value.startswith("+") else ""
-    return plus + re.sub(r"[^0-9A-Z]", "", value)
+        gender, given, family = value.split("\x1f")
+        return [(f"given-{gender}", given), ("family", family)] if given else [("family", family)]
+    return [(kind, value)]
+
+
+@lru_cache(1 << 12)
+def _script(c: str) -> str:
+    return unicodedata.name(c, "LATIN").split(" ")[0].split("-")[0].lower()
+
+
+@lru_cache(1 << 8)
+def _block(start: int) -> list[str]:
+    """Letters without capitals of a block of 128 characters."""
+    return [c for c in map(chr, range(start, start + 128)) if unicodedata.category(c) in ("Ll", "Lo")]
 
 
 class Surrogates:
-    """Keyed replacements in canonical form, and their fitting to the mention at hand."""
+    """Keyed replacements of parts, and their fitting to the mention at hand."""
 
     def __init__(self, key: bytes):
         self.key = key
@@ -102,67 +173,96 @@ class Surrogates:
             yield from block
 
     def make(self, kind: str, value: str, attempt: int = 0) -> str:
-        """Canonical surrogate of a canonical entity; attempt > 0 after clashes."""
+        """Surrogate of a part; attempt > 0 after clashes."""
         s = self._stream(kind, value, attempt)
-        pick = lambda n: (next(s) << 16 | next(s) << 8 | next(s)) % n
+
+        def pick(n: int) -> int:
+            return (next(s) << 24 | next(s) << 16 | next(s) << 8 | next(s)) % n
+
         digit = lambda: str(pick(10))
-        if kind == "email":
-            local = value.split("@")[0]
-            return "".join(digit() if c.isdigit() else chr(97 + pick(26)) if c.isalpha() else c for c in local) + f"@mail{pick(1000)}.example.org"
+        like = lambda c: digit() if c.isdigit() else chr(97 + pick(26)) if c.islower() else chr(65 + pick(26)) if c.isupper() else c
+        if kind == "mailbox":
+            return "".join(map(like, value)) + "".join(chr(97 + pick(26)) for _ in range(attempt - 1))
+        if kind == "domain":
+            return "mail" + "".join("0123456789abcdefghijklmnopqrstuvwxyz"[pick(36)] for _ in range(6 + attempt)) + ".example.org"
         if kind == "secret":
-            return "".join("0123456789abcdef"[pick(16)] for _ in value)
+            if re.fullmatch("[0-9a-f]+", value):
+                return "".join("0123456789abcdef"[pick(16)] for _ in value)
+            lead = re.match(r"AKIA|[A-Za-z]{2,4}[_\-]|", value).end()  # the issuer's mark stays
+            return value[:lead] + "".join(map(like, value[lead:]))
         if kind == "ip":
             return ".".join(str(1 + pick(n)) for n in (222, 254, 254, 254))
         if kind == "ssn":
-            return f"9{pick(100):02d}{1 + pick(99):02d}{1 + pick(9999):04d}"
+            area = f"9{pick(100):02d}" if attempt < 8 else f"{1 + pick(999):03d}"  # areas from 900 are never given out
+            return f"{area}{1 + pick(99):02d}{1 + pick(9999):04d}"
         if kind == "card":
             body = value[0] + "".join(digit() for _ in value[1:-1])
-            return body + (_luhn_digit(body) if value[-1] == _luhn_digit(value[:-1]) else digit())
+            return body + _luhn_digit(body)
         if kind == "iban":
-            body = "".join(digit() if c.isdigit() else chr(65 + pick(26)) for c in value[4:])
+            body = "".join(map(like, value[4:]))
             number = int("".join(str(int(c, 36)) for c in body + value[:2] + "00"))
             return f"{value[:2]}{98 - number % 97:02d}{body}"
         if kind == "phone":
-            lead = 2 if value.startswith("+") else 0
+            lead = 0
+            if value.startswith("+"):
+                lead = 2 if value[1] in "17" else 3 if value[1:3].isdigit() and int(value[1:3]) in COUNTRY_CODES else 4
             return value[:lead] + "".join(digit() for _ in value[lead:])
-        gender, *names = value.split(" ")
-        out = []
-        for k, name in enumerate(names):
-            script = "cyrillic" if "Ѐ" <= name[0] <= "ӿ" else "latin"
-            if k == 0 and len(names) > 1:
-                # a given name is drawn from itself alone, so it stays the same beside another family name
-                t = self._stream("given", gender, name, attempt)
-                out.append(GIVEN[script, gender][(next(t) << 8 | next(t)) % len(GIVEN[script, gender])].casefold())
-            else:
-                t = self._stream("family", name, attempt)
-                out.append("".join(_SYLLABLES[script][(next(t) << 8 | next(t)) % len(_SYLLABLES[script])] for _ in range(4)))
-        return gender + " " + " ".join(out)
+        gender = kind.partition("-")[2]  # none for a family name
+        script = _script(value[0])
+        if gender and not attempt and (script, gender) in GIVEN:
+            return GIVEN[script, gender][pick(len(GIVEN[script, gender]))].casefold()
+        if script not in LETTERS:
+            letters = _block(ord(value[0]) & ~127) or list(value)
+            return "".join(letters[pick(len(letters))] for _ in range(max(2, len(value)) + attempt // 2))
+        hard, soft = LETTERS[script]
+        name = "".join(hard[pick(len(hard))] + soft[pick(len(soft))] for _ in range((2 if gender else 4) + attempt // 2))
+        endings = ENDINGS.get(script, {}).get(gender)
+        return name[:-1] + endings[pick(len(endings))] if endings else name
 
     @staticmethod
-    def fit(kind: str, mention: str, surrogate: str) -> str:
-        """The surrogate in the mention's format: same separators, case and title."""
+    def fit(kind: str, mention: str, made: list[str]) -> str:
+        """The parts' surrogates in the mention's format: same separators, case, title and country code."""
         if kind == "email":
-            return surrogate.upper() if mention.isupper() else surrogate
+            out = "@".join(made)
+            return out.upper() if mention.isupper() else out
         if kind == "secret":
-            return surrogate.upper() if mention.upper() == mention else surrogate
+            return made[0].upper() if re.fullmatch("[0-9A-F]+", mention) else made[0]
         if kind == "ip":
-            return surrogate
+            return made[0]
         if kind == "name":
-            title, *old = mention.split(" ")
-            return " ".join([title, *(n.upper() if o.isupper() and len(o) > 1 else n.title() for o, n in zip(old, surrogate.split(" ")[1:], strict=True))])
-        chars = iter(surrogate.removeprefix("+"))
+            words = mention.split(" ")
+            old = words[-len(made) :]
+            case = lambda n, o: n.upper() if len(o) > 1 and o.isupper() else n.title() if o[0].isupper() else n
+            return " ".join([*words[: -len(made)], *map(case, made, old)])
+        new = made[0].removeprefix("+")
+        kept = sum(c.isalnum() for c in mention) - len(new)  # a country code that isn't part of the canonical form
+        chars = iter([c for c in mention if c.isalnum()][:kept] + list(new))
         return "".join(next(chars) if c.isalnum() else c for c in mention)
 
 
+def _luhn_fits(value: str) -> bool:
+    digits = re.sub(r"\D", "", value)
+    return 13 <= len(digits) <= 19 and digits[-1] == _luhn_digit(digits[:-1])
+
+
+def _iban_fits(value: str) -> bool:
+    plain = value.replace(" ", "")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
 def _luhn_digit(body: str) -> str:
     total = sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(body)))
     return str(-total % 10)
 
 
+_PART = "kind string, value string"
+_MADE = f"{_PART}, attempt int, surrogate string"
+
+
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen = {(kind, value) for t in batch.column(0).to_pylist() if t for _, _, kind, value in detect(t)}
-        yield C.record_batch({"kind": [k for k, _ in seen], "value": [v for _, v in seen]}, "kind string, value string")
+        seen = {x for t in batch.column(0).to_pylist() if t for _, _, kind, value in detect(t) for x in parts(kind, value)}
+        yield C.record_batch({"kind": [k for k, _ in seen], "value": [v for _, v in seen]}, _PART)
 
 
 def _made(key: bytes) -> Callable:
@@ -171,78 +271,113 @@ def _made(key: bytes) -> Callable:
         for batch in batches:
             rows = batch.to_pydict()
             out = [s.make(*x) for x in zip(rows["kind"], rows["value"], rows["attempt"], strict=True)]
-            yield C.record_batch(rows | {"surrogate": out}, "kind string, value string, attempt int, surrogate string")
+            yield C.record_batch(rows | {"surrogate": out}, _MADE)
 
     return run
 
 
-def surrogate_table(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
-    """(kind, value, attempt, surrogate) of each distinct entity of the corpus, without clashes.
+def part_table(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(kind, value, attempt, surrogate) of each distinct part of the corpus, without clashes; and those of attempt > 0.
 
-    A clash is a surrogate that two entities share (the smallest keeps it) or that is itself an entity of its type.
+    A clash is a surrogate that two parts of a type share (the smallest keeps it), that an earlier attempt made, or that
+    is itself a part of its type. Only losers go on to the next attempt. If some are left after ATTEMPTS, their type has
+    no room for them and the job fails.
     """
     C.prepare(docs.sparkSession)
-    kind = "kind string, value string, attempt int, surrogate string"
-    entities = C.store(docs.select(F.col(text_col).alias("text")).mapInArrow(_found, "kind string, value string").distinct(), "entities")
-    fixed, todo = None, entities.withColumn("attempt", F.lit(0))
-    real = entities.select("kind", F.col("value").alias("surrogate"))
-    while True:
-        made = todo.mapInArrow(_made(key), kind)
-        table = C.store(made if fixed is None else fixed.unionByName(made), "surrogates")
-        first = table.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "value")).alias("first")).filter("n > 1").select("kind", "surrogate", F.col("first.value").alias("keeps"))
-        shared = table.join(first, ["kind", "surrogate"]).filter("value <> keeps").select("kind", "value")
-        taken = table.join(real, ["kind", "surrogate"], "left_semi").select("kind", "value")
-        clashes = C.store(shared.union(taken).distinct(), "clashes")
-        if clashes.isEmpty():
-            return table
-        fixed = table.join(clashes, ["kind", "value"], "left_anti")
-        todo = table.join(clashes, ["kind", "value"], "left_semi").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
+    todo = C.store(docs.select(F.col(text_col).alias("text")).mapInArrow(_found, _PART).distinct(), "parts")
+    real = todo.select("kind", F.col("value").alias("surrogate"))
+    rounds, settled = [], []
+    for attempt in range(ATTEMPTS):
+        made = C.store(todo.withColumn("attempt", F.lit(attempt)).mapInArrow(_made(key), _MADE), "surrogates")
+        same = made.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("keeps")).filter("n > 1")
+        lost = made.join(same.drop("n"), ["kind", "surrogate"]).filter("value <> keeps").select("kind", "value")
+        for used in (real, *(x.select("kind", "surrogate") for x in rounds)):
+            lost = lost.union(made.join(used, ["kind", "surrogate"], "left_semi").select("kind", "value"))
+        lost = C.store(lost.distinct(), "clashes")
+        rounds.append(made)
+        settled.append(made.join(lost, ["kind", "value"], "left_anti"))
+        if lost.isEmpty():
+            break
+        todo = lost
+    else:
+        raise RuntimeError(f"no free surrogates are left after {ATTEMPTS} attempts for parts such as {lost.first()}")
+    whole, more = settled[0], made.filter("attempt > 0")
+    for x in settled[1:]:
+        whole = whole.unionByName(x)
+    for x in settled[1:-1]:
+        more = more.unionByName(x)
+    return whole, more
+
+
+def surrogate_table(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+    """(kind, value, surrogate) of each distinct entity of the corpus, put together from its parts."""
+    whole, _ = part_table(docs, key, text_col)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = {x[2:] for t in batch.column(0).to_pylist() if t for x in detect(t)}
+            rows = [(k, v, n, *p) for k, v in seen for n, p in enumerate(parts(k, v))]
+            yield C.record_batch(dict(zip(("entity", "canonical", "n", "kind", "value"), map(list, zip(*rows, strict=True)), strict=True)) if rows else dict.fromkeys(("entity", "canonical", "n", "kind", "value"), []), f"entity string, canonical string, n int, {_PART}")
+
+    mentions = docs.select(F.col(text_col).alias("text")).mapInArrow(split, f"entity string, canonical string, n int, {_PART}").distinct()
+    named = mentions.join(whole, ["kind", "value"]).groupBy("entity", "canonical").agg(F.sort_array(F.collect_list(F.struct("n", "surrogate"))).alias("p"))
+    return named.select(F.col("entity").alias("kind"), F.col("canonical").alias("value"), F.expr("array_join(p.surrogate, if(entity = 'email', '@', ' '))").alias("surrogate"))
 
 
 def replace_entities(docs: DataFrame, key: bytes = KEY, text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
     """docs with surrogates in ``text_col`` and the number of replaced mentions in ``count_col`` (None: not wanted).
 
-    Null texts stay null; texts without entities stay as they are; other columns pass through.
+    Null texts stay null, texts without entities stay as they are, and texts of any length are read whole. Repeated rows
+    get the same replacements; an empty table gives no rows. A column named ``count_col`` is replaced, all others pass
+    through. Overlapping finds go to the type that comes first in _PATTERNS.
     """
-    table = surrogate_table(docs, key, text_col).filter("attempt > 0").select("kind", "value", "attempt")
-    keep = [c for c in docs.columns if c not in (text_col, count_col)]
-    body = docs.select(*keep, F.col(text_col).alias("__text"))
-    if C.fits(table, EXCEPTIONS):
-        known = {(r["kind"], r["value"]): r["attempt"] for r in table.collect()}
-        body = body.withColumn("__own", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
+    _, more = part_table(docs, key, text_col)
+    more = C.store(more.select("kind", "value", "attempt"), "exceptions")
+    drop = {x.lower() for x in (text_col, count_col) if x}
+    keep = [c for c in docs.columns if c.lower() not in drop]
+    body_col, own_col = C.fresh("body", docs.columns), C.fresh("own", docs.columns)
+    body = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias(body_col))
+    if C.fits(more, EXCEPTIONS):
+        known = {(r["kind"], r["value"]): r["attempt"] for r in more.collect()}
+        body = body.withColumn(own_col, F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
     else:  # many clashes: each text with exceptions gets its own ones by a join
         known = {}
-        body = _with_exceptions(body, table)
+        body = _with_exceptions(body, more, body_col, own_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Surrogates(key)
+        make = lru_cache(1 << 14)(s.make)
         for batch in batches:
             texts, counts = [], []
             for t, own in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True):
                 found = detect(t) if t else []
                 attempts = known if own is None else {(x["kind"], x["value"]): x["attempt"] for x in own}
-                parts, at = [], 0
+                pieces, at = [], 0
                 for a, b, kind, value in found:
-                    parts += [t[at:a], s.fit(kind, t[a:b], s.make(kind, value, attempts.get((kind, value), 0)))]
+                    pieces += [t[at:a], s.fit(kind, t[a:b], [make(*x, attempts.get(x, 0)) for x in parts(kind, value)])]
                     at = b
-                texts.append("".join([*parts, t[at:]]) if found else t)
+                texts.append("".join([*pieces, t[at:]]) if found else t)
                 counts.append(len(found))
-            more = [pa.array(counts, pa.int32())] if count_col else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), *more], names=[*keep, text_col, *([count_col] if count_col else [])])
+            extra = [pa.array(counts, pa.int32())] if count_col else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), *extra], names=[*keep, text_col, *([count_col] if count_col else [])])
 
-    shape = docs.select(*keep, text_col)
+    shape = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias(text_col))
     shape = shape.withColumn(count_col, F.lit(0)) if count_col else shape
-    out = body.select(*keep, "__text", "__own").mapInArrow(run, shape.schema)
-    return out.select(*[c for c in docs.columns if c != count_col], *([count_col] if count_col else []))
+    out = body.select(*[F.col(f"`{c}`") for c in (*keep, body_col, own_col)]).mapInArrow(run, shape.schema)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if not count_col or c.lower() != count_col.lower()], *([count_col] if count_col else []))
 
 
-def _with_exceptions(body: DataFrame, table: DataFrame) -> DataFrame:
+def _with_exceptions(body: DataFrame, table: DataFrame, text_col: str = "__text", own_col: str = "__own") -> DataFrame:
+    """body with the list of each text's parts that are in ``table``. A text with very many copies meets its list by broadcast."""
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, k, v) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, v in {x[2:] for x in detect(t or "")}]
-            yield C.record_batch({"h": [r[0] for r in rows], "kind": [r[1] for r in rows], "value": [r[2] for r in rows]}, "h long, kind string, value string")
-
-    hashed = body.withColumn("__h", F.xxhash64("__text"))
-    mentions = hashed.select("__h", "__text").mapInArrow(listed, "h long, kind string, value string").distinct()
-    own = mentions.join(table, ["kind", "value"]).groupBy(F.col("h").alias("__h")).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("__own"))
-    return hashed.join(own, "__h", "left").drop("__h")
+            rows = [(h, *x) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in {p for e in detect(t or "") for p in parts(*e[2:])}]
+            yield C.record_batch({"h": [r[0] for r in rows], "kind": [r[1] for r in rows], "value": [r[2] for r in rows]}, f"h long, {_PART}")
+
+    h = C.fresh("h", body.columns)
+    hashed = body.withColumn(h, F.xxhash64(text_col))
+    mentions = hashed.select(h, text_col).mapInArrow(listed, f"h long, {_PART}").distinct()
+    own = mentions.join(table, ["kind", "value"]).groupBy(F.col("h").alias(h)).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(own_col))
+    copies = hashed.groupBy(h).agg(F.count(F.lit(1)).alias("copies of the text"))
+    return C.join_keyed(hashed, own.join(copies, h), [h], C.rows_of(body), "copies of the text", "left").drop(h)
