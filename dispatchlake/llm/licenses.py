@@ -10,6 +10,7 @@ part of the template and the span in the text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,24 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .license_texts import TEMPLATES
 
 GRAM = 3
 WINDOW = 2  # any GRAM + WINDOW - 1 common words in a row are found
 BAND = 8
 COVERAGE = 0.75
-#: Notices and license headers; fixed values.
-TEMPLATES = {
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "MIT-notice": "Released under the MIT License",
-    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0",
-    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-}
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
 _WORD[128:] = True
@@ -126,17 +115,30 @@ class Index:
             for p, g in zip(*fingerprints(h, np.array([0, len(h)])), strict=True):
                 at.setdefault(int(g), []).append((t, int(p)))
         self.at = at
+        self.arrays = [np.array(x, np.uint64) for x in self.words]
         self.keys = np.array(sorted(at), np.uint64)
 
     def scan(self, h: np.ndarray, places: np.ndarray, prints: np.ndarray, coverage: float) -> list[tuple[str, int, int, int, int]]:
         """(template, matched, template words, first word, end word) of a text's best, non-overlapping matches."""
         text = h.tolist()
+        far = max(map(len, self.words)) + BAND
+        padded = np.concatenate((np.zeros(far, np.uint64), h, np.zeros(2 * far, np.uint64)))
+
+        @cache
+        def could(t: int, shift: int) -> bool:
+            """Whether enough of a template's words stand within the band of a diagonal, wherever in it."""
+            template, there = self.arrays[t], np.zeros(len(self.words[t]), bool)
+            for d in range(-BAND, BAND + 1):
+                there |= padded[far + shift + d : far + shift + d + len(template)] == template
+            return np.count_nonzero(there) >= coverage * len(template)
+
         lays: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for p, g in zip(places.tolist(), prints.tolist(), strict=True):
             for t, q in self.at[g]:
                 lays.setdefault((t, p - q), []).append((p, q))
         found, met = set(), {t: bytearray(len(text)) for t, _ in lays}
-        for t, shift in lays:  # every diagonal; what was found near it is taken, and the rest aligned again
+        possible = {x for x in lays if could(*x)}
+        for t, shift in possible:  # every diagonal; what was found near it is taken, and the rest aligned again
             need, taken = coverage * len(self.words[t]), bytearray(len(text))
             while (x := align(text, self.words[t], shift, taken))[0] >= need:
                 found.add((x[0], t, *x[1:]))
@@ -144,7 +146,7 @@ class Index:
                     seen[x[1] : x[2]] = b"\1" * (x[2] - x[1])
         for (t, _), hits in lays.items():  # a damaged copy may stand beside a better one or a long fragment
             for p, q in hits:
-                if not all(met[t][p : p + GRAM]):
+                if not all(met[t][p : p + GRAM]) and could(t, p - q):
                     m, a, b = through(text, self.words[t], p, q)
                     if m >= coverage * len(self.words[t]):
                         found.add((m, t, a, b))
@@ -160,8 +162,10 @@ class Index:
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, matched, template_words, coverage, first_word, end_word, start_byte, end_byte) of each match.
 
-    Of overlapping matches the one with most words counts. Null and empty texts have none; repeated rows are each
-    reported. Whole texts are scanned.
+    Of overlapping matches the one with most words counts, at a tie the one that covers more of its template, then the
+    template given first. Null and empty texts have none; repeated rows are each reported, null ids too. Whole texts are
+    scanned, however long; an empty table has no matches. Only the two columns are read, so the names of others don't
+    matter. Each license is told by all its words: BSD texts of two and three clauses, or GNU versions, by the best.
     """
     C.prepare(docs.sparkSession)
     given = templates or TEMPLATES
