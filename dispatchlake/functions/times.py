@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Forms of reported times; each gives its fields as numbered groups. Fixed values.
 _SLASH = r"(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})(?!\d)(?:[ T]+(\d{1,2}):(\d{2})(?::\d{2})?\s*([AaPp][Mm])?)?"
 _DASH = r"(\d{4})-(\d{1,2})-(\d{1,2})(?:[ T]+(\d{1,2}):(\d{2}))?"
 _NO_YEAR = r"^(\d{1,2})/(\d{1,2})(?!/)(?:\s+(\d{1,2}):(\d{2})(?::\d{2})?\s*([AaPp][Mm])?)?$"
 _STRICT = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{2})(?::(\d{2}))?(?: ([AaPp][Mm]))?$"
 
 
-def _num(s: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(s, pattern, group).try_cast("int")
+def _groups(s: Column, pattern: str, n: int) -> Column:
+    """The n groups of a pattern's first match as an array, by one match; an array of one element if there is none."""
+    body = pattern if pattern.startswith("^") else f"^.*?{pattern}.*$"
+    return F.split(F.regexp_replace(s, body, "|".join(["\u0001", *[f"${k}" for k in range(1, n + 1)]])), r"\|")
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _int(g: Column, k: int) -> Column:
+    return F.get(g, k).try_cast("int")
 
 
 def _clock(hour: Column, half: Column) -> Column:
@@ -32,21 +44,24 @@ def reported_ts(c: Column, mode: str = "full", now: str | None = None) -> Column
     century; also year-month-day, and month/day in the year of ``now``. ``strict4``: the whole text, four-digit year
     and a clock with or without seconds and AM/PM. ``timed``: as full, but a clock must be there.
     """
-    s = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    s = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "), "[|\u0001]", "?"))
+    there = lambda g: F.get(g, 0) == "\u0001"
     if mode == "strict4":
-        return _time(_num(s, _STRICT, 3), _num(s, _STRICT, 1), _num(s, _STRICT, 2), _clock(_num(s, _STRICT, 4), F.regexp_extract(s, _STRICT, 7)), _num(s, _STRICT, 5), F.coalesce(_num(s, _STRICT, 6), F.lit(0)))
-    year = _num(s, _SLASH, 3)
-    year = F.when(F.length(F.regexp_extract(s, _SLASH, 3)) == 2, year + F.when(year <= 69, 2000).otherwise(1900)).otherwise(year)
+        return _let(_groups(s, _STRICT, 7), lambda g: F.when(there(g), _time(_int(g, 3), _int(g, 1), _int(g, 2), _clock(_int(g, 4), F.get(g, 7)), _int(g, 5), F.coalesce(_int(g, 6), F.lit(0)))))
 
-    def clock(pattern: str, hour: int, half: int | None) -> tuple[Column, Column]:
-        there = F.regexp_extract(s, pattern, hour) != ""
-        h = _clock(_num(s, pattern, hour), F.regexp_extract(s, pattern, half) if half else F.lit(""))
+    def form(g: Column, y: Column, mo: int, d: int, hour: int, half: int | None) -> Column:
         none = F.lit(None).cast("int") if mode == "timed" else F.lit(0)
-        return F.when(there, h).otherwise(none), F.when(there, _num(s, pattern, hour + 1)).otherwise(none)
+        timed = F.get(g, hour) != ""
+        h = _clock(_int(g, hour), F.get(g, half) if half else F.lit(""))
+        return F.when(there(g), _time(y, _int(g, mo), _int(g, d), F.when(timed, h).otherwise(none), F.when(timed, _int(g, hour + 1)).otherwise(none)))
+
+    def century(g: Column) -> Column:
+        year = _int(g, 3)
+        return F.when(F.length(F.get(g, 3)) == 2, year + F.when(year <= 69, 2000).otherwise(1900)).otherwise(year)
 
-    forms = [_time(year, _num(s, _SLASH, 1), _num(s, _SLASH, 2), *clock(_SLASH, 4, 6)), _time(_num(s, _DASH, 1), _num(s, _DASH, 2), _num(s, _DASH, 3), *clock(_DASH, 4, None))]
+    forms = [_let(_groups(s, _SLASH, 6), lambda g: form(g, century(g), 1, 2, 4, 6)), _let(_groups(s, _DASH, 5), lambda g: form(g, _int(g, 1), 2, 3, 4, None))]
     if now is not None:
-        forms.append(_time(F.year(F.lit(now).cast("timestamp_ntz")), _num(s, _NO_YEAR, 1), _num(s, _NO_YEAR, 2), *clock(_NO_YEAR, 3, 5)))
+        forms.append(_let(_groups(s, _NO_YEAR, 5), lambda g: form(g, F.year(F.lit(now).cast("timestamp_ntz")), 1, 2, 3, 5)))
     return F.coalesce(*forms)
 
 

@@ -11,17 +11,26 @@ from dispatchlake.functions.text import folded
 
 
 def _chained(inc: DataFrame, window_min: int) -> DataFrame:
-    """Rows that may belong to an episode, with location_key, severity and episode_id.
+    """Rows that may belong to an episode, with location_key, severity and the number ``no`` of their episode there.
 
-    A record joins the one before it at the same place if the gap is at most the window; one shuffle by place serves
-    the gap, the running number and all that follows.
+    A record joins the one before it at the same place if the gap is at most the window. Rows are chained within a place
+    and a day; how a day follows on the days before it is found on one summary row for each of them, so a place with very
+    many rows is spread over as many tasks as it has days.
     """
     rows = inc.withColumn("location_key", folded(F.col("location"))).withColumn("severity", severity(F.col("cause")))
-    rows = rows.filter((F.col("location_key") != "") & F.col("reported_ts").isNotNull() & (F.upper(F.trim("cause")) != "TRAFFIC CONTROL"))
-    by_time = Window.partitionBy("location_key").orderBy("reported_ts", "incident_number")
-    gap = F.timestamp_diff("SECOND", F.lag("reported_ts").over(by_time), F.col("reported_ts"))
-    starts = F.when(gap.isNull() | (gap > window_min * 60), 1).otherwise(0) if window_min > 0 else F.lit(1)
-    return rows.withColumn("starts", starts).withColumn("no", F.sum("starts").over(by_time.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
+    rows = rows.filter((F.col("location_key") != "") & F.col("reported_ts").isNotNull() & (F.upper(F.trim("cause")) != "TRAFFIC CONTROL")).withColumn("day", F.to_date("reported_ts"))
+    apart = lambda early, late: F.timestamp_diff("SECOND", early, late) > window_min * 60 if window_min > 0 else F.lit(True)
+    keys = ["location_key", "day"]
+    by_time = Window.partitionBy(*keys).orderBy("reported_ts", "incident_number")
+    before = F.lag("reported_ts").over(by_time)
+    starts = F.when(before.isNotNull() & apart(before, F.col("reported_ts")), 1).otherwise(0)  # the day's first row is dealt with below
+    days = rows.select(*keys, "reported_ts", "incident_number").withColumn("starts", starts).groupBy(*keys).agg(F.min("reported_ts").alias("lo"), F.max("reported_ts").alias("hi"), F.sum("starts").alias("starts"))
+    over_days = Window.partitionBy("location_key").orderBy("day")
+    last = F.lag("hi").over(over_days)
+    days = days.withColumn("opens", F.when(last.isNull() | apart(last, F.col("lo")), 1).otherwise(0))
+    first_no = F.sum(F.col("opens") + F.col("starts")).over(over_days.rowsBetween(Window.unboundedPreceding, 0)) - F.col("starts")
+    rows = rows.withColumn("starts", starts).withColumn("no", F.sum("starts").over(by_time.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
+    return rows.join(days.select(*keys, first_no.alias("first_no")), keys).withColumn("no", F.col("no") + F.col("first_no")).drop("first_no", "day")
 
 
 def episodes(inc: DataFrame, window_min: int = 15) -> DataFrame:
@@ -31,19 +40,20 @@ def episodes(inc: DataFrame, window_min: int = 15) -> DataFrame:
     held between 0 (no folding) and 120 minutes.
     """
     rows = _chained(inc, max(0, min(120, window_min)))
-    first = F.struct((~F.col("latitude").isNull() & ~F.col("longitude").isNull()).cast("int").alias("located"), F.col("severity"), (-F.unix_micros(F.col("reported_ts").cast("timestamp"))).alias("early"))
-    order = Window.partitionBy("location_key", "no").orderBy(first.desc(), "incident_number")
-    rows = rows.withColumn("rank", F.row_number().over(order))
-    own = [c for c in inc.columns if c != "severity"]
+    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     packed = F.struct(*[c for c in ("reported_ts", "incident_number", "cause", "reported", "severity") if c in rows.columns])
+    best = F.struct(~located, -F.col("severity"), "reported_ts", "incident_number", packed)
+    own = [c for c in inc.columns if c != "severity"]
     out = rows.groupBy("location_key", "no").agg(
-        F.max(F.when(F.col("rank") == 1, F.struct(*own, "severity"))).alias("p"),
-        F.sort_array(F.collect_list(F.when(F.col("rank") > 1, packed))).alias("extras"),
+        F.min_by(F.struct(*own, "severity", packed.alias("packed")), best).alias("p"),
+        F.sort_array(F.collect_list(packed)).alias("listings"),
         F.count(F.lit(1)).alias("n_listings"),
         F.min("reported_ts").alias("first_ts"),
         F.max("reported_ts").alias("last_ts"),
     )
-    return out.select("p.*", "location_key", "extras", "n_listings", "first_ts", "last_ts")
+    at = F.array_position("listings", F.col("p.packed")).cast("int")
+    extras = F.concat(F.slice("listings", F.lit(1), at - 1), F.slice("listings", at + 1, F.size("listings")))
+    return out.select(*[F.col(f"p.{c}") for c in (*own, "severity")], "location_key", extras.alias("extras"), "n_listings", "first_ts", "last_ts")
 
 
 def secondary_ids(ep: DataFrame) -> DataFrame:

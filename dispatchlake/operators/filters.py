@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -110,6 +111,11 @@ def predicates(f: Filters) -> dict[str, Column]:
     return out
 
 
+def _near(word: str, edits: int) -> Callable[[Column], Column]:
+    """Test of a token: within so many edits of the word."""
+    return lambda token: F.levenshtein(token, F.lit(word), edits) >= 0
+
+
 def fuzzy_road(location: Column, words: str) -> Column:
     """FLT-27: every word is a part of the location, or within one (up to four letters) or two edits of one of its words."""
     text = F.upper(F.coalesce(location, F.lit("")))
@@ -118,8 +124,7 @@ def fuzzy_road(location: Column, words: str) -> Column:
     for w in words.upper().split():
         test = text.contains(w)
         if len(w) > 2:
-            k = 1 if len(w) <= 4 else 2
-            test |= F.exists(tokens, lambda x, w=w, k=k: F.levenshtein(x, F.lit(w), k) >= 0)
+            test |= F.exists(tokens, _near(w, 1 if len(w) <= 4 else 2))
         tests.append(test)
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
