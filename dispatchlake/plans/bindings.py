@@ -34,10 +34,10 @@ def _incidents(text) -> str:
   CASE WHEN event_id % 11 = 0 THEN NULL ELSE (-92100000 + (user_id % 89)*1000)/CAST(1000000 AS DOUBLE) END AS longitude,
   ts AS created_at, ts AS first_seen_at, ts + INTERVAL '1' MINUTE * (event_id % 180) AS last_seen_at,
   CAST(event_id % 5 AS INT) AS geocode_attempts, CASE event_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'approximate' END AS geocode_confidence,
-  CASE WHEN event_id % 6 = 0 THEN NULL ELSE 40 + user_id % 60 END AS weather_temp_f,
-  CASE WHEN event_id % 6 = 0 THEN NULL ELSE event_id % 100 END AS weather_precip_prob,
-  CASE WHEN event_id % 9 = 0 THEN NULL ELSE (event_id % 60) / CAST(100 AS DOUBLE) END AS weather_precip_in,
-  event_id % 40 AS weather_wind_mph, event_id % 13 AS weather_visibility_mi, event_id % 101 AS weather_cloud_pct,
+  CASE WHEN event_id % 6 = 0 OR event_id % 13 = 0 THEN NULL ELSE 40 + user_id % 60 END AS weather_temp_f,
+  CASE WHEN event_id % 6 = 0 OR event_id % 13 = 0 THEN NULL ELSE event_id % 100 END AS weather_precip_prob,
+  CASE WHEN event_id % 9 = 0 OR event_id % 13 = 0 THEN NULL ELSE (event_id % 60) / CAST(100 AS DOUBLE) END AS weather_precip_in,
+  CASE WHEN event_id % 13 <> 0 THEN event_id % 40 END AS weather_wind_mph, CASE WHEN event_id % 13 <> 0 THEN event_id % 14 END AS weather_visibility_mi, CASE WHEN event_id % 13 <> 0 THEN event_id % 101 END AS weather_cloud_pct,
   event_id % 50 = 0 AS nws_flash_flood_warning, event_id % 70 = 0 AS nws_severe_thunderstorm_warning, event_id % 90 = 0 AS nws_tornado_watch
 FROM events"""
 
@@ -70,14 +70,17 @@ _CRASHES = """SELECT concat('ORD', o_orderkey) AS incident_number, o_orderkey,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'TRAFFIC ACCIDENT MAJOR' WHEN '2-HIGH' THEN 'HIT AND RUN' WHEN '3-MEDIUM' THEN 'TRAFFIC ACCIDENT MINOR' WHEN '4-NOT SPECIFIED' THEN 'STALLED VEHICLE' ELSE 'ROAD HAZARD' END AS cause,
   CAST(o_custkey % 10 AS INT) AS road_no, (30150000 + (o_custkey % 97) * 1000) / CAST(1000000 AS DOUBLE) AS latitude, (-92100000 + (o_custkey % 89) * 1000) / CAST(1000000 AS DOUBLE) AS longitude,
   CAST(o_orderkey % 180 AS INT) AS visible_min
-FROM orders0 WHERE NOT (ts0 >= TIMESTAMP '1997-03-01 00:00:00' AND ts0 < TIMESTAMP '1997-06-01 00:00:00')"""
+FROM orders0"""
+#: ts0 of an order. Those of spring 1997 are moved on to summer, so that the table has a gap in its days.
+_ORDERED = "ordered + INTERVAL '1' DAY * (CASE WHEN ordered >= TIMESTAMP '1997-03-01 00:00:00' AND ordered < TIMESTAMP '1997-06-01 00:00:00' THEN 92 ELSE 0 END)"
+LONG_ROADS = ["AMBASSADOR CAFFERY PKWY", "OAK 1 ST", "OAK 3 ST", "OAK 5 ST"]
 LONG_NOW = "2001-08-02 00:00:00"
-CRASHES = "crashes AS (SELECT *, cause LIKE '%ACCIDENT%' OR cause = 'HIT AND RUN' AS is_crash, cause = 'TRAFFIC ACCIDENT MAJOR' AS is_severe, cause = 'HIT AND RUN' AS is_hit_and_run FROM (" + _CRASHES.replace("orders0", "(SELECT *, CAST(o_orderdate AS TIMESTAMP) AS ts0 FROM orders)") + "))"
+CRASHES = "crashes AS (SELECT *, cause LIKE '%ACCIDENT%' OR cause = 'HIT AND RUN' AS is_crash, cause = 'TRAFFIC ACCIDENT MAJOR' AS is_severe, cause = 'HIT AND RUN' AS is_hit_and_run FROM (" + _CRASHES.replace("orders0", f"(SELECT *, {_ORDERED} AS ts0 FROM (SELECT *, CAST(o_orderdate AS TIMESTAMP) AS ordered FROM orders))") + "))"
 
 
 def crashes_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _view(spark, sf_dir, "orders").withColumn("ts0", F.col("o_orderdate").cast("timestamp_ntz"))
-    return spark.sql(_CRASHES.replace("TIMESTAMP '", "TIMESTAMP_NTZ '").replace("FROM orders0", "FROM {orders}"), orders=orders)
+    orders = _view(spark, sf_dir, "orders").withColumn("ordered", F.col("o_orderdate").cast("timestamp_ntz")).withColumn("ts0", F.expr(_ORDERED.replace("TIMESTAMP '", "TIMESTAMP_NTZ '")))
+    return spark.sql(_CRASHES.replace("FROM orders0", "FROM {orders}"), orders=orders)
 
 
 _WEATHER = """SELECT ts0 + INTERVAL '1' HOUR * (l_orderkey % 24) + INTERVAL '1' MINUTE * (l_linenumber * 7 % 60) AS obs_ts, CAST(40 + l_quantity AS DOUBLE) AS temp_f,
@@ -128,16 +131,14 @@ def geocode_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_GEOCODES.replace("FROM customer0", "FROM {customer}"), customer=customer)
 
 
-_NODES = "SELECT c_custkey AS node_id, (30150000 + CAST(floor(c_custkey / CAST(20 AS DOUBLE)) AS INT) * 5000) / CAST(1000000 AS DOUBLE) AS lat, (-92100000 + (c_custkey % 20) * 5000) / CAST(1000000 AS DOUBLE) AS lon FROM customer0 WHERE c_custkey < 400"
+_NODES = "SELECT c_custkey AS node_id, (30150000 + CAST(floor(c_custkey / CAST(20 AS DOUBLE)) AS INT) * 5000) / CAST(1000000 AS DOUBLE) AS lat, (-92100000 + (c_custkey % 20) * 5000) / CAST(1000000 AS DOUBLE) AS lon FROM customer"
 _EDGES = """SELECT a.c_custkey AS u, b.c_custkey AS v, CASE WHEN a.c_custkey % 3 = 0 THEN 'primary' ELSE 'residential' END AS road_class
-FROM customer0 a JOIN customer0 b ON b.c_custkey = a.c_custkey + 20 WHERE a.c_custkey < 400 AND b.c_custkey < 400
-UNION ALL SELECT a.c_custkey AS u, b.c_custkey AS v, CASE WHEN a.c_custkey % 3 = 0 THEN 'primary' ELSE 'residential' END AS road_class
-FROM customer0 a JOIN customer0 b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey % 20 <> 19 AND a.c_custkey < 400 AND b.c_custkey < 400"""
-ROADNET = "nodes AS (" + _NODES.replace("customer0", "customer") + "), edges AS (" + _EDGES.replace("customer0", "customer") + ")"
+FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 20 OR b.c_custkey = a.c_custkey + 1 AND a.c_custkey % 20 <> 19"""
+ROADNET = f"nodes AS ({_NODES}), edges AS ({_EDGES})"
 
 
 def road_network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the lattice over every customer row (ROADNET stops at 400 nodes)."""
+    """Nodes and edges of the lattice over every customer row."""
     key = _view(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("u"))
     nodes = key.select(F.col("u").alias("node_id"), ((30150000 + F.floor(F.col("u") / 20) * 5000) / F.lit(1000000.0)).alias("lat"), ((-92100000 + F.col("u") % 20 * 5000) / F.lit(1000000.0)).alias("lon"))
     ends = F.when(F.col("u") % 20 != 19, F.array(F.col("u") + 20, F.col("u") + 1)).otherwise(F.array(F.col("u") + 20))

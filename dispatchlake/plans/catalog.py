@@ -109,7 +109,7 @@ _add("prj_15_agencies", lambda s, d: causes.with_agencies(b.incidents(s, d)).sel
 _add("prj_16_normalize_road", lambda s, d: b.incidents(s, d).select("location").distinct().select("location", roads.normalize_road(F.substring_index("location", "/", 1)).alias("road")), W + "SELECT DISTINCT location, CASE user_id % 10 WHEN 8 THEN 'AMBASSADOR CAFFERY PKWY AT KALISTE SALOOM RD' ELSE coalesce(corridors[1], '') END AS road FROM inc")
 _add("prj_17_corridors", lambda s, d: roads.with_corridors(b.incidents(s, d)).select("incident_number", F.array_join("corridors", "|").alias("corridors")), W + "SELECT incident_number, CASE user_id % 10 WHEN 0 THEN 'AMBASSADOR CAFFERY PKWY|CURRAN LN' WHEN 1 THEN 'JOHNSTON ST|W CONGRESS ST' WHEN 2 THEN 'PINHOOK RD|W BENDEL RD' WHEN 7 THEN 'E BROUSSARD RD|DUHON RD' ELSE array_to_string(corridors, '|') END AS corridors FROM inc")
 _add("prj_18_incident_corridors", lambda s, d: roads.with_incident_corridors(b.incidents(s, d)).select("incident_number", F.array_join("corridors", "|").alias("corridors")), W + "SELECT incident_number, array_to_string(corridors, '|') AS corridors FROM inc")
-_add("prj_19_place_parts", lambda s, d: text.with_place_parts(b.incidents(s, d)).select("incident_number", "town", "block", "cross_street"), W + "SELECT incident_number, CASE WHEN user_id % 10 = 9 AND user_id % 3 < 2 THEN '' ELSE CASE user_id % 3 WHEN 0 THEN 'Lafayette' WHEN 1 THEN 'Broussard' ELSE 'Parish' END END AS town, CASE WHEN user_id % 10 = 9 THEN CASE WHEN user_id % 3 = 2 THEN 'LAF' ELSE location END ELSE split_part(regexp_replace(location, ' (LAFAYETTE|BROUSSARD|LAF PARISH), LA$', ''), '/', 1) END AS block, CASE WHEN user_id % 10 = 9 THEN '' ELSE split_part(regexp_replace(location, ' (LAFAYETTE|BROUSSARD|LAF PARISH), LA$', ''), '/', 2) END AS cross_street FROM inc WHERE event_id % 7 <> 0")
+_add("prj_19_place_parts", lambda s, d: text.with_place_parts(b.incidents(s, d)).select("incident_number", "town", "block", "cross_street"), W + "SELECT incident_number, CASE WHEN event_id % 7 = 0 THEN '' WHEN user_id % 10 = 9 AND user_id % 3 < 2 THEN '' ELSE CASE user_id % 3 WHEN 0 THEN 'Lafayette' WHEN 1 THEN 'Broussard' ELSE 'Parish' END END AS town, CASE WHEN event_id % 7 = 0 THEN split_part(trim(regexp_replace(location, '\\s+', ' ', 'g')), '/', 1) WHEN user_id % 10 = 9 THEN CASE WHEN user_id % 3 = 2 THEN 'LAF' ELSE location END ELSE split_part(regexp_replace(location, ' (LAFAYETTE|BROUSSARD|LAF PARISH), LA$', ''), '/', 1) END AS block, CASE WHEN event_id % 7 = 0 THEN split_part(trim(regexp_replace(location, '\\s+', ' ', 'g')), '/', 2) WHEN user_id % 10 = 9 THEN '' ELSE split_part(regexp_replace(location, ' (LAFAYETTE|BROUSSARD|LAF PARISH), LA$', ''), '/', 2) END AS cross_street FROM inc")
 _add("prj_20_title_case", lambda s, d: _roads(s, d).select(F.explode("corridors").alias("road")).distinct().select("road", text.title_case_road(F.col("road")).alias("title")), W + "SELECT DISTINCT road, CASE road WHEN 'AMBASSADOR CAFFERY PKWY' THEN 'Ambassador Caffery Pkwy' WHEN 'JOHNSTON ST' THEN 'Johnston St' WHEN 'PINHOOK RD' THEN 'Pinhook Rd' WHEN 'KALISTE SALOOM RD' THEN 'Kaliste Saloom Rd' WHEN 'EVANGELINE THRUWAY' THEN 'Evangeline Thruway' WHEN 'E BROUSSARD RD' THEN 'E Broussard Rd' ELSE road END AS title FROM (SELECT unnest(corridors) AS road FROM inc)")
 _add("prj_21_time_block", lambda s, d: times.with_time_block(_inc(s, d)).select("incident_number", "day_type", "time_block"), W + "SELECT incident_number, CASE WHEN isodow(reported_ts) >= 6 THEN 'weekend' WHEN reported_ts IS NOT NULL THEN 'weekday' END AS day_type, CASE WHEN reported_ts IS NULL THEN 'unknown' WHEN hour(reported_ts) < 6 THEN 'latenight' WHEN hour(reported_ts) < 10 THEN 'morning' WHEN hour(reported_ts) < 15 THEN 'midday' WHEN hour(reported_ts) < 19 THEN 'evening' ELSE 'night' END AS time_block FROM inc")
 _add("prj_22_daylight", lambda s, d: times.with_daylight(b.crashes_long(s, d)).select("incident_number", "is_daylight"), WC + "sun(m, rise, fall) AS (VALUES " + ", ".join(f"({m}, {a}, {z})" for m, (a, z) in enumerate(times.SUN, 1)) + ") SELECT incident_number, hour(reported_ts) * 60 + minute(reported_ts) >= rise AND hour(reported_ts) * 60 + minute(reported_ts) < fall AS is_daylight FROM crashes JOIN sun ON m = month(reported_ts)")
@@ -117,9 +117,9 @@ _BANDS_SQL = """SELECT incident_number,
  CASE WHEN weather_temp_f <= 50 THEN 'cold' WHEN weather_temp_f < 70 THEN 'mild' WHEN weather_temp_f < 85 THEN 'warm' WHEN weather_temp_f >= 85 THEN 'hot' END AS temp_band,
  CASE WHEN weather_precip_prob < 20 THEN 'low' WHEN weather_precip_prob < 60 THEN 'med' WHEN weather_precip_prob >= 60 THEN 'high' END AS precip_prob_band,
  CASE WHEN weather_precip_in <= 0.01 THEN 'none' WHEN weather_precip_in <= 0.10 THEN 'light' WHEN weather_precip_in < 0.50 THEN 'moderate' WHEN weather_precip_in >= 0.50 THEN 'heavy' END AS precip_band,
- CASE WHEN weather_wind_mph < 10 THEN 'calm' WHEN weather_wind_mph < 20 THEN 'breezy' ELSE 'windy' END AS wind_band,
- CASE WHEN weather_visibility_mi < 3 THEN 'low' WHEN weather_visibility_mi < 10 THEN 'hazy' ELSE 'clear' END AS visibility_band,
- CASE WHEN weather_cloud_pct < 25 THEN 'clear' WHEN weather_cloud_pct < 70 THEN 'partly' ELSE 'overcast' END AS cloud_band FROM inc"""
+ CASE WHEN weather_wind_mph < 10 THEN 'calm' WHEN weather_wind_mph < 20 THEN 'breezy' WHEN weather_wind_mph >= 20 THEN 'windy' END AS wind_band,
+ CASE WHEN weather_visibility_mi < 3 THEN 'low' WHEN weather_visibility_mi < 10 THEN 'hazy' WHEN weather_visibility_mi >= 10 THEN 'clear' END AS visibility_band,
+ CASE WHEN weather_cloud_pct < 25 THEN 'clear' WHEN weather_cloud_pct < 70 THEN 'partly' WHEN weather_cloud_pct >= 70 THEN 'overcast' END AS cloud_band FROM inc"""
 _add("prj_24_weather_bands", lambda s, d: weather.with_weather_bands(b.incidents(s, d)).select("incident_number", *[f"{k}_band" for k in weather.BANDS]), W + _BANDS_SQL)
 _CODE = "CASE WHEN precip_in >= 0.30 THEN 'h' WHEN precip_in >= 0.01 OR regexp_matches(wx, 'RA|DZ|TS|SN|PL|GR|FZ|UP') THEN 'r' WHEN visibility_mi < 1.0 OR wx LIKE '%FG%' THEN 'f' WHEN precip_in IS NULL AND visibility_mi IS NULL THEN '-' ELSE 'd' END"
 _add("prj_25_condition_code", lambda s, d: weather.with_condition_code(b.weather_obs(s, d)).groupBy("code").agg(F.count(F.lit(1)).alias("n")), "WITH " + b.WEATHER + f" SELECT {_CODE} AS code, count(*) AS n FROM weather_obs GROUP BY 1")
@@ -194,7 +194,7 @@ def _keyed(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("agg_09_budget", lambda s, d: ingest.budget(b._view(s, d, "events").filter("event_type = 'click'").select(F.col("ts").cast("timestamp_ntz").alias("requested_at")), "2024-01-20 12:00:00", 100, 25), "SELECT used, greatest(100 - used, 0) AS \"left\", least(25, greatest(100 - used, 0)) AS approved FROM (SELECT count(*) AS used FROM events WHERE event_type = 'click' AND ts > TIMESTAMP '2024-01-19 12:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00')")
-_add("agg_11_fallback_points", lambda s, d: ingest.fallback_points(_keyed(s, d), 3), W + "SELECT latitude, longitude, count(DISTINCT location_key) AS places, count(*) AS n FROM inc WHERE latitude IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT location_key) >= 3")
+_add("agg_11_fallback_points", lambda s, d: ingest.fallback_points(_keyed(s, d).withColumn("latitude", F.floor(F.col("latitude") * 25) / 25).withColumn("longitude", F.floor(F.col("longitude") * 25) / 25)), W + "SELECT floor(latitude * 25) / 25 AS latitude, floor(longitude * 25) / 25 AS longitude, count(DISTINCT location_key) AS places, count(*) AS n FROM inc WHERE latitude IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT location_key) >= 8")
 _add("agg_12_failure_history", lambda s, d: ingest.failure_history(_keyed(s, d)), W + f"SELECT location_key, max(geocode_attempts) AS attempts, {_dts('max(created_at)', 'last_attempt')} FROM inc WHERE latitude IS NULL AND location_key <> '' GROUP BY 1 HAVING max(geocode_attempts) >= 3")
 _add("jn_06_skippable", lambda s, d: ingest.skippable_addresses(ingest.failure_history(_keyed(s, d)), NOW), W + f"SELECT location_key FROM inc WHERE latitude IS NULL AND location_key <> '' GROUP BY 1 HAVING max(geocode_attempts) >= 3 AND date_trunc('second', max(created_at)) >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY")
 
@@ -218,12 +218,12 @@ _add("str_03_active_set_changes", lambda s, d: ingest.active_set_changes(b.listi
 def _filter_new(s: SparkSession, d: str) -> DataFrame:
     k = _keyed(s, d)
     old = k.filter("event_id % 4 = 0")
-    batch = k.withColumn("pos", F.col("event_id")).filter("event_id % 4 IN (0, 1, 2)")
+    batch = k.withColumn("pos", F.col("event_id")).filter("event_id % 4 <> 0")
     return ingest.filter_new(batch, old).select("incident_number", "content_key")
 
 
 _CK = "concat_ws('|', location_key, upper(trim(cause)), upper(trim(reported)))"
-_add("jn_01_filter_new", _filter_new, W + f", k AS (SELECT *, {_CK} AS content_key FROM inc), o AS (SELECT * FROM k WHERE event_id % 4 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY content_key ORDER BY event_id) AS rn FROM k WHERE event_id % 4 IN (1, 2) AND content_key NOT IN (SELECT content_key FROM o)) SELECT incident_number, content_key FROM n WHERE rn = 1")
+_add("jn_01_filter_new", _filter_new, W + f", k AS (SELECT *, {_CK} AS content_key FROM inc), o AS (SELECT * FROM k WHERE event_id % 4 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY content_key ORDER BY event_id) AS rn FROM k WHERE event_id % 4 <> 0 AND content_key NOT IN (SELECT content_key FROM o)) SELECT incident_number, content_key FROM n WHERE rn = 1")
 
 
 def _merged(kind: str) -> Callable:
@@ -238,7 +238,7 @@ def _merged(kind: str) -> Callable:
     return run
 
 
-_HALVES = ", c AS (SELECT location_key, count(*) AS n FROM inc WHERE event_id % 3 = 0 AND location_key <> '' GROUP BY 1), u AS (SELECT location_key, count(*) AS n FROM inc WHERE event_id % 3 = 1 AND location_key <> '' GROUP BY 1) SELECT coalesce(c.location_key, u.location_key) AS location_key, {} AS n FROM c FULL JOIN u ON c.location_key = u.location_key"
+_HALVES = ", c AS (SELECT location_key, count(*) AS n FROM inc WHERE event_id % 3 = 0 AND location_key <> '' GROUP BY 1), u AS (SELECT location_key, count(*) AS n FROM inc WHERE event_id % 3 <> 0 AND location_key <> '' GROUP BY 1) SELECT coalesce(c.location_key, u.location_key) AS location_key, {} AS n FROM c FULL JOIN u ON c.location_key = u.location_key"
 for _kind, _expr in (("ignore", "coalesce(c.n, u.n)"), ("add", "coalesce(c.n, 0) + coalesce(u.n, 0)"), ("replace", "coalesce(u.n, c.n)")):
     _add(f"jn_02_merge_{_kind}", _merged(_kind), W + _HALVES.format(_expr))
 _add("jn_05_reuse_coords", lambda s, d: ingest.reuse_coords(_keyed(s, d)).select("incident_number", "coord_source", "latitude", "longitude"), W + """, e AS (SELECT location, arg_min(latitude, incident_number) AS la, arg_min(longitude, incident_number) AS lo FROM inc WHERE latitude IS NOT NULL GROUP BY 1), n AS (SELECT location_key, arg_min(latitude, incident_number) AS la, arg_min(longitude, incident_number) AS lo FROM inc WHERE latitude IS NOT NULL GROUP BY 1)
@@ -248,11 +248,11 @@ _add("jn_05_reuse_coords", lambda s, d: ingest.reuse_coords(_keyed(s, d)).select
 def _outcomes(s: SparkSession, d: str) -> DataFrame:
     k = _keyed(s, d).filter("location_key <> ''")
     tried = k.filter("event_id % 2 = 0").select("location_key").distinct()
-    done = k.filter("event_id % 6 = 0").select("location_key").distinct()
+    done = k.filter("event_id % 6 = 0 AND length(location_key) % 3 = 0").select("location_key").distinct()
     return ingest.record_outcomes(tried, done, ingest.failure_history(k).select("location_key", "attempts"))
 
 
-_add("jn_07_record_outcomes", _outcomes, W + ", k AS (SELECT * FROM inc WHERE location_key <> ''), d AS (SELECT DISTINCT location_key FROM k WHERE event_id % 6 = 0), f AS (SELECT location_key, max(geocode_attempts) AS a FROM k WHERE latitude IS NULL GROUP BY 1 HAVING max(geocode_attempts) >= 3), t AS (SELECT DISTINCT location_key, 1 AS a FROM k WHERE event_id % 2 = 0) SELECT location_key, CAST(sum(a) AS BIGINT) AS attempts FROM (SELECT * FROM f UNION ALL SELECT * FROM t) WHERE location_key NOT IN (SELECT location_key FROM d) GROUP BY 1")
+_add("jn_07_record_outcomes", _outcomes, W + ", k AS (SELECT * FROM inc WHERE location_key <> ''), d AS (SELECT DISTINCT location_key FROM k WHERE event_id % 6 = 0 AND length(location_key) % 3 = 0), f AS (SELECT location_key, max(geocode_attempts) AS a FROM k WHERE latitude IS NULL GROUP BY 1 HAVING max(geocode_attempts) >= 3), t AS (SELECT DISTINCT location_key, 1 AS a FROM k WHERE event_id % 2 = 0) SELECT location_key, CAST(sum(a) AS BIGINT) AS attempts FROM (SELECT * FROM f UNION ALL SELECT * FROM t) WHERE location_key NOT IN (SELECT location_key FROM d) GROUP BY 1")
 
 
 def _in_feed(s: SparkSession, d: str) -> DataFrame:
@@ -292,7 +292,7 @@ _add("flt_facet_sweep", lambda s, d: filters.facet_sweep(causes.with_agencies(_b
 
 def _filtered(f: filters.Filters) -> Callable:
     def run(s: SparkSession, d: str) -> DataFrame:
-        rows = times.with_time_context(_best(s, d), "best_ts").withColumn("n_calls", F.lit(1))
+        rows = times.with_time_context(_best(s, d), "best_ts").withColumn("n_calls", F.col("event_id") % 3)
         for wanted, prepare in ((f.school_day, lambda x: times.with_school_day(x, "best_ts")), (f.holiday, lambda x: times.with_holiday(x, ts="best_ts")), (f.light, lambda x: times.with_daylight(x, "best_ts")), (f.road_type, roads.with_road_type), (f.road, roads.with_incident_corridors), (f.agencies, causes.with_agencies)):
             if wanted:
                 rows = prepare(rows)
@@ -315,14 +315,14 @@ for _name, _f, _sql in (
     ("12_school", {"school_day": True}, _school("best")),
     ("13_holiday", {"holiday": True}, "CAST(best AS DATE) IN (DATE '2024-01-01', DATE '2024-01-15')"),
     ("14_light", {"light": "day"}, f"{_MIN} >= 423 AND {_MIN} < 1042"),
-    ("15_weather", {"any_weather": True}, "true"),
+    ("15_weather", {"any_weather": True}, "event_id % 13 <> 0"),
     ("16_21_bands", {"bands": {"temp": "mild", "precip_prob": "med", "precip": "moderate", "visibility": "hazy", "cloud": "partly"}}, "weather_temp_f > 50 AND weather_temp_f < 70 AND weather_precip_prob BETWEEN 20 AND 59 AND weather_precip_in > 0.10 AND weather_precip_in < 0.50 AND weather_visibility_mi BETWEEN 3 AND 9 AND weather_cloud_pct BETWEEN 25 AND 69"),
     ("22_alerts", {"alerts": {"flood", "storm"}}, "event_id % 350 = 0"),
     ("23_road_type", {"road_type": "motorway"}, "user_id % 10 = 5"),
     ("24_road", {"road": "KALISTE SALOOM RD"}, "user_id % 10 IN (3, 8)"),
     ("27_search", {"road_search": "kalist salom"}, "user_id % 10 IN (3, 8)"),
     ("28_bounds", {"bounds": (30.17, -92.08, 30.22, -92.03)}, "latitude BETWEEN 30.17 AND 30.22 AND longitude BETWEEN -92.08 AND -92.03"),
-    ("29_routine", {"skip_routine": True}, "true"),
+    ("29_routine", {"skip_routine": True}, "NOT (cause = 'TRAFFIC CONTROL' AND event_id % 3 > 1)"),
 ):
     _add(f"flt_{_name}", _filtered(filters.Filters(**_f)), W + _F_ROWS + f"SELECT incident_number FROM r WHERE {_sql}")
 _add("flt_30_recent_live", lambda s, d: filters.recent_live(_best(s, d), "2024-01-20 12:00:00").select("incident_number"), W + _F_ROWS + "SELECT incident_number FROM r WHERE best >= TIMESTAMP '2024-01-20 10:00:00' AND best <= TIMESTAMP '2024-01-20 12:00:00' ORDER BY best DESC, incident_number LIMIT 20")
@@ -391,7 +391,12 @@ def _effect(s: SparkSession, d: str) -> DataFrame:
 _add("agg_27_weather_effect", _effect, WCOV + ", " + b.WEATHER + _MERGE + f""", h AS (SELECT hour, {_CODE} AS code FROM m WHERE CAST(hour AS DATE) IN (SELECT date FROM cov)), n AS (SELECT date_trunc('hour', reported_ts) AS hour, count(*) AS n FROM crashes WHERE is_crash GROUP BY 1),
  g AS (SELECT (isodow(h.hour) - 1) * 24 + hour(h.hour) AS slot, code, count(*) AS hours, sum(coalesce(n, 0)) AS n FROM h LEFT JOIN n ON n.hour = h.hour WHERE code <> '-' GROUP BY 1, 2), dry AS (SELECT slot, n / hours AS rate FROM g WHERE code = 'd' AND hours >= 5), k(code, kind) AS (VALUES ('h', 'wet'), ('h', 'heavy'), ('r', 'wet'), ('f', 'fog'))
  SELECT kind, CAST(sum(hours) AS BIGINT) AS hours, CAST(sum(n) AS BIGINT) AS observed, round(sum(hours * rate), 6) AS expected, round(CASE WHEN sum(hours * rate) > 0 THEN sum(n) / sum(hours * rate) END, 6) AS ratio FROM g JOIN dry USING (slot) JOIN k USING (code) GROUP BY 1""")
-_add("agg_28_darkness_effect", lambda s, d: insights.darkness_effect(_crashes(s, d), _cov(s, d)))
+_DARK = """, g AS (SELECT date, CAST(r.range AS INTEGER) AS hour, (dayofyear(date) - 81) * 2 * pi() / 364 AS b, date >= make_date(year(date), 3, 1) + CAST(7 + (7 - isodow(make_date(year(date), 3, 1))) % 7 AS INTEGER) AND date < make_date(year(date), 11, 1) + CAST((7 - isodow(make_date(year(date), 11, 1))) % 7 AS INTEGER) AS summer FROM cov, range(24) r),
+ a AS (SELECT date, hour, 720 + 4 * 92.0198 - (9.87 * sin(2 * b) - 7.53 * cos(b) - 1.5 * sin(b)) + CASE WHEN summer THEN -300 ELSE -360 END AS noon, radians(23.45 * sin(b)) AS decl FROM g), h AS (SELECT date, hour, noon, 4 * degrees(acos(greatest(-1, least(1, (sin(radians(-0.833)) - sin(radians(30.2241)) * sin(decl)) / (cos(radians(30.2241)) * cos(decl)))))) AS half FROM a),
+ l AS (SELECT date, hour, CASE WHEN hour * 60 >= noon - half AND hour * 60 + 60 <= noon + half THEN 'light' WHEN hour * 60 + 60 <= noon - half - 30 OR hour * 60 >= noon + half + 30 THEN 'dark' ELSE 'twilight' END AS light FROM h),
+ n AS (SELECT CAST(reported_ts AS DATE) AS date, hour(reported_ts) AS hour, count(*) AS n FROM crashes WHERE is_crash GROUP BY 1, 2), t AS (SELECT l.hour, count(*) FILTER (light = 'dark') AS dh, coalesce(sum(n) FILTER (light = 'dark'), 0) AS dn, count(*) FILTER (light = 'light') AS lh, coalesce(sum(n) FILTER (light = 'light'), 0) AS ln FROM l LEFT JOIN n ON n.date = l.date AND n.hour = l.hour GROUP BY 1), q AS (SELECT * FROM t WHERE dh >= 20 AND lh >= 20)
+ SELECT CAST(sum(dn) AS BIGINT) AS dark_n, CAST(sum(dh) AS BIGINT) AS dark_hours, CAST(sum(ln) AS BIGINT) AS light_n, CAST(sum(lh) AS BIGINT) AS light_hours, round(sum(dh * ln / lh), 6) AS expected, round(CASE WHEN sum(dh * ln / lh) > 0 THEN sum(dn) / sum(dh * ln / lh) END, 6) AS ratio FROM q"""
+_add("agg_28_darkness_effect", lambda s, d: insights.darkness_effect(_crashes(s, d), _cov(s, d)), WCOV + _DARK)
 
 
 def _follow(shift: int) -> str:
@@ -407,6 +412,14 @@ def _upgraded(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("agg_30_upgraded_share", _upgraded, W + "," + _EP.replace("TS", "reported_ts") + " SELECT count(*) AS severe, count(*) FILTER (EXISTS (SELECT 1 FROM ranked x WHERE x.location_key = r.location_key AND x.no = r.no AND x.rk > 1 AND x.severity < r.severity AND x.reported_ts < r.reported_ts)) AS upgraded FROM ranked r WHERE rk = 1 AND cause LIKE '%MAJOR'")
+def _long_roads(s: SparkSession, d: str) -> DataFrame:
+    """Long crashes with a road each, named by the order's customer."""
+    return _crashes(s, d).withColumn("corridors", F.array(F.element_at(F.array(*map(F.lit, b.LONG_ROADS)), F.col("road_no") % 4 + 1)))
+
+
+_LONG = WC + "r AS (SELECT *, CASE road_no % 4 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(b.LONG_ROADS)) + " END AS road FROM crashes WHERE is_crash)"
+_add("agg_26_risk_ranking_default", lambda s, d: insights.risk_ranking(_long_roads(s, d), roadstats.road_stats(*b.road_tables(s, d)), 2406), _LONG + ", " + b.SEGMENTS + _STATS + " SELECT road, n, miles, vehicle_miles, round(n / (vehicle_miles * 2406) * 1e6, 6) AS risk FROM (SELECT road, count(*) AS n FROM r GROUP BY 1) JOIN stats USING (road) WHERE n >= 40 AND miles >= 1 AND vehicle_miles / miles >= 5000")
+_add("agg_31_trending_roads_default", lambda s, d: insights.trending_roads(_long_roads(s, d).filter("road_no % 4 <> 1 OR reported_ts >= TIMESTAMP '2001-01-01 00:00:00' OR o_orderkey % 2 = 0"), LONG_NOW), _LONG + f", a AS (SELECT road, date_diff('second', reported_ts, TIMESTAMP '{LONG_NOW}') / 86400.0 AS age FROM r WHERE road_no % 4 <> 1 OR reported_ts >= TIMESTAMP '2001-01-01 00:00:00' OR o_orderkey % 2 = 0), t AS (SELECT road, count(*) FILTER (age <= 60) AS recent, count(*) FILTER (age > 60) AS earlier FROM a GROUP BY 1), q AS (SELECT road, recent, earlier, round(recent / (60 / 7.0::DOUBLE), 6) AS recent_week, round(earlier / (((SELECT max(age) FROM a) - 60) / 7), 6) AS earlier_week, round((recent / (60 / 7.0::DOUBLE)) / (earlier / (((SELECT max(age) FROM a) - 60) / 7)), 6) AS ratio FROM t WHERE recent >= 20 AND earlier >= 20) SELECT * FROM q WHERE ratio >= 1.25 ORDER BY ratio DESC, road LIMIT 15")
 _add("agg_31_trending_roads", lambda s, d: insights.trending_roads(_road_crashes(s, d), NOW, days=10, least=5, ratio=0.5), W + _ROADN + f", a AS (SELECT road, date_diff('second', reported_ts, TIMESTAMP '{NOW}') / 86400.0 AS age FROM r WHERE reported_ts IS NOT NULL), t AS (SELECT road, count(*) FILTER (age <= 10) AS recent, count(*) FILTER (age > 10) AS earlier FROM a GROUP BY 1), q AS (SELECT road, recent, earlier, round(recent / (10 / 7.0::DOUBLE), 6) AS recent_week, round(earlier / (((SELECT max(age) FROM a) - 10) / 7), 6) AS earlier_week, round((recent / (10 / 7.0::DOUBLE)) / (earlier / (((SELECT max(age) FROM a) - 10) / 7)), 6) AS ratio FROM t WHERE recent >= 5 AND earlier >= 5) SELECT * FROM q WHERE ratio >= 0.5 ORDER BY ratio DESC, road LIMIT 15")
 
 
@@ -415,7 +428,14 @@ def _events(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("agg_32_event_effect", _events, WCOV + ", n AS (SELECT isodow(reported_ts) AS k, count(*) AS n FROM crashes WHERE is_crash GROUP BY 1), g AS (SELECT isodow(date) AS k, count(*) AS days FROM cov GROUP BY 1), u AS (SELECT k, coalesce(n, 0) / days AS usual FROM g LEFT JOIN n USING (k)), ev AS (SELECT date, CASE WHEN month(date) = 12 AND day(date) IN (24, 25) THEN 'Christmas' WHEN month(date) = 12 AND day(date) = 31 THEN 'New Year' WHEN month(date) = 7 AND day(date) = 4 THEN 'Independence Day' WHEN month(date) = 10 AND day(date) = 31 THEN 'Halloween' END AS event FROM cov), c AS (SELECT CAST(reported_ts AS DATE) AS date, count(*) AS n FROM crashes WHERE is_crash GROUP BY 1) SELECT event, count(*) AS days, CAST(sum(coalesce(c.n, 0)) AS BIGINT) AS observed, round(sum(usual), 6) AS expected, round(sum(coalesce(c.n, 0)) / sum(usual), 6) AS ratio FROM ev LEFT JOIN c USING (date) JOIN u ON u.k = isodow(ev.date) WHERE event IS NOT NULL GROUP BY 1")
-_add("prj_11_event_calendar", lambda s, d: b.crashes_long(s, d).select(F.to_date("reported_ts").alias("date")).distinct().join(times.event_calendar(s, 1995, 2001), "date").select(F.col("date").cast("string").alias("date"), "event"))
+#: Easter Sundays of the crash table's years, from a calendar.
+_EASTER = ["1995-04-16", "1996-04-07", "1997-03-30", "1998-04-12", "1999-04-04", "2000-04-23", "2001-04-15"]
+_EVENTS = ", e(d) AS (VALUES " + ", ".join(f"(DATE '{x}')" for x in _EASTER) + """), days AS (SELECT DISTINCT CAST(reported_ts AS DATE) AS date FROM crashes), f AS (SELECT date, make_date(year(date), 5, 1) + CAST((7 - isodow(make_date(year(date), 5, 1))) % 7 AS INTEGER) AS may FROM days)
+ SELECT CAST(date AS VARCHAR) AS date, 'Easter' AS event FROM days JOIN e ON date = d UNION ALL SELECT CAST(date AS VARCHAR), 'Mardi Gras' FROM days JOIN e ON date = d - 47 UNION ALL SELECT CAST(date AS VARCHAR), 'Mardi Gras weekend' FROM days JOIN e ON date BETWEEN d - 51 AND d - 48
+ UNION ALL SELECT CAST(date AS VARCHAR), 'Festival' FROM f WHERE date BETWEEN may - 11 AND may - 7
+ UNION ALL SELECT CAST(date AS VARCHAR), CASE isodow(date) WHEN 4 THEN 'Thanksgiving' ELSE 'Black Friday' END FROM days WHERE month(date) = 11 AND (isodow(date) = 4 AND day(date) BETWEEN 22 AND 28 OR isodow(date) = 5 AND day(date) BETWEEN 23 AND 29)
+ UNION ALL SELECT CAST(date AS VARCHAR), CASE WHEN month(date) = 12 AND day(date) = 31 THEN 'New Year' WHEN month(date) = 12 THEN 'Christmas' WHEN month(date) = 7 THEN 'Independence Day' ELSE 'Halloween' END FROM days WHERE month(date) = 12 AND day(date) IN (24, 25, 31) OR month(date) = 7 AND day(date) = 4 OR month(date) = 10 AND day(date) = 31"""
+_add("prj_11_event_calendar", lambda s, d: b.crashes_long(s, d).select(F.to_date("reported_ts").alias("date")).distinct().join(times.event_calendar(s, 1995, 2001), "date").select(F.col("date").cast("string").alias("date"), "event"), WC[:-2] + _EVENTS)
 _add("agg_32_school_effect", lambda s, d: insights.school_effect(_crashes(s, d), _cov(s, d)), WCOV + f", g AS (SELECT date, {_school('date')} AS school FROM cov WHERE isodow(date) < 6), n AS (SELECT CAST(reported_ts AS DATE) AS date, count(*) AS n FROM crashes WHERE is_crash GROUP BY 1), t AS (SELECT count(*) FILTER (school) AS school_days, CAST(sum(coalesce(n, 0)) FILTER (school) AS BIGINT) AS school_n, count(*) FILTER (NOT school) AS other_days, CAST(sum(coalesce(n, 0)) FILTER (NOT school) AS BIGINT) AS other_n FROM g LEFT JOIN n USING (date)) SELECT *, round((school_n / school_days) / (other_n / other_days), 6) AS ratio FROM t")
 _add("agg_33_recurring_calls", lambda s, d: insights.recurring_calls(text.with_location_key(causes.with_category(_roads(s, d)))), W + ", p AS (SELECT 'signal' AS kind, location_key AS place FROM inc WHERE category = 'control' AND location_key <> '' UNION ALL SELECT CASE category WHEN 'vehicle' THEN 'stall' ELSE 'hazard' END AS kind, unnest(corridors) AS place FROM inc WHERE category IN ('vehicle', 'hazard')), q AS (SELECT kind, place, count(*) AS n, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, place) AS rank FROM p GROUP BY 1, 2 HAVING count(*) >= 2) SELECT * FROM q WHERE rank <= 6")
 _add("agg_34_agency_load", lambda s, d: insights.agency_load(causes.with_agencies(_inc(s, d))), W + "SELECT agency, hour(reported_ts) AS hour, count(*) AS n FROM (SELECT lower(unnest(string_split(assisting, ' '))) AS agency, reported_ts FROM inc WHERE assisting <> '' AND reported_ts IS NOT NULL) GROUP BY 1, 2")
@@ -461,7 +481,7 @@ def _routes(s: SparkSession) -> DataFrame:
     return s.sql(f"SELECT 1 AS route_id, array({points}) AS path")
 
 
-_ALONG = ", p AS (SELECT incident_number, round(abs(longitude + 92.05) * cos(radians(latitude)) * 111320.0, 3) AS metres, round((least(greatest(latitude, 30.16), 30.22) - 30.16) * 111320.0, 3) AS along, latitude, corridors FROM inc WHERE latitude BETWEEN 30.16 AND 30.22)"
+_ALONG = ", p AS (SELECT incident_number, round(sqrt(pow((longitude + 92.05) * cos(radians(latitude)), 2) + pow(greatest(30.16 - latitude, latitude - 30.22, 0), 2)) * 111320.0, 3) AS metres, round((least(greatest(latitude, 30.16), 30.22) - 30.16) * 111320.0, 3) AS along, corridors FROM inc WHERE latitude IS NOT NULL)"
 _add("jn_13_near_path", lambda s, d: roadstats.near_path(b.incidents(s, d), _routes(s)).select("route_id", "incident_number", "metres", F.round("along", 1).alias("along")), W + _ALONG + " SELECT 1 AS route_id, incident_number, metres, round(along, 1) AS along FROM p WHERE metres <= 150")
 _add("agg_48_route_roads", lambda s, d: roadstats.route_roads(_roads(s, d), _routes(s)), W + _ALONG + ", u AS (SELECT unnest(corridors) AS road, along FROM p WHERE metres <= 150) SELECT 1 AS route_id, road, count(*) AS n, round(max(along) - min(along), 1) AS spread FROM u GROUP BY road HAVING max(along) - min(along) >= 400")
 
