@@ -58,10 +58,14 @@ def _record(date: str) -> Column:
     return F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n"), http, body)
 
 
-def _write(rows: DataFrame, path: str, size: Column, date: str) -> None:
-    """Writes the records of rows; ``size`` is about a record's bytes. Every file starts with a warcinfo record."""
-    above = [x for x in SIZES if x]
-    found = {r[0] for r in rows.select(sum([(size > x).cast("int") for x in above], F.lit(0)).alias("k")).distinct().collect()}  # at most len(SIZES) numbers
+def _classes(rows: DataFrame, size: Column) -> set[int]:
+    """Numbers of the size classes that occur: at most len(SIZES) of them."""
+    return {r[0] for r in rows.select(sum([(size > x).cast("int") for x in SIZES if x], F.lit(0)).alias("k")).distinct().collect()}
+
+
+def _write(rows: DataFrame, path: str, size: Column, found: set[int], date: str, level: str = "DEFAULT_COMPRESSION") -> None:
+    """Writes the records of rows; ``size`` is about a record's bytes, ``found`` its classes. Every file starts with a
+    warcinfo record."""
     about = b"software: dispatchlake\r\nformat: WARC File Format 1.1\r\n"
     info = F.concat(F.lit("WARC/1.1\r\n"), _lines(("WARC-Type", "warcinfo"), ("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))), ("WARC-Date", date), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(about)))), F.lit("\r\n" + about.decode() + _SEPARATOR))
     for k in sorted(found) or [0]:
@@ -70,13 +74,13 @@ def _write(rows: DataFrame, path: str, size: Column, date: str) -> None:
         count = max(1, FILE_BYTES // hi) if hi else 1  # records in a file
         place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # in the task's output
         value = F.concat(F.when(place % count == 0, info).otherwise(F.lit("")), F.col("record"))
-        own.select(_record(date).alias("record")).select(value.alias("value")).write.mode("append").option("lineSep", _SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", count).text(path)
+        own.select(_record(date).alias("record")).select(value.alias("value")).write.mode("append").option("lineSep", _SEPARATOR).option("compression", "gzip").option("zlib.compress.level", level).option("maxRecordsPerFile", count).text(path)
 
 
 _ORIGINAL = ("o_record_id", "o_url", "o_date")
 
 
-def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str | None = None) -> None:
+def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str | None = None, level: str = "DEFAULT_COMPRESSION") -> None:
     """A response record for each row (null html: an empty payload, null url: an urn made of the id)."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     page = F.col(id_col).cast("long")
@@ -85,7 +89,8 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     rows = rows.withColumn("record_type", F.lit("response")).withColumn("record_id", F.concat(F.lit("urn:uuid:"), F.uuid())).withColumn("o_page_id", F.lit(None).cast("long"))
     for c in _ORIGINAL:
         rows = rows.withColumn(c, F.lit(None).cast("string"))
-    _write(rows, path, F.octet_length("html"), date or _now())
+    size = F.octet_length("html")
+    _write(rows, path, size, _classes(pages.select(html.alias("html")), size), date or _now(), level)
 
 
 def _stream(data: bytes) -> Iterator[tuple[dict, bytes]]:
@@ -205,7 +210,8 @@ def deduplicate(spark: SparkSession, source: str, target: str, least: int = MIN_
         out = _read(files.join(lists, "path", "left"))
     kind = F.when(F.col("o_record_id").isNull(), "response").otherwise("revisit")
     out = out.select("page_id", "url", "html", "payload_digest", "payload_bytes", kind.alias("record_type"), _ident(run, F.col("record_id")).alias("record_id"), *names, F.when(F.col("o_record_id").isNotNull(), date).alias("o_date"))
-    _write(out, target, F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes")), date)
+    size = F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes"))
+    _write(out, target, size, {0} | _classes(headers, F.col("payload_bytes")), date)
 
 
 def revisit_archives(pages: DataFrame, least: int = MIN_REVISIT, **columns) -> tuple[str, DataFrame]:
@@ -216,6 +222,6 @@ def revisit_archives(pages: DataFrame, least: int = MIN_REVISIT, **columns) -> t
     """
     spark = pages.sparkSession
     root = C.new_path(spark, "warc")
-    write_pages(pages, f"{root}/raw", **columns)
+    write_pages(pages, f"{root}/raw", **columns, level="BEST_SPEED")  # read once more and left
     deduplicate(spark, f"{root}/raw", f"{root}/deduplicated", least)
     return f"{root}/deduplicated", read_archive(spark, f"{root}/deduplicated")
