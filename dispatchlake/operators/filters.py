@@ -137,9 +137,11 @@ def apply_filters(df: DataFrame, f: Filters, exclude: tuple[str, ...] = ()) -> D
 
 def facet_sweep(df: DataFrame, f: Filters) -> DataFrame:
     """For each chosen facet the rows that all the other predicates keep: one scan with conditional counts."""
-    tests = {k: F.coalesce(c, F.lit(False)) for k, c in predicates(f).items()}
-    without = lambda k: reduce(lambda a, b: a & b, [c for j, c in tests.items() if j != k], F.lit(True))
-    return df.agg(F.count_if(without(None)).alias("all_facets"), *[F.count_if(without(k)).alias(f"without_{k}") for k in tests])
+    names = list(tests := predicates(f))
+    rows = df.select(*[F.coalesce(c, F.lit(False)).alias(k) for k, c in tests.items()])  # each predicate once
+    failed = sum([(~F.col(k)).cast("int") for k in names], F.lit(0))
+    rows = rows.select(*names, failed.alias("n_failed")).filter("n_failed <= 1")
+    return rows.agg(F.count_if(F.col("n_failed") == 0).alias("all_facets"), *[F.count_if((F.col("n_failed") == 0) | ~F.col(k)).alias(f"without_{k}") for k in names])
 
 
 def recent_live(df: DataFrame, now: str, limit: int = 20) -> DataFrame:

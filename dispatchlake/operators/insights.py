@@ -109,31 +109,31 @@ def darkness_effect(crashes: DataFrame, cov: DataFrame, least: int = 20) -> Data
     return out.select("dark_n", "dark_hours", "light_n", "light_hours", F.round("e", 6).alias("expected"), F.round(F.when(F.col("e") > 0, F.col("dark_n") / F.col("e")), 6).alias("ratio"))
 
 
-def followers(crashes: DataFrame, low: int = 3, high: int = 45, metres: float = 500.0, shift_days: int = 0) -> DataFrame:
-    """JN-15: crashes that follow another within ``low`` to ``high`` minutes and ``metres``; ``shift_days`` moves the
-    earlier ones, as a control.
+def followers(crashes: DataFrame, low: int = 3, high: int = 45, metres: float = 500.0, shifts: tuple[int, ...] = (0,)) -> DataFrame:
+    """JN-15: (incident_number, shift) of crashes that follow another within ``low`` to ``high`` minutes and ``metres``.
 
-    Buckets of ``high`` minutes and of ``metres`` make it an equi-join: each earlier crash is posted to its own and the
-    next time bucket and the 3 x 3 cells around it, so a pair meets in exactly one bucket.
+    The earlier ones are moved by each of ``shifts`` days; other shifts than 0 serve as a control. Buckets of ``high``
+    minutes and of ``metres`` make it an equi-join: each earlier crash is posted to its own and the next time bucket and
+    the 3 x 3 cells around it, so a pair meets in exactly one bucket. All shifts go through one join.
     """
     side = metres / geo.DEGREE_M * 1.2  # at this latitude a degree of longitude is shorter
-    t = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
     bucket = lambda c: F.floor(c / (high * 60))
-    rows = crashes.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select("incident_number", t("reported_ts").alias("t"), "latitude", "longitude")
+    rows = crashes.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select("incident_number", F.unix_seconds(F.col("reported_ts").cast("timestamp")).alias("t"), "latitude", "longitude")
     rows = rows.withColumn("y", F.floor(F.col("latitude") / side)).withColumn("x", F.floor(F.col("longitude") / side))
-    early = rows.select(F.col("incident_number").alias("before"), (F.col("t") + shift_days * 86400).alias("t0"), F.col("latitude").alias("lat0"), F.col("longitude").alias("lon0"), "y", "x")
-    around = [F.struct(F.lit(b).alias("b"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for b in (0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    early = early.withColumn("k", F.explode(F.array(*around))).select("before", "t0", "lat0", "lon0", (bucket(F.col("t0")) + F.col("k.b")).alias("b"), (F.col("y") + F.col("k.dy")).alias("y"), (F.col("x") + F.col("k.dx")).alias("x"))
+    early = rows.select(F.col("incident_number").alias("before"), "t", F.col("latitude").alias("lat0"), F.col("longitude").alias("lon0"), "y", "x")
+    early = early.withColumn("shift", F.explode(F.array(*map(F.lit, shifts)))).withColumn("t0", F.col("t") + F.col("shift") * 86400).drop("t")
+    early = early.withColumn("b", F.explode(F.array(bucket(F.col("t0")), bucket(F.col("t0")) + 1)))
+    for c in ("y", "x"):
+        early = early.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
     near = (F.col("t") - F.col("t0")).between(low * 60, high * 60) & (geo.dist_m(F.col("lat0"), F.col("lon0"), F.col("latitude"), F.col("longitude")) <= metres) & (F.col("incident_number") != F.col("before"))
-    return rows.withColumn("b", bucket(F.col("t"))).join(early, ["b", "y", "x"]).filter(near).select("incident_number").distinct()
+    return rows.withColumn("b", bucket(F.col("t"))).join(early, ["b", "y", "x"]).filter(near).select("incident_number", "shift").distinct()
 
 
 def follow_on_share(crashes: DataFrame, **how) -> DataFrame:
     """AGG-29: crashes that follow another, and those that would follow one of a week earlier, of all located crashes."""
-    seen = followers(crashes, **how).agg(F.count(F.lit(1)).alias("following"))
-    control = followers(crashes, shift_days=7, **how).agg(F.count(F.lit(1)).alias("control"))
+    seen = followers(crashes, shifts=(0, 7), **how).agg(F.count_if(F.col("shift") == 0).alias("following"), F.count_if(F.col("shift") == 7).alias("control"))
     total = crashes.agg(F.count_if(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).alias("n"))
-    return total.join(F.broadcast(seen)).join(F.broadcast(control))  # one row each
+    return total.join(F.broadcast(seen))  # one row each
 
 
 def upgraded_share(ep: DataFrame) -> DataFrame:
