@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dispatchlake.functions.causes import AGENCIES
+
 
 def filter_new(listings: DataFrame, index: DataFrame) -> DataFrame:
     """JN-01: listings whose id and content key are both unseen, the first (by pos) of each key in the batch."""
@@ -19,6 +21,11 @@ def merge_ignore(current: DataFrame, new: DataFrame, key: list[str]) -> DataFram
     return current.unionByName(new.join(current.select(*key), key, "left_anti").dropDuplicates(key), allowMissingColumns=True)
 
 
+def seed_from_archive(current: DataFrame, archive: DataFrame, key: str = "incident_number") -> DataFrame:
+    """SNK-07: the working table with archive rows whose key it doesn't have; the archive's other columns are dropped."""
+    return merge_ignore(current, archive.select(*[c for c in archive.columns if c in current.columns]), [key])
+
+
 def merge_add(current: DataFrame, new: DataFrame, key: list[str], counts: list[str]) -> DataFrame:
     """JN-02: insert, or add to the counters."""
     return current.select(*key, *counts).unionByName(new.select(*key, *counts)).groupBy(*key).agg(*[F.sum(c).alias(c) for c in counts])
@@ -51,9 +58,11 @@ def track_sightings(listings: DataFrame) -> DataFrame:
 def accumulate_agencies(listings: DataFrame) -> DataFrame:
     """JN-04, STR-04: one change row for each agency that a later sweep adds; agencies are never removed.
 
-    Agencies are tokens of ``assisting``; each counts from the first sweep that names it.
+    Agencies are told by their patterns (PRJ-15), so ``FIRE DEPT`` is one; each counts from the first sweep that names it.
     """
-    named = listings.select("incident_number", "sweep_ts", F.explode(F.split(F.trim("assisting"), r"\s+")).alias("agency")).filter("agency <> ''")
+    text = F.upper(F.coalesce("assisting", F.lit("")))
+    agencies = F.array_compact(F.array(*[F.when(text.rlike(p), n) for n, p in AGENCIES.items()]))
+    named = listings.select("incident_number", "sweep_ts", F.explode(agencies).alias("agency"))
     first = named.groupBy("incident_number", "agency").agg(F.min("sweep_ts").alias("changed_at"))
     begin = listings.groupBy("incident_number").agg(F.min("sweep_ts").alias("begin"))
     return first.join(begin, "incident_number").filter("changed_at > begin").drop("begin")
@@ -61,7 +70,7 @@ def accumulate_agencies(listings: DataFrame) -> DataFrame:
 
 def change_stats(changes: DataFrame) -> DataFrame:
     """AGG-14: since when, incidents with changes, changes, and those that added the fire department."""
-    return changes.agg(F.date_format(F.min("changed_at"), "yyyy-MM-dd HH:mm:ss").alias("since"), F.count_distinct("incident_number").alias("tracked"), F.count(F.lit(1)).alias("added"), F.count_if(F.col("agency") == "FIRE").alias("fire_added"))
+    return changes.agg(F.date_format(F.min("changed_at"), "yyyy-MM-dd HH:mm:ss").alias("since"), F.count_distinct("incident_number").alias("tracked"), F.count(F.lit(1)).alias("added"), F.count_if(F.col("agency") == "fire").alias("fire_added"))
 
 
 def active_set_changes(listings: DataFrame) -> DataFrame:

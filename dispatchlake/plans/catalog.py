@@ -208,7 +208,7 @@ _add("agg_10_estimate_lookups", _estimate, W + f", skip AS (SELECT location_key
 _add("agg_13_feed_checks", lambda s, d: cov_ops.feed_checks(b.feed_checks(s, d)).select(_ts("hour"), "n_ok", "n_failed"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) FILTER (event_type <> 'error') AS n_ok, count(*) FILTER (event_type = 'error') AS n_failed FROM events GROUP BY 1")
 _add("agg_13_feed_hours", lambda s, d: cov_ops.feed_hours(cov_ops.feed_checks(b.feed_checks(s, d))).select(F.col("date").cast("string").alias("date"), "hours"), "SELECT strftime(ts, '%Y-%m-%d') AS date, count(DISTINCT hour(ts)) AS hours FROM events WHERE event_type <> 'error' GROUP BY 1")
 _add("jn_03_sightings", lambda s, d: ingest.track_sightings(b.listings(s, d)).select("incident_number", _ts("first_seen_at"), _ts("last_seen_at"), "observation_count"), "WITH " + b.LISTINGS + f" SELECT incident_number, {_dts('min(sweep_ts)', 'first_seen_at')}, {_dts('max(sweep_ts)', 'last_seen_at')}, count(DISTINCT sweep_ts) AS observation_count FROM listings GROUP BY 1")
-_add("jn_04_agency_changes", lambda s, d: ingest.accumulate_agencies(b.listings(s, d)).select("incident_number", "agency", _ts("changed_at")), "WITH " + b.LISTINGS + f" SELECT incident_number, 'FIRE' AS agency, {_dts('min(sweep_ts)', 'changed_at')} FROM listings WHERE assisting LIKE '%FIRE%' GROUP BY 1")
+_add("jn_04_agency_changes", lambda s, d: ingest.accumulate_agencies(b.listings(s, d)).select("incident_number", "agency", _ts("changed_at")), "WITH " + b.LISTINGS + f" SELECT incident_number, 'fire' AS agency, {_dts('min(sweep_ts)', 'changed_at')} FROM listings WHERE assisting LIKE '%FIRE%' GROUP BY 1")
 _add("agg_14_change_stats", lambda s, d: ingest.change_stats(ingest.accumulate_agencies(b.listings(s, d))), "WITH " + b.LISTINGS + f", c AS (SELECT incident_number, min(sweep_ts) AS changed_at FROM listings WHERE assisting LIKE '%FIRE%' GROUP BY 1) SELECT {_dts('min(changed_at)', 'since')}, count(DISTINCT incident_number) AS tracked, count(*) AS added, count(*) AS fire_added FROM c")
 _add("str_03_active_set_changes", lambda s, d: ingest.active_set_changes(b.listings(s, d)).select("incident_number", _ts("at"), "event"), "WITH " + b.LISTINGS + f""", sw AS (SELECT sweep_ts, lead(sweep_ts) OVER (ORDER BY sweep_ts) AS nxt, lag(sweep_ts) OVER (ORDER BY sweep_ts) AS prv FROM (SELECT DISTINCT sweep_ts FROM listings)), l AS (SELECT DISTINCT incident_number, sweep_ts FROM listings)
  SELECT l.incident_number, {_dts('l.sweep_ts', 'at')}, 'appeared' AS event FROM l JOIN sw USING (sweep_ts) WHERE NOT EXISTS (SELECT 1 FROM l p WHERE p.incident_number = l.incident_number AND p.sweep_ts = sw.prv)
@@ -543,17 +543,6 @@ def _status_at(s: SparkSession, d: str) -> DataFrame:
 _add("str_12_status_at", _status_at, W + "SELECT incident_number FROM inc WHERE first_seen_at <= TIMESTAMP '2024-01-20 12:05:00' AND last_seen_at >= TIMESTAMP '2024-01-20 11:54:00'")
 
 
-def _on_routes(s: SparkSession, d: str) -> DataFrame:
-    from dispatchlake.operators.routes import route_incidents
-
-    inc = _in_feed(s, d).join(causes.with_severity(_roads(s, d)), "incident_number")
-    routes = _routes(s).withColumn("corridors", F.array(F.lit("KALISTE SALOOM RD")))
-    return route_incidents(inc, routes, "2024-01-20 11:55:00", "2024-01-20 12:00:00").select("route_id", "incident_number", "status", "match", "reason")
-
-
-_add("agg_49_route_incidents", _on_routes)
-
-
 def _export(s: SparkSession, d: str) -> DataFrame:
     from dispatchlake.operators.export import export_incidents
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dispatchlake.plans import catalog_feeds as _feeds  # registers its queries
 from dispatchlake.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
+del _feeds

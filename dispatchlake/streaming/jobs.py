@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dispatchlake.functions.causes import AGENCIES, DIGEST, category, severity
 from dispatchlake.functions.text import folded, with_content_key
 
 
@@ -43,10 +44,15 @@ def track_observations(listings: DataFrame, watermark: str = "1 hour") -> DataFr
     return once.groupBy("incident_number").agg(F.min("sweep_ts").alias("first_seen_at"), F.max("sweep_ts").alias("last_seen_at"), F.count(F.lit(1)).alias("observation_count"))
 
 
-def agency_changes(listings: DataFrame) -> DataFrame:
-    """STR-04: first sweep in which each agency is named for an incident (batch: accumulate_agencies). Update mode."""
-    named = listings.select("incident_number", "sweep_ts", F.explode(F.split(F.trim("assisting"), r"\s+")).alias("agency")).filter("agency <> ''")
-    return named.groupBy("incident_number", "agency").agg(F.min("sweep_ts").alias("changed_at"))
+def agency_changes(listings: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """STR-04: sweeps in which each agency is named for an incident, once within the watermark, by the agencies' patterns.
+
+    Update mode; state is bounded by the watermark. ``state.agency_log`` keeps the exact change log.
+    """
+    text = F.upper(F.coalesce("assisting", F.lit("")))
+    named = F.array_compact(F.array(*[F.when(text.rlike(p), n) for n, p in AGENCIES.items()]))
+    rows = listings.withWatermark("sweep_ts", watermark).select("incident_number", "sweep_ts", F.explode(named).alias("agency"))
+    return rows.dropDuplicatesWithinWatermark(["incident_number", "agency"]).withColumnRenamed("sweep_ts", "changed_at")
 
 
 def feed_check_windows(checks: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -56,15 +62,37 @@ def feed_check_windows(checks: DataFrame, watermark: str = "10 minutes") -> Data
 
 
 def episodes_stream(inc: DataFrame, window_min: int = 15, watermark: str = "6 minutes") -> DataFrame:
-    """STR-06: sessions of listings at one place (batch: episodes): members in order, first and last time."""
-    rows = inc.withColumn("location_key", folded(F.col("location"))).filter((F.col("location_key") != "") & (F.upper(F.trim("cause")) != "TRAFFIC CONTROL") & F.col("reported_ts").isNotNull())
+    """STR-06: sessions of listings at one place (batch: episodes): primary, the others in order, first and last time.
+
+    A session stays open until the watermark passes it; listings of one place within a gap are its bound.
+    """
+    rows = inc.withColumn("location_key", folded(F.col("location"))).withColumn("severity", severity(F.col("cause"))).filter((F.col("location_key") != "") & (F.upper(F.trim("cause")) != "TRAFFIC CONTROL") & F.col("reported_ts").isNotNull())
+    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    listing = F.struct("reported_ts", "incident_number", "cause", "severity", located.alias("located"))
     s = rows.withWatermark("reported_ts", watermark).groupBy("location_key", F.session_window("reported_ts", f"{window_min} minutes"))
-    return s.agg(F.sort_array(F.collect_list(F.struct("reported_ts", "incident_number"))).alias("m"), F.count(F.lit(1)).alias("n_listings")).select("location_key", F.col("m")[0]["reported_ts"].alias("first_ts"), F.element_at("m", -1)["reported_ts"].alias("last_ts"), "n_listings")
+    s = s.agg(F.sort_array(F.collect_list(listing)).alias("m"), F.count(F.lit(1)).alias("n_listings"))
+    order = F.transform("m", lambda x, i: F.struct(~x["located"], -x["severity"], i.alias("i")))
+    s = s.withColumn("p", F.array_min(order)["i"] + 1)
+    extras = F.concat(F.slice("m", F.lit(1), F.col("p") - 1), F.slice("m", F.col("p") + 1, F.size("m")))
+    return s.select("location_key", F.col("m")[F.col("p") - 1]["incident_number"].alias("incident_number"), F.transform(extras, lambda x: x["incident_number"]).alias("extras"), F.col("m")[0]["reported_ts"].alias("first_ts"), F.element_at("m", -1)["reported_ts"].alias("last_ts"), "n_listings")
 
 
 def rolling_24h(inc: DataFrame, watermark: str = "6 minutes") -> DataFrame:
-    """STR-07: incidents of each 24 hours, moved on by the hour."""
-    return inc.withWatermark("created_at", watermark).groupBy(F.window("created_at", "24 hours", "1 hour")).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.end").alias("until"), "n")
+    """STR-07: the digest's counts of each 24 hours, moved on by the hour (batch: digest)."""
+    label = category(F.col("cause"), "digest")
+    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    tried = F.coalesce(F.col("geocode_attempts"), F.lit(0)) >= 3
+    text = F.upper(F.coalesce("assisting", F.lit("")))
+    counts = [F.count(F.lit(1)).alias("n"), *[F.count_if(label == c).alias("n_" + c.split()[0].lower()) for c in [*DIGEST, "Other"]], *[F.count_if(text.rlike(p)).alias(f"agency_{a}") for a, p in AGENCIES.items()]]
+    counts += [F.count_if(located).alias("located"), F.count_if(~located & ~tried).alias("locating"), F.count_if(~located & tried).alias("unmappable")]
+    rows = inc.withWatermark("created_at", watermark).groupBy(F.window("created_at", "24 hours", "1 hour"))
+    return rows.agg(*counts).select(F.col("window.end").alias("until"), *[c for c in ("n", *["n_" + c.split()[0].lower() for c in [*DIGEST, "Other"]], *[f"agency_{a}" for a in AGENCIES], "located", "locating", "unmappable")])
+
+
+def rolling_budget(requests: DataFrame, cap: int = 100, watermark: str = "6 minutes") -> DataFrame:
+    """STR-07: look-ups of each 24 hours, moved on by the hour, and what is left of the cap (batch: budget)."""
+    used = requests.withWatermark("requested_at", watermark).groupBy(F.window("requested_at", "24 hours", "1 hour")).agg(F.count(F.lit(1)).alias("used"))
+    return used.select(F.col("window.end").alias("until"), "used", F.greatest(F.lit(cap) - F.col("used"), F.lit(0)).alias("left"))
 
 
 def feed_health(listings: DataFrame, now: str, minutes: int = 20) -> DataFrame:
