@@ -70,3 +70,11 @@ def monthly_series(inc: DataFrame, cov: DataFrame, least: int = 5) -> DataFrame:
     n = inc.join(full.select("date"), F.to_date(inc["reported_ts"]) == F.col("date")).groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
     out = days.join(n, "month", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.withColumn("per_day", F.when(F.col("days") >= least, F.round(F.col("n") / F.col("days"), 6)))
+
+
+def monthly_gaps(series: DataFrame) -> DataFrame:
+    """AGG-20: the series with the months that it lacks between its first and last one, marked as gaps."""
+    ends = series.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    first = lambda c: F.to_date(F.concat(F.col(c), F.lit("-01")))
+    spine = ends.select(F.explode(F.sequence(first("lo"), first("hi"), F.expr("INTERVAL 1 MONTH"))).alias("d")).select(F.date_format("d", "yyyy-MM").alias("month"))
+    return spine.join(series, "month", "left").withColumn("is_gap", F.col("per_day").isNull())

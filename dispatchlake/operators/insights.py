@@ -27,6 +27,19 @@ def hour_week_matrix(crashes: DataFrame, cov: DataFrame) -> DataFrame:
     return out.withColumn("rate", F.when(F.col("days") > 0, F.round(F.col("n") / F.col("days"), 6)))
 
 
+def peak_cell(matrix: DataFrame) -> DataFrame:
+    """AGG-18: the hour and weekday with the highest rate (ties: the earliest)."""
+    best = F.min(F.struct((-F.col("rate")).alias("rate"), "dow", "hour", "n"))
+    return matrix.filter("rate IS NOT NULL").agg(best.alias("b")).select("b.dow", "b.hour", "b.n", (-F.col("b.rate")).alias("rate"))
+
+
+def hour_counts(crashes: DataFrame) -> DataFrame:
+    """AGG-19: crashes of each hour of the day, all 24 of them."""
+    spine = crashes.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
+    n = crashes.groupBy(F.hour("reported_ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return spine.join(n, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def dow_rates(crashes: DataFrame, cov: DataFrame) -> DataFrame:
     """AGG-19: crashes of each weekday on covered days, the days, and the rate."""
     days = cov.groupBy(F.weekday("date").alias("dow")).agg(F.count(F.lit(1)).alias("days"))
@@ -54,6 +67,24 @@ def crash_kpis(crashes: DataFrame, cov: DataFrame, days: int | None = None) -> D
     return out.join(F.broadcast(full)).withColumn("per_day", F.when(F.col("full_days") > 0, F.round(F.col("n") / F.col("full_days"), 6))).withColumn("severe_share", share("severe")).withColumn("hit_and_run_share", share("hit_and_run"))
 
 
+def worst_hour(crashes: DataFrame, cov: DataFrame) -> DataFrame:
+    """AGG-22: the clock hour with most crashes for a covered day (ties: the earliest)."""
+    days = cov.agg(F.count(F.lit(1)).alias("days"))
+    best = hour_counts(crashes).agg(F.min(F.struct((-F.col("n")).alias("n"), "hour")).alias("b"))
+    return best.join(F.broadcast(days)).select("b.hour", (-F.col("b.n")).alias("n"), F.round(-F.col("b.n") / F.col("days"), 6).alias("per_day"))  # one row each
+
+
+def night_severity(crashes: DataFrame, least: int = 30) -> DataFrame:
+    """AGG-23: severe share at night (21 to 5) and by day, and the hour with the highest hit-and-run share among those
+    with at least ``least`` crashes (ties: the earliest)."""
+    hour = F.hour("reported_ts")
+    night = (hour >= 21) | (hour < 5)
+    share = lambda c: F.round(F.avg(F.when(c, F.col("is_severe").cast("int"))), 6)
+    both = crashes.agg(share(night).alias("night_severe"), share(~night).alias("day_severe"))
+    hours = severity_by_hour(crashes, least).agg(F.min(F.struct((-F.col("hit_and_run_share")).alias("share"), "hour")).alias("b"))
+    return both.join(F.broadcast(hours)).select("night_severe", "day_severe", F.col("b.hour").alias("hit_and_run_hour"), (-F.col("b.share")).alias("hit_and_run_share"))  # one row each
+
+
 def severity_by_hour(crashes: DataFrame, least: int = 20) -> DataFrame:
     """AGG-23: severe and hit-and-run share of the hours with at least ``least`` crashes."""
     one = crashes.groupBy(F.hour("reported_ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_severe").alias("severe"), F.count_if("is_hit_and_run").alias("hit_and_run")).filter(F.col("n") >= least)
@@ -74,6 +105,12 @@ def road_ranking(crashes: DataFrame, stats: DataFrame | None = None) -> DataFram
     return one if stats is None else one.join(stats, "road", "left").withColumn("per_mile", F.when(F.col("miles") > 0, F.round(F.col("n") / F.col("miles"), 6)))
 
 
+def road_rates(crashes: DataFrame, stats: DataFrame, days: int) -> DataFrame:
+    """AGG-25: the road ranking with crashes a week and a mile-year, over ``days`` days of data."""
+    out = road_ranking(crashes, stats)
+    return out.withColumn("per_week", F.round(F.col("n") / (days / 7), 6)).withColumn("per_mile_year", F.when(F.col("miles") > 0, F.round(F.col("n") / F.col("miles") / (days / 365.25), 6)))
+
+
 def risk_ranking(crashes: DataFrame, stats: DataFrame, days: Column | int, least: int = 40, miles: float = 1.0, per_day: float = 5000.0) -> DataFrame:
     """AGG-26: crashes for a million vehicle-miles of roads with enough crashes, length and traffic."""
     one = crashes.select(F.explode("corridors").alias("road")).groupBy("road").agg(F.count(F.lit(1)).alias("n")).join(stats, "road")
@@ -183,10 +220,15 @@ def agency_load(inc: DataFrame) -> DataFrame:
     return inc.filter("reported_ts IS NOT NULL").select(F.explode("agencies").alias("agency"), F.hour("reported_ts").alias("hour")).groupBy("agency", "hour").agg(F.count(F.lit(1)).alias("n"))
 
 
+def agency_rates(inc: DataFrame, days: int) -> DataFrame:
+    """AGG-34: the load of each agency and hour for a day of data."""
+    return agency_load(inc).withColumn("rate", F.round(F.col("n") / days, 6))
+
+
 def area_table(crashes: DataFrame, least: int = 20, top_n: int = 8) -> DataFrame:
     """AGG-34: towns by crashes with severe and hit-and-run shares (rows have town)."""
     one = crashes.filter("town <> ''").groupBy("town").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_severe").alias("severe"), F.count_if("is_hit_and_run").alias("hit_and_run")).filter(F.col("n") >= least)
-    return one.withColumn("severe_share", F.round(F.col("severe") / F.col("n"), 6)).orderBy(F.desc("n"), "town").limit(top_n)
+    return one.withColumn("severe_share", F.round(F.col("severe") / F.col("n"), 6)).withColumn("hit_and_run_share", F.round(F.col("hit_and_run") / F.col("n"), 6)).orderBy(F.desc("n"), "town").limit(top_n)
 
 
 def feed_time_quartiles(rows: DataFrame, group: str, minutes: str, least: int = 15) -> DataFrame:
@@ -218,6 +260,23 @@ def today_vs_norm(crashes: DataFrame, cov: DataFrame, now: str, least: int = 6)
     return today.join(F.broadcast(norm)).withColumn("verdict", verdict)
 
 
+def verdict_if_fresh(norm: DataFrame, newest: DataFrame, now: str, hours: int = 6) -> DataFrame:
+    """AGG-36: the comparison with the verdict ``unknown`` if the newest row (one value, ``newest``) is ``hours`` old."""
+    late = F.timestamp_diff("SECOND", F.col("newest"), F.lit(now).cast("timestamp_ntz")) >= hours * 3600
+    out = norm.join(F.broadcast(newest.select("newest")))  # one row
+    return out.withColumn("verdict", F.when(F.coalesce(late, F.lit(True)), "unknown").otherwise(F.col("verdict"))).drop("newest")
+
+
+def weather_shares(inc: DataFrame) -> DataFrame:
+    """AGG-41: shares of rain, wind of 20 mph and more, and visibility below 3 miles, each among rows that have the value."""
+    rain_known = F.col("weather_precip_prob").isNotNull() | F.col("weather_precip_in").isNotNull()
+    rain = F.coalesce(F.col("weather_precip_prob") >= 20, F.lit(False)) | F.coalesce(F.col("weather_precip_in") > 0.005, F.lit(False))
+    wind, sight = F.col("weather_wind_mph"), F.col("weather_visibility_mi")
+    one = inc.agg(F.count_if(rain_known).alias("rain_known"), F.count_if(rain).alias("rain"), F.count("weather_wind_mph").alias("wind_known"), F.count_if(wind >= 20).alias("windy"), F.count("weather_visibility_mi").alias("sight_known"), F.count_if(sight < 3).alias("low_sight"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6))
+    return one.withColumn("rain_share", share("rain", "rain_known")).withColumn("wind_share", share("windy", "wind_known")).withColumn("low_sight_share", share("low_sight", "sight_known"))
+
+
 def normalised_rates(inc: DataFrame, cov: DataFrame) -> DataFrame:
     """AGG-41: incidents for an hour of rush and other time, for a weekday and a weekend day, in and out of term."""
     from dispatchlake.operators.coverage import exposure

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dispatchlake.functions import causes, geo, times
+from dispatchlake.functions.text import folded
+from dispatchlake.operators.filters import Filters, apply_filters
 
 
 def _days(now: str, t: Column) -> Column:
@@ -34,6 +38,14 @@ def grid_groups(inc: DataFrame, digits: int = 3, top_n: int = 100) -> DataFrame:
     return out.orderBy(F.desc("n"), "cell_y", "cell_x").limit(top_n)
 
 
+def grid_members(inc: DataFrame, digits: int = 3, top_n: int = 100) -> DataFrame:
+    """AGG-04: (cell_y, cell_x, incident_number) of the members of the top cells; only they are joined, by broadcast."""
+    cy, cx = geo.cell(F.col("latitude"), F.col("longitude"), digits)
+    top = grid_groups(inc, digits, top_n).select("cell_y", "cell_x")  # top_n rows
+    rows = inc.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select("incident_number", cy.alias("cell_y"), cx.alias("cell_x"))
+    return rows.join(F.broadcast(top), ["cell_y", "cell_x"])
+
+
 def location_history(inc: DataFrame, digits: int = 4) -> DataFrame:
     """AGG-05: occurrences and first date of each cell."""
     cy, cx = geo.cell(F.col("latitude"), F.col("longitude"), digits)
@@ -77,6 +89,27 @@ def digest_hours(inc: DataFrame, now: str) -> DataFrame:
     return hours.join(one, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def digest_roads(inc: DataFrame, now: str, top_n: int = 5) -> DataFrame:
+    """AGG-08: roads with most incidents of the 24 hours before ``now``, by collection time (rows have corridors)."""
+    end = F.lit(now).cast("timestamp_ntz")
+    rows = inc.filter((F.col("created_at") >= end - F.expr("INTERVAL 24 HOURS")) & (F.col("created_at") < end))
+    return rows.select(F.explode("corridors").alias("road")).groupBy("road").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "road").limit(top_n)
+
+
+#: Bins and their minutes by range of a trend.
+TREND_BINS = {"24h": (24, 60), "7d": (7, 1440), "30d": (30, 1440), "all": (12, 43200)}
+
+
+def trend_of_range(inc: DataFrame, now: str, range_: str) -> DataFrame:
+    """AGG-37: the trend of a range: hours of a day, days of a week or month, or twelve times thirty days."""
+    return trend(inc, now, *TREND_BINS[range_])
+
+
+def faceted_tiles(inc: DataFrame, f: Filters, now: str) -> DataFrame:
+    """AGG-38: the tiles of the rows that the chosen facets other than the time range keep."""
+    return stat_tiles(apply_filters(inc, f, exclude=("range", "dates")), now)
+
+
 def trend(inc: DataFrame, now: str, bins: int = 24, bin_minutes: int = 60) -> DataFrame:
     """AGG-37: incidents in the last ``bins`` bins before ``now`` (bin 0 is the newest) and the change to the bin before."""
     age = F.timestamp_diff("MINUTE", F.col("reported_ts"), F.lit(now).cast("timestamp_ntz"))
@@ -121,6 +154,34 @@ def smart_summary(inc: DataFrame) -> DataFrame:
     return out
 
 
+def summary_changes(inc: DataFrame, now: str) -> DataFrame:
+    """AGG-42: the top road class with its count, and the last seven days against the seven before (rows have road_type;
+    without 13 days of data the comparison is left out)."""
+    age = _days(now, F.col("reported_ts"))
+    top = inc.filter("road_type IS NOT NULL").groupBy("road_type").agg(F.count(F.lit(1)).alias("n")).agg(F.min(F.struct((-F.col("n")).alias("n"), "road_type")).alias("m"))
+    weeks = inc.agg(F.max(age).alias("span"), F.count_if((age >= 0) & (age < 7)).alias("a"), F.count_if((age >= 7) & (age < 14)).alias("b"))
+    enough = F.col("span") >= 13
+    return weeks.join(F.broadcast(top)).select(F.col("m.road_type").alias("road_type"), (-F.col("m.n")).alias("n"), F.when(enough, F.col("a")).alias("last_week"), F.when(enough, F.col("b")).alias("week_before"))  # one row each
+
+
+def road_details(inc: DataFrame, control: DataFrame, road: str, now: str, top_n: int = 5) -> DataFrame:
+    """AGG-43: (what, value, n) of a road: its peak hour and weekday and its top spots.
+
+    Collapsed control groups (``control`` has location, history and corridors) count once for each call of their history.
+    """
+    on = lambda df: df.filter(F.array_contains("corridors", road))
+    rows = on(inc).select("reported_ts", folded(F.col("location")).alias("spot"), F.lit(1).cast("long").alias("n"))
+    calls = on(control).select(F.explode("history").alias("h"), folded(F.col("location")).alias("spot")).select(F.col("h.day").cast("timestamp_ntz").alias("day"), "spot", F.col("h.n").alias("n"))
+    days = rows.select(F.weekday("reported_ts").alias("k"), "n").unionByName(calls.select(F.weekday("day").alias("k"), "n"))
+    spots = rows.select(F.col("spot").alias("k"), "n").unionByName(calls.select(F.col("spot").alias("k"), "n"))
+
+    def top(df: DataFrame, what: str, most: int) -> DataFrame:
+        one = df.filter("k IS NOT NULL").groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k").limit(most)
+        return one.select(F.lit(what).alias("what"), F.col("k").cast("string").alias("value"), "n")
+
+    return top(rows.select(F.hour("reported_ts").alias("k"), "n"), "peak_hour", 1).unionByName(top(days, "peak_day", 1)).unionByName(top(spots, "spot", top_n))
+
+
 def road_profile(inc: DataFrame, road: str, now: str) -> DataFrame:
     """AGG-43: totals, crashes, and the last 30 days against the 30 before, of one road."""
     age = _days(now, F.col("reported_ts"))
@@ -136,6 +197,30 @@ def facet_counts(inc: DataFrame) -> DataFrame:
     return rows.groupBy("f").agg(F.count(F.lit(1)).alias("n")).select(F.substring_index("f", ":", 1).alias("facet"), F.regexp_replace("f", "^[^:]*:", "").alias("value"), "n")
 
 
+def faceted_counts(inc: DataFrame, f: Filters) -> DataFrame:
+    """AGG-44: each facet's values and counts over the rows that the other chosen facets keep."""
+    none = {"date_from": None, "date_to": None}
+    others = {"cause": replace(f, cause=None), "agency": replace(f, agencies=set()), "year": replace(f, year=None, **none), "month": replace(f, month=None, **none)}
+    parts = [facet_counts(apply_filters(inc, rest)).filter(F.col("facet") == facet) for facet, rest in others.items()]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def unlocated_counts(inc: DataFrame) -> DataFrame:
+    """AGG-45: rows that are being located and that can't be."""
+    rows = inc.filter("latitude IS NULL OR longitude IS NULL")
+    tried = F.coalesce(F.col("geocode_attempts"), F.lit(0)) >= 3
+    return rows.agg(F.count_if(~tried).alias("locating"), F.count_if(tried).alias("unmappable"))
+
+
+def clamped(box: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:
+    """AGG-46: a box kept within limits."""
+    within = lambda c, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), F.col(c)))
+    return box.withColumn("south", within("south", south, north)).withColumn("north", within("north", south, north)).withColumn("west", within("west", west, east)).withColumn("east", within("east", west, east))
+
+
 def unlocated(inc: DataFrame, top_n: int = 50) -> DataFrame:
     """AGG-45: the newest rows without a position and whether they are still being located."""
     rows = inc.filter("latitude IS NULL OR longitude IS NULL")
@@ -158,6 +243,19 @@ def archive_status(inc: DataFrame) -> DataFrame:
     return inc.agg(text(F.max("created_at")).alias("newest"), text(F.min("reported_ts")).alias("first_incident"), F.count(F.lit(1)).alias("n"), F.max(F.when(has, F.struct("created_at", "incident_number"))).alias("w")).select("newest", "first_incident", "n", F.col("w.incident_number").alias("latest_weather"))
 
 
+def archive_growth(inc: DataFrame) -> DataFrame:
+    """AGG-50: rows added to the archive in each month of collection, and all until then."""
+    one = inc.groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("added"))
+    return one.withColumn("total", F.sum("added").over(Window.orderBy("month")))  # a row for each month
+
+
+def weather_log_status(hourly: DataFrame) -> DataFrame:
+    """AGG-50: first and last hour of the weather log, its hours, and those missing between."""
+    out = hourly.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"), F.count_distinct("hour").alias("hours"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return out.select(text("lo").alias("first_hour"), text("hi").alias("last_hour"), "hours", (F.timestamp_diff("HOUR", F.col("lo"), F.col("hi")) + 1 - F.col("hours")).alias("missing"))
+
+
 def in_view(inc: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:
     """AGG-56, FLT-28: rows inside a box, borders included."""
     return inc.filter(F.col("latitude").between(south, north) & F.col("longitude").between(west, east))

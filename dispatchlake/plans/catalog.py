@@ -439,7 +439,7 @@ _add("prj_11_event_calendar", lambda s, d: b.crashes_long(s, d).select(F.to_date
 _add("agg_32_school_effect", lambda s, d: insights.school_effect(_crashes(s, d), _cov(s, d)), WCOV + f", g AS (SELECT date, {_school('date')} AS school FROM cov WHERE isodow(date) < 6), n AS (SELECT CAST(reported_ts AS DATE) AS date, count(*) AS n FROM crashes WHERE is_crash GROUP BY 1), t AS (SELECT count(*) FILTER (school) AS school_days, CAST(sum(coalesce(n, 0)) FILTER (school) AS BIGINT) AS school_n, count(*) FILTER (NOT school) AS other_days, CAST(sum(coalesce(n, 0)) FILTER (NOT school) AS BIGINT) AS other_n FROM g LEFT JOIN n USING (date)) SELECT *, round((school_n / school_days) / (other_n / other_days), 6) AS ratio FROM t")
 _add("agg_33_recurring_calls", lambda s, d: insights.recurring_calls(text.with_location_key(causes.with_category(_roads(s, d)))), W + ", p AS (SELECT 'signal' AS kind, location_key AS place FROM inc WHERE category = 'control' AND location_key <> '' UNION ALL SELECT CASE category WHEN 'vehicle' THEN 'stall' ELSE 'hazard' END AS kind, unnest(corridors) AS place FROM inc WHERE category IN ('vehicle', 'hazard')), q AS (SELECT kind, place, count(*) AS n, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, place) AS rank FROM p GROUP BY 1, 2 HAVING count(*) >= 2) SELECT * FROM q WHERE rank <= 6")
 _add("agg_34_agency_load", lambda s, d: insights.agency_load(causes.with_agencies(_inc(s, d))), W + "SELECT agency, hour(reported_ts) AS hour, count(*) AS n FROM (SELECT lower(unnest(string_split(assisting, ' '))) AS agency, reported_ts FROM inc WHERE assisting <> '' AND reported_ts IS NOT NULL) GROUP BY 1, 2")
-_add("agg_34_area_table", lambda s, d: insights.area_table(text.with_place_parts(causes.with_severity(_inc(s, d)).filter(causes.category(F.col("cause")) == "accident").withColumn("location", F.upper("location")))), W + "SELECT town, n, severe, hit_and_run, round(severe / n, 6) AS severe_share FROM (SELECT CASE user_id % 3 WHEN 0 THEN 'Lafayette' WHEN 1 THEN 'Broussard' ELSE 'Parish' END AS town, count(*) AS n, count(*) FILTER (cause LIKE '%MAJOR') AS severe, count(*) FILTER (cause = 'HIT AND RUN') AS hit_and_run FROM inc WHERE category = 'accident' AND (user_id % 10 <> 9 OR user_id % 3 = 2) GROUP BY 1) WHERE n >= 20 ORDER BY n DESC, town LIMIT 8")
+_add("agg_34_area_table", lambda s, d: insights.area_table(text.with_place_parts(causes.with_severity(_inc(s, d)).filter(causes.category(F.col("cause")) == "accident").withColumn("location", F.upper("location")))), W + "SELECT town, n, severe, hit_and_run, round(severe / n, 6) AS severe_share, round(hit_and_run / n, 6) AS hit_and_run_share FROM (SELECT CASE user_id % 3 WHEN 0 THEN 'Lafayette' WHEN 1 THEN 'Broussard' ELSE 'Parish' END AS town, count(*) AS n, count(*) FILTER (cause LIKE '%MAJOR') AS severe, count(*) FILTER (cause = 'HIT AND RUN') AS hit_and_run FROM inc WHERE category = 'accident' AND (user_id % 10 <> 9 OR user_id % 3 = 2) GROUP BY 1) WHERE n >= 20 ORDER BY n DESC, town LIMIT 8")
 _add("agg_35_feed_time", lambda s, d: insights.feed_time_quartiles(_crashes(s, d), "cause", "visible_min"), WC[:-2] + " SELECT cause, count(*) AS n, median(visible_min) AS median, list_sort(list(visible_min))[least(count(*), CAST(floor(count(*) * 0.25) AS BIGINT) + 1)] AS q1, list_sort(list(visible_min))[least(count(*), CAST(floor(count(*) * 0.75) AS BIGINT) + 1)] AS q3 FROM crashes WHERE is_crash GROUP BY 1 HAVING count(*) >= 15")
 _TODAY = "2001-07-18 15:30:00"
 _add("agg_36_today_vs_norm", lambda s, d: insights.today_vs_norm(_crashes(s, d), _cov(s, d), _TODAY), WCOV + ", n AS (SELECT CAST(reported_ts AS DATE) AS date, count(*) AS n FROM crashes WHERE is_crash AND hour(reported_ts) * 60 + minute(reported_ts) <= 930 GROUP BY 1), v AS (SELECT list_sort(list(coalesce(n, 0))) AS v, count(*) AS days FROM cov LEFT JOIN n USING (date) WHERE is_full AND date < DATE '2001-07-18' AND isodow(date) = isodow(DATE '2001-07-18')), q AS (SELECT (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM n WHERE date = DATE '2001-07-18') AS today, days, list_median(v) AS median, v[least(days, CAST(floor(days * 0.1) AS BIGINT) + 1)] AS low, v[least(days, CAST(floor(days * 0.9) AS BIGINT) + 1)] AS high FROM v) SELECT today, days, median, low, high, CASE WHEN days < 6 THEN 'unknown' WHEN today < low THEN 'quiet' WHEN today > high THEN 'busy' ELSE 'usual' END AS verdict FROM q".replace("list_median(v)", "list_aggregate(v, 'median')"))

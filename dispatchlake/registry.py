@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dispatchlake.plans import catalog_feeds as _feeds  # registers its queries
+from dispatchlake.plans import catalog_feeds as _feeds  # these two register their queries
+from dispatchlake.plans import catalog_panels as _panels
 from dispatchlake.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
-del _feeds
+del _feeds, _panels
