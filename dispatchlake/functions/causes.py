@@ -65,12 +65,16 @@ def with_category(df: DataFrame, ruleset: str = "map") -> DataFrame:
     return df.withColumn("category", category(F.col("cause"), ruleset))
 
 
+#: Severity ranks, in the order in which causes are told. Fixed values.
+RANKS = {"fatal": 100, "injuries": 90, "hit and run": 80, "major": 70, "injuries unknown": 60, "minor": 50, "crash": 45, "rescue": 20, "stalled": 15, "other": 30}
+
+
 def severity(cause: Column) -> Column:
     """PRJ-14: rank of a cause, higher is worse; ordered rules, 30 where none holds."""
     c = F.upper(F.coalesce(cause, F.lit("")))
     has = lambda w: F.contains(c, F.lit(w))
-    rules = [(has("FATAL"), 100), (c.rlike(r"W/\s*INJ|WITH\s+INJ"), 90), (has("HIT") & (has("RUN") | has("&")), 80), (has("MAJOR"), 70), (has("UNK") & has("INJ"), 60), (has("MINOR"), 50), (has("ACCIDENT") | has("CRASH") | has("COLLISION"), 45), (has("RESCUE"), 20), (has("STALL") | has("DISABLED"), 15)]
-    return F.coalesce(*[F.when(test, F.lit(rank)) for test, rank in rules], F.lit(30))
+    ranks = [(has("FATAL"), "fatal"), (c.rlike(r"W/\s*INJ|WITH\s+INJ"), "injuries"), (has("HIT") & (has("RUN") | has("&")), "hit and run"), (has("MAJOR"), "major"), (has("UNK") & has("INJ"), "injuries unknown"), (has("MINOR"), "minor"), (has("ACCIDENT") | has("CRASH") | has("COLLISION"), "crash"), (has("RESCUE"), "rescue"), (has("STALL") | has("DISABLED"), "stalled")]
+    return F.coalesce(*[F.when(test, F.lit(RANKS[what])) for test, what in ranks], F.lit(RANKS["other"]))
 
 
 def severe(cause: Column) -> Column:

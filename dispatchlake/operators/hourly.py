@@ -57,7 +57,9 @@ def forecast_asof(inc: DataFrame, grid: DataFrame) -> DataFrame:
     """
     posts = grid.withColumn("hour", F.explode(F.sequence(F.date_trunc("HOUR", "start"), F.date_trunc("HOUR", F.expr("end - INTERVAL 1 SECOND")), F.expr("INTERVAL 1 HOUR"))))
     first = grid.filter("value IS NOT NULL").groupBy("variable").agg(F.min_by("value", "start").alias("first_value"))
-    rows = inc.select("incident_number", "reported_ts").withColumn("hour", F.date_trunc("HOUR", "reported_ts")).join(first)
+    all_of = first.agg(F.sort_array(F.collect_list(F.struct("variable", "first_value"))).alias("series"))  # one row; a service has some dozens of variables
+    rows = inc.select("incident_number", "reported_ts").withColumn("hour", F.date_trunc("HOUR", "reported_ts")).join(F.broadcast(all_of))
+    rows = rows.select("incident_number", "reported_ts", "hour", F.inline("series"))
     met = rows.join(posts, ["hour", "variable"], "left").withColumn("hit", F.when((F.col("reported_ts") >= F.col("start")) & (F.col("reported_ts") < F.col("end")), F.col("value")))
     return met.groupBy("incident_number", "variable").agg(F.coalesce(F.max("hit"), F.max("first_value")).alias("value"))
 
@@ -65,14 +67,14 @@ def forecast_asof(inc: DataFrame, grid: DataFrame) -> DataFrame:
 def attach_last(inc: DataFrame, states: DataFrame, value: str) -> DataFrame:
     """JN-09: the value of the last state row (at, value) at or before each incident.
 
-    Rows of both kinds are sorted together within months; what a month begins with is carried over from the month
-    table, so no sort covers all rows.
+    Rows of both kinds are sorted together within hours; what an hour begins with is carried over from the table of
+    hours (a row for each), so no task sorts more than one hour's rows.
     """
     a = states.select(F.col("at").alias("t"), F.lit(None).cast("string").alias("incident_number"), F.col(value).alias("v"), F.lit(0).alias("o"))
     b = inc.filter("reported_ts IS NOT NULL").select(F.col("reported_ts").alias("t"), "incident_number", F.lit(None).cast(states.schema[value].dataType).alias("v"), F.lit(1).alias("o"))
-    both = a.unionByName(b).withColumn("month", F.date_trunc("MONTH", "t"))
-    monthly = both.groupBy("month").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.col("t"))).alias("last"))
-    before = monthly.withColumn("carried", F.last("last", ignorenulls=True).over(Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1))).select("month", "carried")
-    w = Window.partitionBy("month").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("v", F.last("v", ignorenulls=True).over(w)).filter("o = 1").join(before, "month")
+    both = a.unionByName(b).withColumn("hour", F.date_trunc("HOUR", "t"))
+    hours = both.groupBy("hour").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.col("t"))).alias("last"))
+    before = hours.withColumn("carried", F.last("last", ignorenulls=True).over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))).select("hour", "carried")
+    w = Window.partitionBy("hour").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("v", F.last("v", ignorenulls=True).over(w)).filter("o = 1").join(before, "hour")
     return out.select("incident_number", F.coalesce("v", "carried").alias(value))
