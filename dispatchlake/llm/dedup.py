@@ -138,7 +138,8 @@ def near_duplicates(docs: DataFrame, min_percent: int = 80, min_matches: int = M
 
     Null and empty texts (or only white space) have 0 shingles and link with nothing. Repeated rows link with each
     other as equal sets do. An id that occurs with several texts gives one row per occurrence. Other columns of docs
-    are ignored, whatever their names. An empty table gives an empty result. Shingles have ``width`` words.
+    are ignored, whatever their names. An empty table gives an empty result. Texts of any length are compared whole, ties
+    go to the smallest id. Shingles have ``width`` words. Ids must not be null; ``keep_first`` takes rows without one.
     """
     C.prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
