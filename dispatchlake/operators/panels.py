@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from dispatchlake.functions import causes, geo, times
 from dispatchlake.functions.text import folded
 from dispatchlake.operators.filters import Filters, apply_filters
+from dispatchlake.operators.ingest import location_state
 
 
 def _days(now: str, t: Column) -> Column:
@@ -262,5 +263,5 @@ def in_view(inc: DataFrame, south: float, west: float, north: float, east: float
 
 
 def feed_page(inc: DataFrame, now: str, limit: int = 30) -> DataFrame:
-    """Newest rows with the heading of their date group."""
-    return inc.withColumn("bucket", times.recency_bucket(F.col("best_ts"), now)).orderBy(F.col("best_ts").desc_nulls_last(), "incident_number").limit(limit)
+    """Newest rows with the heading of their date group and whether they are placed or still pending."""
+    return location_state(inc).withColumn("bucket", times.recency_bucket(F.col("best_ts"), now)).orderBy(F.col("best_ts").desc_nulls_last(), "incident_number").limit(limit)

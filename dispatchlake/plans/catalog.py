@@ -457,7 +457,7 @@ _add("agg_45_unlocated", lambda s, d: panels.unlocated(b.incidents(s, d)), W + f
 _add("agg_46_extent", lambda s, d: panels.extent(b.incidents(s, d)), W + "SELECT round(avg(latitude), 6) AS centre_lat, round(avg(longitude), 6) AS centre_lon, round(floor(round((min(latitude) - 0.02) / 0.05, 9)) * 0.05, 6) AS south, round(ceil(round((max(latitude) + 0.02) / 0.05, 9)) * 0.05, 6) AS north, round(floor(round((min(longitude) - 0.02) / 0.05, 9)) * 0.05, 6) AS west, round(ceil(round((max(longitude) + 0.02) / 0.05, 9)) * 0.05, 6) AS east FROM inc WHERE latitude IS NOT NULL")
 _add("agg_50_archive_status", lambda s, d: panels.archive_status(_inc(s, d)), W + f"SELECT {_dts('max(created_at)', 'newest')}, {_dts('min(reported_ts)', 'first_incident')}, count(*) AS n, arg_max(incident_number, (created_at, incident_number)) FILTER (weather_temp_f IS NOT NULL) AS latest_weather FROM inc")
 _add("agg_56_in_view", lambda s, d: panels.in_view(b.incidents(s, d), 30.17, -92.08, 30.22, -92.03).agg(F.count(F.lit(1)).alias("n")), W + "SELECT count(*) AS n FROM inc WHERE latitude BETWEEN 30.17 AND 30.22 AND longitude BETWEEN -92.08 AND -92.03")
-_add("feed_page", lambda s, d: panels.feed_page(_best(s, d), NOW).select("incident_number", "bucket"), W + _F_ROWS + f"SELECT incident_number, CASE WHEN date_diff('day', CAST(best AS DATE), DATE '2024-01-31') <= 0 THEN 'Today' WHEN date_diff('day', CAST(best AS DATE), DATE '2024-01-31') = 1 THEN 'Yesterday' ELSE 'This week' END AS bucket FROM r ORDER BY best DESC, incident_number LIMIT 30")
+_add("feed_page", lambda s, d: panels.feed_page(_best(s, d), NOW).select("incident_number", "bucket", "location_state"), W + _F_ROWS + f"SELECT incident_number, CASE WHEN latitude IS NOT NULL THEN 'located' WHEN geocode_attempts >= 3 THEN 'unmappable' ELSE 'locating' END AS location_state, CASE WHEN date_diff('day', CAST(best AS DATE), DATE '2024-01-31') <= 0 THEN 'Today' WHEN date_diff('day', CAST(best AS DATE), DATE '2024-01-31') = 1 THEN 'Yesterday' ELSE 'This week' END AS bucket FROM r ORDER BY best DESC, incident_number LIMIT 30")
 
 
 # ---- geography

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,25 +14,6 @@ def dedupe_stream(listings: DataFrame, watermark: str = "6 minutes") -> DataFram
     return with_content_key(listings).withWatermark("sweep_ts", watermark).dropDuplicatesWithinWatermark(["content_key"])
 
 
-def dedupe_to_archive(archive_path: str) -> Callable[[DataFrame, int], None]:
-    """STR-01, exact: a foreachBatch function that appends only listings the archive has never had (batch: filter_new)."""
-
-    def each(batch: DataFrame, _: int) -> None:
-        from dispatchlake.operators.ingest import filter_new
-
-        spark = batch.sparkSession
-        rows = with_content_key(batch)
-        try:
-            index = spark.read.parquet(archive_path).select("incident_number", "content_key")
-        except Exception as e:  # the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            index = rows.select("incident_number", "content_key").limit(0)
-        filter_new(rows, index).write.mode("append").parquet(archive_path)
-
-    return each
-
-
 def track_observations(listings: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """STR-02: first and last sighting and number of sweeps of each incident (batch: track_sightings). Update mode.
 

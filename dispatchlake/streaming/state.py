@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dispatchlake.functions.causes import AGENCIES
+from dispatchlake.functions.text import with_content_key
 from dispatchlake.operators import hourly, routes
-from dispatchlake.operators.ingest import active_set_changes
+from dispatchlake.operators.ingest import active_set_changes, filter_new
 
 Each = Callable[[DataFrame, int], None]
 
@@ -57,6 +58,33 @@ def append_once(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def dedupe_to_archive(spark: SparkSession, archive: str, parts: int = 256) -> Each:
+    """STR-01, exact: appends only listings whose id and content key the archive has never had (batch: filter_new).
+
+    An index of ids and keys lies beside the archive, by a hash; a batch reads only the parts that its own values fall
+    into, so its work doesn't grow with the archive as a whole.
+    """
+    index = f"{archive.rstrip('/')}_index"
+    files = StateTable(spark, index, "value string")
+    kind = "value string, batch long, part int"
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = with_content_key(batch)
+        values = lambda df: df.select(F.explode(F.array(F.concat(F.lit("id:"), "incident_number"), F.concat(F.lit("key:"), "content_key"))).alias("value"))
+        mine = [r[0] for r in values(rows).select(part("value").alias("part")).distinct().collect()]  # at most ``parts`` numbers
+        if files._exists(index):
+            known = spark.read.schema(kind).parquet(index).filter(F.col("part").isin(mine) & (F.col("batch") != number)).select("value")
+        else:
+            known = spark.createDataFrame([], "value string")
+        tail = lambda mark: F.when(F.col("value").startswith(mark), F.substr("value", F.lit(len(mark) + 1)))
+        append_once(filter_new(rows, known.select(tail("id:").alias("incident_number"), tail("key:").alias("content_key"))), archive, number)
+        new = spark.read.schema(rows.schema).parquet(f"{archive}/batch={number}")
+        values(new).withColumn("part", part("value")).write.mode("overwrite").partitionBy("part").parquet(f"{index}/batch={number}")
+
+    return each
+
+
 SEEN = "incident_number string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, observation_count long, in_feed boolean"
 
 
