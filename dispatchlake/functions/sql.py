@@ -4,8 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from dispatchlake.functions import times
+from dispatchlake.functions.geo import DEGREE_M
+
 _FOLD = "upper(trim(regexp_replace(coalesce({0}, ''), '(?U)\\\\s+', ' ')))"
+
+
+def _groups(pattern: str, n: int) -> str:
+    """As times._groups: a pattern's groups by one match."""
+    body = pattern if pattern.startswith("^") else f"^.*?{pattern}.*$"
+    return f"split(regexp_replace(s, r'{body}', concat_ws('|', '\\u0001', " + ", ".join(f"'${k}'" for k in range(1, n + 1)) + r")), r'\|')"
+
+
+def _time(groups: str, year: str, month: int, day: int, hour: int, half: int | None) -> str:
+    """SQL of the time that an array of groups spells; a missing clock is midnight."""
+    num = lambda k: f"try_cast(g[{k}] AS INT)"
+    mark = f"g[{half}]" if half else "''"
+    clock = f"CASE WHEN g[{hour}] = '' THEN 0 WHEN {mark} <> '' AND {num(hour)} BETWEEN 1 AND 12 THEN {num(hour)} % 12 + if(lower({mark}) = 'pm', 12, 0) WHEN {mark} = '' AND {num(hour)} BETWEEN 0 AND 23 THEN {num(hour)} END"
+    made = f"try_make_timestamp_ntz({year}, {num(month)}, {num(day)}, {clock}, if(g[{hour}] = '', 0, {num(hour + 1)}), 0)"
+    return f"transform(array({groups}), g -> if(g[0] = '\\u0001', {made}, NULL))[0]"
+
+
+_YEAR = "CASE WHEN length(g[3]) = 2 THEN try_cast(g[3] AS INT) + if(try_cast(g[3] AS INT) <= 69, 2000, 1900) ELSE try_cast(g[3] AS INT) END"
+_CLEAN = r"trim(regexp_replace(regexp_replace(coalesce(reported, ''), '(?U)\\s+', ' '), '[|\u0001]', '?'))"
+_REPORTED = "transform(array(" + _CLEAN + "), s -> coalesce(" + _time(_groups(times._SLASH, 6), _YEAR, 1, 2, 4, 6) + ", " + _time(_groups(times._DASH, 5), "try_cast(g[1] AS INT)", 2, 3, 4, None) + "))[0]"
+_PLANE = f"named_struct('ax', (a_lon - lon) * cos(radians(lat)) * {DEGREE_M}D, 'ay', (a_lat - lat) * {DEGREE_M}D, 'dx', (b_lon - a_lon) * cos(radians(lat)) * {DEGREE_M}D, 'dy', (b_lat - a_lat) * {DEGREE_M}D)"
+_ALONG = "if(p.dx * p.dx + p.dy * p.dy > 0, greatest(0D, least(1D, -(p.ax * p.dx + p.ay * p.dy) / (p.dx * p.dx + p.dy * p.dy))), 0D)"
 FUNCTIONS = {
+    "reported_ts(reported STRING) RETURNS TIMESTAMP_NTZ": _REPORTED,
+    "seg_dist_m(lat DOUBLE, lon DOUBLE, a_lat DOUBLE, a_lon DOUBLE, b_lat DOUBLE, b_lon DOUBLE) RETURNS DOUBLE": f"transform(array({_PLANE}), p -> sqrt(pow(p.ax + {_ALONG} * p.dx, 2) + pow(p.ay + {_ALONG} * p.dy, 2)))[0]",
     "location_key(location STRING) RETURNS STRING": _FOLD.format("location"),
     "content_key(location STRING, cause STRING, reported STRING) RETURNS STRING": "concat_ws('|', " + ", ".join(_FOLD.format(c) for c in ("location", "cause", "reported")) + ")",
     "condition_code(precip DOUBLE, visibility DOUBLE, wx STRING) RETURNS STRING": "CASE WHEN precip >= 0.30 THEN 'h' WHEN precip >= 0.01 OR coalesce(wx, '') RLIKE 'RA|DZ|TS|SN|PL|GR|FZ|UP' THEN 'r' WHEN visibility < 1.0 OR coalesce(wx, '') RLIKE 'FG' THEN 'f' WHEN precip IS NULL AND visibility IS NULL THEN '-' ELSE 'd' END",

@@ -191,6 +191,17 @@ def test_sql_functions(spark):
     assert "Python" not in df._jdf.queryExecution().toString()
 
 
+def test_sql_times_and_distances_equal_the_columns(spark):
+    from dispatchlake.functions import geo, times
+
+    sql.register(spark)
+    texts = ["1/2/2024", "01/02/24 3:04 pm", "x 1/2/2024 13:04:05 y", "1/2/2024 13:04 PM", "2024-1-2", "2024-01-02T03:04", "2024-13-02", "1/2/70 00:00", "02/30/2024 1:00", "a|b 1/2/2024", None, "", "1/2/2024 12:30 am", "N/A"]
+    df = spark.createDataFrame([(t, 30.0 + k / 100, -92.0, 30.0, -92.0, 30.05 if k % 2 else 30.0, -91.98 if k % 2 else -92.0) for k, t in enumerate(texts)], "t string, lat double, lon double, a double, b double, c double, d double")
+    out = df.select("t", F.expr("reported_ts(t)").alias("x"), times.reported_ts(F.col("t")).alias("y"), F.expr("seg_dist_m(lat, lon, a, b, c, d)").alias("m"), geo.seg_dist_m(*map(F.col, ("lat", "lon", "a", "b", "c", "d")))[0].alias("n")).collect()
+    assert [(r.t, r.x) for r in out] == [(r.t, r.y) for r in out] and sum(r.x is not None for r in out) == 8
+    assert all(abs(r.m - r.n) < 1e-6 for r in out)
+
+
 def test_simplified_paths_and_typed_roads(spark):
     from dispatchlake.operators.export import resolve_road, simplify_paths
 
