@@ -11,7 +11,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -133,6 +133,15 @@ def join_keyed(left: DataFrame, right: DataFrame, on: list[str], total: int, cou
     return now.unionByName(rest.select(*left.columns, *more))
 
 
+DROPPED = 1_000_000  # keys of dropped rows that are broadcast at most
+
+
+def without(docs: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
+    """docs but for the rows that meet a row of ``gone`` (ids and hashes, stored). Up to DROPPED of these go to the docs
+    by broadcast, so no text is moved; beyond it the join shuffles."""
+    return docs.join(F.broadcast(gone) if fits(gone, DROPPED) else gone, on, "left_anti")
+
+
 # ---------------------------------------------------------------- Arrow text chunks
 
 def text_chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

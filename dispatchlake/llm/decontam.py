@@ -124,5 +124,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_score: int = MIN_SCORE
     """docs without the rows whose text holds a benchmark item. Each row is judged by its own text, whatever its id."""
     found = _matches(docs, benchmark, min_score, id_col, text_col, item_col, item_text).select("doc_id", "version").distinct()
     key, version = C.fresh("leak_id", docs.columns), C.fresh("leak_text", docs.columns)
-    found = found.select(F.col("doc_id").alias(key), F.col("version").alias(version))
-    return docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text_col)) == F.col(version)), "left_anti")
+    found = C.store(found.select(F.col("doc_id").alias(key), F.col("version").alias(version)), "leaks")
+    return C.without(docs, found, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text_col)) == F.col(version)))

@@ -263,8 +263,8 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     given = F.col(ids).cast("long")
     row = C.fresh("row", docs.columns)
     if docs.groupBy(given.alias("id")).count().filter("count > 1 OR id IS NULL").isEmpty():
-        kept = near_duplicates(docs, **how).filter("kept").select(F.col("doc_id").alias(row))
-        return docs.join(kept, given == F.col(row), "left_semi")
+        gone = C.store(near_duplicates(docs, **how).filter("NOT kept").select(F.col("doc_id").alias(row)), "copies")
+        return C.without(docs, gone, given == F.col(row))
     keyed = C.store(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
     found = near_duplicates(keyed, **how | {"id_col": row}).select(F.col("doc_id").alias(row), "component_id")
     ranked = keyed.select(row, given.alias("given")).join(found, row)
