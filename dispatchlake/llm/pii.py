@@ -26,6 +26,7 @@ from . import common as C
 
 KEY = b"surrogates"  # default secret; give your own
 EXCEPTIONS = 200_000  # clashes that are sent to every task at most; beyond it they are joined
+SLICE = 512  # rows whose texts are rewritten at once
 ATTEMPTS = 64  # derivations of one surrogate before the job fails: its type has no room left
 #: Titles by gender; fixed values.
 TITLES = {
@@ -259,8 +260,15 @@ _PART = "kind string, value string"
 _MADE = f"{_PART}, attempt int, surrogate string"
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of SLICE rows, so that few texts are Python strings at once."""
     for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            yield batch.slice(lo, SLICE)
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         seen = {x for t in batch.column(0).to_pylist() if t for _, _, kind, value in detect(t) for x in parts(kind, value)}
         yield C.record_batch({"kind": [k for k, _ in seen], "value": [v for _, v in seen]}, _PART)
 
@@ -347,7 +355,7 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Surrogates(key)
         make = lru_cache(1 << 14)(s.make)
-        for batch in batches:
+        for batch in _slices(batches):
             texts, counts = [], []
             for t, own in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True):
                 found = detect(t) if t else []
