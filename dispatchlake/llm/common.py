@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextvars import ContextVar
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,13 +171,14 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Ite
 # ---------------------------------------------------------------- hashing
 
 _rng = np.random.default_rng(20240229)
-#: Random odd multipliers of the word hash and of the places in a shingle.
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Random odd multipliers of the places in a shingle.
 PLACES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BYTE_CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-FOLDED_CODES = BYTE_CODES.copy()
-FOLDED_CODES[65:91] = BYTE_CODES[97:123]  # A-Z hash as a-z
+ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes with A-Z as a-z.
+FOLDED_CODES = np.arange(256, dtype=np.uint8)
+FOLDED_CODES[65:91] += 32
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (a bijection)."""
     x = x ^ (x >> np.uint64(30))
@@ -187,46 +189,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-HASH_BLOCK = 1 << 21  # bytes hashed at once; the power tables have as many entries
-
+HASH_BLOCK = 1 << 21  # bytes hashed at once
+WIDE = 64  # longer words are hashed whole, by XXH3
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k bytes
 
-@cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, up to HASH_BLOCK."""
-    out = []
-    for step in (BASE, BASE_INV):
-        x = np.full(HASH_BLOCK + 1, step, np.uint64)
-        x[0] = 1
-        out.append(np.cumprod(x))
-    return out[0], out[1]
 
+def _lane_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span: its 8-byte lanes go through the finaliser one after another, its length first."""
+    padded = np.zeros(len(part) + 8, np.uint8)
+    padded[: len(part)] = part
+    lanes = np.ndarray((len(part) + 1,), "<u8", padded.data, strides=(1,))
+    n = ends - starts
+    h = mix(mix(n.astype(np.uint64) * ODD) ^ (lanes[starts] & _LOW[np.minimum(n, 8)]))
+    for k in range(8, WIDE, 8):
+        more = np.flatnonzero(n > k)
+        if not len(more):
+            break
+        h[more] = mix(h[more] * ODD ^ (lanes[starts[more] + k] & _LOW[np.minimum(n[more] - k, 8)]))
+    for i in np.flatnonzero(n > WIDE):
+        h[i] = xxhash.xxh3_64_intdigest(padded[starts[i] : ends[i]].tobytes(), 20240229)
+    return h
 
-def _polynomials(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Sum of code * BASE^place of each span, wherever it stands (differences of prefix sums)."""
-    up, down = _powers()
-    prefix = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(codes[raw] * up[: len(raw)], out=prefix[1:])
-    return (prefix[ends] - prefix[starts]) * down[starts]
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of each byte span, equal for equal bytes wherever they stand. Spans are in order, without overlaps.
+    ``codes`` maps bytes first (FOLDED_CODES: without regard to ASCII case).
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
-    """64-bit hash of each byte span, equal for equal bytes wherever they stand. Spans are in order, without overlaps."""
+    Every lane passes a non-linear finaliser, so there are no word families that collide by their structure, as there
+    are for polynomials modulo a power of two.
+    """
     n = len(starts)
     out = np.zeros(n, np.uint64)
     i = 0
     while i < n:
         a = starts[i]
-        j = int(np.searchsorted(ends, a + HASH_BLOCK, "right"))
-        if j > i:  # the spans that end within one block
-            out[i:j] = _polynomials(raw[a : ends[j - 1]], starts[i:j] - a, ends[i:j] - a, codes)
-        else:  # a span longer than a block, part by part
-            j = i + 1
-            for at in range(a, ends[i], HASH_BLOCK):
-                part = raw[at : min(at + HASH_BLOCK, ends[i])]
-                scale = np.uint64(pow(int(BASE), int(at - a), 1 << 64))
-                out[i : i + 1] += _polynomials(part, np.array([0]), np.array([len(part)]), codes) * scale
+        j = max(i + 1, int(np.searchsorted(ends, a + HASH_BLOCK, "right")))  # a longer span is a block of its own
+        part = raw[a : ends[j - 1]]
+        out[i:j] = _lane_hashes(part if codes is None else codes[part], starts[i:j] - a, ends[i:j] - a)
         i = j
-    return mix(out + (ends - starts).astype(np.uint64))
+    return out
+
+
+def digest8(text: str) -> bytes:
+    """Eight bytes of a string's BLAKE2b."""
+    return hashlib.blake2b(text.encode(), digest_size=8).digest()
 
 
 _SPACE = np.zeros(256, bool)
