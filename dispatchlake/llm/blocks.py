@@ -1,6 +1,6 @@
 """Blocks of whole texts, and exact sums over n-grams of all blocks.
 
-A block is one stored row with some 8 MB of text, so a task can hold it and its n-grams. Each block sends its distinct
+A block is one stored row with some 4 MB of text, so a task can hold it and its n-grams. Each block sends its distinct
 n-grams once, as sorted hashes in packed runs, to buckets of the hash range. A bucket sees each n-gram at most once for
 each block, so a frequent n-gram is no hot key.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BLOCK = 8 << 20  # bytes of text in a block
+BLOCK = 4 << 20  # bytes of text in a block
 GRAMS = 1 << 20  # n-grams of one length in a bucket
 _BLANK = re.compile(rb"[ \t]")
 
@@ -47,9 +47,9 @@ def _unzstd(data: bytes, size: int) -> bytes:
 
 
 def cut(text: bytes, size: int, context: Callable[[bytes], tuple[bytes, bool]]) -> Iterator[tuple[bytes, int, bool, bool]]:
-    """Parts of a long text, cut at a blank after some ``size`` bytes: (bytes, bytes of context in front, none
-    for the first only, whether it starts where the text starts, whether it ends where the text ends). ``context`` gives what the next part needs of a
-    part, and whether that is all of it."""
+    """Parts of a long text, cut at a blank after some ``size`` bytes: (bytes, bytes of context in front (none for the first
+    only), whether it starts where the text starts, whether it ends where the text ends). ``context`` gives what the next
+    part needs of a part, and whether that is all of it."""
     at, lead, begins = 0, b"", True
     while True:
         m = _BLANK.search(text, at + size) if at + size < len(text) else None

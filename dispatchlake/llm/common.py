@@ -18,8 +18,15 @@ from pyspark.sql import functions as F
 _REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package when only the driver's sys.path has the repository."""
+    """Lets Python workers import this package when only the driver's sys.path has the repository, and bounds the bytes of
+    an Arrow batch, unless the session's bound is lower."""
+    if int(spark.conf.get(_BATCH, "67108864b").lower().rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
     env = spark.sparkContext.environment
     if _REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_REPO, env.get("PYTHONPATH")) if x)

@@ -74,7 +74,8 @@ def graph(rows: B.Rows) -> Graph:
     seeds = {x: np.uint64(int.from_bytes(C.digest8(x), "little")) for x in set(langs)}
     h = C.mix(C.word_hashes(raw, starts, ends) ^ np.array([seeds[x] for x in langs], np.uint64)[row])
     own = starts >= (offsets[:-1] + rows.skip)[row]
-    marks = np.concatenate(([0], np.cumsum(_SEPARATOR[raw])))
+    marks = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum(_SEPARATOR[raw], out=marks[1:])
     until = np.append(starts[1:], 0)
     last = np.append(row[1:] != row[:-1], True) if n else np.zeros(0, bool)  # of its row
     until[last] = offsets[1:][row[last]]

@@ -18,7 +18,9 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ from . import common as C
 
 KEY = b"surrogates"  # default secret; give your own
 EXCEPTIONS = 200_000  # clashes that are sent to every task at most; beyond it they are joined
-SLICE = 512  # rows whose texts are rewritten at once
+SLICE = 1 << 20  # bytes of text that are rewritten at once
 ATTEMPTS = 64  # derivations of one surrogate before the job fails: its type has no room left
 #: Titles by gender; fixed values.
 TITLES = {
@@ -260,11 +262,16 @@ _PART = "kind string, value string"
 _MADE = f"{_PART}, attempt int, surrogate string"
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches in slices of SLICE rows, so that few texts are Python strings at once."""
+def _slices(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of some SLICE bytes of text (or one longer text), so that few texts are Python strings at once."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, SLICE):
-            yield batch.slice(lo, SLICE)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < batch.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +362,7 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Surrogates(key)
         make = lru_cache(1 << 14)(s.make)
-        for batch in _slices(batches):
+        for batch in _slices(batches, len(keep)):
             texts, counts = [], []
             for t, own in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True):
                 found = detect(t) if t else []

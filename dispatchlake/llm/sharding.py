@@ -1,12 +1,13 @@
 """Sharding through fixed virtual slots (DataFrame functions only).
 
 Records are hashed into some thousand slots. The slots never change; a versioned table says which shard holds which
-slot, and rebalancing edits that table: it moves the fewest slots that bring the shards' bytes close together.
+slot, and rebalancing edits that table: added shards are filled from those above the mean, and beyond that slots only move
+while shards differ by more than a tolerance.
 """
 
 from __future__ import annotations
 
-import heapq
+import bisect
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from . import common as C
 
 SLOTS = 4096
 PARTS = 8  # numbering units within a slot
+TOLERANCE = 0.01  # of the mean: shards of a kept map that differ by no more are left alone
 _MAP = "version int, vslot int, shard int"
 
 
@@ -36,10 +38,26 @@ def first_map(shards: int, slots: int = SLOTS) -> list[int]:
     return [v % shards for v in range(slots)]
 
 
-def rebalance(current: list[int], weight: dict[int, int], shards: int) -> list[int]:
-    """Edits a slot map: moves slots from the fullest shard to the emptiest while that narrows the gap between them.
+def _excess(slots: list[tuple[int, int]], excess: float) -> list[tuple[int, int]]:
+    """Few slots (weight, slot) that hold about ``excess`` bytes: large ones while they fit, then the one that comes closest."""
+    left, out = sorted(slots), []
+    while left:
+        k = bisect.bisect_right(left, (excess, len(left) << 32))
+        near = min(left[max(0, k - 1) : k + 1], key=lambda x: (abs(x[0] - excess), x))
+        if abs(near[0] - excess) >= abs(excess):
+            break
+        left.remove(near)
+        out.append(near)
+        excess -= near[0]
+    return out
+
+
+def rebalance(current: list[int], weight: dict[int, int], shards: int, tolerance: float = 0.0) -> list[int]:
+    """Edits a slot map.
 
-    Also used after shards were added (the new ones start empty): rows only move out of shards that are too full.
+    Added shards (those without a slot) are filled first, from the shards above the mean: each gives the slots that come
+    closest to what it has too much. Then slots move from the fullest shard to the emptiest (or are exchanged), but only
+    while the two are more than ``tolerance`` (of the mean) apart. Each such step narrows a gap, so they come to an end.
     """
     out = list(current)
     load = [0] * shards
@@ -47,33 +65,33 @@ def rebalance(current: list[int], weight: dict[int, int], shards: int) -> list[i
     for v, s in enumerate(out):
         load[s] += weight.get(v, 0)
         held[s].append((weight.get(v, 0), v))
-    for x in held:
-        x.sort()
-    full, empty = [(-w, s) for s, w in enumerate(load)], [(w, s) for s, w in enumerate(load)]
-    heapq.heapify(full)
-    heapq.heapify(empty)
-    for _ in range(8 * len(out)):
-        while -full[0][0] != load[full[0][1]]:
-            heapq.heappop(full)
-        while empty[0][0] != load[empty[0][1]]:
-            heapq.heappop(empty)
-        a, b = full[0][1], empty[0][1]
-        half = (load[a] - load[b]) / 2
-        fit = [x for x in held[a] if 0 < x[0] < 2 * half]
+    mean = sum(load) / shards
+
+    def move(x: tuple[int, int], a: int, b: int) -> None:
+        held[a].remove(x)
+        held[b].append(x)
+        out[x[1]] = b
+        load[a] -= x[0]
+        load[b] += x[0]
+
+    added = [s for s in range(shards) if not held[s]]
+    if 0 < len(added) < shards:
+        given = [(x, a) for a in range(shards) if load[a] > mean for x in _excess(held[a], load[a] - mean)]
+        for x, a in sorted(given, key=lambda g: (-g[0][0], g[0][1])):
+            move(x, a, min(added, key=lambda s: (load[s], s)))
+    while True:
+        a, b = max(range(shards), key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
+        gap = load[a] - load[b]
+        if gap <= tolerance * mean:
+            return out
+        nothing = (0, -1)  # a move, or an exchange where no slot alone is small enough
+        fit = [(x, nothing) for x in held[a] if 0 < x[0] < gap] or [(x, y) for x in held[a] for y in held[b] if 0 < x[0] - y[0] < gap]
         if not fit:
-            break
-        w, v = min(fit, key=lambda x: (abs(x[0] - half), x[1]))
-        if min(2 * half - w, w) <= 0:
-            break
-        held[a].remove((w, v))
-        held[b].append((w, v))
-        out[v] = b
-        load[a] -= w
-        load[b] += w
-        for s in (a, b):
-            heapq.heappush(full, (-load[s], s))
-            heapq.heappush(empty, (load[s], s))
-    return out
+            return out
+        x, y = min(fit, key=lambda p: (abs(p[0][0] - p[1][0] - gap / 2), p))
+        move(x, a, b)
+        if y != nothing:
+            move(y, b, a)
 
 
 def map_table(spark: SparkSession, versions: dict[int, list[int]]) -> DataFrame:
@@ -111,8 +129,8 @@ def place(rows: DataFrame, slot_map: DataFrame, version: int) -> DataFrame:
 def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", previous: DataFrame | None = None, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(placed rows, slot map with all versions).
 
-    ``previous`` is a map kept from an earlier run: its last version is edited, so that only the slots which must move
-    for balance (or for added shards) do, and the edit is appended as the next version. Without it, version 1 deals the
+    ``previous`` is a map kept from an earlier run: its last version is edited (slots move into added shards, else only
+    while shards differ by more than TOLERANCE), and the edit is appended as the next version. Without it, version 1 deals the
     slots in turn and version 2 is balanced by bytes. ``path`` is where the map with its history is written to be kept,
     a new folder of this version; without it the map is an intermediate table.
 
@@ -129,7 +147,7 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str = "
         if max(current) >= shards:
             raise ValueError("slots can't be taken from shards that are gone; give at least as many shards as the map has")
     rows = C.store(records(docs, id_col, text_col, slots), "records")
-    now = rebalance(current, slot_bytes(rows), shards)
+    now = rebalance(current, slot_bytes(rows), shards, 0.0 if previous is None else TOLERANCE)
     new = map_table(spark, {version: current, version + 1: now} if history is None else {version + 1: now})
     whole = new if history is None else history.unionByName(new)
     if path is None:

@@ -197,7 +197,7 @@ def deduplicate(spark: SparkSession, source: str, target: str, least: int = MIN_
     run = F.lit(uuid.uuid4().hex)
     files = C.prepare(spark).read.format("binaryFile").load(source).select("path", "content")
     records = _read(files)
-    headers = C.store(records.select("page_id", "payload_digest", "payload_bytes", "record_id", F.substring("url", 1, 4096).alias("url"), "date", "path"), "warc-headers")
+    headers = C.store(records.select("page_id", "payload_digest", "payload_bytes", "record_id", "url", "date", "path"), "warc-headers")
     total = C.rows_of(headers)
     met = C.join_keyed(headers.filter(F.col("payload_bytes") >= least), originals(headers, least), ["payload_digest", "payload_bytes"], total)
     revisits = met.filter(F.coalesce("page_id", F.lit(-(1 << 63))) < F.col("original.page_id")).select(F.col("record_id").alias("r"), F.col("original.page_id").alias("o_page_id"), _ident(run, F.col("original.record_id")).alias("o_record_id"), F.col("original.url").alias("o_url"), "path")
