@@ -86,6 +86,21 @@ def active_set_changes(listings: DataFrame) -> DataFrame:
     return came.unionByName(left)
 
 
+def presence_events(listings: DataFrame, sweep_min: int = 5) -> DataFrame:
+    """STR-02 over a history of sweeps: appeared and left events of each incident with its sightings up to then.
+
+    An incident has left when the sweep ``sweep_min`` minutes later doesn't list it; a leave at the newest sweep is open.
+    """
+    rows = listings.select("incident_number", F.col("sweep_ts").cast("timestamp_ntz").alias("t")).distinct()
+    newest = rows.agg(F.max("t").alias("newest"))
+    mine = Window.partitionBy("incident_number").orderBy("t")  # the sweeps of one incident
+    step = F.expr(f"INTERVAL {sweep_min} MINUTES")
+    rows = rows.select("incident_number", "t", F.lag("t").over(mine).alias("prev"), F.lead("t").over(mine).alias("next"), F.first("t").over(mine).alias("first_seen_at"), F.row_number().over(mine).alias("observation_count")).join(F.broadcast(newest))  # one row
+    came = rows.filter(F.col("prev").isNull() | (F.col("t") > F.col("prev") + step)).withColumn("event", F.lit("appeared")).withColumn("at", F.col("t"))
+    left = rows.filter((F.col("next").isNull() | (F.col("next") > F.col("t") + step)) & (F.col("t") + step < F.col("newest"))).withColumn("event", F.lit("left")).withColumn("at", F.col("t") + step)
+    return came.unionByName(left).select("incident_number", "event", "at", "first_seen_at", F.col("t").alias("last_seen_at"), "observation_count")
+
+
 def with_in_feed(inc: DataFrame, sweep: DataFrame) -> DataFrame:
     """JN-18: in_feed, whether the id is in the last successful sweep."""
     return inc.join(sweep.select("incident_number", F.lit(True).alias("in_feed")).distinct(), "incident_number", "left").withColumn("in_feed", F.coalesce("in_feed", F.lit(False)))

@@ -5,6 +5,8 @@ Crash tables have reported_ts, is_severe and is_hit_and_run; ratios come with th
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -146,31 +148,67 @@ def darkness_effect(crashes: DataFrame, cov: DataFrame, least: int = 20) -> Data
     return out.select("dark_n", "dark_hours", "light_n", "light_hours", F.round("e", 6).alias("expected"), F.round(F.when(F.col("e") > 0, F.col("dark_n") / F.col("e")), 6).alias("ratio"))
 
 
-def followers(crashes: DataFrame, low: int = 3, high: int = 45, metres: float = 500.0, shifts: tuple[int, ...] = (0,)) -> DataFrame:
+SPLIT = 4096  # rows of a cell above which it is split
+
+
+def followers(crashes: DataFrame, low: int = 3, high: int = 45, metres: float = 500.0, shifts: tuple[int, ...] = (0,), split: int = SPLIT) -> DataFrame:
     """JN-15: (incident_number, shift) of crashes that follow another within ``low`` to ``high`` minutes and ``metres``.
 
-    The earlier ones are moved by each of ``shifts`` days; other shifts than 0 serve as a control. Buckets of ``high``
-    minutes and of ``metres`` make it an equi-join: each earlier crash is posted to its own and the next time bucket and
-    the 3 x 3 cells around it, so a pair meets in exactly one bucket. All shifts go through one join.
+    The earlier ones are moved by each of ``shifts`` days; other shifts than 0 serve as a control. Two steps, neither of
+    which pairs the rows of a dense place with each other:
+
+    1. In cells whose diagonal is ``metres``, everything is near enough, so a sweep over the rows in order of time tells
+       who follows whom. A cell is swept in stretches of eight times ``high``, so one that holds most crashes is spread.
+    2. What is left looks around: earlier crashes are posted to the cells (of four times ``metres``) that they reach into,
+       mostly one or two, and meet later ones of the same cell and of their own or the next ``high`` minutes. Cells of
+       more than ``split`` rows are split in four, and again in four.
     """
-    side = metres / geo.DEGREE_M * 1.2  # at this latitude a degree of longitude is shorter
-    bucket = lambda c: F.floor(c / (high * 60))
+    width, near_side, side = high * 60, metres / geo.DEGREE_M / math.sqrt(2) * 0.999, 4 * metres / geo.DEGREE_M
     rows = crashes.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select("incident_number", F.unix_seconds(F.col("reported_ts").cast("timestamp")).alias("t"), "latitude", "longitude")
-    rows = rows.withColumn("y", F.floor(F.col("latitude") / side)).withColumn("x", F.floor(F.col("longitude") / side))
-    early = rows.select(F.col("incident_number").alias("before"), "t", F.col("latitude").alias("lat0"), F.col("longitude").alias("lon0"), "y", "x")
-    early = early.withColumn("shift", F.explode(F.array(*map(F.lit, shifts)))).withColumn("t0", F.col("t") + F.col("shift") * 86400).drop("t")
-    early = early.withColumn("b", F.explode(F.array(bucket(F.col("t0")), bucket(F.col("t0")) + 1)))
-    for c in ("y", "x"):
-        early = early.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    near = (F.col("t") - F.col("t0")).between(low * 60, high * 60) & (geo.dist_m(F.col("lat0"), F.col("lon0"), F.col("latitude"), F.col("longitude")) <= metres) & (F.col("incident_number") != F.col("before"))
-    return rows.withColumn("b", bucket(F.col("t"))).join(early, ["b", "y", "x"]).filter(near).select("incident_number", "shift").distinct()
-
-
-def follow_on_share(crashes: DataFrame, **how) -> DataFrame:
-    """AGG-29: crashes that follow another, and those that would follow one of a week earlier, of all located crashes."""
-    seen = followers(crashes, shifts=(0, 7), **how).agg(F.count_if(F.col("shift") == 0).alias("following"), F.count_if(F.col("shift") == 7).alias("control"))
-    total = crashes.agg(F.count_if(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).alias("n"))
-    return total.join(F.broadcast(seen))  # one row each
+    rows = rows.withColumn("shift", F.explode(F.array(*map(F.lit, shifts))))
+    early = rows.withColumn("t", F.col("t") + F.col("shift") * 86400)
+    # 1. sweep
+    chunk = lambda c: F.floor(c / (8 * width))
+    posted = early.withColumn("chunk", F.explode(F.array_distinct(F.array(chunk(F.col("t")), chunk(F.col("t") + width))))).withColumn("later", F.lit(0))
+    both = rows.withColumn("chunk", chunk(F.col("t"))).withColumn("later", F.lit(1)).unionByName(posted)
+    swept = Window.partitionBy("shift", F.floor(F.col("latitude") / near_side), F.floor(F.col("longitude") / near_side), "chunk").orderBy("t").rangeBetween(-width, -low * 60)
+    both = both.withColumn("before", F.sum(1 - F.col("later")).over(swept)).filter("later = 1")
+    hit = both.filter("before > 0").select("incident_number", "shift")
+    # 2. look around
+    open_ = both.filter("before IS NULL OR before = 0").select("incident_number", "shift", "t", "latitude", "longitude")
+    base = lambda c: F.floor(F.col(c) / side)
+    levels = rows.groupBy(base("latitude").alias("cy"), base("longitude").alias("cx")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > split)
+    levels = levels.select("cy", "cx", F.when(F.col("n") > 4 * split, 4).otherwise(2).alias("per_side"))
+    fine = lambda c, per: F.floor(c / (F.lit(side) / per))
+    open_ = open_.withColumn("cy", base("latitude")).withColumn("cx", base("longitude")).join(levels, ["cy", "cx"], "left").withColumn("per_side", F.coalesce("per_side", F.lit(1)))
+    open_ = open_.withColumn("y", fine(F.col("latitude"), F.col("per_side"))).withColumn("x", fine(F.col("longitude"), F.col("per_side"))).withColumn("b", F.floor(F.col("t") / width))
+    reach = {"y": (F.col("lat0"), F.lit(metres / geo.DEGREE_M * 1.0001)), "x": (F.col("lon0"), F.lit(metres / geo.DEGREE_M * 1.0001) / F.cos(F.radians("lat0")))}
+    early = early.select("shift", F.col("t").alias("t0"), F.col("latitude").alias("lat0"), F.col("longitude").alias("lon0"), F.col("incident_number").alias("before"))
+    for k, (c, r) in reach.items():
+        early = early.withColumn(f"c{k}", F.explode(F.sequence(F.floor((c - r) / side), F.floor((c + r) / side))))
+    early = early.join(levels, ["cy", "cx"], "left").withColumn("per_side", F.coalesce("per_side", F.lit(1)))
+    for k, (c, r) in reach.items():  # the parts of the cell that it reaches into
+        first, last = fine(c - r, F.col("per_side")), fine(c + r, F.col("per_side"))
+        early = early.withColumn(k, F.explode(F.sequence(F.greatest(first, F.col(f"c{k}") * F.col("per_side")), F.least(last, (F.col(f"c{k}") + 1) * F.col("per_side") - 1))))
+    early = early.withColumn("b", F.explode(F.array(F.floor(F.col("t0") / width), F.floor(F.col("t0") / width) + 1)))
+    keys = ["shift", "per_side", "y", "x", "b"]
+    a, z = early.alias("a"), open_.alias("z")
+    on = F.lit(True)
+    for k in keys:
+        on = on & (F.col(f"a.{k}") == F.col(f"z.{k}"))
+    on = on & (F.col("z.t") - F.col("a.t0")).between(low * 60, high * 60) & (geo.dist_m(F.col("a.lat0"), F.col("a.lon0"), F.col("z.latitude"), F.col("z.longitude")) <= metres) & (F.col("z.incident_number") != F.col("a.before"))
+    return hit.unionByName(z.join(a, on, "left_semi").select("incident_number", "shift"))
+
+
+def follow_on_share(crashes: DataFrame, high: int = 45, **how) -> DataFrame:
+    """AGG-29: of all located crashes (n) those that follow another (following); of those with a whole week and window of
+    data before them (eligible) those that would follow one of a week earlier (control); and both shares."""
+    rows = crashes.filter("latitude IS NOT NULL AND longitude IS NOT NULL").withColumn("t", F.unix_seconds(F.col("reported_ts").cast("timestamp")))
+    first = rows.agg(F.min("t").alias("first"))
+    rows = rows.select("incident_number", "t").join(F.broadcast(first)).select("incident_number", (F.col("t") - 7 * 86400 - high * 60 >= F.col("first")).alias("full"))  # one row
+    seen = followers(crashes, high=high, shifts=(0, 7), **how).groupBy("incident_number").agg(F.max(F.col("shift") == 0).alias("after"), F.max(F.col("shift") == 7).alias("chance"))
+    out = rows.join(seen, "incident_number", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if("after").alias("following"), F.count_if("full").alias("eligible"), F.count_if(F.col("full") & F.col("chance")).alias("control"))
+    return out.withColumn("share", F.round(F.try_divide("following", "n"), 6)).withColumn("control_share", F.round(F.try_divide("control", "eligible"), 6))
 
 
 def upgraded_share(ep: DataFrame) -> DataFrame:

@@ -60,8 +60,13 @@ def _view(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _view(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+def event_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
+    """The events as a stream of their files."""
+    return spark.readStream.schema(_view(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/events.parquet")
+
+
+def incidents(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    events = (_view(spark, sf_dir, "events") if events is None else events).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     return spark.sql(_incidents(lambda k: f"date_format(ts, '{_SPARK_FORMATS[k]}')").replace("FROM events", "FROM {events}"), events=events)
 
 
@@ -114,8 +119,8 @@ _LISTINGS = """SELECT concat('INC', event_id) AS incident_number, date_trunc('ho
 LISTINGS = "listings AS (" + _LISTINGS.replace("events0", "events CROSS JOIN (VALUES (0),(1),(2),(3)) AS v(k)") + ")"
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _view(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(4)])))
+def listings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    events = (_view(spark, sf_dir, "events") if events is None else events).withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(4)])))
     return spark.sql(_LISTINGS.replace("FROM events0", "FROM {events}"), events=events)
 
 

@@ -399,11 +399,17 @@ _DARK = """, g AS (SELECT date, CAST(r.range AS INTEGER) AS hour, (dayofyear(dat
 _add("agg_28_darkness_effect", lambda s, d: insights.darkness_effect(_crashes(s, d), _cov(s, d)), WCOV + _DARK)
 
 
-def _follow(shift: int) -> str:
-    return f"SELECT count(DISTINCT b.incident_number) FROM p a JOIN p b ON b.reported_ts BETWEEN a.reported_ts + INTERVAL {shift} DAY + INTERVAL 3 MINUTE AND a.reported_ts + INTERVAL {shift} DAY + INTERVAL 45 MINUTE AND a.incident_number <> b.incident_number AND sqrt(pow((b.longitude - a.longitude) * cos(radians(a.latitude)) * 111320.0, 2) + pow((b.latitude - a.latitude) * 111320.0, 2)) <= 500"
+_FOLLOW = W + """, p AS (SELECT *, epoch(reported_ts) AS t FROM inc WHERE category = 'accident' AND reported_ts IS NOT NULL AND latitude IS NOT NULL),
+ fo AS (SELECT DISTINCT b.incident_number, CAST(v.s AS INTEGER) AS shift FROM (VALUES (0), (7)) v(s) JOIN p a ON true JOIN p b ON b.t BETWEEN a.t + v.s * 86400 + 180 AND a.t + v.s * 86400 + 2700 AND a.incident_number <> b.incident_number AND sqrt(pow((b.longitude - a.longitude) * cos(radians(a.latitude)) * 111320.0, 2) + pow((b.latitude - a.latitude) * 111320.0, 2)) <= 500)"""
 
 
-_add("agg_29_follow_on_share", lambda s, d: insights.follow_on_share(_inc(s, d).filter((causes.category(F.col("cause")) == "accident") & F.col("reported_ts").isNotNull())), W + f", p AS (SELECT * FROM inc WHERE category = 'accident' AND reported_ts IS NOT NULL AND latitude IS NOT NULL) SELECT (SELECT count(*) FROM p) AS n, ({_follow(0)}) AS following, ({_follow(7)}) AS control")
+def _accidents(s: SparkSession, d: str) -> DataFrame:
+    return _inc(s, d).filter((causes.category(F.col("cause")) == "accident") & F.col("reported_ts").isNotNull())
+
+
+_add("jn_15_followers", lambda s, d: insights.followers(_accidents(s, d), shifts=(0, 7)), _FOLLOW + " SELECT incident_number, shift FROM fo")
+_add("agg_29_follow_on_share", lambda s, d: insights.follow_on_share(_accidents(s, d)), _FOLLOW + """, e AS (SELECT p.*, t - 604800 - 2700 >= min(t) OVER () AS full_week FROM p), c AS (SELECT (SELECT count(*) FROM e) AS n, (SELECT count(*) FROM fo WHERE shift = 0) AS following, (SELECT count(*) FROM e WHERE full_week) AS eligible, (SELECT count(*) FROM fo JOIN e USING (incident_number) WHERE shift = 7 AND full_week) AS control)
+ SELECT n, following, eligible, control, round(following / n, 6) AS share, round(control / eligible, 6) AS control_share FROM c""")
 
 
 def _upgraded(s: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dispatchlake.plans import catalog_feeds as _feeds  # these two register their queries
+from dispatchlake.plans import catalog_feeds as _feeds  # these register their queries
 from dispatchlake.plans import catalog_panels as _panels
+from dispatchlake.plans import catalog_streams as _streams
 from dispatchlake.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
-del _feeds, _panels
+del _feeds, _panels, _streams

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dispatchlake.functions.text import clean_numeric, with_incident_id
+from dispatchlake.sources.versioned import VersionedTable
 
 ARCHIVE = "incident_number string, location string, cause string, reported string, assisting string, latitude double, longitude double, created_at timestamp_ntz, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, geocode_attempts int, geocode_confidence string, observation_count int"
 
@@ -45,8 +46,8 @@ def read_archive_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-03: archive table with its fixed projection."""
-    return conform(spark.read.parquet(path), ARCHIVE)
+    """SRC-03: the archive's newest version with its fixed projection."""
+    return VersionedTable(spark, path, ARCHIVE, ["incident_number"], "month").read().drop("month")
 
 
 def resolve_latlon(df: DataFrame) -> DataFrame:

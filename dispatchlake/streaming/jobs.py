@@ -56,21 +56,64 @@ def episodes_stream(inc: DataFrame, window_min: int = 15, watermark: str = "6 mi
     return s.select("location_key", F.col("m")[F.col("p") - 1]["incident_number"].alias("incident_number"), F.transform(extras, lambda x: x["incident_number"]).alias("extras"), F.col("m")[0]["reported_ts"].alias("first_ts"), F.element_at("m", -1)["reported_ts"].alias("last_ts"), "n_listings")
 
 
+ROLLING = ["new", "folded", *["n_" + c.split()[0].lower() for c in [*DIGEST, "Other"]], *[f"agency_{a}" for a in AGENCIES], "located", "locating", "unmappable", "in_rain", "under_alert"]
+
+
+_DIGEST_INPUT = {"folded": "boolean", "weather_precip_prob": "double", "weather_precip_in": "double", "nws_flash_flood_warning": "boolean", "nws_severe_thunderstorm_warning": "boolean", "nws_tornado_watch": "boolean"}
+
+
+def _panes(rows: DataFrame, at: str, watermark: str, *keys: str) -> DataFrame:
+    """Groups of one hour; rows are aggregated once, into their hour."""
+    return rows.withWatermark(at, watermark).groupBy(F.window(at, "1 hour"), *keys)
+
+
+def _over(panes: DataFrame, hours: int, *keys: str) -> DataFrame:
+    """Groups of ``hours`` hours that end at every full hour, over hourly panes."""
+    return panes.groupBy(F.window("window", f"{hours} hours", "1 hour"), *keys)
+
+
+def rolling_digest(inc: DataFrame, watermark: str = "6 minutes") -> DataFrame:
+    """STR-07: the digest of the 24 hours before each full hour, and how many incidents the 24 before those had (batch:
+    ``panels.digest`` at that hour). A row is counted once, in its hour's pane; windows merge 48 panes.
+
+    ``inc`` has created_at, ``folded`` (another listing of an incident that is counted, null: not) and what the digest
+    counts. Works on a stream (append mode) and on a table.
+    """
+    for c, kind in _DIGEST_INPUT.items():  # what a feed doesn't have counts as unknown
+        inc = inc if c in inc.columns else inc.withColumn(c, F.lit(None).cast(kind))
+    text, label = F.upper(F.coalesce("assisting", F.lit(""))), category(F.col("cause"), "digest")
+    located, tried = F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), F.coalesce(F.col("geocode_attempts"), F.lit(0)) >= 3
+    fold = F.coalesce("folded", F.lit(False))
+    wet = F.coalesce(F.col("weather_precip_prob") >= 20, F.lit(False)) | F.coalesce(F.col("weather_precip_in") > 0.005, F.lit(False))
+    alert = F.coalesce("nws_flash_flood_warning", F.lit(False)) | F.coalesce("nws_severe_thunderstorm_warning", F.lit(False)) | F.coalesce("nws_tornado_watch", F.lit(False))
+    what = [~fold, fold, *[~fold & (label == c) for c in [*DIGEST, "Other"]], *[~fold & text.rlike(p) for p in AGENCIES.values()], ~fold & located, ~fold & ~located & ~tried, ~fold & ~located & tried, ~fold & wet, ~fold & alert]
+    panes = _panes(inc, "created_at", watermark).agg(*[F.count_if(c).alias(n) for n, c in zip(ROLLING, what, strict=True)])
+    late = F.col("hour") >= F.col("w.end") - F.expr("INTERVAL 24 HOURS")
+    spread = panes.select(F.window("window", "48 hours", "1 hour").alias("w"), F.col("window.start").alias("hour"), *ROLLING)
+    out = spread.groupBy("w").agg(*[F.sum(F.when(late, F.col(c)).otherwise(0)).alias(c) for c in ROLLING], F.sum(F.when(late, 0).otherwise(F.col("new"))).alias("previous"))
+    return out.select(F.col("w.end").alias("until"), "new", "previous", *ROLLING[1:])
+
+
 def rolling_24h(inc: DataFrame, watermark: str = "6 minutes") -> DataFrame:
-    """STR-07: the digest's counts of each 24 hours, moved on by the hour (batch: digest)."""
-    label = category(F.col("cause"), "digest")
-    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    tried = F.coalesce(F.col("geocode_attempts"), F.lit(0)) >= 3
-    text = F.upper(F.coalesce("assisting", F.lit("")))
-    counts = [F.count(F.lit(1)).alias("n"), *[F.count_if(label == c).alias("n_" + c.split()[0].lower()) for c in [*DIGEST, "Other"]], *[F.count_if(text.rlike(p)).alias(f"agency_{a}") for a, p in AGENCIES.items()]]
-    counts += [F.count_if(located).alias("located"), F.count_if(~located & ~tried).alias("locating"), F.count_if(~located & tried).alias("unmappable")]
-    rows = inc.withWatermark("created_at", watermark).groupBy(F.window("created_at", "24 hours", "1 hour"))
-    return rows.agg(*counts).select(F.col("window.end").alias("until"), *[c for c in ("n", *["n_" + c.split()[0].lower() for c in [*DIGEST, "Other"]], *[f"agency_{a}" for a in AGENCIES], "located", "locating", "unmappable")])
+    """STR-07: the digest's counts alone, all listings counted; ``rolling_digest`` has the rest."""
+    return rolling_digest(inc.drop("folded"), watermark).select("until", F.col("new").alias("n"), *[c for c in ROLLING if c.startswith(("n_", "agency_")) or c in ("located", "locating", "unmappable")])
+
+
+def rolling_roads(inc: DataFrame, watermark: str = "6 minutes", top_n: int = 5) -> DataFrame:
+    """STR-07: the roads with most incidents in the 24 hours before each full hour: until, roads (road, n), most first
+    (batch: ``panels.digest_roads``). ``inc`` has created_at and corridors; a window's list is as long as there are roads."""
+    rows = inc.select("created_at", "corridors").withWatermark("created_at", watermark).select("created_at", F.explode("corridors").alias("road"))
+    panes = rows.groupBy(F.window("created_at", "1 hour"), "road").agg(F.count(F.lit(1)).alias("n"))  # incidents without a road move the watermark too
+    roads = _over(panes, 24, "road").agg(F.sum("n").alias("n"))
+    order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "road")))
+    best = roads.groupBy("window").agg(F.slice(order, 1, top_n).alias("r"))
+    return best.select(F.col("window.end").alias("until"), F.transform("r", lambda x: F.struct(x["road"].alias("road"), (-x["n"]).alias("n"))).alias("roads"))
 
 
 def rolling_budget(requests: DataFrame, cap: int = 100, watermark: str = "6 minutes") -> DataFrame:
-    """STR-07: look-ups of each 24 hours, moved on by the hour, and what is left of the cap (batch: budget)."""
-    used = requests.withWatermark("requested_at", watermark).groupBy(F.window("requested_at", "24 hours", "1 hour")).agg(F.count(F.lit(1)).alias("used"))
+    """STR-07: look-ups of the 24 hours before each full hour, and what is left of the cap (batch: ``ingest.budget``)."""
+    panes = _panes(requests, "requested_at", watermark).agg(F.count(F.lit(1)).alias("used"))
+    used = _over(panes, 24).agg(F.sum("used").alias("used"))
     return used.select(F.col("window.end").alias("until"), "used", F.greatest(F.lit(cap) - F.col("used"), F.lit(0)).alias("left"))
 
 
