@@ -61,8 +61,8 @@ def _view(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
-    """The events as a stream of their files."""
-    return spark.readStream.schema(_view(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/events.parquet")
+    """The events as a stream of their files (as a pattern, since the table may be one file)."""
+    return spark.readStream.schema(_view(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/event[s].parquet")
 
 
 def incidents(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:

@@ -68,12 +68,12 @@ def _alerts(s: SparkSession, d: str) -> DataFrame:
     return out.select("route_id", _ts("at"), "kind", F.array_join("ids", ",").alias("ids"))
 
 
-_FOLLOW = "".join(f""", c{n} AS (SELECT k.route_id, k.day, k.sent, k.known, min(f.at) AS at FROM k{n - 1} k JOIN f ON f.route_id = k.route_id AND f.at > k.at AND f.at <= k.sent + INTERVAL 30 MINUTE AND CAST(f.at AS DATE) = k.day AND f.status <> 'cleared' AND NOT list_has_any(f.ids, k.known) GROUP BY ALL),
- k{n} AS (SELECT c.route_id, c.day, c.sent, c.at, list_concat(any_value(c.known), flatten(list(f.ids))) AS known, list_sort(list_distinct(flatten(list(f.ids)))) AS fresh FROM c{n} c JOIN f ON f.route_id = c.route_id AND f.at = c.at AND f.status <> 'cleared' AND NOT list_has_any(f.ids, c.known) GROUP BY c.route_id, c.day, c.sent, c.at)""" for n in (1, 2, 3))
-_add("str_09_route_alert_stream", _alerts, W + f""", f AS (SELECT CAST(user_id % 7 AS INTEGER) AS route_id, date_trunc('minute', created_at) AS at, [incident_number, concat('USER', user_id % 50)] AS ids, CASE WHEN event_id % 3 = 0 THEN 'cleared' ELSE 'active' END AS status FROM inc),
- dep AS (SELECT f.route_id, CAST(f.at AS DATE) AS day, min(f.at) AS sent FROM f JOIN customer ON c_custkey = f.route_id AND c_custkey < 7 WHERE hour(f.at) * 60 + minute(f.at) BETWEEN c_custkey * 180 + 280 AND c_custkey * 180 + 299 GROUP BY 1, 2),
- k0 AS (SELECT dep.route_id, dep.day, dep.sent, dep.sent AS at, flatten(list(f.ids)) AS known, list_sort(list_distinct(flatten(list(f.ids)))) AS fresh FROM dep JOIN f ON f.route_id = dep.route_id AND f.at = dep.sent GROUP BY ALL){_FOLLOW}
- SELECT route_id, {_dts('at')}, 'departure' AS kind, array_to_string(fresh, ',') AS ids FROM k0""" + "".join(f" UNION ALL SELECT route_id, {_dts('at')}, 'follow-up', array_to_string(fresh, ',') FROM k{n}" for n in (1, 2, 3)))
+_FOLLOW = "".join(f""", c{n} AS (SELECT k.route_id, k.day, k.sent, k.known, min(f.tm) AS tm FROM k{n - 1} k JOIN f ON f.route_id = k.route_id AND f.tm > k.tm AND f.tm <= k.sent + INTERVAL 30 MINUTE AND CAST(f.tm AS DATE) = k.day AND f.status <> 'cleared' AND NOT list_has_any(f.ids, k.known) GROUP BY ALL),
+ k{n} AS (SELECT c.route_id, c.day, c.sent, c.tm, list_concat(any_value(c.known), flatten(list(f.ids))) AS known, list_sort(list_distinct(flatten(list(f.ids)))) AS fresh FROM c{n} c JOIN f ON f.route_id = c.route_id AND f.tm = c.tm AND f.status <> 'cleared' AND NOT list_has_any(f.ids, c.known) GROUP BY c.route_id, c.day, c.sent, c.tm)""" for n in (1, 2, 3))
+_add("str_09_route_alert_stream", _alerts, W + f""", f AS (SELECT CAST(user_id % 7 AS INTEGER) AS route_id, date_trunc('minute', created_at) AS tm, [incident_number, concat('USER', user_id % 50)] AS ids, CASE WHEN event_id % 3 = 0 THEN 'cleared' ELSE 'active' END AS status FROM inc),
+ dep AS (SELECT f.route_id, CAST(f.tm AS DATE) AS day, min(f.tm) AS sent FROM f JOIN customer ON c_custkey = f.route_id AND c_custkey < 7 WHERE hour(f.tm) * 60 + minute(f.tm) BETWEEN c_custkey * 180 + 280 AND c_custkey * 180 + 299 GROUP BY 1, 2),
+ k0 AS (SELECT dep.route_id, dep.day, dep.sent, dep.sent AS tm, flatten(list(f.ids)) AS known, list_sort(list_distinct(flatten(list(f.ids)))) AS fresh FROM dep JOIN f ON f.route_id = dep.route_id AND f.tm = dep.sent GROUP BY ALL){_FOLLOW}
+ SELECT route_id, {_dts('tm', 'at')}, 'departure' AS kind, array_to_string(fresh, ',') AS ids FROM k0""" + "".join(f" UNION ALL SELECT route_id, {_dts('tm', 'at')}, 'follow-up', array_to_string(fresh, ',') FROM k{n}" for n in (1, 2, 3)))
 
 
 # ---- windows
