@@ -45,6 +45,20 @@ def missing_hours(hourly: DataFrame) -> DataFrame:
     return gone.groupBy("run").agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"), F.count(F.lit(1)).alias("hours")).select(text("lo").alias("lo"), text("hi").alias("hi"), "hours")
 
 
+def backfill_ranges(hourly: DataFrame, days: int = 120, lo: str | None = None, hi: str | None = None) -> DataFrame:
+    """AGG-51: what to ask an archive for so that no hour between ``lo`` and ``hi`` (default: the log's ends) is missing:
+    ranges of at most ``days`` days that begin with the first missing day left, with their missing hours."""
+    ends = hourly.agg(*[(F.lit(v).cast("timestamp_ntz") if v else f("hour")).alias(n) for v, f, n in ((lo, F.min, "lo"), (hi, F.max, "hi"))])
+    spine = ends.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("hour"))
+    gone = spine.join(hourly.select("hour"), "hour", "left_anti").groupBy(F.to_date("hour").alias("day")).agg(F.count(F.lit(1)).alias("hours"))
+    missing = gone.agg(F.sort_array(F.collect_list(F.struct("day", "hours"))).alias("d"))  # days of a log
+    kind = "array<struct<first_day:date,last_day:date,hours:bigint>>"
+    step = f"""aggregate(d, cast(array() AS {kind}), (s, x) -> CASE WHEN size(s) > 0 AND x.day < date_add(element_at(s, -1).first_day, {days})
+      THEN concat(slice(s, 1, size(s) - 1), array(named_struct('first_day', element_at(s, -1).first_day, 'last_day', x.day, 'hours', element_at(s, -1).hours + x.hours)))
+      ELSE concat(s, array(named_struct('first_day', x.day, 'last_day', x.day, 'hours', x.hours))) END)"""
+    return missing.select(F.explode(F.expr(step)).alias("r")).select(F.col("r.first_day").cast("string").alias("first_day"), F.col("r.last_day").cast("string").alias("last_day"), F.col("r.hours").alias("hours"))
+
+
 def join_weather_hours(rows: DataFrame, hourly: DataFrame) -> DataFrame:
     """JN-10: rows with the weather of their hour."""
     return rows.withColumn("hour", F.date_trunc("HOUR", "reported_ts")).join(hourly, "hour", "left")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from dispatchlake.functions.roads import corridors
 from dispatchlake.operators.episodes import episodes
 from dispatchlake.operators.roadstats import near_path
+from dispatchlake.sources.scratch import stored
 
 _DAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 
@@ -129,18 +130,24 @@ def route_incidents(inc: DataFrame, routes: DataFrame, last_sweep: str | None, n
         listed = status == "active"
     rows = rows.withColumn("age", F.timestamp_diff("MINUTE", F.col("reported_ts"), t)).withColumn("status", status)
     rows = rows.filter((F.col("age") >= -5) & (F.col("age") <= max_hours * 60) & ((F.col("age") <= window_min) | listed))
-    folded = None
+    # The candidates of the last hours are few; they are read and parsed once, and stored for all that follows.
+    columns = [c for c in ("incident_number", "location", "cause", "reported", "reported_ts", "latitude", "longitude", "corridors", "severity", "age", "status") if c in rows.columns]
+    rows = stored(rows.select(*columns), "candidates")
     if fold_min:
         ep = episodes(rows, fold_min).filter(F.size("extras") > 0).select("incident_number", F.col("extras.incident_number").alias("more"))
-        folded = ep.select(F.explode("more").alias("incident_number"))
-        rows = rows.join(folded, "incident_number", "left_anti").join(ep, "incident_number", "left")
-    rows = rows.withColumn("ids", F.concat(F.array("incident_number"), F.coalesce("more", F.array().cast("array<string>"))) if fold_min else F.array("incident_number"))
+        told = ep.select("incident_number", "more", F.lit(False).alias("merged")).unionByName(ep.select(F.explode("more").alias("incident_number"), F.lit(None).cast("array<string>").alias("more"), F.lit(True).alias("merged")))
+        rows = rows.join(told, "incident_number", "left")
+    else:
+        rows = rows.withColumn("more", F.lit(None).cast("array<string>")).withColumn("merged", F.lit(None).cast("boolean"))
+    rows = stored(rows.select("incident_number", F.concat(F.array("incident_number"), F.coalesce("more", F.array().cast("array<string>"))).alias("ids"), F.coalesce("merged", F.lit(False)).alias("merged"), "status", "age", "severity", "latitude", "longitude", "corridors"), "incidents")
+    alone = rows.filter("NOT merged")
     own = F.coalesce(F.col("radius_m").cast("double"), F.lit(radius)) if "radius_m" in routes.columns else F.lit(radius)
-    plan = routes.select("route_id", own.alias("radius"), (F.coalesce(F.size("path"), F.lit(0)) >= 2).alias("has_path"))
-    reach = max(wide * 3, 6000.0 if "radius_m" in routes.columns else 3 * radius)
-    near = near_path(rows, routes.filter("size(path) >= 2"), reach).select("route_id", "incident_number", "metres", "along")
-    named = on_route_roads(rows, routes).withColumn("named", F.lit(True))
-    met = near.join(named, ["route_id", "incident_number"], "full_outer").join(rows.select("incident_number", "ids", "status", "age", "severity", F.col("latitude").isNotNull().alias("located")), "incident_number").join(plan, "route_id")
+    plan = routes.select("route_id", own.alias("radius"), (F.coalesce(F.size("path"), F.lit(0)) >= 2).alias("has_path"), "path", "corridors")
+    widest = plan.agg(F.max("radius")).first()[0] or radius
+    near = near_path(alone, plan.filter("has_path"), max(3 * wide, 3 * widest)).select("route_id", "incident_number", "metres", "along")
+    named = on_route_roads(alone, plan).withColumn("named", F.lit(True))
+    met = near.unionByName(named, allowMissingColumns=True).groupBy("route_id", "incident_number").agg(F.max("metres").alias("metres"), F.max("along").alias("along"), F.max("named").alias("named"))
+    met = met.join(alone.select("incident_number", "ids", "status", "age", "severity", F.col("latitude").isNotNull().alias("located")), "incident_number").join(plan.drop("path", "corridors"), "route_id")
     on = F.coalesce("named", F.lit(False))
     side = on & (F.col("metres") <= F.greatest(F.lit(wide), 2 * F.col("radius")))
     match = F.when((F.col("metres") <= F.col("radius")) | side, "path").when(on & ~F.col("has_path"), "road").when(on & ~F.col("located"), "approximate")
@@ -148,10 +155,10 @@ def route_incidents(inc: DataFrame, routes: DataFrame, last_sweep: str | None, n
     verdict = F.when(F.col("match").isNull(), "skipped").when(F.col("status") == "cleared", "cleared").otherwise("alert")
     reason = F.when(F.col("match").isNotNull(), "on route").when(F.col("metres").isNotNull(), "too far").otherwise("elsewhere on the road")
     out = met.select("route_id", "incident_number", "status", "match", verdict.alias("verdict"), reason.alias("reason"), "metres", "along", "age", "severity", "ids")
-    if folded is not None:
+    if fold_min:
         none = [F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns]
-        merged = folded.select(*[F.col("incident_number") if c == "incident_number" else F.lit("merged").alias(c) if c == "verdict" else F.lit("another listing of an incident").alias(c) if c == "reason" else n for c, n in zip(out.columns, none, strict=True)])
-        out = out.unionByName(merged)
+        given = {"incident_number": F.col("incident_number"), "verdict": F.lit("merged").alias("verdict"), "reason": F.lit("another listing of an incident").alias("reason")}
+        out = out.unionByName(rows.filter("merged").select(*[given.get(c, n) for c, n in zip(out.columns, none, strict=True)]))
     return out.orderBy("route_id", F.col("status") == "cleared", F.desc("severity"), "age", "incident_number")
 
 
@@ -179,6 +186,7 @@ def route_replay(inc: DataFrame, routes: DataFrame, at: str, lead_min: int = 20,
     return out.select("route_id", "scheduled", "send_minutes", F.coalesce("incidents", F.lit(0)).alias("incidents"), F.coalesce("cleared", F.lit(0)).alias("cleared"), F.coalesce(F.col("near.incident_number"), none).alias("near_misses"))
 
 
+ROUTES = 100_000  # routes that are broadcast at most
 ALERT_STATE = "route_id int, day date, sent_at int, known array<string>, followups int"
 
 
@@ -191,7 +199,8 @@ def advance_alerts(checks: DataFrame, routes: DataFrame, state: DataFrame, lead_
     sends a follow-up, at most ``most`` a day. ``alerts`` has at, kind and ids of what was sent now.
     """
     plan = routes.select("route_id", "day_numbers", "depart_minutes").filter("depart_minutes IS NOT NULL")
-    rows = checks.withColumn("at", F.col("at").cast("timestamp_ntz")).withColumn("day", F.to_date("at")).join(F.broadcast(plan), "route_id").filter(F.array_contains("day_numbers", F.weekday("day")))  # a user's routes
+    plan = F.broadcast(plan) if plan.limit(ROUTES + 1).count() <= ROUTES else plan
+    rows = checks.withColumn("at", F.col("at").cast("timestamp_ntz")).withColumn("day", F.to_date("at")).join(plan, "route_id").filter(F.array_contains("day_numbers", F.weekday("day")))
     rows = rows.withColumn("minute", F.hour("at") * 60 + F.minute("at"))
     days = rows.groupBy("route_id", "day").agg(F.first("depart_minutes").alias("depart"), F.sort_array(F.collect_list(F.struct("at", "minute", "found"))).alias("checks"))  # one day of a route
     days = days.join(state, ["route_id", "day"], "left")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispatchlake.functions import causes, geo, roads, text, times, weather
@@ -380,6 +380,9 @@ def _hours(s: SparkSession, d: str) -> DataFrame:
 _MERGE = ", m AS (SELECT date_trunc('hour', obs_ts) AS hour, arg_max(temp_f, (obs_ts, l_orderkey, seq, temp_f)) AS temp_f, max(precip_in) AS precip_in, min(visibility_mi) AS visibility_mi, max(wind_mph) AS wind_mph, coalesce(string_agg(DISTINCT wx, ' ' ORDER BY wx) FILTER (wx <> ''), '') AS wx FROM weather_obs GROUP BY 1)"
 _add("agg_15_merge_hours", lambda s, d: _hours(s, d).select(_ts("hour"), "temp_f", F.round("precip_in", 6).alias("precip_in"), "visibility_mi", F.round("wind_mph", 6).alias("wind_mph"), "wx"), "WITH " + b.WEATHER + _MERGE + f" SELECT {_dts('hour')}, temp_f, round(precip_in, 6) AS precip_in, visibility_mi, round(wind_mph, 6) AS wind_mph, wx FROM m")
 _add("snk_06_weather_hours", lambda s, d: hourly.export_weather_hours(_hours(s, d)), "WITH " + b.WEATHER + _MERGE + f", s AS (SELECT unnest(range((SELECT min(hour) FROM m), (SELECT max(hour) FROM m) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS hour) SELECT strftime(min(s.hour), '%Y-%m-%dT%H') AS start, string_agg(CASE WHEN m.hour IS NULL THEN '-' ELSE {_CODE} END, '' ORDER BY s.hour) AS codes FROM s LEFT JOIN m ON m.hour = s.hour")
+# Ranges by recursion: each begins with the first missing day behind the one before.
+_BACKFILL = ", s0 AS (SELECT unnest(range((SELECT min(hour) FROM m), (SELECT max(hour) FROM m) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS hour), g0 AS (SELECT CAST(hour AS DATE) AS day, count(*) AS hours FROM s0 WHERE hour NOT IN (SELECT hour FROM m) GROUP BY 1), r(first_day) AS (SELECT min(day) FROM g0 UNION ALL SELECT (SELECT min(day) FROM g0 WHERE day >= r.first_day + 120) FROM r WHERE r.first_day IS NOT NULL)"
+_add("agg_51_backfill_ranges", lambda s, d: hourly.backfill_ranges(_hours(s, d)), "WITH RECURSIVE " + b.WEATHER + _MERGE + _BACKFILL + " SELECT strftime(first_day, '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day, CAST(sum(hours) AS BIGINT) AS hours FROM r JOIN g0 ON day >= first_day AND day < first_day + 120 GROUP BY r.first_day")
 _add("agg_51_missing_hours", lambda s, d: hourly.missing_hours(_hours(s, d)), "WITH " + b.WEATHER + _MERGE + f", s AS (SELECT unnest(range((SELECT min(hour) FROM m), (SELECT max(hour) FROM m) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS hour), g AS (SELECT hour, hour - INTERVAL 1 HOUR * row_number() OVER (ORDER BY hour) AS run FROM s WHERE hour NOT IN (SELECT hour FROM m)) SELECT {_dts('min(hour)', 'lo')}, {_dts('max(hour)', 'hi')}, count(*) AS hours FROM g GROUP BY run")
 _add("jn_10_weather_hours", lambda s, d: weather.with_condition_code(hourly.join_weather_hours(_crashes(s, d), _hours(s, d))).groupBy("code").agg(F.count(F.lit(1)).alias("n")), WC + b.WEATHER + _MERGE + f" SELECT coalesce({_CODE.replace('wx', 'm.wx')}, '-') AS code, count(*) AS n FROM crashes LEFT JOIN m ON m.hour = date_trunc('hour', reported_ts) WHERE is_crash GROUP BY 1")
 
@@ -418,14 +421,19 @@ def _upgraded(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("agg_30_upgraded_share", _upgraded, W + "," + _EP.replace("TS", "reported_ts") + " SELECT count(*) AS severe, count(*) FILTER (EXISTS (SELECT 1 FROM ranked x WHERE x.location_key = r.location_key AND x.no = r.no AND x.rk > 1 AND x.severity < r.severity AND x.reported_ts < r.reported_ts)) AS upgraded FROM ranked r WHERE rk = 1 AND cause LIKE '%MAJOR'")
-def _long_roads(s: SparkSession, d: str) -> DataFrame:
-    """Long crashes with a road each, named by the order's customer."""
-    return _crashes(s, d).withColumn("corridors", F.array(F.element_at(F.array(*map(F.lit, b.LONG_ROADS)), F.col("road_no") % 4 + 1)))
+def _long_roads(s: SparkSession, d: str, moved: Column | None = None) -> DataFrame:
+    """Long crashes with a road each, named by the order's customer; those for which ``moved`` holds are on the third."""
+    named = F.element_at(F.array(*map(F.lit, b.LONG_ROADS)), F.col("road_no") % 4 + 1)
+    return _crashes(s, d).withColumn("corridors", F.array(named if moved is None else F.when(moved, b.LONG_ROADS[2]).otherwise(named)))
+
+
+#: Crashes of the second road that were on the third in the years before, so that the second has a trend.
+_MOVED = "road_no % 4 = 1 AND reported_ts < TIMESTAMP '2001-01-01 00:00:00' AND o_orderkey % 2 = 1"
 
 
 _LONG = WC + "r AS (SELECT *, CASE road_no % 4 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(b.LONG_ROADS)) + " END AS road FROM crashes WHERE is_crash)"
 _add("agg_26_risk_ranking_default", lambda s, d: insights.risk_ranking(_long_roads(s, d), roadstats.road_stats(*b.road_tables(s, d)), 2406), _LONG + ", " + b.SEGMENTS + _STATS + " SELECT road, n, miles, vehicle_miles, round(n / (vehicle_miles * 2406) * 1e6, 6) AS risk FROM (SELECT road, count(*) AS n FROM r GROUP BY 1) JOIN stats USING (road) WHERE n >= 40 AND miles >= 1 AND vehicle_miles / miles >= 5000")
-_add("agg_31_trending_roads_default", lambda s, d: insights.trending_roads(_long_roads(s, d).filter("road_no % 4 <> 1 OR reported_ts >= TIMESTAMP '2001-01-01 00:00:00' OR o_orderkey % 2 = 0"), LONG_NOW), _LONG + f", a AS (SELECT road, date_diff('second', reported_ts, TIMESTAMP '{LONG_NOW}') / 86400.0 AS age FROM r WHERE road_no % 4 <> 1 OR reported_ts >= TIMESTAMP '2001-01-01 00:00:00' OR o_orderkey % 2 = 0), t AS (SELECT road, count(*) FILTER (age <= 60) AS recent, count(*) FILTER (age > 60) AS earlier FROM a GROUP BY 1), q AS (SELECT road, recent, earlier, round(recent / (60 / 7.0::DOUBLE), 6) AS recent_week, round(earlier / (((SELECT max(age) FROM a) - 60) / 7), 6) AS earlier_week, round((recent / (60 / 7.0::DOUBLE)) / (earlier / (((SELECT max(age) FROM a) - 60) / 7)), 6) AS ratio FROM t WHERE recent >= 20 AND earlier >= 20) SELECT * FROM q WHERE ratio >= 1.25 ORDER BY ratio DESC, road LIMIT 15")
+_add("agg_31_trending_roads_default", lambda s, d: insights.trending_roads(_long_roads(s, d, F.expr(_MOVED)), LONG_NOW), _LONG + f", a AS (SELECT road, date_diff('second', reported_ts, TIMESTAMP '{LONG_NOW}') / 86400.0 AS age FROM (SELECT * REPLACE (CASE WHEN {_MOVED} THEN '{b.LONG_ROADS[2]}' ELSE road END AS road) FROM r)), t AS (SELECT road, count(*) FILTER (age <= 60) AS recent, count(*) FILTER (age > 60) AS earlier FROM a GROUP BY 1), q AS (SELECT road, recent, earlier, round(recent / (60 / 7.0::DOUBLE), 6) AS recent_week, round(earlier / (((SELECT max(age) FROM a) - 60) / 7), 6) AS earlier_week, round((recent / (60 / 7.0::DOUBLE)) / (earlier / (((SELECT max(age) FROM a) - 60) / 7)), 6) AS ratio FROM t WHERE recent >= 20 AND earlier >= 20) SELECT * FROM q WHERE ratio >= 1.25 ORDER BY ratio DESC, road LIMIT 15")
 _add("agg_31_trending_roads", lambda s, d: insights.trending_roads(_road_crashes(s, d), NOW, days=10, least=5, ratio=0.5), W + _ROADN + f", a AS (SELECT road, date_diff('second', reported_ts, TIMESTAMP '{NOW}') / 86400.0 AS age FROM r WHERE reported_ts IS NOT NULL), t AS (SELECT road, count(*) FILTER (age <= 10) AS recent, count(*) FILTER (age > 10) AS earlier FROM a GROUP BY 1), q AS (SELECT road, recent, earlier, round(recent / (10 / 7.0::DOUBLE), 6) AS recent_week, round(earlier / (((SELECT max(age) FROM a) - 10) / 7), 6) AS earlier_week, round((recent / (10 / 7.0::DOUBLE)) / (earlier / (((SELECT max(age) FROM a) - 10) / 7)), 6) AS ratio FROM t WHERE recent >= 5 AND earlier >= 5) SELECT * FROM q WHERE ratio >= 0.5 ORDER BY ratio DESC, road LIMIT 15")
 
 
@@ -502,12 +510,12 @@ _add("jn_19_attach_state", _state, "WITH " + b.LISTINGS + f", n AS (SELECT incid
 
 
 def _forecast(s: SparkSession, d: str) -> DataFrame:
-    grid = b._view(s, d, "events").select(F.date_trunc("HOUR", F.col("ts").cast("timestamp_ntz")).alias("start")).filter("hour(start) % 3 = 0").groupBy("start").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    grid = b._view(s, d, "events").select(F.date_trunc("HOUR", F.col("ts").cast("timestamp_ntz")).alias("start")).withColumn("start", F.col("start") - F.make_interval(hours=F.hour("start") % 3)).groupBy("start").agg(F.count(F.lit(1)).cast("double").alias("value"))
     grid = grid.select(F.lit("events").alias("variable"), "start", F.expr("start + INTERVAL 2 HOURS").alias("end"), "value")
     return hourly.forecast_asof(_inc(s, d).filter("reported_ts IS NOT NULL"), grid)
 
 
-_add("jn_08_forecast_asof", _forecast, W + ", g AS (SELECT date_trunc('hour', ts) AS start, CAST(count(*) AS DOUBLE) AS value FROM events WHERE hour(ts) % 3 = 0 GROUP BY 1) SELECT incident_number, 'events' AS variable, coalesce(g.value, (SELECT arg_min(value, start) FROM g)) AS value FROM inc LEFT JOIN g ON reported_ts >= start AND reported_ts < start + INTERVAL 2 HOUR WHERE reported_ts IS NOT NULL")
+_add("jn_08_forecast_asof", _forecast, W + ", g AS (SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR * (hour(ts) % 3) AS start, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 1) SELECT incident_number, 'events' AS variable, coalesce(g.value, (SELECT arg_min(value, start) FROM g)) AS value FROM inc LEFT JOIN g ON reported_ts >= start AND reported_ts < start + INTERVAL 2 HOUR WHERE reported_ts IS NOT NULL")
 
 
 def _last_state(s: SparkSession, d: str) -> DataFrame:

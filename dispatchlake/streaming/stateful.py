@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from dispatchlake.functions.causes import AGENCIES
+from dispatchlake.operators.routes import ROUTES
 
 MINUTE, DAY = 60_000_000, 86_400_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -248,9 +249,6 @@ class RouteWatch(_Timed):
         return iter([])
 
 
-ROUTES = 100_000  # routes that are broadcast at most
-
-
 def route_alert_stream(checks: DataFrame, routes: DataFrame, lead_min: int = 20, followup_min: int = 30, most: int = 3, delay: str = "0 seconds") -> DataFrame:
     """STR-09: (route_id, at, kind, ids) of the alerts of routes (batch: ``routes.route_alerts``). Append mode.
 
