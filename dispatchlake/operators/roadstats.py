@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from dispatchlake.functions import geo
 from dispatchlake.functions.roads import normalize_road
+from dispatchlake.sources.scratch import stored
 
 
 def overlap_segments(roads: DataFrame, counts: DataFrame) -> DataFrame:
@@ -27,7 +28,9 @@ def road_stats(roads: DataFrame, counts: DataFrame, least_share: float = 0.6, le
     """
     part = F.split("route_id", "_")
     own = roads.filter((F.element_at(part, -2) == "1") & ~F.lower("full_name").contains("proposed"))
-    own = own.withColumn("road", normalize_road(F.col("full_name"))).filter("road <> ''")
+    # the name rules are long: they run once for each distinct name (the second grouping keeps them from being copied)
+    names = own.select("full_name").distinct().groupBy("full_name").agg(F.first(normalize_road(F.col("full_name"))).alias("road"))
+    own = own.join(names, "full_name").filter("road <> ''")
     miles = own.groupBy("road", "route_id").agg(F.sum(F.col("to_mi") - F.col("from_mi")).alias("miles"))
     laps = overlap_segments(own.select("route_id", F.col("road").alias("full_name"), "from_mi", "to_mi"), counts).groupBy(F.col("full_name").alias("road"), "route_id").agg(F.sum("overlap").alias("counted"), F.sum(F.col("overlap") * F.col("aadt")).alias("traffic"))
     rows = miles.join(laps, ["road", "route_id"], "left").withColumn("base", F.regexp_replace("route_id", r"_[^_]+_[^_]+_[^_]+$", ""))
@@ -37,23 +40,37 @@ def road_stats(roads: DataFrame, counts: DataFrame, least_share: float = 0.6, le
     return out.select("road", F.round("miles", 3).alias("miles"), F.round(scaled, 1).alias("vehicle_miles"))
 
 
+RINGS = (16, 4, 1)  # parts of the widest reach that are searched, one after another
+
+
 def snap_to_node(points: DataFrame, edges: DataFrame, nodes: DataFrame, metres: float = 800.0, min_degree: int = 3) -> DataFrame:
     """JN-16: nearest edge of each point within ``metres``, and its end with more streets, if that is an intersection.
 
-    Edges are posted to the grid cells around them, points to their own, so only near pairs meet; distinct points are
-    used once. Ties go to the smaller edge.
+    The search widens ring by ring: distinct points meet the edges of cells as wide as the ring, and only those without
+    an edge within it go on to the next, wider one. So where edges are dense, a point meets the few around it, and where
+    they are sparse, few cells are posted. Ties go to the smaller edge.
     """
-    side = metres / geo.DEGREE_M * 1.2
     degree = edges.select(F.explode(F.array("u", "v")).alias("node_id")).groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
     n = nodes.join(degree, "node_id", "left")
     end = lambda k: n.select(F.col("node_id").alias(k), F.col("lat").alias(f"{k}_lat"), F.col("lon").alias(f"{k}_lon"), F.col("degree").alias(f"{k}_degree"))
-    e = edges.join(end("u"), "u").join(end("v"), "v")
-    cells = lambda a, b: F.sequence(F.floor(F.least(a, b) / side) - 1, F.floor(F.greatest(a, b) / side) + 1)
-    e = e.withColumn("y", F.explode(cells("u_lat", "v_lat"))).withColumn("x", F.explode(cells("u_lon", "v_lon")))
-    p = points.select("latitude", "longitude").distinct().withColumn("y", F.floor(F.col("latitude") / side)).withColumn("x", F.floor(F.col("longitude") / side))
-    d, _ = geo.seg_dist_m(F.col("latitude"), F.col("longitude"), F.col("u_lat"), F.col("u_lon"), F.col("v_lat"), F.col("v_lon"))
-    near = p.join(e, ["y", "x"]).withColumn("d", F.round(d, 3)).filter(F.col("d") <= metres)
-    best = near.groupBy("latitude", "longitude").agg(F.min(F.struct("d", "u", "v", "road_class", "u_degree", "v_degree")).alias("b")).select("latitude", "longitude", "b.*")
+    net = stored(edges.join(end("u"), "u").join(end("v"), "v"), "edges")
+    left = stored(points.select("latitude", "longitude").filter("latitude IS NOT NULL AND longitude IS NOT NULL").distinct(), "points")
+    found = []
+    for reach in (metres / k for k in RINGS):
+        side = reach / geo.DEGREE_M * 1.2  # at this latitude a degree of longitude is shorter
+        cells = lambda a, b, side=side: F.sequence(F.floor(F.least(a, b) / side) - 1, F.floor(F.greatest(a, b) / side) + 1)
+        e = net.withColumn("y", F.explode(cells("u_lat", "v_lat"))).withColumn("x", F.explode(cells("u_lon", "v_lon")))
+        off, _ = geo.seg_dist_m((F.col("y") + 0.5) * side, (F.col("x") + 0.5) * side, F.col("u_lat"), F.col("u_lon"), F.col("v_lat"), F.col("v_lon"))
+        e = e.filter(off <= 2 * 1.2 * reach)  # a slanting edge passes few cells of its bounding box
+        p = left.withColumn("y", F.floor(F.col("latitude") / side)).withColumn("x", F.floor(F.col("longitude") / side))
+        d, _ = geo.seg_dist_m(F.col("latitude"), F.col("longitude"), F.col("u_lat"), F.col("u_lon"), F.col("v_lat"), F.col("v_lon"))
+        near = p.join(e, ["y", "x"]).withColumn("d", F.round(d, 3)).filter(F.col("d") <= reach)
+        best = near.groupBy("latitude", "longitude").agg(F.min(F.struct("d", "u", "v", "road_class", "u_degree", "v_degree")).alias("b"))
+        found.append(stored(best.select("latitude", "longitude", "b.*"), "nearest"))
+        left = left.join(found[-1].select("latitude", "longitude"), ["latitude", "longitude"], "left_anti")
+    best = found[0]
+    for x in found[1:]:
+        best = best.unionByName(x)
     node, top = F.when(F.col("u_degree") >= F.col("v_degree"), F.col("u")).otherwise(F.col("v")), F.greatest("u_degree", "v_degree")
     return best.select("latitude", "longitude", F.col("d").alias("metres"), "u", "v", "road_class", F.when(top >= min_degree, node).alias("node_id"))
 
