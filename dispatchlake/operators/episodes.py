@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from dispatchlake.functions.causes import severity
 from dispatchlake.functions.text import folded
+from dispatchlake.sources.scratch import stored
 
 
 def _chained(inc: DataFrame, window_min: int) -> DataFrame:
@@ -19,6 +20,7 @@ def _chained(inc: DataFrame, window_min: int) -> DataFrame:
     """
     rows = inc.withColumn("location_key", folded(F.col("location"))).withColumn("severity", severity(F.col("cause")))
     rows = rows.filter((F.col("location_key") != "") & F.col("reported_ts").isNotNull() & (F.upper(F.trim("cause")) != "TRAFFIC CONTROL")).withColumn("day", F.to_date("reported_ts"))
+    rows = stored(rows, "episodes")  # read twice below; what parsed the times isn't run again
     apart = lambda early, late: F.timestamp_diff("SECOND", early, late) > window_min * 60 if window_min > 0 else F.lit(True)
     keys = ["location_key", "day"]
     by_time = Window.partitionBy(*keys).orderBy("reported_ts", "incident_number")
@@ -61,6 +63,15 @@ def secondary_ids(ep: DataFrame) -> DataFrame:
     return ep.select(F.explode("extras").alias("x")).select("x.incident_number")
 
 
+#: What folding needs of a listing.
+FOLDING = ["incident_number", "location", "cause", "reported_ts", "latitude", "longitude"]
+
+
+def folded_ids(inc: DataFrame, window_min: int = 15) -> DataFrame:
+    """Listings that are folded into another one, from the columns that this takes alone."""
+    return secondary_ids(episodes(inc.select(*FOLDING), window_min))
+
+
 def drop_secondaries(df: DataFrame, ep: DataFrame) -> DataFrame:
     """JN-22: rows that are no episode's secondary."""
     return df.join(secondary_ids(ep), "incident_number", "left_anti")

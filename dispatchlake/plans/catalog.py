@@ -16,6 +16,7 @@ from dispatchlake.operators import coverage as cov_ops
 from dispatchlake.operators import episodes as ep_ops
 from dispatchlake.operators import filters, hourly, ingest, insights, panels, roadstats
 from dispatchlake.plans import bindings as b
+from dispatchlake.sources.scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,8 +165,8 @@ _add("agg_02_control_collapse", _control, W + f""", c AS (SELECT * FROM inc WHER
 
 
 def _hot(s: SparkSession, d: str) -> DataFrame:
-    inc = _inc(s, d)
-    return panels.hot_spots(ep_ops.drop_secondaries(inc, ep_ops.episodes(inc)), NOW)
+    inc = stored(_inc(s, d), "incidents")
+    return panels.hot_spots(inc.join(ep_ops.folded_ids(inc), "incident_number", "left_anti"), NOW)
 
 
 _add("agg_03_hot_spots", _hot, W + "," + _EP.replace("TS", "reported_ts") + _FOLDED + f" SELECT {_CELL}, count(*) AS n, round(sum(CASE WHEN reported_ts IS NULL THEN 0.1 ELSE exp(-greatest(date_diff('second', reported_ts, TIMESTAMP '{NOW}') / 86400.0, 0) / 30) END), 6) AS score FROM inc WHERE latitude IS NOT NULL AND incident_number NOT IN (SELECT incident_number FROM folded) GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY score DESC, 1, 2 LIMIT 100")
@@ -175,8 +176,8 @@ _add("agg_07_corridor_counts", lambda s, d: panels.corridor_counts(_roads(s, d))
 
 
 def _digest(s: SparkSession, d: str) -> DataFrame:
-    inc = _inc(s, d)
-    return panels.digest(inc, NOW, ep_ops.secondary_ids(ep_ops.episodes(inc)))
+    inc = stored(_inc(s, d), "incidents")
+    return panels.digest(inc, NOW, ep_ops.folded_ids(inc))
 
 
 _add("agg_08_digest", _digest, W + "," + _EP.replace("TS", "reported_ts") + _FOLDED + f""", d AS (SELECT inc.*, created_at >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND created_at < TIMESTAMP '{NOW}' AS day, created_at >= TIMESTAMP '{NOW}' - INTERVAL 48 HOUR AND created_at < TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AS prior, incident_number IN (SELECT incident_number FROM folded) AS f FROM inc), m AS (SELECT *, day AND NOT f AS mine FROM d)

@@ -16,7 +16,7 @@ from dispatchlake.operators import episodes as ep_ops
 from dispatchlake.plans import bindings as b
 from dispatchlake.plans.catalog import _EP, W, _add, _dts, _inc, _roads, _ts
 from dispatchlake.sources import feed, sinks
-from dispatchlake.sources.scratch import scratch
+from dispatchlake.sources.scratch import scratch, stored
 from dispatchlake.streaming import jobs, stateful
 
 
@@ -78,8 +78,8 @@ _add("str_09_route_alert_stream", _alerts, W + f""", f AS (SELECT CAST(user_id %
 
 # ---- windows
 def _rolling(s: SparkSession, d: str) -> DataFrame:
-    inc = _inc(s, d)
-    more = ep_ops.secondary_ids(ep_ops.episodes(inc)).withColumn("folded", F.lit(True))
+    inc = stored(_inc(s, d), "incidents")
+    more = ep_ops.folded_ids(inc).withColumn("folded", F.lit(True))
     out = jobs.rolling_digest(inc.join(more, "incident_number", "left"))
     return out.select(_ts("until"), *[c for c in out.columns if c != "until"])
 
