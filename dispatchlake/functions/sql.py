@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dispatchlake.functions import times
+from dispatchlake.functions import roads, times
 from dispatchlake.functions.geo import DEGREE_M
 
 _FOLD = "upper(trim(regexp_replace(coalesce({0}, ''), '(?U)\\\\s+', ' ')))"
@@ -43,3 +44,22 @@ FUNCTIONS = {
 def register(spark: SparkSession) -> None:
     for head, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+
+
+def register_roads(spark: SparkSession, locations: DataFrame, path: str) -> None:
+    """SQL functions of road names: ``normalize_road(name)``, ``corridors(location)`` and, as a table function,
+    ``roads_of(location)`` with columns no and road.
+
+    The rules of names are too long to be copied into each use, so they run once for each distinct location of
+    ``locations`` and each name between its separators, and are stored under ``path``. The functions look them up, which
+    Spark plans as a join; for a location or name that isn't there they give null (``roads_of``: no rows).
+    """
+    places = locations.select("location").filter("location IS NOT NULL").distinct()
+    names = places.select(F.explode(F.split(F.upper(F.trim("location")), roads.SEPARATOR)).alias("name")).unionByName(places.select(F.col("location").alias("name"))).distinct()
+    places.groupBy("location").agg(F.first(roads.corridors(F.col("location"))).alias("roads")).write.mode("overwrite").parquet(f"{path}/places")
+    names.groupBy("name").agg(F.first(roads.normalize_road(F.col("name"))).alias("road")).write.mode("overwrite").parquet(f"{path}/names")
+    spark.read.parquet(f"{path}/places").createOrReplaceTempView("road_places")
+    spark.read.parquet(f"{path}/names").createOrReplaceTempView("road_names")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION normalize_road(mention STRING) RETURNS STRING RETURN (SELECT max(n.road) FROM road_names n WHERE n.name = mention)")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION corridors(place STRING) RETURNS ARRAY<STRING> RETURN (SELECT max(p.roads) FROM road_places p WHERE p.location = place)")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION roads_of(place STRING) RETURNS TABLE(no INT, road STRING) RETURN SELECT r.pos + 1, r.col FROM road_places p LATERAL VIEW posexplode(p.roads) r AS pos, col WHERE p.location = place")

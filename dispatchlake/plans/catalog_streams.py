@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchlake.functions import text
+from dispatchlake.functions import sql, text
 from dispatchlake.functions.times import with_reported_ts
 from dispatchlake.operators import episodes as ep_ops
 from dispatchlake.plans import bindings as b
@@ -117,6 +117,17 @@ _add("str_06_session_stream", _sessions, W + "," + _EP.replace("TS", "reported_t
  SELECT location_key, incident_number, extras, {_dts('first_ts')}, {_dts('last_ts')}, n_listings FROM x, e WHERE last_ts + INTERVAL 15 MINUTE <= newest - INTERVAL 6 MINUTE""")
 
 
+# ---- SQL functions
+def _sql_roads(s: SparkSession, d: str) -> DataFrame:
+    """The SQL functions of road names over all incidents: roads by the scalar and by the table function."""
+    inc = b.incidents(s, d)
+    sql.register_roads(s, inc, scratch(s, "roads"))
+    return s.sql("SELECT incident_number, coalesce(array_join(corridors(location), '|'), '') AS corridors, normalize_road(split_part(upper(trim(location)), '/', 1)) AS first_road, (SELECT count(*) FROM roads_of(location)) AS n_roads FROM {inc}", inc=inc)
+
+
+_add("sql_road_functions", _sql_roads, W + ", c AS (SELECT incident_number, CASE user_id % 10 WHEN 0 THEN 'AMBASSADOR CAFFERY PKWY|CURRAN LN' WHEN 1 THEN 'JOHNSTON ST|W CONGRESS ST' WHEN 2 THEN 'PINHOOK RD|W BENDEL RD' WHEN 7 THEN 'E BROUSSARD RD|DUHON RD' ELSE array_to_string(corridors, '|') END AS corridors, CASE user_id % 10 WHEN 8 THEN 'AMBASSADOR CAFFERY PKWY AT KALISTE SALOOM RD' ELSE coalesce(corridors[1], '') END AS first_road FROM inc) SELECT *, CAST(CASE WHEN corridors = '' THEN 0 ELSE len(string_split(corridors, '|')) END AS BIGINT) AS n_roads FROM c")
+
+
 # ---- sources and sinks
 def _csv(s: SparkSession, d: str) -> DataFrame:
     """Incidents written as CSV under other columns and in another order, and read back."""

@@ -11,7 +11,7 @@ from dispatchlake import registry
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["prj_05_reported_full", "prj_18_incident_corridors", "agg_01_episodes_full", "agg_03_hot_spots", "agg_08_digest", "agg_15_merge_hours", "agg_18_hour_week_matrix", "agg_27_weather_effect", "agg_29_follow_on_share", "agg_47_road_stats", "jn_01_filter_new", "jn_13_near_path", "flt_facet_sweep"]
-SAMPLE += [n for n in registry.ORACLES if n not in SAMPLE and n.startswith(("flt_", "src_", "str_", "agg_2", "agg_4", "agg_5"))]
+SAMPLE += [n for n in registry.ORACLES if n not in SAMPLE and n.startswith(("flt_", "src_", "str_", "agg_2", "agg_4", "agg_5", "snk_", "sql_", "jn_02_a", "jn_15", "jn_16"))]
 
 
 @pytest.fixture(scope="module")
