@@ -92,8 +92,7 @@ _add("str_07_rolling_digest", _rolling, W + "," + _EP.replace("TS", "reported_ts
 
 
 def _top_roads(s: SparkSession, d: str) -> DataFrame:
-    out = jobs.rolling_roads(_roads(s, d).select("created_at", "corridors"))
-    return out.select(_ts("until"), F.posexplode("roads").alias("rank", "r")).select("until", (F.col("rank") + 1).alias("rank"), "r.road", "r.n")
+    return jobs.top_roads(jobs.rolling_roads(_roads(s, d).select("created_at", "corridors"))).select(_ts("until"), "rank", "road", "n")
 
 
 _add("str_07_rolling_roads", _top_roads, W + f", w AS (SELECT unnest(corridors) AS road, date_trunc('hour', created_at) + INTERVAL 1 HOUR * k AS until FROM inc, ({_HOURS}) h WHERE k <= 24), n AS (SELECT until, road, count(*) AS n FROM w GROUP BY 1, 2) SELECT {_dts('until')}, CAST(row_number() OVER o AS INTEGER) AS rank, road, n FROM n WINDOW o AS (PARTITION BY until ORDER BY n DESC, road) QUALIFY row_number() OVER o <= 5")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispatchlake.functions.causes import AGENCIES, DIGEST, category, severity
@@ -99,15 +99,18 @@ def rolling_24h(inc: DataFrame, watermark: str = "6 minutes") -> DataFrame:
     return rolling_digest(inc.drop("folded"), watermark).select("until", F.col("new").alias("n"), *[c for c in ROLLING if c.startswith(("n_", "agency_")) or c in ("located", "locating", "unmappable")])
 
 
-def rolling_roads(inc: DataFrame, watermark: str = "6 minutes", top_n: int = 5) -> DataFrame:
-    """STR-07: the roads with most incidents in the 24 hours before each full hour: until, roads (road, n), most first
-    (batch: ``panels.digest_roads``). ``inc`` has created_at and corridors; a window's list is as long as there are roads."""
-    rows = inc.select("created_at", "corridors").withWatermark("created_at", watermark).select("created_at", F.explode("corridors").alias("road"))
+def rolling_roads(inc: DataFrame, watermark: str = "6 minutes") -> DataFrame:
+    """STR-07: incidents of each road in the 24 hours before each full hour: until, road, n (append mode, or a table).
+    ``inc`` has created_at and corridors; ``top_roads`` ranks what was written."""
+    rows = inc.select("created_at", "corridors").withWatermark("created_at", watermark).select("created_at", F.explode_outer("corridors").alias("road"))
     panes = rows.groupBy(F.window("created_at", "1 hour"), "road").agg(F.count(F.lit(1)).alias("n"))  # incidents without a road move the watermark too
-    roads = _over(panes, 24, "road").agg(F.sum("n").alias("n"))
-    order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "road")))
-    best = roads.groupBy("window").agg(F.slice(order, 1, top_n).alias("r"))
-    return best.select(F.col("window.end").alias("until"), F.transform("r", lambda x: F.struct(x["road"].alias("road"), (-x["n"]).alias("n"))).alias("roads"))
+    return _over(panes, 24, "road").agg(F.sum("n").alias("n")).filter("road IS NOT NULL").select(F.col("window.end").alias("until"), "road", "n")
+
+
+def top_roads(rolled: DataFrame, top_n: int = 5) -> DataFrame:
+    """STR-07: the first roads of each hour of a table of ``rolling_roads``: until, rank, road, n (batch: ``panels.digest_roads``)."""
+    most = Window.partitionBy("until").orderBy(F.desc("n"), "road")  # the roads of one hour
+    return rolled.withColumn("rank", F.row_number().over(most)).filter(F.col("rank") <= top_n).select("until", "rank", "road", "n")
 
 
 def rolling_budget(requests: DataFrame, cap: int = 100, watermark: str = "6 minutes") -> DataFrame:
