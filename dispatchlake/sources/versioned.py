@@ -84,7 +84,7 @@ class VersionedTable:
     # ---- writing
     def _write(self, rows: DataFrame, old: dict, touched: list[str], info: dict) -> int:
         """Writes new folders for the touched parts and publishes them beside the others."""
-        revision = uuid.uuid4().hex
+        revision = self.new_folder()
         # the part is also a column of the files, so a folder's name isn't parsed for it
         rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema], self.part, F.col(self.part).alias("__part")).write.partitionBy("__part").parquet(f"{self.path}/data/{revision}")
         folders = {p: f for p, f in old["folders"].items() if p not in touched}
@@ -92,6 +92,14 @@ class VersionedTable:
             name = str(s.getPath().getName())
             if name.startswith("__part="):
                 folders[self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name[7:])] = f"{revision}/{name}"
+        return self.swap(old, folders, info)
+
+    def new_folder(self) -> str:
+        """A name under ``data`` that was never used."""
+        return uuid.uuid4().hex
+
+    def swap(self, old: dict, folders: dict[str, str], info: dict) -> int:
+        """Publishes a version after ``old`` with these folders, which are written under ``data``."""
         self._publish({"version": old["version"] + 1, "folders": folders, "info": info})
         return old["version"] + 1
 

@@ -10,7 +10,9 @@ from dispatchlake.functions.text import folded, with_content_key
 
 
 def dedupe_stream(listings: DataFrame, watermark: str = "6 minutes") -> DataFrame:
-    """STR-01: listings without those whose content key was seen within the watermark (at least); state stays bounded."""
+    """STR-01: listings without those whose content key was seen within the watermark (at least); state stays bounded.
+
+    ``archive.Archive`` is the exact form, over all time."""
     return with_content_key(listings).withWatermark("sweep_ts", watermark).dropDuplicatesWithinWatermark(["content_key"])
 
 

@@ -123,12 +123,3 @@ def test_sessions_and_digest_windows(spark, tmp_path):
     assert got == {"A ST": ("I5", ["I1", "I3", "I7"], 4), "B ST": ("I2", ["I0", "I4", "I6"], 4)}
     whole = [r for r in spark.table("windows").collect() if r.n == 8]
     assert whole and all((r.n_accidents, r.agency_police, r.located, r.locating, r.unmappable) == (8, 8, 5, 2, 1) for r in whole)
-
-
-@pytest.mark.parametrize("files", [1, 3])
-def test_archive_without_repeats(spark, tmp_path, files):
-    kind = "incident_number string, location string, cause string, reported string, pos int"
-    rows = [("1", "A ST", "X", "t1", 0), ("2", "a  st", "x", "t1", 1), ("3", "B ST", "X", "t1", 2), ("1", "C ST", "X", "t2", 3), ("4", "D ST", "X", "t2", 4), ("5", "D ST", "X", "t2", 5), ("6", "E ST", "X", "t3", 6), ("3", "B ST", "X", "t1", 7), ("7", "E ST", "Y", "t3", 8)]
-    run(spark, tmp_path, rows, kind, files, state.dedupe_to_archive(spark, f"{tmp_path}/archive"))
-    got = sorted(r.incident_number for r in spark.read.parquet(f"{tmp_path}/archive").collect())
-    assert got == (["1", "1", "3", "4", "6", "7"] if files == 1 else ["1", "3", "4", "6", "7"])
