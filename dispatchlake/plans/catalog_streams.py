@@ -14,10 +14,10 @@ from dispatchlake.functions import sql, text
 from dispatchlake.functions.times import with_reported_ts
 from dispatchlake.operators import episodes as ep_ops
 from dispatchlake.plans import bindings as b
-from dispatchlake.plans.catalog import _EP, W, _add, _dts, _inc, _roads, _ts
+from dispatchlake.plans.catalog import _CK, _EP, W, _add, _dts, _inc, _roads, _ts
 from dispatchlake.sources import feed, sinks
 from dispatchlake.sources.scratch import scratch, stored
-from dispatchlake.streaming import jobs, stateful
+from dispatchlake.streaming import archive, jobs, stateful
 
 
 def _drained(s: SparkSession, make: Callable[[], DataFrame], mode: str = "append") -> DataFrame:
@@ -76,6 +76,26 @@ _add("str_09_route_alert_stream", _alerts, W + f""", f AS (SELECT CAST(user_id %
  SELECT route_id, {_dts('tm', 'at')}, 'departure' AS kind, array_to_string(fresh, ',') AS ids FROM k0""" + "".join(f" UNION ALL SELECT route_id, {_dts('tm', 'at')}, 'follow-up', array_to_string(fresh, ',') FROM k{n}" for n in (1, 2, 3)))
 
 
+# ---- the archive: four files of listings told by day and cause, then the same ids once more under other keys
+def _archived(s: SparkSession, d: str) -> DataFrame:
+    inc = stored(b.incidents(s, d).select("event_id", "incident_number", "location", "cause", F.date_format("created_at", "yyyy-MM-dd").alias("reported"), F.col("event_id").alias("pos")), "listings")
+    last = inc.agg(F.max("event_id").alias("last"))
+    rows = inc.join(F.broadcast(last)).withColumn("quarter", F.least(F.floor(F.col("event_id") * 4 / (F.col("last") + 1)), F.lit(3))).drop("last")  # one row
+    path = scratch(s, "sweeps")
+    for k in range(4):
+        rows.filter(F.col("quarter") == k).drop("quarter").coalesce(1).write.mode("append").parquet(path)
+    inc.withColumn("reported", F.concat("reported", F.lit(" again"))).coalesce(1).write.mode("append").parquet(path)
+    table = archive.Archive(s, scratch(s, "archive"), inc.schema, fan=2)
+    stream = s.readStream.schema(inc.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = stream.writeStream.foreachBatch(archive.archive_stream(table)).option("checkpointLocation", scratch(s, "check")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return table.read().select("incident_number", "reported", "content_key")
+
+
+_SEEN = f"d AS (SELECT event_id, incident_number, location_key, cause, strftime(created_at, '%Y-%m-%d') AS reported FROM inc), k AS (SELECT *, row_number() OVER (PARTITION BY {_CK} ORDER BY event_id) AS rn, {_CK} AS ck FROM d)"
+_add("str_01_archive_stream", _archived, W + ", " + _SEEN + " SELECT incident_number, CASE rn WHEN 1 THEN reported ELSE concat(reported, ' again') END AS reported, CASE rn WHEN 1 THEN ck ELSE concat(ck, ' AGAIN') END AS content_key FROM k WHERE rn <= 2")
+
+
 # ---- windows
 def _rolling(s: SparkSession, d: str) -> DataFrame:
     inc = stored(_inc(s, d), "incidents")
