@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql.window import Window
 
 from dispatchlake.functions import causes, geo, times
 from dispatchlake.functions.text import folded
-from dispatchlake.operators.filters import Filters, apply_filters
+from dispatchlake.operators.filters import Filters, apply_filters, predicates
 from dispatchlake.operators.ingest import location_state
 
 
@@ -142,17 +144,19 @@ def data_quality(inc: DataFrame) -> DataFrame:
 
 
 def smart_summary(inc: DataFrame) -> DataFrame:
-    """AGG-42: peak hour, busiest weekday, top category and top road, each with its count (ties: the smallest)."""
-    def top(df: DataFrame, what: str) -> DataFrame:
-        one = df.filter("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-        return one.agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("k").cast("string").alias("k"))).alias("m")).select(F.lit(what).alias("what"), F.col("m.k").alias("value"), (-F.col("m.n")).alias("n"))
+    """AGG-42: peak hour, busiest weekday, top category and top road, each with its count (ties: the smallest).
 
-    hours = inc.select(F.format_string("%02d", F.hour("reported_ts")).alias("k")).withColumn("k", F.when(F.col("k") != "null", F.col("k")))
-    parts = [top(hours, "peak_hour"), top(inc.select(F.weekday("reported_ts").alias("k")), "busiest_day"), top(inc.select(causes.category(F.col("cause")).alias("k")), "category"), top(inc.select(F.explode("corridors").alias("k")), "road")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    The rows are read once; what has no values has nulls.
+    """
+    one = {"peak_hour": F.lpad(F.hour("reported_ts").cast("string"), 2, "0"), "busiest_day": F.weekday("reported_ts").cast("string"), "category": causes.category(F.col("cause"))}
+    pair = lambda what, k: F.struct(F.lit(what).alias("what"), k.alias("k"))
+    roads = F.transform(F.coalesce("corridors", F.array().cast("array<string>")), lambda r: pair("road", r))
+    pairs = F.concat(F.array(*[pair(what, k) for what, k in one.items()]), roads)
+    n = inc.select(F.explode(pairs).alias("p")).select("p.what", "p.k").filter("k IS NOT NULL").groupBy("what", "k").agg(F.count(F.lit(1)).alias("n"))
+    best = lambda what: F.min(F.when(F.col("what") == what, F.struct((-F.col("n")).alias("n"), "k")))
+    top = n.agg(*[best(what).alias(what) for what in (*one, "road")])
+    rows = F.array(*[F.struct(F.lit(what).alias("what"), F.col(f"{what}.k").alias("value"), (-F.col(f"{what}.n")).alias("n")) for what in (*one, "road")])
+    return top.select(F.inline(rows))
 
 
 def summary_changes(inc: DataFrame, now: str) -> DataFrame:
@@ -191,22 +195,31 @@ def road_profile(inc: DataFrame, road: str, now: str) -> DataFrame:
     return rows.agg(F.lit(road).alias("road"), F.count(F.lit(1)).alias("total"), F.count_if(crash).alias("crashes"), F.count_if((age >= 0) & (age <= 30)).alias("last_30"), F.count_if((age > 30) & (age <= 60)).alias("previous_30"))
 
 
+def _facet_values(kept: dict[str, Column]) -> Column:
+    """Array of (facet, value) of a row; a facet's values only where its condition holds."""
+    pair = lambda facet, v: F.struct(F.lit(facet).alias("facet"), v.cast("string").alias("value"))
+    one = {"cause": F.col("cause"), "year": F.year("reported_ts"), "month": F.month("reported_ts")}
+    agencies = F.transform(F.coalesce("agencies", F.array().cast("array<string>")), lambda a: pair("agency", a))
+    return F.concat(F.when(kept["agency"], agencies).otherwise(F.slice(agencies, 1, 0)), F.array(*[pair(facet, F.when(kept[facet], v)) for facet, v in one.items()]))
+
+
+def _count_facets(inc: DataFrame, kept: dict[str, Column]) -> DataFrame:
+    # conditions first, each once a row; the pairs follow from narrow columns
+    rows = causes.with_agencies(inc).select("agencies", "cause", "reported_ts", *[F.coalesce(c, F.lit(False)).alias(f"__{k}") for k, c in kept.items()])
+    pairs = rows.select(F.explode(_facet_values({k: F.col(f"__{k}") for k in kept})).alias("p")).select("p.facet", "p.value").filter("value IS NOT NULL")
+    return pairs.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def facet_counts(inc: DataFrame) -> DataFrame:
     """AGG-44: every value of the facets cause, agency, year and month with its count."""
-    names = F.concat(F.transform("agencies", lambda a: F.concat(F.lit("agency:"), a)), F.array(F.concat(F.lit("cause:"), F.col("cause")), F.concat(F.lit("year:"), F.year("reported_ts")), F.concat(F.lit("month:"), F.month("reported_ts"))))
-    rows = causes.with_agencies(inc).select(F.explode(names).alias("f")).filter("f IS NOT NULL")
-    return rows.groupBy("f").agg(F.count(F.lit(1)).alias("n")).select(F.substring_index("f", ":", 1).alias("facet"), F.regexp_replace("f", "^[^:]*:", "").alias("value"), "n")
+    return _count_facets(inc, {k: F.lit(True) for k in ("cause", "agency", "year", "month")})
 
 
 def faceted_counts(inc: DataFrame, f: Filters) -> DataFrame:
-    """AGG-44: each facet's values and counts over the rows that the other chosen facets keep."""
+    """AGG-44: each facet's values and counts over the rows that the other chosen facets keep. The rows are read once."""
     none = {"date_from": None, "date_to": None}
     others = {"cause": replace(f, cause=None), "agency": replace(f, agencies=set()), "year": replace(f, year=None, **none), "month": replace(f, month=None, **none)}
-    parts = [facet_counts(apply_filters(inc, rest)).filter(F.col("facet") == facet) for facet, rest in others.items()]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    return _count_facets(inc, {facet: reduce(and_, predicates(rest).values(), F.lit(True)) for facet, rest in others.items()})
 
 
 def unlocated_counts(inc: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dispatchlake.functions import causes, roads
 from dispatchlake.operators import coverage as cov_ops
 from dispatchlake.operators import episodes as ep_ops
-from dispatchlake.operators import filters, insights, panels, roadstats
+from dispatchlake.operators import filters, insights, panels, road_search, roadstats
 from dispatchlake.plans import bindings as b
 from dispatchlake.plans.catalog import _CELL, _F_ROWS, _LONG, _MERGE, _STATS, NOW, W, WC, WCOV, _add, _best, _cov, _crashes, _hours, _inc, _long_roads, _roads
 
@@ -71,3 +71,26 @@ _add("agg_50_archive_growth", lambda s, d: panels.archive_growth(b.incidents(s,
 _add("agg_50_weather_log", lambda s, d: panels.weather_log_status(_hours(s, d)), "WITH " + b.WEATHER + _MERGE + " SELECT strftime(min(hour), '%Y-%m-%d %H:%M:%S') AS first_hour, strftime(max(hour), '%Y-%m-%d %H:%M:%S') AS last_hour, count(*) AS hours, date_diff('hour', min(hour), max(hour)) + 1 - count(*) AS missing FROM m")
 _add("agg_08_digest_roads", lambda s, d: panels.digest_roads(_roads(s, d), NOW), W + f", u AS (SELECT unnest(corridors) AS road FROM inc WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND created_at < TIMESTAMP '{NOW}') SELECT road, count(*) AS n FROM u GROUP BY 1 ORDER BY n DESC, road LIMIT 5")
 _add("agg_04_grid_members", lambda s, d: panels.grid_members(b.incidents(s, d)), W + f", c AS (SELECT incident_number, {_CELL} FROM inc WHERE latitude IS NOT NULL), t AS (SELECT cell_y, cell_x FROM c GROUP BY 1, 2 ORDER BY count(*) DESC, cell_y, cell_x LIMIT 100) SELECT cell_y, cell_x, incident_number FROM c JOIN t USING (cell_y, cell_x)")
+
+# ---- road names as customers type them: with a letter missing or wrong
+_NAMES = ["KALISTE SALOOM", "AMBASSADOR CAFFERY", "johnston street", "PINHOOK", "EVANGELINE THWY", "W CONGRESS", "broussard  duhon", "CURRAN LN", "BENDEL RD", "I-10", "LAFAYETTE LA"]
+_TYPED = "concat(substr(name, 1, p - 1), CASE WHEN c_custkey % 3 = 0 THEN 'X' ELSE '' END, substr(name, p + 1))"
+
+
+def _typed_roads(s: SparkSession, d: str) -> DataFrame:
+    inc = b.incidents(s, d)
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("c_custkey") % len(_NAMES) + 1).cast("int"))
+    keys = b._view(s, d, "customer").select("c_custkey", name.alias("name")).withColumn("p", (1 + F.floor(F.col("c_custkey") / len(_NAMES)) % F.length("name")).cast("int"))
+    typed = keys.select(F.expr(_TYPED).alias("typed"))
+    n = inc.groupBy(F.coalesce("location", F.lit("")).alias("location")).agg(F.count(F.lit(1)).alias("n"))
+    hits = road_search.search(road_search.build(inc), typed)
+    return hits.join(n, "location").groupBy("typed").agg(F.count(F.lit(1)).alias("locations"), F.sum("n").alias("incidents"))
+
+
+_add("flt_27_typed_roads", _typed_roads, W + f""", k AS (SELECT c_custkey, {_NAMES}[c_custkey % {len(_NAMES)} + 1] AS name FROM customer), t AS (SELECT DISTINCT {_TYPED} AS typed FROM (SELECT *, 1 + CAST(floor(c_custkey / {len(_NAMES)}) AS INTEGER) % length(name) AS p FROM k)),
+ q AS (SELECT typed, unnest(list_distinct(list_filter(string_split(upper(typed), ' '), lambda x: x <> ''))) AS term FROM t), p AS (SELECT coalesce(location, '') AS location, count(*) AS n FROM inc GROUP BY 1),
+ w AS (SELECT location, upper(location) AS text, unnest(string_split_regex(upper(location), '[^A-Z0-9]+')) AS word FROM p), v AS (SELECT DISTINCT word FROM w), u AS (SELECT DISTINCT term FROM q),
+ c AS (SELECT DISTINCT term, word FROM u, v WHERE length(term) > 2 AND levenshtein(word, term) <= CASE WHEN length(term) <= 4 THEN 1 ELSE 2 END),
+ h AS (SELECT term, location FROM u, p WHERE contains(upper(location), term) UNION SELECT term, location FROM c JOIN w USING (word)),
+ f AS (SELECT typed, location FROM q JOIN h USING (term) GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM q z WHERE z.typed = q.typed))
+ SELECT typed, count(*) AS locations, CAST(sum(n) AS BIGINT) AS incidents FROM f JOIN p USING (location) GROUP BY 1""")
