@@ -92,5 +92,5 @@ _add("flt_27_typed_roads", _typed_roads, W + f""", k AS (SELECT c_custkey, {_NAM
  w AS (SELECT location, upper(location) AS text, unnest(string_split_regex(upper(location), '[^A-Z0-9]+')) AS word FROM p), v AS (SELECT DISTINCT word FROM w), u AS (SELECT DISTINCT term FROM q),
  c AS (SELECT DISTINCT term, word FROM u, v WHERE length(term) > 2 AND levenshtein(word, term) <= CASE WHEN length(term) <= 4 THEN 1 ELSE 2 END),
  h AS (SELECT term, location FROM u, p WHERE contains(upper(location), term) UNION SELECT term, location FROM c JOIN w USING (word)),
- f AS (SELECT typed, location FROM q JOIN h USING (term) GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM q z WHERE z.typed = q.typed))
+ m AS (SELECT typed, count(*) AS need FROM q GROUP BY 1), f AS (SELECT typed, location FROM q JOIN h USING (term) JOIN m USING (typed) GROUP BY typed, location, need HAVING count(*) = need)
  SELECT typed, count(*) AS locations, CAST(sum(n) AS BIGINT) AS incidents FROM f JOIN p USING (location) GROUP BY 1""")
