@@ -215,4 +215,5 @@ def _resolved_hours(s: SparkSession, d: str) -> DataFrame:
     return out.select(_ts("hour"), F.round("precip_in", 6).alias("precip_in"), "visibility_mi", F.round("wind_mph", 6).alias("wind_mph"), "wx", "archived")
 
 
-_add("str_10_resolve_hours", _resolved_hours, "WITH " + b.WEATHER + f", w AS (SELECT *, date_trunc('hour', obs_ts) AS hour, l_orderkey % 3 = 0 AS archived FROM weather_obs), k AS (SELECT * FROM w WHERE archived OR hour NOT IN (SELECT hour FROM w WHERE archived)) SELECT {_dts('hour')}, round(max(precip_in), 6) AS precip_in, min(visibility_mi) AS visibility_mi, round(max(wind_mph), 6) AS wind_mph, coalesce(string_agg(DISTINCT wx, ' ' ORDER BY wx) FILTER (wx <> ''), '') AS wx, bool_or(archived) AS archived FROM k GROUP BY hour")
+SQL_OF_HOURS = "WITH " + b.WEATHER + f", w AS (SELECT *, date_trunc('hour', obs_ts) AS hour, l_orderkey % 3 = 0 AS archived FROM weather_obs), k AS (SELECT * FROM w WHERE archived OR hour NOT IN (SELECT hour FROM w WHERE archived)) SELECT {_dts('hour')}, round(max(precip_in), 6) AS precip_in, min(visibility_mi) AS visibility_mi, round(max(wind_mph), 6) AS wind_mph, coalesce(string_agg(DISTINCT wx, ' ' ORDER BY wx) FILTER (wx <> ''), '') AS wx, bool_or(archived) AS archived FROM k GROUP BY hour"
+_add("str_10_resolve_hours", _resolved_hours, SQL_OF_HOURS)

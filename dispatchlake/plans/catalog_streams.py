@@ -14,10 +14,11 @@ from dispatchlake.functions import sql, text
 from dispatchlake.functions.times import with_reported_ts
 from dispatchlake.operators import episodes as ep_ops
 from dispatchlake.plans import bindings as b
+from dispatchlake.plans import catalog_feeds as _feeds
 from dispatchlake.plans.catalog import _CK, _EP, W, _add, _dts, _inc, _roads, _ts
 from dispatchlake.sources import feed, sinks
 from dispatchlake.sources.scratch import scratch, stored
-from dispatchlake.streaming import archive, jobs, stateful
+from dispatchlake.streaming import archive, jobs, state, stateful
 
 
 def _drained(s: SparkSession, make: Callable[[], DataFrame], mode: str = "append") -> DataFrame:
@@ -136,6 +137,22 @@ _add("str_06_session_stream", _sessions, W + "," + _EP.replace("TS", "reported_t
  SELECT location_key, incident_number, extras, {_dts('first_ts')}, {_dts('last_ts')}, n_listings FROM x, e WHERE last_ts + INTERVAL 15 MINUTE <= newest - INTERVAL 6 MINUTE""")
 
 
+def _weather(s: SparkSession, d: str) -> DataFrame:
+    """Live observations as one file, then those of the archive and the live ones once more as a second."""
+    source = F.when(F.col("l_orderkey") % 3 == 0, "archive").otherwise("live")
+    log = stored(b.weather_obs(s, d).select("obs_ts", "temp_f", "precip_in", "visibility_mi", "wind_mph", "wx", source.alias("source")), "observations")
+    path, table = scratch(s, "weather"), state.weather_log(s, scratch(s, "weather_log"))
+    for part in (log.filter("source = 'live'"), log):
+        part.coalesce(1).write.mode("append").parquet(path)
+    q = s.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path).writeStream.foreachBatch(state.weather_stream(table)).option("checkpointLocation", scratch(s, "check")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = state.resolve_hours(table.read())
+    return out.select(_ts("hour"), F.round("precip_in", 6).alias("precip_in"), "visibility_mi", F.round("wind_mph", 6).alias("wind_mph"), "wx", "archived")
+
+
+_add("str_10_weather_stream", _weather, _feeds.SQL_OF_HOURS)
+
+
 # ---- SQL functions
 def _sql_roads(s: SparkSession, d: str) -> DataFrame:
     """The SQL functions of road names over all incidents: roads by the scalar and by the table function."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from dispatchlake.sources.runs import RunTable
 
 #: Values up to which a batch is looked up by literals; they are also the most that the driver gathers.
 PROBE = 4096
+#: Literals of one read: the readers take a list of them as a chain of conditions, which is as deep as it is long.
+LITERALS = 128
 
 
 class KeyIndex:
@@ -27,7 +30,7 @@ class KeyIndex:
     def __init__(self, spark: SparkSession, path: str, fan: int = 8):
         self.runs = RunTable(spark, path, "h long, value string", ["h"], ("h",), fan)
         self.prober = spark.newSession()  # a session of its own for the setting
-        self.prober.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", PROBE)
+        self.prober.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", LITERALS)
 
     def known(self, values: DataFrame, without: int | None = None) -> DataFrame:
         """Those of the values (value) that the index has, but for what one batch added; each once."""
@@ -35,8 +38,10 @@ class KeyIndex:
         few = asked.limit(PROBE + 1).collect()
         if len(few) > PROBE:
             return self.runs.read(without).join(asked, ["h", "value"], "left_semi").select("value").distinct()
-        want = {r.value for r in few}
-        hits = self.runs.read(without, self.prober).filter(F.col("h").isin([r.h for r in few])).select("value").collect() if few else []
+        want, hashes = {r.value for r in few}, sorted({r.h for r in few})  # so that each read has a narrow range
+        rows = self.runs.read(without, self.prober)
+        reads = [rows.filter(F.col("h").isin(hashes[k : k + LITERALS])).select("value") for k in range(0, len(hashes), LITERALS)]
+        hits = reduce(DataFrame.unionAll, reads).collect() if reads else []
         return self.runs.spark.createDataFrame([(v,) for v in sorted({r.value for r in hits} & want)], "value string")
 
     def add(self, batch: int, values: DataFrame, at_most: int) -> int:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from dispatchlake.functions.causes import AGENCIES
 from dispatchlake.operators import hourly, routes
 from dispatchlake.operators.ingest import active_set_changes
+from dispatchlake.sources.versioned import VersionedTable
 
 Each = Callable[[DataFrame, int], None]
 
@@ -182,11 +183,33 @@ def resolve_hours(log: DataFrame) -> DataFrame:
     return hourly.merge_hours(kept.drop("hour", "archived")).join(flags, "hour")
 
 
-def weather_stream(log_path: str) -> Each:
-    """STR-10: appends observations to the log, by batch; ``resolve_hours`` reads it. A late archive hour replaces the
-    live one, a late live value never replaces an archived hour, whatever the order of the batches."""
+OBSERVATION = "obs_ts timestamp_ntz, temp_f double, precip_in double, visibility_mi double, wind_mph double, wx string, source string"
+
+
+def weather_log(spark: SparkSession, path: str) -> VersionedTable:
+    """The log of observations, by month."""
+    return VersionedTable(spark, path, OBSERVATION, ["obs_ts", "source"], "month")
+
+
+def _settled(have: DataFrame, new: DataFrame) -> DataFrame:
+    """Observations of some months, each once; live ones only of hours that the archive doesn't have."""
+    rows = have.unionByName(new.select(*have.columns)).distinct().withColumn("hour", F.date_trunc("HOUR", "obs_ts"))
+    archived = rows.filter("source = 'archive'").select("hour").distinct()
+    live = rows.filter("source <> 'archive'").join(archived, "hour", "left_anti")
+    return rows.filter("source = 'archive'").unionByName(live).drop("hour").repartition("month")
+
+
+def weather_stream(log: VersionedTable, vacuum_every: int = 16) -> Each:
+    """STR-10: merges observations into the log; ``resolve_hours`` reads it, or those months that are asked for. A late
+    archive hour replaces the live one, a late live value never replaces an archived hour, whatever the order of the batches.
+
+    A batch rewrites only the months that it falls into; one that comes again changes nothing. An observation without a
+    time is left out.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        append_once(batch, log_path, number)
+        log.merge(batch.filter("obs_ts IS NOT NULL").withColumn("month", F.date_format("obs_ts", "yyyy-MM")), _settled)
+        if number % vacuum_every == vacuum_every - 1:
+            log.vacuum()
 
     return each

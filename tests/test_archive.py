@@ -113,6 +113,13 @@ def test_lookup_by_literals_and_by_join(spark, tmp_path, monkeypatch, probe):
     assert sorted(r.value for r in index.known(asked, 1).collect()) == ["v19999", "v3"]
 
 
+def test_lookup_of_many_values_in_several_reads(spark, tmp_path):
+    index = ar.KeyIndex(spark, f"{tmp_path}/index")
+    index.add(0, spark.range(6000).select(F.concat(F.lit("v"), "id").alias("value")), 6000)
+    asked = spark.range(4000, 4000 + ar.PROBE).select(F.concat(F.lit("v"), "id").alias("value"))
+    assert {r.value for r in index.known(asked).collect()} == {f"v{k}" for k in range(4000, 6000)}
+
+
 def test_bloom_filters_pass_over_unknown_values(spark, tmp_path):
     index = ar.KeyIndex(spark, f"{tmp_path}/index")
     index.add(0, spark.range(50_000).select(F.concat(F.lit("v"), "id").alias("value")), 50_000)

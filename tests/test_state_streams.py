@@ -104,10 +104,19 @@ def test_route_alert_stream(spark, tmp_path, files):
 def test_weather_log(spark, tmp_path, files):
     kind = "obs_ts timestamp_ntz, temp_f double, precip_in double, visibility_mi double, wind_mph double, wx string, source string"
     rows = [(at(m), 60.0 + m, r, 10.0, 5.0, wx, src) for m, r, wx, src in ((0, 0.5, "RA", "live"), (10, 0.1, "", "archive"), (20, 0.9, "TS", "live"), (60, 0.2, "", "live"), (70, 0.4, "FG", "live"), (120, 0.0, "", "live"), (130, 0.3, "", "archive"))]
-    run(spark, tmp_path, rows, kind, files, state.weather_stream(f"{tmp_path}/log"))
-    log = spark.read.parquet(f"{tmp_path}/log").drop("batch")
-    got = {r.hour: (r.precip_in, r.temp_f, r.wx, r.archived) for r in state.resolve_hours(log).collect()}
+    rows.append((None, 1.0, 1.0, 1.0, 1.0, "RA", "live"))
+    table = state.weather_log(spark, f"{tmp_path}/log")
+    run(spark, tmp_path, rows, kind, files, state.weather_stream(table, 2))
+    got = {r.hour: (r.precip_in, r.temp_f, r.wx, r.archived) for r in state.resolve_hours(table.read()).collect()}
     assert got == {at(0): (0.1, 70.0, "", True), at(60): (0.4, 130.0, "FG", False), at(120): (0.3, 190.0, "", True)}
+    assert table.read().count() == 4  # each once, and no live ones beside an archived hour
+    other = spark.createDataFrame([(at(60 * 24 * 40), 50.0, 0.0, 10.0, 5.0, "", "live"), (at(15), 99.0, 9.0, 1.0, 9.0, "RA", "live")], kind)
+    before = table.manifest()["folders"]
+    state.weather_stream(table)(other.limit(1), 90)
+    after = table.manifest()["folders"]
+    assert sorted(after) == ["2024-01", "2024-02"] and after["2024-01"] == before["2024-01"]  # only the month it falls into
+    state.weather_stream(table)(other, 91)  # late and live
+    assert {r.hour: r.precip_in for r in state.resolve_hours(table.read(["2024-01"])).collect()} == {k: v[0] for k, v in got.items()}
 
 
 def test_sessions_and_digest_windows(spark, tmp_path):
