@@ -197,7 +197,8 @@ def followers(crashes: DataFrame, low: int = 3, high: int = 45, metres: float =
     for k in keys:
         on = on & (F.col(f"a.{k}") == F.col(f"z.{k}"))
     on = on & (F.col("z.t") - F.col("a.t0")).between(low * 60, high * 60) & (geo.dist_m(F.col("a.lat0"), F.col("a.lon0"), F.col("z.latitude"), F.col("z.longitude")) <= metres) & (F.col("z.incident_number") != F.col("a.before"))
-    return hit.unionByName(z.join(a, on, "left_semi").select("incident_number", "shift"))
+    # sized by files, the posted rows look small enough to broadcast, but they are several times the crashes
+    return hit.unionByName(z.join(a.hint("merge"), on, "left_semi").select("incident_number", "shift"))
 
 
 def follow_on_share(crashes: DataFrame, high: int = 45, **how) -> DataFrame:
