@@ -208,7 +208,7 @@ def follow_on_share(crashes: DataFrame, high: int = 45, **how) -> DataFrame:
     first = rows.agg(F.min("t").alias("first"))
     rows = rows.select("incident_number", "t").join(F.broadcast(first)).select("incident_number", (F.col("t") - 7 * 86400 - high * 60 >= F.col("first")).alias("full"))  # one row
     seen = followers(crashes, high=high, shifts=(0, 7), **how).groupBy("incident_number").agg(F.max(F.col("shift") == 0).alias("after"), F.max(F.col("shift") == 7).alias("chance"))
-    out = rows.join(seen, "incident_number", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if("after").alias("following"), F.count_if("full").alias("eligible"), F.count_if(F.col("full") & F.col("chance")).alias("control"))
+    out = rows.join(seen.hint("merge"), "incident_number", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if("after").alias("following"), F.count_if("full").alias("eligible"), F.count_if(F.col("full") & F.col("chance")).alias("control"))
     return out.withColumn("share", F.round(F.try_divide("following", "n"), 6)).withColumn("control_share", F.round(F.try_divide("control", "eligible"), 6))
 
 

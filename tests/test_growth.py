@@ -19,3 +19,8 @@ def plan_of(df):
 def test_followers_never_broadcast_posted_rows(spark, tmp_path):
     plan = plan_of(insights.followers(crashes(spark, f"{tmp_path}/c"), shifts=(0, 7)))
     assert "SortMergeJoin [shift" in plan and "BroadcastHashJoin [shift" not in plan
+
+
+def test_follow_on_share_never_broadcasts_the_followers(spark, tmp_path):
+    plan = plan_of(insights.follow_on_share(crashes(spark, f"{tmp_path}/c")))
+    assert "SortMergeJoin [incident_number" in plan and "BroadcastHashJoin [incident_number" not in plan
