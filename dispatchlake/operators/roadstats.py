@@ -40,6 +40,19 @@ def road_stats(roads: DataFrame, counts: DataFrame, least_share: float = 0.6, le
     return out.select("road", F.round("miles", 3).alias("miles"), F.round(scaled, 1).alias("vehicle_miles"))
 
 
+def _edges_around(points: DataFrame, net: DataFrame, metres: float) -> DataFrame:
+    """Edges whose box shares a cell with the surroundings of a point. A network may go far beyond the points; only this
+    part of it is posted to the small cells of the search."""
+    side = metres / geo.DEGREE_M * 1.2  # the widest cells of the search
+    cell = lambda c: F.floor(F.col(c) / side)
+    about = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    cells = points.select(cell("latitude").alias("y0"), cell("longitude").alias("x0")).distinct()
+    cells = cells.select(about("y0").alias("y"), "x0").select("y", about("x0").alias("x")).distinct()
+    box = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / side), F.floor(F.greatest(a, b) / side)))
+    posted = net.withColumn("y", box("u_lat", "v_lat")).withColumn("x", box("u_lon", "v_lon"))
+    return posted.join(cells, ["y", "x"], "left_semi").drop("y", "x").distinct()
+
+
 RINGS = (16, 4, 1)  # parts of the widest reach that are searched, one after another
 
 
@@ -53,8 +66,9 @@ def snap_to_node(points: DataFrame, edges: DataFrame, nodes: DataFrame, metres:
     degree = edges.select(F.explode(F.array("u", "v")).alias("node_id")).groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
     n = nodes.join(degree, "node_id", "left")
     end = lambda k: n.select(F.col("node_id").alias(k), F.col("lat").alias(f"{k}_lat"), F.col("lon").alias(f"{k}_lon"), F.col("degree").alias(f"{k}_degree"))
-    net = stored(edges.join(end("u"), "u").join(end("v"), "v"), "edges")
+    net = edges.join(end("u"), "u").join(end("v"), "v")
     left = stored(points.select("latitude", "longitude").filter("latitude IS NOT NULL AND longitude IS NOT NULL").distinct(), "points")
+    net = stored(_edges_around(left, net, metres), "edges")
     found = []
     for reach in (metres / k for k in RINGS):
         side = reach / geo.DEGREE_M * 1.2  # at this latitude a degree of longitude is shorter

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dispatchlake.operators import insights
+from dispatchlake.operators import insights, roadstats
 
 
 def crashes(spark, path, n=400):
@@ -24,3 +24,20 @@ def test_followers_never_broadcast_posted_rows(spark, tmp_path):
 def test_follow_on_share_never_broadcasts_the_followers(spark, tmp_path):
     plan = plan_of(insights.follow_on_share(crashes(spark, f"{tmp_path}/c")))
     assert "SortMergeJoin [incident_number" in plan and "BroadcastHashJoin [incident_number" not in plan
+
+
+def test_snapping_leaves_the_far_network_out(spark, monkeypatch):
+    """Of a road over many degrees only what is near the points is kept for the search."""
+    kept = {}
+
+    def stored(df, name):
+        kept.setdefault(name, df.count())
+        return df
+
+    monkeypatch.setattr(roadstats, "stored", stored)
+    nodes = spark.range(2000).select(F.col("id").alias("node_id"), (30 + F.col("id") * 0.005).alias("lat"), F.lit(-92.0).alias("lon"))
+    edges = spark.range(1999).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit("primary").alias("road_class"))
+    points = spark.createDataFrame([(30.0012, -92.0051), (31.0, -92.0082), (32.0, -92.0090)], "latitude double, longitude double")
+    rows = roadstats.snap_to_node(points, edges, nodes).collect()
+    assert sorted((r.u, r.v, r.metres) for r in rows) == [(0, 1, 491.664), (199, 200, 782.443)]  # the third is 866 m away
+    assert kept["edges"] < 30
