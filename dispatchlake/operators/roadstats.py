@@ -15,10 +15,43 @@ def overlap_segments(roads: DataFrame, counts: DataFrame) -> DataFrame:
     """JN-11: overlaps (in miles) of road and traffic segments of the same route."""
     a = roads.select("route_id", "full_name", F.col("from_mi").alias("lo"), F.col("to_mi").alias("hi"))
     b = counts.filter("aadt IS NOT NULL").select(F.col("route_id").alias("rid"), F.col("from_mi").alias("a_lo"), F.col("to_mi").alias("a_hi"), "aadt")
+    return _meet(a, b)
+
+
+def _meet(a: DataFrame, b: DataFrame) -> DataFrame:
     out = a.join(b, (F.col("route_id") == F.col("rid")) & (F.col("lo") < F.col("a_hi")) & (F.col("a_lo") < F.col("hi")))
     return out.withColumn("overlap", F.least("hi", "a_hi") - F.greatest("lo", "a_lo")).drop("rid")
 
 
+def overlap_totals(roads: DataFrame, counts: DataFrame, keys: tuple[str, ...] = ("route_id",)) -> DataFrame:
+    """JN-11 summed up by ``keys`` (columns of the road segments): overlaps (n), their miles (counted) and miles times
+    traffic (traffic), without pairing the segments.
+
+    Equal segments go together. Along each route the traffic segments add up to totals at their ends and those of the
+    road segments, in one sweep over its distinct mile points; a road segment takes the difference between its two ends.
+    Segments that don't run forward are few; they are paired.
+    """
+    a = roads.groupBy(*{*keys, "route_id"}, F.col("from_mi").alias("lo"), F.col("to_mi").alias("hi")).agg(F.count(F.lit(1)).alias("k"))
+    b = counts.filter("aadt IS NOT NULL").groupBy(F.col("route_id").alias("rid"), F.col("from_mi").alias("a_lo"), F.col("to_mi").alias("a_hi")).agg(F.count(F.lit(1)).alias("m"), F.sum("aadt").alias("w"))
+    point = lambda x, m, w, begins, ends: F.struct(F.col(x).alias("x"), m.alias("m"), w.alias("w"), begins.alias("begins"), ends.alias("ends"))
+    m, w, no, none = F.col("m"), F.col("w"), F.lit(0).cast("long"), F.lit(0.0)
+    marks = b.filter("a_lo < a_hi").select("rid", F.explode(F.array(point("a_lo", m, w, m, no), point("a_hi", -m, -w, no, m))).alias("p"))
+    marks = marks.unionByName(a.filter("lo < hi").select(F.col("route_id").alias("rid"), F.explode(F.array(point("lo", no, none, no, no), point("hi", no, none, no, no))).alias("p")))
+    marks = marks.groupBy("rid", F.col("p.x").alias("x")).agg(*[F.sum(f"p.{c}").alias(c) for c in ("m", "w", "begins", "ends")])
+    order = Window.partitionBy("rid").orderBy("x")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    step = marks.withColumn("len", F.lead("x").over(order) - F.col("x"))
+    step = step.select("rid", "x", (F.sum("m").over(upto) * F.col("len")).alias("m"), (F.sum("w").over(upto) * F.col("len")).alias("w"), F.coalesce(F.sum("begins").over(before), no).alias("begun"), F.sum("ends").over(upto).alias("ended"))
+    step = step.select("rid", "x", F.coalesce(F.sum("m").over(before), none).alias("m"), F.coalesce(F.sum("w").over(before), none).alias("w"), "begun", "ended")
+    at = lambda end: step.select(F.col("rid").alias("route_id"), F.col("x").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("m", "w", "begun", "ended")])
+    k = F.col("k")
+    swept = a.filter("lo < hi").join(at("lo"), ["route_id", "lo"]).join(at("hi"), ["route_id", "hi"])
+    swept = swept.select(*keys, (k * (F.col("hi_begun") - F.col("lo_ended"))).alias("n"), (k * (F.col("hi_m") - F.col("lo_m"))).alias("counted"), (k * (F.col("hi_w") - F.col("lo_w"))).alias("traffic")).filter("n > 0")
+    rest = _meet(a.filter("lo >= hi"), b).unionByName(_meet(a.filter("lo < hi"), b.filter("a_lo >= a_hi")))
+    rest = rest.select(*keys, (k * m).alias("n"), (k * m * F.col("overlap")).alias("counted"), (k * F.col("overlap") * w).alias("traffic"))
+    return swept.unionByName(rest).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "counted", "traffic")])
+
+
 def road_stats(roads: DataFrame, counts: DataFrame, least_share: float = 0.6, least_miles: float = 0.05) -> DataFrame:
     """AGG-47: miles and vehicle-miles a day of each road.
 
@@ -32,7 +65,7 @@ def road_stats(roads: DataFrame, counts: DataFrame, least_share: float = 0.6, le
     names = own.select("full_name").distinct().groupBy("full_name").agg(F.first(normalize_road(F.col("full_name"))).alias("road"))
     own = own.join(names, "full_name").filter("road <> ''")
     miles = own.groupBy("road", "route_id").agg(F.sum(F.col("to_mi") - F.col("from_mi")).alias("miles"))
-    laps = overlap_segments(own.select("route_id", F.col("road").alias("full_name"), "from_mi", "to_mi"), counts).groupBy(F.col("full_name").alias("road"), "route_id").agg(F.sum("overlap").alias("counted"), F.sum(F.col("overlap") * F.col("aadt")).alias("traffic"))
+    laps = overlap_totals(own, counts, ("road", "route_id")).drop("n")
     rows = miles.join(laps, ["road", "route_id"], "left").withColumn("base", F.regexp_replace("route_id", r"_[^_]+_[^_]+_[^_]+$", ""))
     pair = rows.groupBy("road", "base").agg(F.max("miles").alias("miles"), F.max(F.coalesce("traffic", F.lit(0.0))).alias("traffic"), F.max(F.coalesce("counted", F.lit(0.0))).alias("counted"))
     out = pair.groupBy("road").agg(F.sum("miles").alias("miles"), F.sum("traffic").alias("traffic"), F.sum("counted").alias("counted")).filter(F.col("miles") >= least_miles)

@@ -369,7 +369,7 @@ _STATS = """, own AS (SELECT route_id, from_mi, to_mi, CASE WHEN full_name LIKE
  pr AS (SELECT road, base, max(miles) AS miles, max(coalesce(traffic, 0)) AS traffic, max(coalesce(counted, 0)) AS counted FROM mi LEFT JOIN lap USING (road, route_id) GROUP BY 1, 2), tot AS (SELECT road, sum(miles) AS miles, sum(traffic) AS traffic, sum(counted) AS counted FROM pr GROUP BY 1),
  stats AS (SELECT road, round(miles, 3) AS miles, round(CASE WHEN counted >= 0.6 * miles THEN traffic / counted * miles ELSE 0 END, 1) AS vehicle_miles FROM tot WHERE miles >= 0.05)"""
 _add("agg_47_road_stats", lambda s, d: roadstats.road_stats(*b.road_tables(s, d)), "WITH " + b.SEGMENTS + _STATS + " SELECT * FROM stats")
-_add("jn_11_overlap_segments", lambda s, d: roadstats.overlap_segments(*b.road_tables(s, d)).groupBy("route_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("overlap"), 4).alias("miles")), "WITH " + b.SEGMENTS + " SELECT s.route_id, count(*) AS n, round(sum(least(s.to_mi, c.to_mi) - greatest(s.from_mi, c.from_mi)), 4) AS miles FROM segs s JOIN counts c ON s.route_id = c.route_id AND s.from_mi < c.to_mi AND c.from_mi < s.to_mi WHERE aadt IS NOT NULL GROUP BY 1")
+_add("jn_11_overlap_segments", lambda s, d: roadstats.overlap_totals(*b.road_tables(s, d)).select("route_id", "n", F.round("counted", 4).alias("miles")), "WITH " + b.SEGMENTS + " SELECT s.route_id, count(*) AS n, round(sum(least(s.to_mi, c.to_mi) - greatest(s.from_mi, c.from_mi)), 4) AS miles FROM segs s JOIN counts c ON s.route_id = c.route_id AND s.from_mi < c.to_mi AND c.from_mi < s.to_mi WHERE aadt IS NOT NULL GROUP BY 1")
 _add("agg_26_risk_ranking", lambda s, d: insights.risk_ranking(_road_crashes(s, d), roadstats.road_stats(*b.road_tables(s, d)), 30, 10, 1.0, 1.0), W + _ROADN + ", " + b.SEGMENTS + _STATS + " SELECT road, n, miles, vehicle_miles, round(n / (vehicle_miles * 30) * 1e6, 6) AS risk FROM (SELECT road, count(*) AS n FROM r GROUP BY 1) JOIN stats USING (road) WHERE n >= 10 AND miles >= 1 AND vehicle_miles / miles >= 1")
 _add("jn_12_road_join", lambda s, d: insights.road_ranking(_road_crashes(s, d), roadstats.road_stats(*b.road_tables(s, d))), W + _ROADN + ", " + b.SEGMENTS + _STATS + " SELECT road, n, severe, severe_share, miles, vehicle_miles, CASE WHEN miles > 0 THEN round(n / miles, 6) END AS per_mile FROM (SELECT road, count(*) AS n, count(*) FILTER (sev) AS severe, round(count(*) FILTER (sev) / count(*), 6) AS severe_share FROM r GROUP BY 1) LEFT JOIN stats USING (road)")
 

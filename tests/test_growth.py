@@ -41,3 +41,15 @@ def test_snapping_leaves_the_far_network_out(spark, monkeypatch):
     rows = roadstats.snap_to_node(points, edges, nodes).collect()
     assert sorted((r.u, r.v, r.metres) for r in rows) == [(0, 1, 491.664), (199, 200, 782.443)]  # the third is 866 m away
     assert kept["edges"] < 30
+
+
+def test_overlap_totals_are_those_of_the_pairs(spark):
+    """Many, equal, touching, empty and backward segments of two routes and one without counts, against all pairs."""
+    roads = spark.range(300).select(F.when(F.col("id") % 3 == 0, "A").when(F.col("id") % 50 == 1, "C").otherwise("B").alias("route_id"), F.lit("OAK ST").alias("full_name"), (F.col("id") * 7 % 40 / 10).alias("from_mi"), ((F.col("id") * 7 % 40 + F.col("id") % 9 - 1) / 10).alias("to_mi"))
+    counts = spark.range(200).select(F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("route_id"), (F.col("id") * 11 % 30 / 5).alias("from_mi"), ((F.col("id") * 11 % 30 + F.col("id") % 6 - 1) / 5).alias("to_mi"), F.when(F.col("id") % 13 > 0, F.col("id") * 10.0).alias("aadt"))
+    pairs = roadstats.overlap_segments(roads, counts).groupBy("route_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("overlap"), 6).alias("counted"), F.round(F.sum(F.col("overlap") * F.col("aadt")), 4).alias("traffic"))
+    totals = roadstats.overlap_totals(roads, counts).select("route_id", "n", F.round("counted", 6).alias("counted"), F.round("traffic", 4).alias("traffic"))
+    want = sorted(map(tuple, pairs.collect()))
+    assert len(want) == 2 and sorted(map(tuple, totals.collect())) == want
+    stats = roadstats.road_stats(roads.withColumn("route_id", F.concat("route_id", F.lit("_1_1_010"))), counts.withColumn("route_id", F.concat("route_id", F.lit("_1_1_010"))))
+    assert "a_lo" not in stats.columns and stats.count() == 1
