@@ -60,9 +60,13 @@ def _view(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
-    """The events as a stream of their files (as a pattern, since the table may be one file)."""
-    return spark.readStream.schema(_view(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/event[s].parquet")
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of their files (as a pattern, since the table may be one file).
+
+    The files of a table are in no order of time, so they are taken together: one after another, what a later file has from
+    before the end of an earlier one would be late and be dropped.
+    """
+    return spark.readStream.schema(_view(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
 
 
 def incidents(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:

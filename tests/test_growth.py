@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from dispatchlake.operators import insights, roadstats
+from dispatchlake.plans import bindings
+from dispatchlake.streaming import stateful
 
 
 def crashes(spark, path, n=400):
@@ -53,3 +55,13 @@ def test_overlap_totals_are_those_of_the_pairs(spark):
     assert len(want) == 2 and sorted(map(tuple, totals.collect())) == want
     stats = roadstats.road_stats(roads.withColumn("route_id", F.concat("route_id", F.lit("_1_1_010"))), counts.withColumn("route_id", F.concat("route_id", F.lit("_1_1_010"))))
     assert "a_lo" not in stats.columns and stats.count() == 1
+
+
+def test_streams_of_events_take_files_whose_times_overlap(spark, tmp_path):
+    """Each file has rows from before the end of the others; none is late."""
+    rows = spark.range(30).select("id", F.timestamp_seconds(1_700_000_000 + F.col("id") * 600).cast("timestamp_ntz").alias("ts"))
+    for k in range(3):
+        rows.filter(F.col("id") % 3 == k).select(F.col("id").alias("event_id"), "ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    stream = bindings.listings(spark, str(tmp_path), bindings.event_stream(spark, str(tmp_path)))
+    out = stateful.drain(stateful.presence(stream), f"{tmp_path}/out", f"{tmp_path}/check")
+    assert out.filter("event = 'appeared'").count() == 30
