@@ -261,6 +261,8 @@ def route_alert_stream(checks: DataFrame, routes: DataFrame, lead_min: int = 20,
     rows = checks.withColumn("__at", F.col("at").cast("timestamp")).withWatermark("__at", delay).join(plan, "route_id")
     day = F.datediff(local, F.lit("1970-01-01"))
     rows = rows.select("route_id", "__at", _us("at").alias("at"), day.cast("long").alias("day"), F.unix_micros(F.date_trunc("DAY", "__at")).alias("midnight"), (F.hour(local) * 60 + F.minute(local)).alias("minute"), F.col("depart_minutes").alias("depart"), F.array_contains("day_numbers", F.weekday(local)).alias("runs"), F.col("found"))
+    # only what may be sent on goes to the processor: checks from the departure window to the end of the longest watch
+    rows = rows.filter(F.col("runs") & F.col("minute").between(F.col("depart") - lead_min, F.col("depart") + followup_min))
     kind = "route_id int, at long, kind string, ids array<string>"
     out = rows.groupBy("route_id").transformWithState(RouteWatch(lead_min, followup_min, most), kind, "append", "eventTime")
     return out.select("route_id", _moment("at"), "kind", "ids")

@@ -65,3 +65,15 @@ def test_streams_of_events_take_files_whose_times_overlap(spark, tmp_path):
     stream = bindings.listings(spark, str(tmp_path), bindings.event_stream(spark, str(tmp_path)))
     out = stateful.drain(stateful.presence(stream), f"{tmp_path}/out", f"{tmp_path}/check")
     assert out.filter("event = 'appeared'").count() == 30
+
+
+def test_only_checks_that_may_be_sent_reach_the_route_watch(spark, tmp_path):
+    """Of a day of checks every minute, those of the departure window and the watch after it."""
+    found = F.array(F.struct(F.array(F.concat(F.lit("I"), F.col("id"))).alias("ids"), F.lit("active").alias("status")))
+    checks = spark.range(1440).select(F.lit(1).alias("route_id"), F.timestamp_seconds(1_704_067_200 + F.col("id") * 60).cast("timestamp_ntz").alias("at"), found.alias("found"))
+    checks.write.parquet(f"{tmp_path}/checks")
+    plan = spark.createDataFrame([(1, [0, 1, 2, 3, 4, 5, 6], 600)], "route_id int, day_numbers array<int>, depart_minutes int")
+    out = stateful.route_alert_stream(spark.readStream.schema(checks.schema).parquet(f"{tmp_path}/checks"), plan)
+    assert "Filter (runs" in out._jdf.queryExecution().analyzed().toString()
+    rows = stateful.drain(out, f"{tmp_path}/out", f"{tmp_path}/check").orderBy("at").collect()
+    assert [(r.kind, r.ids) for r in rows] == [("departure", ["I580"]), ("follow-up", ["I581"]), ("follow-up", ["I582"]), ("follow-up", ["I583"])]
