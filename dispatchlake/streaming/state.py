@@ -191,12 +191,18 @@ def weather_log(spark: SparkSession, path: str) -> VersionedTable:
     return VersionedTable(spark, path, OBSERVATION, ["obs_ts", "source"], "month")
 
 
+MONTH_ROWS = 1 << 19  # observations of a month that one task writes, or about
+
+
 def _settled(have: DataFrame, new: DataFrame) -> DataFrame:
     """Observations of some months, each once; live ones only of hours that the archive doesn't have."""
     rows = have.unionByName(new.select(*have.columns)).distinct().withColumn("hour", F.date_trunc("HOUR", "obs_ts"))
     archived = rows.filter("source = 'archive'").select("hour").distinct()
     live = rows.filter("source <> 'archive'").join(archived, "hour", "left_anti")
-    return rows.filter("source = 'archive'").unionByName(live).drop("hour").repartition("month")
+    # by month, so that there are few files; a month of more than MONTH_ROWS rows goes to several tasks
+    months = have.select("month").unionAll(new.select("month")).groupBy("month").count().agg(F.max("count").alias("most"), F.sum("count").alias("total")).first()
+    spread, tasks = -(-months["most"] // MONTH_ROWS), max(-(-months["total"] // MONTH_ROWS), int(have.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.filter("source = 'archive'").unionByName(live).drop("hour").repartition(tasks, "month", F.pmod(F.xxhash64("obs_ts"), F.lit(spread)))
 
 
 def weather_stream(log: VersionedTable, vacuum_every: int = 16) -> Each:
