@@ -77,19 +77,22 @@ _add("str_09_route_alert_stream", _alerts, W + f""", f AS (SELECT CAST(user_id %
  SELECT route_id, {_dts('tm', 'at')}, 'departure' AS kind, array_to_string(fresh, ',') AS ids FROM k0""" + "".join(f" UNION ALL SELECT route_id, {_dts('tm', 'at')}, 'follow-up', array_to_string(fresh, ',') FROM k{n}" for n in (1, 2, 3)))
 
 
-# ---- the archive: four files of listings told by day and cause, then the same ids once more under other keys
+def _fed(s: SparkSession, parts: list[DataFrame], each: Callable[[DataFrame, int], None]) -> None:
+    """Gives parts to a job one after another, each as one batch of the files that its tasks wrote."""
+    path, check = scratch(s, "parts"), scratch(s, "check")
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        s.readStream.schema(part.schema).parquet(path).writeStream.foreachBatch(each).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+
+
+# ---- the archive: four parts of the listings told by day and cause, then the same ids once more under other keys
 def _archived(s: SparkSession, d: str) -> DataFrame:
     inc = stored(b.incidents(s, d).select("event_id", "incident_number", "location", "cause", F.date_format("created_at", "yyyy-MM-dd").alias("reported"), F.col("event_id").alias("pos")), "listings")
     last = inc.agg(F.max("event_id").alias("last"))
     rows = inc.join(F.broadcast(last)).withColumn("quarter", F.least(F.floor(F.col("event_id") * 4 / (F.col("last") + 1)), F.lit(3))).drop("last")  # one row
-    path = scratch(s, "sweeps")
-    for k in range(4):
-        rows.filter(F.col("quarter") == k).drop("quarter").coalesce(1).write.mode("append").parquet(path)
-    inc.withColumn("reported", F.concat("reported", F.lit(" again"))).coalesce(1).write.mode("append").parquet(path)
+    parts = [rows.filter(F.col("quarter") == k).drop("quarter") for k in range(4)] + [inc.withColumn("reported", F.concat("reported", F.lit(" again")))]
     table = archive.Archive(s, scratch(s, "archive"), inc.schema, fan=2)
-    stream = s.readStream.schema(inc.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    q = stream.writeStream.foreachBatch(archive.archive_stream(table)).option("checkpointLocation", scratch(s, "check")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    _fed(s, parts, archive.archive_stream(table))
     return table.read().select("incident_number", "reported", "content_key")
 
 
@@ -138,14 +141,11 @@ _add("str_06_session_stream", _sessions, W + "," + _EP.replace("TS", "reported_t
 
 
 def _weather(s: SparkSession, d: str) -> DataFrame:
-    """Live observations as one file, then those of the archive and the live ones once more as a second."""
+    """Live observations as one batch, then those of the archive and the live ones once more as a second."""
     source = F.when(F.col("l_orderkey") % 3 == 0, "archive").otherwise("live")
     log = stored(b.weather_obs(s, d).select("obs_ts", "temp_f", "precip_in", "visibility_mi", "wind_mph", "wx", source.alias("source")), "observations")
-    path, table = scratch(s, "weather"), state.weather_log(s, scratch(s, "weather_log"))
-    for part in (log.filter("source = 'live'"), log):
-        part.coalesce(1).write.mode("append").parquet(path)
-    q = s.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path).writeStream.foreachBatch(state.weather_stream(table)).option("checkpointLocation", scratch(s, "check")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    table = state.weather_log(s, scratch(s, "weather_log"))
+    _fed(s, [log.filter("source = 'live'"), log], state.weather_stream(table))
     out = state.resolve_hours(table.read())
     return out.select(_ts("hour"), F.round("precip_in", 6).alias("precip_in"), "visibility_mi", F.round("wind_mph", 6).alias("wind_mph"), "wx", "archived")
 

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from dispatchlake.operators import insights, roadstats
-from dispatchlake.plans import bindings
-from dispatchlake.streaming import stateful
+from dispatchlake.plans import bindings, catalog_streams
+from dispatchlake.streaming import state, stateful
 
 
 def crashes(spark, path, n=400):
@@ -77,3 +77,20 @@ def test_only_checks_that_may_be_sent_reach_the_route_watch(spark, tmp_path):
     assert "Filter (runs" in out._jdf.queryExecution().analyzed().toString()
     rows = stateful.drain(out, f"{tmp_path}/out", f"{tmp_path}/check").orderBy("at").collect()
     assert [(r.kind, r.ids) for r in rows] == [("departure", ["I580"]), ("follow-up", ["I581"]), ("follow-up", ["I582"]), ("follow-up", ["I583"])]
+
+
+def test_a_large_month_of_the_weather_log_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "MONTH_ROWS", 1000, raising=False)
+    rows = spark.range(20000).select(F.timestamp_seconds(1_704_067_200 + F.col("id") * 60).cast("timestamp_ntz").alias("obs_ts"), *[F.rand(1).alias(c) for c in ("temp_f", "precip_in", "visibility_mi", "wind_mph")], F.lit("").alias("wx"), F.lit("live").alias("source"))
+    table = state.weather_log(spark, f"{tmp_path}/log")
+    for n in range(2):
+        state.weather_stream(table)(rows, n)
+    assert table.read().count() == 20000 and len(table.read(["2024-01"]).inputFiles()) > 4
+
+
+def test_parts_are_fed_in_files_of_their_tasks(spark):
+    """Each part is one batch, in its order, whatever number of files it has."""
+    seen = []
+    parts = [spark.range(k * 100, k * 100 + 100, 1, 3) for k in range(3)]
+    catalog_streams._fed(spark, parts, lambda batch, n: seen.append((n, batch.count(), batch.agg(F.min("id")).first()[0])))
+    assert seen == [(0, 100, 0), (1, 100, 100), (2, 100, 200)]
