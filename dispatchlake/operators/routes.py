@@ -103,18 +103,15 @@ def routes_from_fields(slots: DataFrame) -> DataFrame:
     return slots.select("route_id", F.when(f("NAME") != "", F.trim(f("NAME"))).otherwise(F.concat(F.lit("Route "), F.col("route_id").cast("string"))).alias("name"), F.transform(points, lambda p: F.struct(p[0].alias("lat"), p[1].alias("lng"))).alias("path"), F.array_distinct(F.flatten(F.transform(labels, corridors))).alias("corridors"), F.greatest(F.lit(50), F.least(F.lit(2000), radius)).alias("radius_m"), F.when(f("DAYS") != "", f("DAYS")).otherwise("mon-fri").alias("days"), f("DEPART").alias("depart"))
 
 
-def route_incidents(inc: DataFrame, routes: DataFrame, last_sweep: str | None, now: str, window_min: int = 90, max_hours: int = 12, radius: float = 150.0, wide: float = 400.0, fold_min: int = 0) -> DataFrame:
-    """AGG-49: every candidate near a route or on one of its roads, with status, match, verdict and reason.
+#: Paths times incidents that a task measures, and rows that a task makes of shapes and incidents, about.
+PAIRS_OF_TASK, ROWS_OF_TASK = 50_000, 1_000_000
 
-    ``inc`` has reported_ts (without one, first_seen_at and created_at count), corridors, severity. A candidate was
-    reported within ``window_min`` or is still listed within ``max_hours``. Status: active, cleared (left the feed) or
-    unknown. With ``last_sweep`` it comes from in_feed, and is unknown when that sweep is older than 20 minutes; without
-    it (replay) from first_seen_at and last_seen_at, with six minutes of slack. Within ``fold_min`` minutes the listings
-    of one place are one incident: the others get the verdict ``merged``, and ``ids`` names them all.
 
-    Matches: path (within the route's radius_m or ``radius``, or ``wide``, at least twice the radius, if its road is on
-    the route), road (no path on the route), approximate (no position but the road). The verdict is alert, cleared,
-    skipped or merged.
+def _met(inc: DataFrame, routes: DataFrame, last_sweep: str | None, now: str, window_min: int, max_hours: int, radius: float, wide: float, fold_min: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``route_incidents`` says, for each kind of routes: (found, with the column kind; route_id and kind; listings).
+
+    Routes of one path and the same roads have a shape in common; incidents are met with shapes only. Routes of one shape
+    and radius are of one kind, and every route of a kind has the same rows.
     """
     t = F.lit(now).cast("timestamp_ntz")
     late = [c for c in ("reported_ts", "first_seen_at", "created_at") if c in inc.columns]
@@ -142,45 +139,94 @@ def route_incidents(inc: DataFrame, routes: DataFrame, last_sweep: str | None, n
     rows = stored(rows.select("incident_number", F.concat(F.array("incident_number"), F.coalesce("more", F.array().cast("array<string>"))).alias("ids"), F.coalesce("merged", F.lit(False)).alias("merged"), "status", "age", "severity", "latitude", "longitude", "corridors"), "incidents")
     alone = rows.filter("NOT merged")
     own = F.coalesce(F.col("radius_m").cast("double"), F.lit(radius)) if "radius_m" in routes.columns else F.lit(radius)
-    plan = routes.select("route_id", own.alias("radius"), (F.coalesce(F.size("path"), F.lit(0)) >= 2).alias("has_path"), "path", "corridors")
-    widest = plan.agg(F.max("radius")).first()[0] or radius
-    near = near_path(alone, plan.filter("has_path"), max(3 * wide, 3 * widest)).select("route_id", "incident_number", "metres", "along")
-    named = on_route_roads(alone, plan).withColumn("named", F.lit(True))
+    plan = routes.select("route_id", own.alias("radius"), F.when(F.size("path") >= 2, F.col("path")).alias("path"), "corridors")
+    shapes = stored(plan.groupBy("path", "corridors").agg(F.count(F.lit(1)).alias("n")).withColumn("shape", F.monotonically_increasing_id()), "shapes")
+    same = F.col("r.path").eqNullSafe(F.col("s.path")) & F.col("r.corridors").eqNullSafe(F.col("s.corridors"))
+    of_shape = plan.alias("r").join(shapes.alias("s"), same).select("route_id", "shape", "radius")
+    kinds = stored(of_shape.groupBy("shape", "radius").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    members = stored(of_shape.join(kinds, ["shape", "radius"]).select("route_id", "kind"), "members")
+    widest = kinds.agg(F.max("radius")).first()[0] or radius
+    shaped = shapes.select(F.col("shape").alias("route_id"), "path", "corridors")
+    paths = stored(shaped.filter("path IS NOT NULL").groupBy("path").agg(F.count(F.lit(1)).alias("n")).withColumn("path_id", F.monotonically_increasing_id()), "paths")
+    alone = alone.repartition(1 + alone.count() * paths.count() // PAIRS_OF_TASK)
+    near = near_path(alone, paths.select(F.col("path_id").alias("route_id"), "path"), max(3 * wide, 3 * widest)).withColumnRenamed("route_id", "path_id")
+    near = near.join(shaped.join(paths, "path").select("path_id", "route_id"), "path_id").select("route_id", "incident_number", "metres", "along")
+    named = on_route_roads(alone, shaped).withColumn("named", F.lit(True))
     met = near.unionByName(named, allowMissingColumns=True).groupBy("route_id", "incident_number").agg(F.max("metres").alias("metres"), F.max("along").alias("along"), F.max("named").alias("named"))
-    met = met.join(alone.select("incident_number", "ids", "status", "age", "severity", F.col("latitude").isNotNull().alias("located")), "incident_number").join(plan.drop("path", "corridors"), "route_id")
+    met = stored(met, "met")
+    total = met.groupBy("route_id").count().join(shapes.select(F.col("shape").alias("route_id"), "n"), "route_id").agg(F.sum(F.col("count") * F.col("n"))).first()[0] or 0
+    met = met.repartition(1 + total // ROWS_OF_TASK).withColumnRenamed("route_id", "shape")  # each row becomes one for each route of its shape
+    met = met.join(alone.select("incident_number", "ids", "status", "age", "severity", F.col("latitude").isNotNull().alias("located")), "incident_number")
+    met = met.join(kinds.drop("n").join(shapes.select("shape", F.col("path").isNotNull().alias("has_path")), "shape"), "shape")
     on = F.coalesce("named", F.lit(False))
     side = on & (F.col("metres") <= F.greatest(F.lit(wide), 2 * F.col("radius")))
     match = F.when((F.col("metres") <= F.col("radius")) | side, "path").when(on & ~F.col("has_path"), "road").when(on & ~F.col("located"), "approximate")
     met = met.withColumn("match", match).filter(F.col("match").isNotNull() | on | (F.col("metres") <= F.greatest(F.lit(wide * 3), 3 * F.col("radius"))))
     verdict = F.when(F.col("match").isNull(), "skipped").when(F.col("status") == "cleared", "cleared").otherwise("alert")
     reason = F.when(F.col("match").isNotNull(), "on route").when(F.col("metres").isNotNull(), "too far").otherwise("elsewhere on the road")
-    out = met.select("route_id", "incident_number", "status", "match", verdict.alias("verdict"), reason.alias("reason"), "metres", "along", "age", "severity", "ids")
+    return met.select("kind", "incident_number", "status", "match", verdict.alias("verdict"), reason.alias("reason"), "metres", "along", "age", "severity", "ids"), members, rows
+
+
+def route_incidents(inc: DataFrame, routes: DataFrame, last_sweep: str | None, now: str, window_min: int = 90, max_hours: int = 12, radius: float = 150.0, wide: float = 400.0, fold_min: int = 0) -> DataFrame:
+    """AGG-49: every candidate near a route or on one of its roads, with status, match, verdict and reason.
+
+    ``inc`` has reported_ts (without one, first_seen_at and created_at count), corridors, severity. A candidate was
+    reported within ``window_min`` or is still listed within ``max_hours``. Status: active, cleared (left the feed) or
+    unknown. With ``last_sweep`` it comes from in_feed, and is unknown when that sweep is older than 20 minutes; without
+    it (replay) from first_seen_at and last_seen_at, with six minutes of slack. Within ``fold_min`` minutes the listings
+    of one place are one incident: the others get the verdict ``merged``, and ``ids`` names them all.
+
+    Matches: path (within the route's radius_m or ``radius``, or ``wide``, at least twice the radius, if its road is on
+    the route), road (no path on the route), approximate (no position but the road). The verdict is alert, cleared,
+    skipped or merged. Rows are in no order; ``in_route_order`` gives that of a list.
+    """
+    found, members, rows = _met(inc, routes, last_sweep, now, window_min, max_hours, radius, wide, fold_min)
+    columns = [c for c in found.columns if c != "kind"]
+    out = found.join(members, "kind").select("route_id", *columns)
     if fold_min:
         none = [F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns]
         given = {"incident_number": F.col("incident_number"), "verdict": F.lit("merged").alias("verdict"), "reason": F.lit("another listing of an incident").alias("reason")}
         out = out.unionByName(rows.filter("merged").select(*[given.get(c, n) for c, n in zip(out.columns, none, strict=True)]))
-    return out.orderBy("route_id", F.col("status") == "cleared", F.desc("severity"), "age", "incident_number")
+    return out
 
 
-def route_state(found: DataFrame) -> DataFrame:
-    """AGG-54: alert, unverified or clear, with counts, of each route."""
+def in_route_order(found: DataFrame) -> DataFrame:
+    """AGG-49: by route, what isn't cleared first, then the most severe and the latest."""
+    return found.orderBy("route_id", F.col("status") == "cleared", F.desc("severity"), "age", "incident_number")
+
+
+def _states(found: DataFrame, key: str) -> DataFrame:
     on = F.col("match").isNotNull()
-    out = found.filter("route_id IS NOT NULL").groupBy("route_id").agg(F.count_if(on & (F.col("status") == "active")).alias("active"), F.count_if(on & (F.col("status") == "cleared")).alias("cleared"), F.count_if(F.col("match") == "approximate").alias("approximate"), F.count_if(on & (F.col("status") == "unknown")).alias("unknown"))
+    out = found.groupBy(key).agg(F.count_if(on & (F.col("status") == "active")).alias("active"), F.count_if(on & (F.col("status") == "cleared")).alias("cleared"), F.count_if(F.col("match") == "approximate").alias("approximate"), F.count_if(on & (F.col("status") == "unknown")).alias("unknown"))
     return out.withColumn("state", F.when(F.col("active") > 0, "alert").when(F.col("unknown") > 0, "unverified").otherwise("clear"))
 
 
+def route_state(found: DataFrame) -> DataFrame:
+    """AGG-54: alert, unverified or clear, with counts, of each route."""
+    return _states(found.filter("route_id IS NOT NULL"), "route_id")
+
+
+def route_states(inc: DataFrame, routes: DataFrame, last_sweep: str | None, now: str, window_min: int = 90, max_hours: int = 12, radius: float = 150.0, wide: float = 400.0, fold_min: int = 0) -> DataFrame:
+    """AGG-54: ``route_state`` of ``route_incidents``, counted once for all routes of the same path, roads and radius."""
+    found, members, _ = _met(inc, routes, last_sweep, now, window_min, max_hours, radius, wide, fold_min)
+    states = _states(found, "kind")
+    return members.filter("route_id IS NOT NULL").join(states, "kind").select("route_id", *[c for c in states.columns if c != "kind"])
+
+
 def near_misses(found: DataFrame, radius: float = 150.0) -> DataFrame:
     """AGG-55: candidates off the route but within three times the radius."""
     return found.filter(F.col("match").isNull() & (F.col("metres") <= 3 * radius))
 
 
-def route_replay(inc: DataFrame, routes: DataFrame, at: str, lead_min: int = 20, radius: float = 150.0, **how) -> DataFrame:
+def route_replay(inc: DataFrame, routes: DataFrame, at: str, lead_min: int = 20, radius: float = 150.0, window_min: int = 90, max_hours: int = 12, wide: float = 400.0, fold_min: int = 0) -> DataFrame:
     """AGG-55: one row for each route as it would have been at a moment: whether its day is one of the route's
     (``routes`` has day_numbers and depart_minutes), when the alert would go out, incidents and cleared ones, and up to
-    three near misses (nearest first)."""
-    found = route_incidents(inc, routes, None, at, radius=radius, **how)
-    missed = F.slice(F.sort_array(F.collect_list(F.when(F.col("match").isNull() & (F.col("metres") <= 3 * radius), F.struct("metres", "incident_number")))), 1, 3)  # near one route at one moment
-    counts = found.filter("route_id IS NOT NULL").groupBy("route_id").agg(F.count_if(F.col("verdict") == "alert").alias("incidents"), F.count_if(F.col("verdict") == "cleared").alias("cleared"), missed.alias("near"))
+    three near misses (nearest first). Routes of the same path, roads and radius are counted once."""
+    found, members, _ = _met(inc, routes, None, at, window_min, max_hours, radius, wide, fold_min)
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("metres", "incident_number"))
+    missed = near_misses(found, radius).withColumn("place", place).filter("place <= 3").groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("place", "incident_number"))).alias("near"))  # at most three
+    counts = found.groupBy("kind").agg(F.count_if(F.col("verdict") == "alert").alias("incidents"), F.count_if(F.col("verdict") == "cleared").alias("cleared")).join(missed, "kind", "left")
+    counts = members.join(counts, "kind").drop("kind")
     out = routes.select("route_id", F.array_contains("day_numbers", F.weekday(F.lit(at).cast("timestamp_ntz"))).alias("scheduled"), F.greatest(F.lit(0), F.col("depart_minutes") - lead_min).alias("send_minutes")).join(counts, "route_id", "left")
     none = F.array().cast("array<string>")
     return out.select("route_id", "scheduled", "send_minutes", F.coalesce("incidents", F.lit(0)).alias("incidents"), F.coalesce("cleared", F.lit(0)).alias("cleared"), F.coalesce(F.col("near.incident_number"), none).alias("near_misses"))

@@ -141,7 +141,7 @@ _CAND = f""", cand AS (SELECT *, CASE WHEN last_seen_at >= TIMESTAMP '{AT}' - IN
  m AS (SELECT *, round(sqrt(pow((longitude + 92.05) * cos(radians(latitude)), 2) + pow(greatest(30.16 - latitude, latitude - 30.22, 0), 2)) * 111320.0, 3) AS metres, list_contains(corridors, 'KALISTE SALOOM RD') AS named FROM alive),
  v AS (SELECT incident_number, st AS status, age, CASE WHEN metres <= 150 OR named AND metres <= 400 THEN 'path' WHEN named AND latitude IS NULL THEN 'approximate' END AS match, metres, named FROM m),
  f AS (SELECT incident_number, status, match, metres, CASE WHEN match IS NULL THEN 'skipped' WHEN status = 'cleared' THEN 'cleared' ELSE 'alert' END AS verdict FROM v WHERE match IS NOT NULL OR named OR metres <= 1200)"""
-_add("agg_49_route_incidents", lambda s, d: routes.route_incidents(_incidents_now(s, d), _plan(s), None, AT, **_HOW).select("incident_number", "status", "match", "verdict"), W + _CAND + " SELECT incident_number, status, match, verdict FROM f UNION ALL SELECT incident_number, NULL, NULL, 'merged' FROM ranked WHERE rk > 1")
+_add("agg_49_route_incidents", lambda s, d: routes.in_route_order(routes.route_incidents(_incidents_now(s, d), _plan(s), None, AT, **_HOW)).select("incident_number", "status", "match", "verdict"), W + _CAND + " SELECT incident_number, status, match, verdict FROM f UNION ALL SELECT incident_number, NULL, NULL, 'merged' FROM ranked WHERE rk > 1")
 _add("agg_54_route_state", lambda s, d: routes.route_state(routes.route_incidents(_incidents_now(s, d), _plan(s), None, AT, **_HOW)), W + _CAND + " SELECT 1 AS route_id, count(*) FILTER (match IS NOT NULL AND status = 'active') AS active, count(*) FILTER (match IS NOT NULL AND status = 'cleared') AS cleared, count(*) FILTER (match = 'approximate') AS approximate, count(*) FILTER (match IS NOT NULL AND status = 'unknown') AS unknown, CASE WHEN count(*) FILTER (match IS NOT NULL AND status = 'active') > 0 THEN 'alert' WHEN count(*) FILTER (match IS NOT NULL AND status = 'unknown') > 0 THEN 'unverified' ELSE 'clear' END AS state FROM f")
 _add("agg_55_route_replay", lambda s, d: routes.route_replay(_incidents_now(s, d), _plan(s), AT, **_HOW).withColumn("near_misses", F.array_join("near_misses", ",")), W + _CAND + " SELECT 1 AS route_id, true AS scheduled, CAST(705 AS INTEGER) AS send_minutes, count(*) FILTER (verdict = 'alert') AS incidents, count(*) FILTER (verdict = 'cleared') AS cleared, (SELECT coalesce(string_agg(incident_number, ',' ORDER BY metres, incident_number), '') FROM (SELECT * FROM f WHERE match IS NULL AND metres <= 450 ORDER BY metres, incident_number LIMIT 3)) AS near_misses FROM f")
 _SLOT_ROADS = ["AMBASSADOR CAFFERY PKWY", "JOHNSTON ST", "PINHOOK RD", "KALISTE SALOOM RD", "EVANGELINE THRUWAY", "I-10", "US 90", "E BROUSSARD RD"]
@@ -161,7 +161,7 @@ _MANY = _CAND[: _CAND.index(",\n m AS")] + ", rt AS (SELECT CAST(s_suppkey AS IN
  v AS (SELECT *, CASE WHEN metres <= radius OR named AND metres <= greatest(400, 2 * radius) THEN 'path' WHEN named AND NOT has_path THEN 'road' WHEN named AND latitude IS NULL THEN 'approximate' END AS match FROM m),
  f AS (SELECT *, CASE WHEN match IS NULL THEN 'skipped' WHEN status = 'cleared' THEN 'cleared' ELSE 'alert' END AS verdict FROM v WHERE match IS NOT NULL OR named OR metres <= greatest(1200, 3 * radius))"""
 _add("agg_49_many_routes", lambda s, d: routes.route_incidents(_incidents_now(s, d), _many(s, d), None, AT, **_HOW).select("route_id", "incident_number", "status", "match", "verdict"), W + _MANY + " SELECT route_id, incident_number, status, match, verdict FROM f UNION ALL SELECT NULL, incident_number, NULL, NULL, 'merged' FROM ranked WHERE rk > 1")
-_add("agg_54_many_routes", lambda s, d: routes.route_state(routes.route_incidents(_incidents_now(s, d), _many(s, d), None, AT, **_HOW)), W + _MANY + " SELECT route_id, count(*) FILTER (match IS NOT NULL AND status = 'active') AS active, count(*) FILTER (match IS NOT NULL AND status = 'cleared') AS cleared, count(*) FILTER (match = 'approximate') AS approximate, count(*) FILTER (match IS NOT NULL AND status = 'unknown') AS unknown, CASE WHEN count(*) FILTER (match IS NOT NULL AND status = 'active') > 0 THEN 'alert' WHEN count(*) FILTER (match IS NOT NULL AND status = 'unknown') > 0 THEN 'unverified' ELSE 'clear' END AS state FROM f GROUP BY 1")
+_add("agg_54_many_routes", lambda s, d: routes.route_states(_incidents_now(s, d), _many(s, d), None, AT, **_HOW), W + _MANY + " SELECT route_id, count(*) FILTER (match IS NOT NULL AND status = 'active') AS active, count(*) FILTER (match IS NOT NULL AND status = 'cleared') AS cleared, count(*) FILTER (match = 'approximate') AS approximate, count(*) FILTER (match IS NOT NULL AND status = 'unknown') AS unknown, CASE WHEN count(*) FILTER (match IS NOT NULL AND status = 'active') > 0 THEN 'alert' WHEN count(*) FILTER (match IS NOT NULL AND status = 'unknown') > 0 THEN 'unverified' ELSE 'clear' END AS state FROM f GROUP BY 1")
 _add("agg_55_many_routes", lambda s, d: routes.route_replay(_incidents_now(s, d), _many(s, d), AT, **_HOW).withColumn("near_misses", F.array_join("near_misses", ",")), W + _MANY + ", nm AS (SELECT route_id, string_agg(incident_number, ',' ORDER BY metres, incident_number) AS near_misses FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY metres, incident_number) AS k FROM f WHERE match IS NULL AND metres <= 450) WHERE k <= 3 GROUP BY 1) SELECT rt.route_id, false AS scheduled, CAST(greatest(0, depart - 20) AS INTEGER) AS send_minutes, count(*) FILTER (verdict = 'alert') AS incidents, count(*) FILTER (verdict = 'cleared') AS cleared, coalesce(any_value(near_misses), '') AS near_misses FROM rt LEFT JOIN f ON f.route_id = rt.route_id LEFT JOIN nm ON nm.route_id = rt.route_id GROUP BY rt.route_id, depart")
 _add("jn_14_on_route_roads", lambda s, d: routes.on_route_roads(_roads(s, d), _plan(s)), W + "SELECT 1 AS route_id, incident_number FROM inc WHERE list_contains(corridors, 'KALISTE SALOOM RD')")
 
