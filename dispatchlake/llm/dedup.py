@@ -114,21 +114,32 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps until a round changes nothing, which happens after some log^2 rounds.
     Neighbours are reduced by min() and joined back apart for hubs, so the edges of one hub are never gathered in one
-    task. Every round is written to the shared folder.
+    task. Every step is written to the shared folder, so no plan holds more than one.
     """
     now = C.store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     state, seen = _state(now), None
     while state != seen:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = C.join_keyed(both, low, ["a"], 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = _join(both, low, ["a"], 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = C.store(large, "large")  # it is read three times below
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = C.join_keyed(large, low, ["a"], 2 * state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        small = _join(large, low, ["a"], 2 * state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
         now, seen = C.store(small, "edges"), state
         state = _state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _join(left: DataFrame, right: DataFrame, on: list[str], total: int, count: str = "n", how: str = "inner") -> DataFrame:
+    """``C.join_keyed`` with ``right`` written first: it is read several times there, and the plans joined here would double
+    at every step. Without hot keys it is one join."""
+    right = C.store(right, "keys")
+    if not right.filter(F.col(count) > C.hot_rows(total)).isEmpty():
+        return C.join_keyed(left, right, on, total, count, how)
+    more = [c for c in right.columns if c not in (*on, count)] if how != "left_semi" else []
+    return left.join(right.drop(count), on, how).select(*left.columns, *more)
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -150,8 +161,8 @@ def near_duplicates(docs: DataFrame, min_percent: int = 80, min_matches: int = M
     # The smallest document of each component, by way of its classes.
     named = classes.select("cid", "fp", "low", "copies").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     names = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    named = C.join_keyed(named, names, ["root"], C.rows_of(classes)).select("fp", "component_id", "copies")
-    out = C.join_keyed(sketches.select("doc_id", "n_shingles", "fp"), named, ["fp"], C.rows_of(sketches), "copies", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    named = _join(named, names, ["root"], C.rows_of(classes)).select("fp", "component_id", "copies")
+    out = _join(sketches.select("doc_id", "n_shingles", "fp"), named, ["fp"], C.rows_of(sketches), "copies", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
@@ -159,13 +170,13 @@ def _link(texts: DataFrame, sketches: DataFrame, classes: DataFrame, min_percent
     total = COORDINATES * C.rows_of(classes)
     posts = classes.select("cid", F.explode("sig").alias("key"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    mine = C.join_keyed(posts, shared.withColumn("n", F.col("df")), ["key"], total).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))  # at most one entry per coordinate
+    mine = _join(posts, shared.withColumn("n", F.col("df")), ["key"], total).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))  # at most one entry per coordinate
     mine = mine.filter(F.size("own") >= min_matches)
     mine = mine.withColumn("weight", F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + x["df"]))
     lists = C.store(mine.select("cid", "weight", F.explode(F.expr(f"slice(own, 1, size(own) - {min_matches} + 1)")).alias("p")).select("cid", "weight", F.col("p.key").alias("key")), "prefixes")
     # The pivot is the class whose coordinates are the most common ones: in a group of near copies that is its centre.
     stars = lists.groupBy("key").agg(F.max(F.struct("weight", (-F.col("cid")).alias("no"))).alias("p"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "n", (-F.col("p.no")).alias("pivot"))
-    pairs = C.join_keyed(lists, stars, ["key"], total).filter("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
+    pairs = _join(lists, stars, ["key"], total).filter("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
     active = lists.select("cid").distinct()
     sigs = C.store(classes.join(active, "cid", "left_semi").select("cid", "low", "sig", "fp"), "active")
     # One text of each active class: the row whose id is the class's smallest and whose set is the class's.
@@ -178,7 +189,7 @@ def _link(texts: DataFrame, sketches: DataFrame, classes: DataFrame, min_percent
     comp = connected_components(edges)
     labelled = lists.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     split = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 < r1").select("key", "n")
-    live = C.store(C.join_keyed(labelled, split, ["key"], total, how="left_semi").select("cid", "root").distinct(), "live")
+    live = C.store(_join(labelled, split, ["key"], total, how="left_semi").select("cid", "root").distinct(), "live")
     if live.isEmpty():
         return comp
     more = _confirm(_across(bodies.join(live, "cid"), min_percent, width), None, bodies, min_percent, min_matches, width)
