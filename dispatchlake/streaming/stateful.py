@@ -1,6 +1,7 @@
 """Streaming jobs on Spark's keyed state: value state in the state store, event-time timers, time-to-live.
 
-Each job's work follows the rows of its batch and the timers that are due; the other keys of the state aren't touched.
+Each job's work follows the rows of its batch and the timers that are due; the other keys of the state aren't touched
+(keys are incidents, addresses or routes, in the agency log buckets of incidents).
 State is kept and restored with the query's checkpoint, so a restart goes on where the last batch ended, and no row counts
 twice. Moments are microseconds (long) inside the processors, so a worker's time zone doesn't matter.
 
@@ -11,7 +12,9 @@ moment seen is later than theirs by ``delay``.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -109,43 +112,76 @@ def negative_cache(tries: DataFrame, days: int = 7, delay: str = "0 seconds", cl
 
 # ---------------------------------------------------------------- STR-04
 
+BUCKETS = 1 << 14  # of incidents; some 2,000 in each at 36 million
+
+
 class AgencyLog(_Timed):
-    """Agencies named for one incident so far; one that a later sweep adds is a change."""
+    """Agencies named so far for the incidents of one bucket; one that a later sweep adds to an incident is a change.
+
+    The timer ends the incidents that are over, at most once a day, so one may be kept for a day after its time.
+    """
 
-    schema = "begin long, last long, agencies array<string>"
+    schema = "due long, incidents array<string>, begin array<long>, last array<long>, agencies array<int>"
 
     def __init__(self, keep: int):
         self.keep = keep
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        old = self.state.get() if self.state.exists() else None
-        begin, last, known = (old[0], old[1], list(old[2])) if old else (None, None, [])
-        for r in sorted(rows, key=lambda r: r.at):
-            if last is not None and r.at > last + self.keep:  # its timer may not have fired yet
-                begin, known = None, []
-            begin, last = r.at if begin is None else begin, r.at if last is None else max(last, r.at)
-            for name in r.named:
-                if name not in known:
-                    known.append(name)
-                    if r.at > begin:
-                        yield Row(incident_number=key[0], agency=name, changed_at=r.at)
-        self._wake(old[1] + self.keep if old else None, last + self.keep)
-        self.state.update((begin, last, known))
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        self.state.clear()
+    def _load(self) -> tuple[int | None, dict]:
+        due, *columns = self.state.get() or (None, [], [], [], [])
+        return due, {number: seen for number, *seen in zip(*columns, strict=True)}
+
+    def _save(self, old_due: int | None, seen: dict) -> None:
+        due = (min(last for _, last, _ in seen.values()) + self.keep) // DAY * DAY + DAY
+        self._wake(old_due, due)
+        self.state.update((due, list(seen), *map(list, zip(*seen.values(), strict=True))))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        sweeps: dict = {}
+        for pdf in rows:
+            for number, at, named in zip(pdf["incident_number"].tolist(), pdf["at"].tolist(), pdf["named"].tolist(), strict=True):
+                mine = sweeps.setdefault(number if isinstance(number, str) else None, {})
+                mine[at] = mine.get(at, 0) | named
+        due, seen = self._load()
+        changes = []
+        for number, mine in sweeps.items():
+            begin, last, known = seen.get(number, (None, None, 0))
+            for at, named in sorted(mine.items()):
+                if last is not None and at > last + self.keep:  # its timer may not have fired yet
+                    begin, known = None, 0
+                begin, last = at if begin is None else begin, at if last is None else max(last, at)
+                if at > begin and named & ~known:
+                    changes += [(number, name, at) for k, name in enumerate(AGENCIES) if named & ~known & 1 << k]
+                known |= named
+            seen[number] = (begin, last, known)
+        self._save(due, seen)
+        if changes:
+            yield pd.DataFrame(changes, columns=["incident_number", "agency", "changed_at"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        seen = {number: x for number, x in self._load()[1].items() if x[1] + self.keep >= now}
+        if seen:
+            self._save(None, seen)  # the timer that fired goes by itself
+        else:
+            self.state.clear()
         return iter([])
 
 
-def agency_log(listings: DataFrame, keep_days: int = 30, delay: str = "0 seconds") -> DataFrame:
+def agency_log(listings: DataFrame, keep_days: int = 30, delay: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """STR-04: (incident_number, agency, changed_at) of agencies that a later sweep adds (batch: ``ingest.accumulate_agencies``).
 
     Agencies are told by their patterns. Sweeps come in order; an incident that wasn't seen for ``keep_days`` starts anew.
+    Incidents are kept in ``buckets`` by a hash of their number, as each key costs Python some round trips to the state
+    store. A bucket that a batch names is read and written whole, so there should be one for some thousand incidents of
+    ``keep_days`` at most; the number is fixed with the checkpoint. Rows without a time are left out; for the watermark, years
+    after 2261 count as that year's end.
     """
     text = F.upper(F.coalesce("assisting", F.lit("")))
-    named = F.array_compact(F.array(*[F.when(text.rlike(p), n) for n, p in AGENCIES.items()]))
-    rows = listings.select("incident_number", F.col("sweep_ts").cast("timestamp").alias("__at"), _us("sweep_ts").alias("at"), named.alias("named"))
-    out = rows.withWatermark("__at", delay).groupBy("incident_number").transformWithState(AgencyLog(keep_days * DAY), "incident_number string, agency string, changed_at long", "append", "eventTime")
+    named = reduce(lambda a, b: a + b, [F.when(text.rlike(p), 1 << k).otherwise(0) for k, p in enumerate(AGENCIES.values())])
+    bucket = F.pmod(F.xxhash64("incident_number"), F.lit(buckets)).cast("int")
+    clock = F.least(F.col("sweep_ts").cast("timestamp"), F.lit("2262-01-01").cast("timestamp"))  # pandas holds no later ones
+    rows = listings.filter("sweep_ts IS NOT NULL").select(bucket.alias("bucket"), "incident_number", clock.alias("__at"), _us("sweep_ts").alias("at"), named.alias("named"))
+    out = rows.withWatermark("__at", delay).groupBy("bucket").transformWithStateInPandas(AgencyLog(keep_days * DAY), "incident_number string, agency string, changed_at long", "append", "eventTime")
     return out.select("incident_number", "agency", _moment("changed_at"))
 
 

@@ -155,3 +155,38 @@ def test_rolling_digest(spark, tmp_path, files):
         assert [tuple(r) for r in panels.digest_roads(table, str(end)).collect()] == [(r.road, r.n) for r in roads if r.until == end]
         n = sum(end - dt.timedelta(hours=24) <= r[3] < end for r in rows)
         assert (used[end].used, used[end].left) == (n, max(0, 30 - n)) if n else end not in used
+
+
+def test_agency_log_keeps_incidents_in_buckets(spark, tmp_path):
+    """One state row for each bucket, so that its price doesn't grow with the incidents; the log is that of the batch twin."""
+    names = ["POLICE", "POLICE FIRE", "", None, "SHERIFF", "EMS POLICE", "FIRE SHERIFF MEDIC"]
+    rows = sorted(((f"I{k % 120}", at(5 * (k // 100)), names[k * 7 % 11 % 7]) for k in range(1500)), key=lambda r: r[1])
+    rows += [(None, at(80), "FIRE"), (None, at(80), ""), ("I1", None, "EMS"), (None, at(85), "FIRE POLICE"), (None, at(85), "LPSO")]
+    put(spark, tmp_path, cut(rows, 3, lambda a, b: a[1] == b[1] or a[1] is None), LISTING)
+    log = stateful.drain(stateful.agency_log(stream(spark, tmp_path, LISTING), buckets=7), f"{tmp_path}/log", f"{tmp_path}/check")
+    table = spark.createDataFrame(rows, LISTING).filter("sweep_ts IS NOT NULL").fillna("I none", "incident_number")  # null is an incident here, the twin's join drops it
+    want = rows_of(ingest.accumulate_agencies(table))
+    assert rows_of(log.fillna("I none", "incident_number")) == want and len(want) > 200 and ("I none", "sheriff", at(85)) in want
+    state = spark.read.format("statestore").option("stateVarName", "state").load(f"{tmp_path}/check")
+    assert state.count() <= 7 and sorted(n or "" for r in state.collect() for n in r.value.incidents) == sorted({n or "" for n, _, _ in rows})
+
+
+def test_agency_log_of_a_bucket_forgets_each_incident_at_its_time(spark, tmp_path):
+    """All incidents share a bucket: one goes on over the time of another, which ends and starts anew."""
+    job = lambda: stateful.agency_log(stream(spark, tmp_path, LISTING), keep_days=2, buckets=1)
+    known = lambda: {n for r in spark.read.format("statestore").option("stateVarName", "state").load(f"{tmp_path}/check").collect() for n in r.value.incidents}
+    parts = [[("A", at(0), "POLICE"), ("B", at(0), "POLICE")], [("A", at(DAY), "POLICE FIRE")], [("C", at(2 * DAY), "")], [("A", at(3 * DAY), "EMS")], [("C", at(3 * DAY + 60), "FIRE")], [("B", at(4 * DAY), "FIRE"), ("A", at(4 * DAY), "FIRE")], [("B", at(4 * DAY + 5), "POLICE")], [("Z", at(9 * DAY), "")]]
+    seen = []
+    for n, part in enumerate(parts):  # a restart for each file
+        put(spark, tmp_path, [part], LISTING, n)
+        log = stateful.drain(job(), f"{tmp_path}/log", f"{tmp_path}/check")
+        seen.append(known())
+    assert seen == [{"A", "B"}, {"A", "B"}, {"A", "B", "C"}, {"A", "C"}, {"A", "C"}, {"A", "B", "C"}, {"A", "B", "C"}, {"Z"}]
+    assert rows_of(log) == sorted([("A", "fire", at(DAY)), ("A", "ems", at(3 * DAY)), ("C", "fire", at(3 * DAY + 60)), ("B", "police", at(4 * DAY + 5))], key=str)
+
+
+def test_agency_log_of_years_that_pandas_cannot_hold(spark, tmp_path):
+    rows = [("A", at(0), "POLICE"), ("A", at(5), "FIRE"), ("B", dt.datetime(3000, 1, 1), ""), ("B", dt.datetime(3000, 1, 2), "EMS")]
+    put(spark, tmp_path, [rows], LISTING)
+    log = stateful.drain(stateful.agency_log(stream(spark, tmp_path, LISTING)), f"{tmp_path}/log", f"{tmp_path}/check")
+    assert rows_of(log) == [("A", "fire", at(5)), ("B", "ems", dt.datetime(3000, 1, 2))]
