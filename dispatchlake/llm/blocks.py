@@ -1,6 +1,6 @@
 """Blocks of whole texts, and exact sums over n-grams of all blocks.
 
-A block is one stored row with some 4 MB of text, so a task can hold it and its n-grams. Each block sends its distinct
+A block is one stored row with at most 4 MB of text, so a task can hold it and its n-grams. Each block sends its distinct
 n-grams once, as sorted hashes in packed runs, to buckets of the hash range. A bucket sees each n-gram at most once for
 each block, so a frequent n-gram is no hot key.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLOCK = 4 << 20  # bytes of text in a block
+PORTIONS = 16  # a block is filled by portions of rows, so it isn't left far from full
 GRAMS = 1 << 20  # n-grams of one length in a bucket
 _BLANK = re.compile(rb"[ \t]")
 
@@ -65,8 +66,8 @@ def cut(text: bytes, size: int, context: Callable[[bytes], tuple[bytes, bool]])
 def blocks(docs: DataFrame, keep: dict[str, str], context: Callable[[bytes], tuple[bytes, bool]], size: int = BLOCK) -> DataFrame:
     """Stored blocks of the rows of ``docs`` (column ``text``, null as empty, and those of ``keep`` with their types).
 
-    Texts of more than ``size`` bytes are cut at blanks; their parts share a ``key`` (null for other texts). Words
-    without a blank for longer than that make one longer part.
+    A block has at most ``size`` bytes. Texts of more are cut at blanks; their parts share a ``key`` (null for other
+    texts), and are blocks of their own. Only they may be longer, by a word and the words carried over from the part before.
     """
     C.prepare(docs.sparkSession)
     kinds = {"block": "long", **{c: f"array<{t}>" for c, t in keep.items()}, "key": "array<string>", "skip": "array<long>", "begins": "array<boolean>", "closed": "array<boolean>", "ends": "array<long>", "n_bytes": "long", "data": "binary"}
@@ -90,7 +91,7 @@ def blocks(docs: DataFrame, keep: dict[str, str], context: Callable[[bytes], tup
         filled = long = 0
         for batch in batches:
             other = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in keep}
-            for lo, hi, raw, offs in C.text_chunks(batch, "text", size):
+            for lo, hi, raw, offs in C.text_chunks(batch, "text", max(1, size // PORTIONS)):
                 n = hi - lo
                 if n == 1 and len(raw) > size:
                     for part, skip, begins, closed in cut(raw.tobytes(), size, context):
@@ -100,6 +101,9 @@ def blocks(docs: DataFrame, keep: dict[str, str], context: Callable[[bytes], tup
                     long += 1
                     filled = size
                 else:
+                    if held and filled + len(raw) > size:
+                        yield flush()
+                        filled = 0
                     held.append((raw.tobytes(), offs[1:], [0] * n, [True] * n, [True] * n, [None] * n, {c: other[c][lo:hi] for c in keep}))
                     filled += len(raw)
                 if filled >= size:

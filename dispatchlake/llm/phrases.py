@@ -3,7 +3,8 @@
 Nodes are three-word phrases, edges four-word phrases between overlapping nodes, weighed by their occurrences. Shorter
 phrases aren't counted in the texts: a phrase occurs as often as flow leaves it (the weights of its one-word extensions)
 plus as often as a piece ends in it. Every block of texts builds its graph and derives its counts, and since both are
-sums, the buckets of the hash range add them up to the counts of the whole table.
+sums, the buckets of the hash range add them up to the counts of the whole table. A block goes through the phrase lengths
+one by one, from edges down to words, and holds the phrases of two lengths at most.
 
 Phrases that are frequent enough are spelled out by the first block that has them. There, runs of overlapping edges of
 equal weight (unary paths) are compacted into one row for a path.
@@ -47,15 +48,35 @@ def piece_tail(part: bytes) -> tuple[bytes, bool]:
 
 @dataclass
 class Graph:
-    """A block's graph: of each phrase length the distinct phrases (ascending hashes), their counts in this block, and
-    the word at which one occurrence ends."""
+    """A block's words, from which its phrases derive."""
 
-    phrases: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     starts: np.ndarray
     ends: np.ndarray
     row: np.ndarray
+    hashes: np.ndarray
+    own: np.ndarray  # the word isn't context of a text's earlier part
+    ended: np.ndarray  # a piece ends with the word
+    place: np.ndarray  # of the word in its piece
     words: dict[str, int]  # of each language
 
+    def phrases(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """From edges down to words, of each phrase length: the distinct phrases (ascending hashes), their counts in this
+        block, and the word at which one occurrence ends."""
+        n = len(self.hashes)
+        g = {1: self.hashes}
+        for k in range(2, LONGEST + 1):
+            g[k] = np.zeros(n, np.uint64)
+            g[k][1:] = C.mix(g[k - 1][:-1] * C.ODD + self.hashes[1:])
+        to = np.flatnonzero((self.place >= LONGEST - 1) & self.own)
+        found = _merged(g.pop(LONGEST)[to], np.ones(len(to), np.int64), to)
+        yield LONGEST, *found
+        for k in range(LONGEST - 1, 0, -1):  # what leaves a phrase, and the pieces that end in it
+            _, flow, to = found
+            stop = np.flatnonzero(self.ended & (self.place >= k - 1))
+            places = np.concatenate((to - 1, stop))
+            found = _merged(g.pop(k)[places], np.concatenate((flow, np.ones(len(stop), np.int64))), places)
+            yield k, *found
+
 
 def _merged(keys: np.ndarray, weights: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(keys):
@@ -74,30 +95,19 @@ def graph(rows: B.Rows) -> Graph:
     seeds = {x: np.uint64(int.from_bytes(C.digest8(x), "little")) for x in set(langs)}
     h = C.mix(C.word_hashes(raw, starts, ends) ^ np.array([seeds[x] for x in langs], np.uint64)[row])
     own = starts >= (offsets[:-1] + rows.skip)[row]
-    marks = np.zeros(len(raw) + 1, np.int32)
-    np.cumsum(_SEPARATOR[raw], out=marks[1:])
     until = np.append(starts[1:], 0)
     last = np.append(row[1:] != row[:-1], True) if n else np.zeros(0, bool)  # of its row
     until[last] = offsets[1:][row[last]]
-    parted = marks[until] > marks[ends]  # a separator follows
+    marks = np.flatnonzero(_SEPARATOR[raw])
+    parted = np.searchsorted(marks, until) > np.searchsorted(marks, ends)  # a separator follows
     ended = parted | last & rows.closed[row]
     first = np.append(True, (parted | last)[:-1]) if n else np.zeros(0, bool)
-    place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else np.zeros(0, np.int64)  # in its piece
-    g = {1: h}
-    for k in range(2, LONGEST + 1):
-        g[k] = np.zeros(n, np.uint64)
-        g[k][1:] = C.mix(g[k - 1][:-1] * C.ODD + h[1:])
-    at = np.flatnonzero((place >= LONGEST - 1) & own)
-    found = {LONGEST: _merged(g[LONGEST][at], np.ones(len(at), np.int64), at)}
-    for k in range(LONGEST - 1, 0, -1):  # what leaves a phrase, and the pieces that end in it
-        _, flow, to = found[k + 1]
-        stop = np.flatnonzero(ended & (place >= k - 1))
-        found[k] = _merged(np.concatenate((g[k][to - 1], g[k][stop])), np.concatenate((flow, np.ones(len(stop), np.int64))), np.concatenate((to - 1, stop)))
+    place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else np.zeros(0, np.int64)
     per_row = np.bincount(row[own], minlength=len(langs))
     words: dict[str, int] = {}
     for x, c in zip(langs, per_row.tolist(), strict=True):
         words[x] = words.get(x, 0) + c
-    return Graph(found, starts, ends, row, words)
+    return Graph(starts, ends, row, h, own, ended, place, words)
 
 
 LANGS = 1024  # groups of languages
@@ -108,7 +118,8 @@ def _ask(buckets: B.Buckets):
         for batch in batches:
             for rows in B.read(batch, ["lang"]):
                 made = graph(rows)
-                yield buckets.requests(rows.block, {k: (u, c) for k, (u, c, _) in made.phrases.items()})
+                for k, u, c, _ in made.phrases():
+                    yield buckets.requests(rows.block, {k: (u, c)})
                 langs = list(made.words)
                 yield C.record_batch({"grp": [-1 - int.from_bytes(C.digest8(x), "little") % LANGS for x in langs], "block": [rows.block] * len(langs), "hashes": [x.encode() for x in langs], "counts": [str(made.words[x]).encode() for x in langs]}, B.REQUEST)
 
@@ -148,6 +159,7 @@ def _frequent(buckets: B.Buckets, least: int):
 
 
 PATHS = "lang string, words long, path string, f long"
+SPELLED = 1 << 14  # paths that are spelled at once
 
 
 def _spell(buckets: B.Buckets):
@@ -159,8 +171,7 @@ def _spell(buckets: B.Buckets):
             for rows, own in zip(B.read(batch, ["lang"]), orders, strict=True):
                 made = graph(rows)
                 data = C.FOLDED_CODES[rows.raw].tobytes()
-                out = []
-                for k, (u, _, places) in made.phrases.items():
+                for k, u, _, places in made.phrases():
                     begin = {b: a for b, a, _ in buckets.slices(u)}
                     mine = [x for x in own if x["grp"] >> 40 == k]
                     if not mine:
@@ -174,12 +185,14 @@ def _spell(buckets: B.Buckets):
                     if k == LONGEST:
                         new[1:] = (end[1:] != end[:-1] + 1) | (f[1:] != f[:-1])
                     head = np.flatnonzero(new)
-                    for a, b in zip(head.tolist(), np.append(head[1:], len(end)).tolist(), strict=True):
-                        i, j = int(end[a]) - k + 1, int(end[b - 1])
-                        text = b" ".join(data[s:e] for s, e in zip(made.starts[i : j + 1].tolist(), made.ends[i : j + 1].tolist(), strict=True))
-                        lang = rows.columns["lang"][made.row[j]]
-                        out.append((lang if lang is not None else "und", k, text.decode(), int(f[a])))
-                yield C.record_batch(dict(zip([x.split()[0] for x in PATHS.split(", ")], [list(x) for x in zip(*out, strict=True)] if out else [[]] * 4, strict=True)), PATHS)
+                    first, last = end[head] - k + 1, end[np.append(head[1:], len(end)) - 1]
+                    for lo in range(0, len(head), SPELLED):
+                        out = []
+                        for i, j, a in zip(first[lo : lo + SPELLED].tolist(), last[lo : lo + SPELLED].tolist(), f[head[lo : lo + SPELLED]].tolist(), strict=True):
+                            text = b" ".join(data[s:e] for s, e in zip(made.starts[i : j + 1].tolist(), made.ends[i : j + 1].tolist(), strict=True))
+                            lang = rows.columns["lang"][made.row[j]]
+                            out.append((lang if lang is not None else "und", k, text.decode(), a))
+                        yield C.record_batch(dict(zip([x.split()[0] for x in PATHS.split(", ")], [list(x) for x in zip(*out, strict=True)], strict=True)), PATHS)
 
     return run
 
