@@ -1,6 +1,6 @@
 """Blocks of whole texts, and exact sums over n-grams of all blocks.
 
-A block is one stored row with at most 4 MB of text, so a task can hold it and its n-grams. Each block sends its distinct
+A block is one stored row with at most 7 MB of text, so a task can hold it and its n-grams. Each block sends its distinct
 n-grams once, as sorted hashes in packed runs, to buckets of the hash range. A bucket sees each n-gram at most once for
 each block, so a frequent n-gram is no hot key.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BLOCK = 4 << 20  # bytes of text in a block
+BLOCK = 7 << 20  # bytes of text in a block
 PORTIONS = 16  # a block is filled by portions of rows, so it isn't left far from full
 GRAMS = 1 << 20  # n-grams of one length in a bucket
 _BLANK = re.compile(rb"[ \t]")

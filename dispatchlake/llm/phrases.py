@@ -48,7 +48,7 @@ def piece_tail(part: bytes) -> tuple[bytes, bool]:
 
 @dataclass
 class Graph:
-    """A block's words, from which its phrases derive."""
+    """A block's words, from which its phrases derive. Spark's strings have less than 2 GB, so words are numbered in 32 bits."""
 
     starts: np.ndarray
     ends: np.ndarray
@@ -56,7 +56,7 @@ class Graph:
     hashes: np.ndarray
     own: np.ndarray  # the word isn't context of a text's earlier part
     ended: np.ndarray  # a piece ends with the word
-    place: np.ndarray  # of the word in its piece
+    place: np.ndarray  # of the word in its piece, LONGEST - 1 at most
     words: dict[str, int]  # of each language
 
     def phrases(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -67,14 +67,14 @@ class Graph:
         for k in range(2, LONGEST + 1):
             g[k] = np.zeros(n, np.uint64)
             g[k][1:] = C.mix(g[k - 1][:-1] * C.ODD + self.hashes[1:])
-        to = np.flatnonzero((self.place >= LONGEST - 1) & self.own)
-        found = _merged(g.pop(LONGEST)[to], np.ones(len(to), np.int64), to)
+        to = np.flatnonzero((self.place >= LONGEST - 1) & self.own).astype(np.int32)
+        found = _merged(g.pop(LONGEST)[to], np.ones(len(to), np.int32), to)
         yield LONGEST, *found
         for k in range(LONGEST - 1, 0, -1):  # what leaves a phrase, and the pieces that end in it
             _, flow, to = found
-            stop = np.flatnonzero(self.ended & (self.place >= k - 1))
+            stop = np.flatnonzero(self.ended & (self.place >= k - 1)).astype(np.int32)
             places = np.concatenate((to - 1, stop))
-            found = _merged(g.pop(k)[places], np.concatenate((flow, np.ones(len(stop), np.int64))), places)
+            found = _merged(g.pop(k)[places], np.concatenate((flow, np.ones(len(stop), np.int32))), places)
             yield k, *found
 
 
@@ -84,7 +84,7 @@ def _merged(keys: np.ndarray, weights: np.ndarray, places: np.ndarray) -> tuple[
     by = np.argsort(keys, kind="stable")
     ranked = keys[by]
     at = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    return ranked[at], np.add.reduceat(weights[by], at), places[by][at]
+    return ranked[at], np.add.reduceat(weights[by], at, dtype=np.int32), places[by[at]]
 
 
 def graph(rows: B.Rows) -> Graph:
@@ -102,12 +102,14 @@ def graph(rows: B.Rows) -> Graph:
     parted = np.searchsorted(marks, until) > np.searchsorted(marks, ends)  # a separator follows
     ended = parted | last & rows.closed[row]
     first = np.append(True, (parted | last)[:-1]) if n else np.zeros(0, bool)
-    place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else np.zeros(0, np.int64)
+    place = np.zeros(n, np.uint8)
+    for k in range(1, LONGEST):
+        place[k:] += ~first[k:] & (place[k - 1 : -1] == k - 1)
     per_row = np.bincount(row[own], minlength=len(langs))
     words: dict[str, int] = {}
     for x, c in zip(langs, per_row.tolist(), strict=True):
         words[x] = words.get(x, 0) + c
-    return Graph(starts, ends, row, h, own, ended, place, words)
+    return Graph(starts.astype(np.int32), ends.astype(np.int32), row.astype(np.int32), h, own, ended, place, words)
 
 
 LANGS = 1024  # groups of languages
