@@ -51,13 +51,13 @@ class _Timed(StatefulProcessor):
         self.state = handle.getValueState("state", self.schema, self.ttl_ms)
 
     def _wake(self, old_us: int | None, new_us: int | None) -> None:
-        """Moves the key's timer."""
+        """Moves the key's timer. Spark fires one that the watermark has just reached, so it is set to the millisecond after."""
         if old_us == new_us:
             return
         if old_us is not None:
-            self.handle.deleteTimer(old_us // 1000)
+            self.handle.deleteTimer(old_us // 1000 + 1)
         if new_us is not None:
-            self.handle.registerTimer(new_us // 1000)
+            self.handle.registerTimer(new_us // 1000 + 1)
 
     def close(self) -> None:
         pass
@@ -223,7 +223,7 @@ class Presence(_Timed):
         first, last, count, listed = self.state.get()
         if listed:
             self.state.update((first, last, count, False))
-            self.handle.registerTimer(self._due(last, False) // 1000)
+            self._wake(None, self._due(last, False))
             yield self._row(key, "left", last + self.sweep, first, last, count)
         else:
             self.state.clear()

@@ -61,6 +61,18 @@ def test_presence_and_agencies(spark, tmp_path, files):
     assert rows_of(log) == rows_of(ingest.accumulate_agencies(table)) and ("A", "sheriff", at(40)) in rows_of(log)
 
 
+def test_a_leave_at_the_newest_sweep_is_open(spark, tmp_path):
+    """A timer that the watermark has just reached isn't due: the sweep of that moment may still list the incident."""
+    rows = [("A", at(0), ""), ("B", at(0), ""), ("B", at(5), ""), ("C", at(10), "")]
+    put(spark, tmp_path, [rows], LISTING)
+    got = stateful.drain(stateful.presence(stream(spark, tmp_path, LISTING)), f"{tmp_path}/out", f"{tmp_path}/check")
+    assert rows_of(got) == rows_of(ingest.presence_events(spark.createDataFrame(rows, LISTING)))
+    assert [r.incident_number for r in got.filter("event = 'left'").collect()] == ["A"]  # B would leave at the newest sweep
+    put(spark, tmp_path, [[("C", at(15), "")]], LISTING, 1)
+    got = stateful.drain(stateful.presence(stream(spark, tmp_path, LISTING)), f"{tmp_path}/out", f"{tmp_path}/check")
+    assert sorted((r.incident_number, r.at) for r in got.filter("event = 'left'").collect()) == [("A", at(5)), ("B", at(10))]
+
+
 def test_presence_goes_on_after_a_restart_and_forgets(spark, tmp_path):
     parts = cut(SWEEPS, 4, lambda a, b: a[1] == b[1])
     job = lambda: stateful.presence(stream(spark, tmp_path, LISTING), keep_days=1)
@@ -95,6 +107,13 @@ def test_negative_cache(spark, tmp_path, files):
     assert spark.read.format("statestore").option("stateVarName", "state").load(f"{tmp_path}/check").count() == 0
 
 
+def test_a_failure_counts_to_the_end_of_its_last_moment(spark, tmp_path):
+    rows = [("X", at(0), False), ("Y", at(1), False), ("Z", at(7 * DAY), False)]
+    put(spark, tmp_path, [rows], TRY)
+    got = stateful.latest(stateful.drain(stateful.negative_cache(stream(spark, tmp_path, TRY)), f"{tmp_path}/out", f"{tmp_path}/check", "update"), ["location_key"]).filter("attempts > 0")
+    assert rows_of(got) == rows_of(failure_state(spark.createDataFrame(rows, TRY), "2024-01-08 06:00:00")) and got.count() == 3
+
+
 def test_negative_cache_with_the_stores_own_lifetime(spark, tmp_path):
     put(spark, tmp_path, [TRIES], TRY)
     stateful.use_keyed_state(spark)
