@@ -29,7 +29,7 @@ def _drained(s: SparkSession, make: Callable[[], DataFrame], mode: str = "append
 
 # ---- keyed state
 def _presence(s: SparkSession, d: str) -> DataFrame:
-    out = _drained(s, lambda: stateful.presence(b.listings(s, d, b.event_stream(s, d))))
+    out = _drained(s, lambda: stateful.presence(b.listings(s, d, b.event_stream(s, d)), buckets=stateful.PRESENCE_BUCKETS))
     return out.select("incident_number", "event", _ts("at"), _ts("first_seen_at"), _ts("last_seen_at"), "observation_count")
 
 

@@ -1,7 +1,7 @@
 """Streaming jobs on Spark's keyed state: value state in the state store, event-time timers, time-to-live.
 
 Each job's work follows the rows of its batch and the timers that are due; the other keys of the state aren't touched
-(keys are incidents, addresses or routes, in the agency log buckets of incidents).
+(keys are incidents, addresses or routes, in the agency log and in presence of very many incidents buckets of them).
 State is kept and restored with the query's checkpoint, so a restart goes on where the last batch ended, and no row counts
 twice. Moments are microseconds (long) inside the processors, so a worker's time zone doesn't matter.
 
@@ -11,9 +11,11 @@ moment seen is later than theirs by ``delay``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -187,57 +189,109 @@ def agency_log(listings: DataFrame, keep_days: int = 30, delay: str = "0 seconds
 
 # ---------------------------------------------------------------- STR-02
 
+PRESENCE_BUCKETS = 1 << 12  # of incidents; some 9,000 in each at 36 million
+
+
 class Presence(_Timed):
-    """Sightings of one incident. A timer one sweep after the last one says that it left, without a row of its own."""
+    """Sightings of the incidents of one key. A timer one sweep after an incident's last one says that it left, without a
+    row of its own.
+
+    The state and what a batch brings are worked on as columns, a place in them for each incident; an incident with count 0
+    is new. They are kept as a JSON list and as bytes of arrays, since lists are converted value by value on their way.
+    """
 
-    schema = "first long, last long, count int, listed boolean"
+    schema = "due long, incidents string, first binary, last binary, count binary, listed binary"
+    types = (np.int64, np.int64, np.int32, bool)
+    events = "incident_number string, event string, at long, first_seen_at long, last_seen_at long, observation_count int"
 
     def __init__(self, sweep: int, keep: int):
         self.sweep, self.keep = sweep, keep
 
-    def _row(self, key: tuple, event: str, at: int, first: int, last: int, count: int) -> Row:
-        return Row(incident_number=key[0], event=event, at=at, first_seen_at=first, last_seen_at=last, observation_count=count)
+    def _load(self) -> tuple:
+        due, incidents, *columns = self.state.get() or (None, "[]", b"", b"", b"", b"")
+        return due, json.loads(incidents), *[np.frombuffer(c, t).copy() for c, t in zip(columns, self.types, strict=True)]
 
-    def _due(self, last: int, listed: bool) -> int:
-        return last + (self.sweep if listed else self.keep)
+    def _due(self, last: np.ndarray, listed: np.ndarray) -> np.ndarray:
+        return last + np.where(listed, self.sweep, self.keep)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        old = self.state.get() if self.state.exists() else None
-        first, last, count, listed = old if old else (None, None, 0, False)
-        for at in sorted({r.at for r in rows}):
-            if last is not None and at <= last:
-                continue  # this sweep was counted
-            if listed and at > last + self.sweep:
-                yield self._row(key, "left", last + self.sweep, first, last, count)
-                listed = False
-            if last is not None and at > last + self.keep:  # its timer may not have fired yet
-                first, count = None, 0
-            first, last, count = at if first is None else first, at, count + 1
-            if not listed:
-                yield self._row(key, "appeared", at, first, last, count)
-            listed = True
-        self._wake(self._due(old[1], old[3]) if old else None, self._due(last, listed))
-        self.state.update((first, last, count, listed))
+    def _save(self, old_due: int | None, incidents: list, first: np.ndarray, last: np.ndarray, count: np.ndarray, listed: np.ndarray) -> None:
+        due = int(self._due(last, listed).min())
+        self._wake(old_due, due)
+        self.state.update((due, json.dumps(incidents), *[c.tobytes() for c in (first, last, count, listed)]))
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        first, last, count, listed = self.state.get()
-        if listed:
-            self.state.update((first, last, count, False))
-            self._wake(None, self._due(last, False))
-            yield self._row(key, "left", last + self.sweep, first, last, count)
+    def _rows(self, event: str, incidents: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, count: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"incident_number": incidents, "event": event, "at": at, "first_seen_at": first, "last_seen_at": last, "observation_count": count})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        due, incidents, first, last, count, listed = self._load()
+        places = {number: k for k, number in enumerate(incidents)}
+        who, at = [], []
+        for pdf in rows:
+            who.append(np.array([places.setdefault(n if isinstance(n, str) else None, len(places)) for n in pdf["incident"].tolist()]))
+            at.append(pdf["at"].to_numpy())
+        who, at = np.concatenate(who), np.concatenate(at)
+        first, last, count, listed = (np.concatenate([c, np.zeros(len(places) - len(c), c.dtype)]) for c in (first, last, count, listed))
+
+        order = np.lexsort((at, who))
+        who, at = who[order], at[order]
+        new = (count[who] == 0) | (at > last[who])  # other sweeps were counted
+        new[1:] &= (who[1:] != who[:-1]) | (at[1:] != at[:-1])
+        who, at = who[new], at[new]
+        if not len(at):
+            return
+        begin = np.append(True, who[1:] != who[:-1])  # an incident's first sighting of this batch
+        before = np.where(begin, last[who], np.append(0, at[:-1]))
+        had = ~begin | (count[who] > 0)
+        on = had & (~begin | listed[who])  # listed by then
+        back = had & (at > before + self.sweep)
+        anew = ~had | (at > before + self.keep)  # its timer may not have fired yet
+        here = np.arange(len(at))
+        since = np.maximum.accumulate(np.where(begin | anew, here, 0))
+        n = np.where(anew, 0, count[who])[since] + here - since + 1
+        start = np.where(anew, at, first[who])[since]
+
+        names = np.array([*places], object)
+        gone, came = on & back, ~on | back
+        if gone.any():
+            old_start, old_n = np.where(begin, first[who], np.append(0, start[:-1])), np.where(begin, count[who], np.append(0, n[:-1]))
+            yield self._rows("left", names[who[gone]], before[gone] + self.sweep, old_start[gone], before[gone], old_n[gone])
+        if came.any():
+            yield self._rows("appeared", names[who[came]], at[came], start[came], at[came], n[came])
+        end = np.append(begin[1:], True)
+        first[who[end]], last[who[end]], count[who[end]], listed[who[end]] = start[end], at[end], n[end], True
+        self._save(due, [*places], first, last, count, listed)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        _, incidents, first, last, count, listed = self._load()
+        names = np.array(incidents, object)
+        gone = listed & (self._due(last, listed) // 1000 < now)
+        if gone.any():
+            yield self._rows("left", names[gone], last[gone] + self.sweep, first[gone], last[gone], count[gone])
+        listed &= ~gone
+        kept = listed | (self._due(last, listed) // 1000 >= now)
+        if kept.any():
+            self._save(None, names[kept].tolist(), first[kept], last[kept], count[kept], listed[kept])  # the timer that fired goes by itself
         else:
             self.state.clear()
 
 
-def presence(listings: DataFrame, sweep_min: int = 5, keep_days: int = 30, delay: str = "0 seconds") -> DataFrame:
+def presence(listings: DataFrame, sweep_min: int = 5, keep_days: int = 30, delay: str = "0 seconds", buckets: int | None = None) -> DataFrame:
     """STR-02: appeared and left events of each incident with its sightings up to then (batch: ``ingest.presence_events``).
 
     A sweep lists what is on the feed every ``sweep_min`` minutes. An incident that the next one doesn't list has left; if
-    it returns, it appears again and its count goes on. What left ``keep_days`` ago is forgotten. Append mode.
+    it returns, it appears again and its count goes on. What left ``keep_days`` ago is forgotten. Append mode. Rows without
+    a time are left out; for the watermark, years after 2261 count as that year's end.
+
+    Each incident is a key of the state, which costs Python some round trips to the state store and a frame. With
+    ``buckets`` a hash of incidents is the key, for feeds that list very many: a bucket that a batch names or that has a
+    leave is read and written whole, so there should be one for some thousand incidents of ``keep_days`` at most. It is
+    fixed with the checkpoint.
     """
-    rows = listings.select("incident_number", F.col("sweep_ts").cast("timestamp").alias("__at"), _us("sweep_ts").alias("at"))
-    kind = "incident_number string, event string, at long, first_seen_at long, last_seen_at long, observation_count int"
-    out = rows.withWatermark("__at", delay).groupBy("incident_number").transformWithState(Presence(sweep_min * MINUTE, keep_days * DAY), kind, "append", "eventTime")
+    clock = F.least(F.col("sweep_ts").cast("timestamp"), F.lit("2262-01-01").cast("timestamp"))  # pandas holds no later ones
+    key = F.pmod(F.xxhash64("incident_number"), F.lit(buckets)).cast("int").alias("bucket") if buckets else F.col("incident_number")
+    rows = listings.filter("sweep_ts IS NOT NULL").select(key, F.col("incident_number").alias("incident"), clock.alias("__at"), _us("sweep_ts").alias("at"))
+    out = rows.withWatermark("__at", delay).groupBy("bucket" if buckets else "incident_number").transformWithStateInPandas(Presence(sweep_min * MINUTE, keep_days * DAY), Presence.events, "append", "eventTime")
     return out.select("incident_number", "event", _moment("at"), _moment("first_seen_at"), _moment("last_seen_at"), "observation_count")
 
 

@@ -1,12 +1,14 @@
 """Jobs on keyed state equal their batch twins for one and several files, over restarts, and forget what is over."""
 
 import datetime as dt
+import json
 import os
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from dispatchlake import registry
 from dispatchlake.operators import ingest, panels, routes
 from dispatchlake.streaming import jobs, stateful
 from dispatchlake.streaming.state import failure_state
@@ -73,6 +75,55 @@ def test_a_leave_at_the_newest_sweep_is_open(spark, tmp_path):
     assert sorted((r.incident_number, r.at) for r in got.filter("event = 'left'").collect()) == [("A", at(5)), ("B", at(10))]
 
 
+def test_presence_by_buckets_equals_that_by_incidents(spark, tmp_path):
+    """Many incidents in a few keys of the state, over restarts: those that stay, leave, return, are listed twice or never named."""
+    rows = sorted(((f"I{k}" if k else None, at(5 * n), "") for k in range(40) for n in range(60) if (k * 7 + n * n) % 11 % (2 + k % 5) == 0), key=lambda r: r[1])
+    rows = [*rows[:50], *rows[30:50], ("I1", None, ""), (None, None, ""), *rows[50:]]
+    table = spark.createDataFrame(rows, LISTING).filter("sweep_ts IS NOT NULL")
+    want = rows_of(ingest.presence_events(table))
+    job = lambda buckets: stateful.presence(stream(spark, tmp_path, LISTING), buckets=buckets)
+    for n, part in enumerate(cut(rows, 3, lambda a, b: a[1] == b[1] or None in (a[1], b[1]) or b[1] < a[1])):
+        put(spark, tmp_path, [part], LISTING, n)
+        got = stateful.drain(job(3), f"{tmp_path}/out", f"{tmp_path}/check")
+    assert rows_of(got) == want and len(want) > 500 and got.filter("incident_number IS NULL").count() > 5
+    state = spark.read.format("statestore").option("stateVarName", "state").load(f"{tmp_path}/check")
+    assert state.count() <= 3 and sorted(n or "" for r in state.collect() for n in json.loads(r.value.incidents)) == sorted({n or "" for n, _, _ in rows})
+    assert rows_of(stateful.drain(job(None), f"{tmp_path}/out1", f"{tmp_path}/check1")) == want
+
+
+def test_presence_of_a_bucket_forgets_each_incident_at_its_time(spark, tmp_path):
+    """All incidents share a bucket: one goes on over the time of another, which is forgotten and appears as a new one."""
+    job = lambda: stateful.presence(stream(spark, tmp_path, LISTING), keep_days=2, buckets=1)
+    parts = [[("A", at(0), ""), ("B", at(0), "")], [("A", at(DAY), ""), ("A", at(DAY + 5), "")], [("C", at(2 * DAY + 5), "")], [("B", at(2 * DAY + 10), ""), ("A", at(2 * DAY + 10), "")], [("C", at(9 * DAY), "")], [("A", at(9 * DAY + 5), ""), ("C", at(9 * DAY + 5), "")]]
+    seen = []
+    for n, part in enumerate(parts):  # a restart for each file
+        put(spark, tmp_path, [part], LISTING, n)
+        got = stateful.drain(job(), f"{tmp_path}/out", f"{tmp_path}/check")
+        seen.append({x for r in spark.read.format("statestore").option("stateVarName", "state").load(f"{tmp_path}/check").collect() for x in json.loads(r.value.incidents)})
+    assert seen == [{"A", "B"}, {"A", "B"}, {"A", "C"}, {"A", "B", "C"}, {"C"}, {"A", "C"}]
+    events = {x: [(r.event, r.at, r.first_seen_at, r.observation_count) for r in got.orderBy("at").collect() if r.incident_number == x] for x in "AB"}
+    assert events["A"] == [("appeared", at(0), at(0), 1), ("left", at(5), at(0), 1), ("appeared", at(DAY), at(0), 2), ("left", at(DAY + 10), at(0), 3), ("appeared", at(2 * DAY + 10), at(0), 4), ("left", at(2 * DAY + 15), at(0), 4), ("appeared", at(9 * DAY + 5), at(9 * DAY + 5), 1)]
+    assert events["B"] == [("appeared", at(0), at(0), 1), ("left", at(5), at(0), 1), ("appeared", at(2 * DAY + 10), at(2 * DAY + 10), 1), ("left", at(2 * DAY + 15), at(2 * DAY + 10), 1)]
+
+
+def test_the_query_keeps_presence_in_buckets(spark, tmp_path, monkeypatch):
+    """The keys of its state don't grow with the incidents."""
+    seen, drain = [], stateful.drain
+    monkeypatch.setattr(stateful, "PRESENCE_BUCKETS", 2)
+    monkeypatch.setattr(stateful, "drain", lambda out, path, check, mode: seen.append(check) or drain(out, path, check, mode))
+    rows = spark.range(60).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 100).cast("timestamp_ntz").alias("ts"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    assert registry.QUERIES["str_02_presence"](spark, str(tmp_path)).filter("event = 'appeared'").count() == 60
+    assert spark.read.format("statestore").option("stateVarName", "state").load(seen[0]).count() == 2
+
+
+def test_presence_of_years_that_pandas_cannot_hold(spark, tmp_path):
+    rows = [("A", at(0), ""), ("B", dt.datetime(3000, 1, 1), ""), ("B", dt.datetime(3000, 1, 2), "")]
+    put(spark, tmp_path, [rows], LISTING)
+    got = stateful.drain(stateful.presence(stream(spark, tmp_path, LISTING)), f"{tmp_path}/out", f"{tmp_path}/check")
+    assert [(r.event, r.at) for r in got.filter("incident_number = 'B'").orderBy("at").collect()] == [("appeared", dt.datetime(3000, 1, 1)), ("left", dt.datetime(3000, 1, 1, 0, 5)), ("appeared", dt.datetime(3000, 1, 2))]
+
+
 def test_presence_goes_on_after_a_restart_and_forgets(spark, tmp_path):
     parts = cut(SWEEPS, 4, lambda a, b: a[1] == b[1])
     job = lambda: stateful.presence(stream(spark, tmp_path, LISTING), keep_days=1)
