@@ -190,6 +190,7 @@ def agency_log(listings: DataFrame, keep_days: int = 30, delay: str = "0 seconds
 # ---------------------------------------------------------------- STR-02
 
 PRESENCE_BUCKETS = 1 << 12  # of incidents; some 9,000 in each at 36 million
+NEVER = -1 << 63  # the moment of a sighting without a time
 
 
 class Presence(_Timed):
@@ -219,7 +220,7 @@ class Presence(_Timed):
         self._wake(old_due, due)
         self.state.update((due, json.dumps(incidents), *[c.tobytes() for c in (first, last, count, listed)]))
 
-    def _rows(self, event: str, incidents: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, count: np.ndarray) -> pd.DataFrame:
+    def _rows(self, event: str, incidents: np.ndarray, at: np.ndarray | None, first: np.ndarray | None, last: np.ndarray | None, count: np.ndarray | int) -> pd.DataFrame:
         return pd.DataFrame({"incident_number": incidents, "event": event, "at": at, "first_seen_at": first, "last_seen_at": last, "observation_count": count})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
@@ -232,6 +233,13 @@ class Presence(_Timed):
         who, at = np.concatenate(who), np.concatenate(at)
         first, last, count, listed = (np.concatenate([c, np.zeros(len(places) - len(c), c.dtype)]) for c in (first, last, count, listed))
 
+        names = np.array([*places], object)
+        bare = np.setdiff1d(who[at == NEVER], who[at != NEVER])
+        bare = bare[bare >= len(incidents)]
+        if len(bare):  # listed, but in no sweep that is known
+            yield self._rows("appeared", names[bare], None, None, None, 1)
+        who, at = who[at != NEVER], at[at != NEVER]
+
         order = np.lexsort((at, who))
         who, at = who[order], at[order]
         new = (count[who] == 0) | (at > last[who])  # other sweeps were counted
@@ -250,7 +258,6 @@ class Presence(_Timed):
         n = np.where(anew, 0, count[who])[since] + here - since + 1
         start = np.where(anew, at, first[who])[since]
 
-        names = np.array([*places], object)
         gone, came = on & back, ~on | back
         if gone.any():
             old_start, old_n = np.where(begin, first[who], np.append(0, start[:-1])), np.where(begin, count[who], np.append(0, n[:-1]))
@@ -259,7 +266,8 @@ class Presence(_Timed):
             yield self._rows("appeared", names[who[came]], at[came], start[came], at[came], n[came])
         end = np.append(begin[1:], True)
         first[who[end]], last[who[end]], count[who[end]], listed[who[end]] = start[end], at[end], n[end], True
-        self._save(due, [*places], first, last, count, listed)
+        kept = count > 0
+        self._save(due, names[kept].tolist(), first[kept], last[kept], count[kept], listed[kept])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
@@ -280,8 +288,9 @@ def presence(listings: DataFrame, sweep_min: int = 5, keep_days: int = 30, delay
     """STR-02: appeared and left events of each incident with its sightings up to then (batch: ``ingest.presence_events``).
 
     A sweep lists what is on the feed every ``sweep_min`` minutes. An incident that the next one doesn't list has left; if
-    it returns, it appears again and its count goes on. What left ``keep_days`` ago is forgotten. Append mode. Rows without
-    a time are left out; for the watermark, years after 2261 count as that year's end.
+    it returns, it appears again and its count goes on. What left ``keep_days`` ago is forgotten. Append mode. For the
+    watermark, years after 2261 count as that year's end. Rows without a time count nothing; an incident that isn't known
+    and that a batch lists only by them appears without a time, and isn't kept.
 
     Each incident is a key of the state, which costs Python some round trips to the state store and a frame. With
     ``buckets`` a hash of incidents is the key, for feeds that list very many: a bucket that a batch names or that has a
@@ -290,7 +299,8 @@ def presence(listings: DataFrame, sweep_min: int = 5, keep_days: int = 30, delay
     """
     clock = F.least(F.col("sweep_ts").cast("timestamp"), F.lit("2262-01-01").cast("timestamp"))  # pandas holds no later ones
     key = F.pmod(F.xxhash64("incident_number"), F.lit(buckets)).cast("int").alias("bucket") if buckets else F.col("incident_number")
-    rows = listings.filter("sweep_ts IS NOT NULL").select(key, F.col("incident_number").alias("incident"), clock.alias("__at"), _us("sweep_ts").alias("at"))
+    clock = F.when(F.col("sweep_ts").isNotNull(), clock)  # least() passes nulls over
+    rows = listings.select(key, F.col("incident_number").alias("incident"), clock.alias("__at"), F.coalesce(_us("sweep_ts"), F.lit(NEVER)).alias("at"))
     out = rows.withWatermark("__at", delay).groupBy("bucket" if buckets else "incident_number").transformWithStateInPandas(Presence(sweep_min * MINUTE, keep_days * DAY), Presence.events, "append", "eventTime")
     return out.select("incident_number", "event", _moment("at"), _moment("first_seen_at"), _moment("last_seen_at"), "observation_count")
 

@@ -117,6 +117,16 @@ def test_the_query_keeps_presence_in_buckets(spark, tmp_path, monkeypatch):
     assert spark.read.format("statestore").option("stateVarName", "state").load(seen[0]).count() == 2
 
 
+@pytest.mark.parametrize("buckets", [None, 2])
+def test_presence_of_incidents_without_a_time(spark, tmp_path, buckets):
+    """They appear once, without a time; for others such a sighting says nothing, before or after they are known."""
+    parts = [[("A", at(0), ""), ("A", None, ""), ("B", None, ""), ("B", None, ""), ("C", None, ""), (None, None, "")], [("A", None, ""), ("C", at(10), "")]]
+    put(spark, tmp_path, parts, LISTING)
+    got = stateful.drain(stateful.presence(stream(spark, tmp_path, LISTING), buckets=buckets), f"{tmp_path}/out", f"{tmp_path}/check")
+    bare = [(x, "appeared", None, None, None, 1) for x in ("B", "C", None)]
+    assert rows_of(got) == sorted([*bare, ("A", "appeared", at(0), at(0), at(0), 1), ("A", "left", at(5), at(0), at(0), 1), ("C", "appeared", at(10), at(10), at(10), 1)], key=str)
+
+
 def test_presence_of_years_that_pandas_cannot_hold(spark, tmp_path):
     rows = [("A", at(0), ""), ("B", dt.datetime(3000, 1, 1), ""), ("B", dt.datetime(3000, 1, 2), "")]
     put(spark, tmp_path, [rows], LISTING)
